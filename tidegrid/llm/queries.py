@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents, remainder
 from .exact_dedup import exact_dedup
+from .language_id import fit_languages, language_column
 from .packing import pack_documents
+from .quality import COUNTS, judge_quality
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +18,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op9_exact_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = documents(spark, sf_dir)
+    held_out = remainder("doc_id", 4) == 2
+    model = fit_languages(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language_column(docs, model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op5_quality_rules, op9_exact_dedup, op10_language_id)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
