@@ -10,6 +10,7 @@ from .common import bounded_batches, documents, remainder
 from .exact_dedup import exact_dedup
 from .language_id import fit_languages, language_column
 from .packing import pack_documents
+from .pii import KINDS, fit_tagger, pii_column, spelled
 from .quality import COUNTS, judge_quality
 
 
@@ -23,6 +24,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = documents(spark, sf_dir)
+    found = docs.select("doc_id", pii_column(docs, fit_tagger(docs)).alias("pii"))
+    numbers = [F.size(F.filter("pii.base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *numbers, F.sha2(spelled("pii.base"), 256).alias("base_sha256"), spelled("pii.spans").alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -36,7 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_quality_rules, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_quality_rules, op6_pii, op9_exact_dedup, op10_language_id)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
