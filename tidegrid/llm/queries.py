@@ -28,8 +28,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = documents(spark, sf_dir)
     found = docs.select("doc_id", pii_column(docs, fit_tagger(docs)).alias("pii"))
-    numbers = [F.size(F.filter("pii.base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return found.select("doc_id", *numbers, F.sha2(spelled("pii.base"), 256).alias("base_sha256"), spelled("pii.spans").alias("spans"))
+
+    def number(kind: str):
+        return F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, KINDS), F.sha2(spelled("pii.base"), 256).alias("base_sha256"), spelled("pii.spans").alias("spans"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
