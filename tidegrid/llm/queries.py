@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .common import bounded_batches, documents, remainder
 from .exact_dedup import exact_dedup
 from .language_id import fit_languages, language_column
@@ -19,6 +20,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe_decode(bpe_encode(documents(spark, sf_dir), path), path)
+    spelled_ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled_ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
@@ -48,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_quality_rules, op6_pii, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op5_quality_rules, op6_pii, op9_exact_dedup, op10_language_id)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
