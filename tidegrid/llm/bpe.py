@@ -251,11 +251,12 @@ def coder(path: str) -> tuple[Vocabulary, PieceCoder]:
             return [x for part in special.split(text) for x in ([part] if part in vocab.special else split(part))]
         return PATTERN.findall(text) if _ODD.search(text) else _CHUNKS.findall(text)
 
-    def encode(chunks: list[str]) -> list[np.ndarray]:
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [[] if c in vocab.special else [x.encode("utf-8") for x in PATTERN.findall(c)] for c in chunks]
         new = list({x: None for p in parts for x in p})
         found = dict(zip(new, vocab.encode(new)))
-        return [np.array([vocab.special[c]], np.int32) if c in vocab.special else found[p[0]] if len(p) == 1 else np.concatenate([found[x] for x in p]) for c, p in zip(chunks, parts)]
+        ids = [np.array([vocab.special[c]], np.int32) if c in vocab.special else found[p[0]] if len(p) == 1 else np.concatenate([found[x] for x in p]) for c, p in zip(chunks, parts)]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids)
 
     return vocab, PieceCoder(split, encode, limit=250_000)
 

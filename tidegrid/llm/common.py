@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -59,46 +59,60 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def joined(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the sequences, and all of them as one."""
+    return np.fromiter(map(len, found), np.int64, len(found)), np.array([x for y in found for x in y], np.int32) if found else np.zeros(0, np.int32)
+
+
 class PieceCoder:
     """Ids of texts whose pieces encode independently: every distinct piece is encoded once and then looked up.
 
-    encode gets a list of distinct new pieces and returns their ids, one sequence each. At most limit pieces are kept.
+    encode gets a list of distinct new pieces and returns the number of ids of each and all ids. Between batches at most limit
+    pieces are kept; beyond that the half that was used most stays.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable], limit: int = 300_000):
+    def __init__(self, split: Callable[[str], list[str]] | None, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.split, self.encode, self.limit = split, encode, limit
-        self.forget()
-
-    def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.length, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def shrink(self) -> None:
+        kept = np.sort(np.argpartition(-self.used, self.limit // 2)[: self.limit // 2])
+        names = list(self.index)
+        self.index = dict(zip(map(names.__getitem__, kept.tolist()), range(len(kept))))
+        self.ids = self.ids[spread(self.start[kept], self.length[kept])]
+        self.length, self.used = self.length[kept], self.used[kept] // 2
+        self.start = np.cumsum(self.length) - self.length
+
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and the ids of all."""
+        if len(self.index) > self.limit:
+            self.shrink()
+        at = np.array(list(map(self.index.get, words, repeat(-1))), np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            wanted = list(map(words.__getitem__, missing.tolist()))
+            new = list(dict.fromkeys(wanted))
+            n, ids = self.encode(new)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+            self.length = np.concatenate([self.length, n])
+            self.ids = np.concatenate([self.ids, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            at[missing] = list(map(self.index.__getitem__, wanted))
+        self.used += np.bincount(at, minlength=len(self.used))
+        lengths = self.length[at]
+        return lengths, self.ids[spread(self.start[at], lengths)]
+
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and the ids of all texts."""
-        if len(self.index) > self.limit:
-            self.forget()
         per, words = [], []
         for text in texts:
             pieces = self.split(text)
             per.append(len(pieces))
             words += pieces
-        if not words:
-            return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
-        index = self.index
-        at = np.array(list(map(index.get, words, repeat(-1))), np.int64)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = list(dict.fromkeys(words[i] for i in missing.tolist()))
-            found = [np.asarray(x, np.int32) for x in self.encode(new)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
-            self.length = np.concatenate([self.length, n])
-            self.ids = np.concatenate([self.ids, *found])
-            index.update(zip(new, range(len(index), len(index) + len(new))))
-            at[missing] = np.fromiter((index[words[i]] for i in missing.tolist()), np.int64, len(missing))
-        lengths = self.length[at]
-        ids = self.ids[spread(self.start[at], lengths)]
+        lengths, ids = self.lookup(words)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         edges = np.concatenate([[0], np.cumsum(per)])
         return ends[edges[1:]] - ends[edges[:-1]], ids

@@ -9,6 +9,7 @@ bounded pool, so that no row is shuffled. A partition's last tokens form sequenc
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import PieceCoder, batches, bounded_batches, texts_of
+from .common import PieceCoder, batches, bounded_batches, joined, spread, texts_of
 
 CAPACITY, SEGMENTS, POOL = 4096, 512, 256
 END = 2
@@ -42,7 +43,47 @@ def word_coder(path: str) -> PieceCoder:
         words = text.split()
         return words if text.isascii() and text.isprintable() or not any(map(odd.__contains__, map(ord, set(text)))) else [text]
 
-    return PieceCoder(split, lambda new: [x.ids for x in t.encode_batch_fast(new, add_special_tokens=False)])
+    def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return joined([x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)])
+
+    ends = np.zeros(t.get_vocab_size(), bool)
+    ends[[i for name, i in t.get_vocab().items() if name.endswith("</w>")]] = True
+
+    def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters, joined by spaces to one text: each ends with the first token that ends a word."""
+        n, ids = [], []
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            got = np.array(t.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            size = np.diff(np.flatnonzero(ends[got]), prepend=-1)
+            if len(size) != len(some):
+                size, got = alone(some)
+            n.append(size)
+            ids.append(got)
+        return np.concatenate(n), np.concatenate(ids)
+
+    runs = PieceCoder(None, letters)
+    # Letters of Latin-1 with their lower case there, and at most one full stop or comma behind them.
+    plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]+)([.,]?)")
+    marks = dict(zip([".", ",", ""], [*alone([".", ","])[1].tolist(), -1]))
+
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(plain.fullmatch, new))
+        fit = np.array([m is not None for m in found])
+        words, tails = zip(*(m.groups() for m in found if m)) if fit.any() else ((), ())
+        n, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        n[fit], ids = runs.lookup([w.lower() for w in words])
+        mark = np.full(len(new), -1, np.int32)
+        mark[fit] = [marks[x] for x in tails]
+        size[~fit], others = alone([w for w, m in zip(new, found) if m is None])
+        size += n + (mark >= 0)
+        start, out = np.cumsum(size) - size, np.zeros(size.sum(), np.int32)
+        out[spread(start, n)] = ids
+        out[(start + n)[mark >= 0]] = mark[mark >= 0]
+        out[spread(start[~fit], size[~fit])] = others
+        return size, out
+
+    return PieceCoder(split, encode)
 
 
 class Packer:
