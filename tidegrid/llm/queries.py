@@ -10,6 +10,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import bounded_batches, documents, remainder
 from .exact_dedup import exact_dedup
 from .language_id import fit_languages, language_column
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import KINDS, fit_tagger, pii_column, spelled
 from .quality import COUNTS, judge_quality
@@ -27,6 +28,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled_ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, similarity=0.85)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
@@ -56,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op5_quality_rules, op6_pii, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op4_minhash, op5_quality_rules, op6_pii, op9_exact_dedup, op10_language_id)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
