@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .common import bounded_batches, documents, remainder
 from .exact_dedup import exact_dedup
+from .gru_lm import score_texts
 from .language_id import fit_languages, language_column
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -21,6 +22,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 7) == 2
+    scored = score_texts(documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     decoded = bpe_decode(bpe_encode(documents(spark, sf_dir), path), path)
@@ -61,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_bpe, op4_minhash, op5_quality_rules, op6_pii, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_bpe, op4_minhash, op5_quality_rules, op6_pii, op9_exact_dedup, op10_language_id)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
