@@ -37,11 +37,8 @@ def word_coder(path: str) -> PieceCoder:
     t.no_padding()
     t.no_truncation()
     # The control characters U+001C to U+001F are spaces to str.split, but not to the tokenizer.
-    odd = dict.fromkeys(range(0x1C, 0x20))
-
     def split(text: str) -> list[str]:
-        words = text.split()
-        return words if text.isascii() and text.isprintable() or not any(map(odd.__contains__, map(ord, set(text)))) else [text]
+        return [text] if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else text.split()
 
     def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return joined([x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)])
@@ -62,7 +59,7 @@ def word_coder(path: str) -> PieceCoder:
             ids.append(got)
         return np.concatenate(n), np.concatenate(ids)
 
-    runs = PieceCoder(None, letters)
+    runs = PieceCoder(None, letters, limit=500_000)
     # Letters of Latin-1 with their lower case there, and at most one full stop or comma behind them.
     plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]+)([.,]?)")
     marks = dict(zip([".", ",", ""], [*alone([".", ","])[1].tolist(), -1]))
@@ -83,7 +80,7 @@ def word_coder(path: str) -> PieceCoder:
         out[spread(start[~fit], size[~fit])] = others
         return size, out
 
-    return PieceCoder(split, encode)
+    return PieceCoder(split, encode, limit=500_000)
 
 
 class Packer:
