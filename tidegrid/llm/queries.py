@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import KINDS, fit_tagger, pii_column, spelled
 from .quality import COUNTS, judge_quality
+from .suffix_dedup import remove_repeats
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, KINDS), F.sha2(spelled("pii.base"), 256).alias("base_sha256"), spelled("pii.spans").alias("spans"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -68,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_bpe, op4_minhash, op5_quality_rules, op6_pii, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_bpe, op4_minhash, op5_quality_rules, op6_pii, op8_suffix_dedup, op9_exact_dedup, op10_language_id)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
