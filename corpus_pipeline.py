@@ -1,7 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of
+the next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.llm.exact_dedup import exact_dedup
+from tidegrid.llm.language_id import NONE, fit_languages, identify
+from tidegrid.llm.near_dedup import near_duplicates
+from tidegrid.llm.packing import pack_documents
+from tidegrid.llm.pii import find_pii, fit_tagger
+from tidegrid.llm.shards import shared_folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _only_kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The documents whose row of judged is kept, each doc_id once."""
+    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language (null text or no letter); fills in a missing lang."""
+    docs = docs.select(*COLUMNS)
+    found = identify(docs, fit_languages(docs)).where(F.col("language.lang_pred") != NONE)
+    return found.withColumn("lang", F.coalesce("lang", "language.lang_pred")).select(*COLUMNS)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays."""
+    return _only_kept(docs, exact_dedup(docs))
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) one document stays."""
+    return _only_kept(docs, near_duplicates(docs))
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to the name of their kind; n_chars follows the text."""
+    docs = docs.select(*COLUMNS)
+    masked = find_pii(docs, fit_tagger(docs)).withColumn("text", F.col("pii.masked"))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("pii", mask_pii), ("packing", pack)]
+
+#: SQL can't express the model's or the tokenizer's work; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    folder = shared_folder(spark, f"pipeline-{uuid.uuid4().hex}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

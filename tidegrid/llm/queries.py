@@ -12,9 +12,10 @@ from .exact_dedup import exact_dedup
 from .gru_lm import score_texts
 from .language_id import fit_languages, language_column
 from .near_dedup import near_duplicates
-from .packing import pack_documents
+from .packing import CAPACITY, END, pack_documents
 from .pii import KINDS, fit_tagger, pii_column, spelled
 from .quality import COUNTS, judge_quality
+from .shards import sequences, shared_folder, write_shards
 from .suffix_dedup import remove_repeats
 
 
@@ -56,6 +57,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, KINDS), F.sha2(spelled("pii.base"), 256).alias("base_sha256"), spelled("pii.spans").alias("spans"))
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return write_shards(sequences(pieces, CAPACITY, END), shared_folder(spark, "token_shards"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
@@ -73,7 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_bpe, op4_minhash, op5_quality_rules, op6_pii, op8_suffix_dedup, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_bpe, op4_minhash, op5_quality_rules, op6_pii, op7_token_shards, op8_suffix_dedup, op9_exact_dedup, op10_language_id)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
