@@ -12,12 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import shared_folder
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.language_id import NONE, fit_languages, identify
 from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.pii import find_pii, fit_tagger
-from tidegrid.llm.shards import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -25,12 +26,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that the driver and all executors see: below spark.checkpoint.dir, or of its own where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{base.rstrip('/')}/{name}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder; a folder of its own where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    """df, computed once into a table in the shared folder.
+
+    A table is read back with its real size and without the constraints that a plan of many rounds gathers.
+    """
+    path = shared_folder(df.sparkSession, f"tidegrid-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def only(docs: DataFrame, *columns: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
-from .common import bounded_batches, documents, remainder
+from .common import bounded_batches, documents, remainder, shared_folder
 from .exact_dedup import exact_dedup
 from .gru_lm import score_texts
 from .language_id import fit_languages, language_column
@@ -15,7 +15,7 @@ from .near_dedup import near_duplicates
 from .packing import CAPACITY, END, pack_documents
 from .pii import KINDS, fit_tagger, pii_column, spelled
 from .quality import COUNTS, judge_quality
-from .shards import sequences, shared_folder, write_shards
+from .shards import sequences, write_shards
 from .suffix_dedup import remove_repeats
 
 
