@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, checkpointed, raw_of
 
 #: Frequent words with weights of their own; words of a class; classes of other words; size of the state.
-HEAD, MEMBERS, TAILS, STATE = 1024, 32, 32, 16
+HEAD, MEMBERS, TAILS, STATE = 512, 32, 16, 12
 #: Passes of averaging (each document takes part in one); lanes and steps of an update; step size; bytes of a scoring block.
-ROUNDS, LANES, STEPS, RATE, BLOCK = 2, 256, 20, 0.01, 16 << 20
+ROUNDS, LANES, STEPS, RATE, BLOCK = 2, 256, 20, 0.01, 24 << 20
 #: The end of a document. No word holds a line feed.
 END = b"\n"
 #: Rows of averaged weights.
@@ -228,9 +228,13 @@ def score_documents(model: Gru, y: np.ndarray, sizes: np.ndarray, lanes: int = 2
     first[ends - sizes] = True
     got = np.zeros(len(y), np.float64)
     h = np.zeros((lanes, STATE), np.float32)
-    for t in range(0, steps, STEPS):
+    t = 0
+    while t < steps:
         k = int((long > t).sum())
-        i = at[:k, t : t + STEPS].T
+        # Where few lanes are left, windows grow: the work outside the recurrence is done for some 10,000 words at once.
+        size = max(STEPS, 10_000 // k)
+        i = at[:k, t : t + size].T
+        t += size
         there = i >= 0
         start = first[i]
         x = np.where(start, 0, y[np.maximum(i - 1, 0)])
@@ -282,9 +286,10 @@ def word_counts(docs: DataFrame, train: Column, blocks: int, text: str = "text")
     """block, word, n: the number of the word in all training texts, for every word of the block."""
     rows = docs.select(_block("doc_id", blocks).alias("block"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     # Documents of a block meet first, so that a word leaves its block once.
-    local = checkpointed(rows.repartition("block").mapInArrow(_count, "block int, word binary, n long"))
+    local = checkpointed(rows.repartition("block").mapInArrow(_count, "block int, word binary, n long")).repartition("word")
     total = local.groupBy("word").agg(F.sum("n").alias("n"))
-    return checkpointed(local.select("block", "word").distinct().join(total, "word"))
+    # A block that gave out its words in parts has some twice, which does no harm.
+    return checkpointed(local.select("block", "word").join(total, "word"))
 
 
 def fit_language_model(docs: DataFrame, train: Column, counts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> LanguageModel:
