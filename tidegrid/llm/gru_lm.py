@@ -176,7 +176,8 @@ class Trainer:
         """y: symbols of whole documents, one after the other; starts: 1 at each first symbol."""
         self.words += len(y)
         x = np.where(starts, end, np.concatenate([[end], y[:-1]]))
-        lanes = max(1, min(LANES, len(y) // STEPS))
+        # Fewer lanes where the stream is short, for some fifty updates at least.
+        lanes = max(1, min(LANES, len(y) // STEPS, max(8, len(y) // (50 * STEPS))))
         size = -(-len(y) // lanes)
         # The last lane is filled from the front of the stream.
         at = np.arange(size * lanes) % len(y)
