@@ -289,7 +289,7 @@ def word_counts(docs: DataFrame, train: Column, blocks: int, text: str = "text")
     # Documents of a block meet first, so that a word leaves its block once.
     local = checkpointed(rows.repartition("block").mapInArrow(_count, "block int, word binary, n long")).repartition("word")
     total = local.groupBy("word").agg(F.sum("n").alias("n"))
-    # A block that gave out its words in parts has some twice, which does no harm.
+    # A block that gave out its words in parts has some twice, with the same total.
     return checkpointed(local.select("block", "word").join(total, "word"))
 
 
@@ -370,9 +370,11 @@ def _scorer(shared):
         model = shared.value
         if not docs.num_rows:
             return _SCORES.empty_table()
-        # Three numbers for each word of the block: its symbol, its count, and its place in the table of both.
-        index = dict(zip((w for chunk in counts.column("word").chunks for w in chunk.to_pylist()), range(counts.num_rows)))
-        n = counts.column("n").to_numpy().astype(np.float64)
+        # Three numbers for each word of the block: its symbol, its count, and its place in the table of both. A word that
+        # came twice has one place.
+        number = dict(zip((w for chunk in counts.column("word").chunks for w in chunk.to_pylist()), counts.column("n").to_pylist()))
+        index = dict(zip(number, range(len(number))))
+        n = np.fromiter(number.values(), np.float64, len(number))
         head = {w: k for k, w in enumerate(model.head)}
         symbol = np.fromiter((head.get(w, -1) for w in index), np.int32, len(index))
         kind = np.fromiter((tail_class(w) for w in index), np.int32, len(index))
