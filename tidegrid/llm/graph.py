@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import compact
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,13 +13,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round takes the least label of the neighbours and then the label's own label, so chains shrink by doubling.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
+    both = compact(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = compact(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        least = checkpointed(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "other").alias("component")))
+        least = compact(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "other").alias("component")))
         own = least.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = checkpointed(least.join(own, "component").select("node", "old", F.col("further").alias("component")))
+        new = compact(least.join(own, "component").select("node", "old", F.col("further").alias("component")))
         if new.where("component < old").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

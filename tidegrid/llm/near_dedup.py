@@ -3,8 +3,9 @@
 Each permutation gives two values of a signature, the least and the greatest hash of the shingle set, so a signature of
 2 p values costs p hashes of every shingle. Bands of six values put documents into buckets. Documents with one set are
 one node from the start. In every round the nodes of a bucket that are still in different components are compared with
-the bucket's pivots, on their full sets: one pivot in the first round, then twice as many, none of them twice. A bucket
-is done when its nodes are in one component or each has been a pivot. So no link inside a bucket is lost, while a large
+the bucket's pivots, on their full sets: one pivot in the first round, then four times as many, none of them twice. A bucket
+is done when its nodes are in one component or each has been a pivot. Pairs whose sets cannot be similar enough, as too
+many of their shingles occur nowhere else, need no comparison. So no link inside a bucket is lost, while a large
 group of copies, which one or a few pivots connect, never has all its pairs compared.
 """
 
@@ -17,14 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, checkpointed, raw_of
+from .common import batches, bounded_batches, checkpointed, compact, raw_of
 from .graph import connected_components
 
-#: Values of a band (three permutations), and the chance that two documents at the threshold share no band.
-BAND, MISS = 6, 1e-5
+#: Values of a band (three permutations), the chance that two documents at the threshold share no band, and how many
+#: times as many pivots a bucket has in each round.
+BAND, MISS, GROWTH = 6, 1e-5, 4
 
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -102,7 +104,37 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).drop("set_a", "set_b")
+
+
+def _own(sets: DataFrame) -> DataFrame:
+    """node, own: how many of its shingles no other node has. Half of a hash stands for a shingle, so own is never too great."""
+    halves = sets.select("node", F.explode("shingles").alias("s")).groupBy(F.shiftright("s", 32).cast("int").alias("s"))
+    return halves.agg(F.min("node").alias("node"), F.count("*").alias("k")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _tested(pool: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The labels (node, component) once every pair of the pool (node, pivot, shared) is tested or within one component.
+
+    First each node meets the one pivot with which it shares most buckets, then two others, then four: after the first
+    pass most pairs of a group of copies lie within one component and need no test.
+    """
+    turn = 1
+    while True:
+        own = labels.select("node", F.col("component").alias("a"))
+        other = labels.select(F.col("node").alias("pivot"), F.col("component").alias("b"))
+        pool = compact(pool.join(own, "node").join(other, "pivot").where("a <> b").select("node", "pivot", "shared", "a", "b"))
+        if pool.isEmpty():
+            return labels
+        order = Window.partitionBy("node").orderBy(F.desc("shared"), "pivot")
+        ranked = compact(pool.withColumn("turn", F.row_number().over(order)))
+        now = ranked.where(F.col("turn") <= turn).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).dropDuplicates(["a", "b"])
+        links = compact(_linked(now, sets, percent).select("x", "y").distinct())
+        pool = ranked.where(F.col("turn") > turn).select("node", "pivot", "shared")
+        turn *= 2
+        if not links.isEmpty():
+            merged = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("new"))
+            labels = compact(labels.join(merged, "component", "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
@@ -123,36 +155,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     first = signed.where("n_shingles > 0").join(classes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     buckets = first.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    active = checkpointed(buckets.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("component"), F.lit(False).alias("done")))
+    active = compact(buckets.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("component"), F.lit(False).alias("done")))
     labels = None
     if not active.isEmpty():
-        wanted = active.select("node").distinct()
+        wanted = compact(active.select("node").distinct())
         sources = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node")
         sets = checkpointed(_sets(sources, words))
-        labels = active.select("node", "component").distinct()
+        labels = wanted.select("node", F.col("node").alias("component"))
+        active = compact(active.join(_own(sets), "node", "left").select("bucket", "node", "n", F.coalesce("own", F.lit(0)).alias("own"), "component", "done"))
     pivots = 1
     while labels is not None:
         mixed = active.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("done").alias("all_done")).where("low < high AND NOT all_done").select("bucket")
-        active = checkpointed(active.join(mixed, "bucket"))
+        active = compact(active.join(mixed, "bucket"))
         if active.isEmpty():
             break
         some = active.where("NOT done").groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(pivots)).alias("part"))
-        chosen = checkpointed(some.agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component")))
-        met = active.join(chosen, "bucket").where("component <> pivot_component").where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        links = checkpointed(_linked(pairs, sets, percent))
+        chosen = compact(some.agg(F.min_by(F.struct("node", "n", "own", "component"), F.xxhash64("node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.own").alias("pivot_own"), F.col("p.component").alias("pivot_component")))
+        # What two sets can share at most, against what their union then holds at least.
+        most = F.least(F.col("n") - F.col("own"), F.col("pivot_n") - F.col("pivot_own"))
+        can = 100 * most >= percent * F.greatest(most + F.col("own") + F.col("pivot_own"), "n", "pivot_n")
+        met = active.join(chosen, "bucket").where("component <> pivot_component").where(can)
+        pool = compact(met.groupBy("node", "pivot").agg(F.count("*").alias("shared")))
         done = chosen.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
         active = active.join(done, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
-        pivots *= 2
-        if links.isEmpty():
-            active = checkpointed(active)
-            continue
-        a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
-        joined = links.join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b")
-        merged = connected_components(joined).withColumnRenamed("component", "new").withColumnRenamed("node", "component")
-        new = F.coalesce("new", "component").alias("component")
-        labels = checkpointed(labels.join(merged, "component", "left").select("node", new))
-        active = checkpointed(active.join(merged, "component", "left").select("bucket", "node", "n", new, "done"))
+        labels = _tested(pool, labels, sets, percent)
+        active = compact(active.drop("component").join(labels, "node").select("bucket", "node", "n", "own", "component", "done"))
+        pivots *= GROWTH
     named = named.join(labels, "node", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("long"))
     component = F.coalesce("component", "node", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
