@@ -139,6 +139,15 @@ def test_language_model_beats_unigrams_on_order(spark):
     assert got[0] > 0.8 * got[1]
 
 
+def test_language_model_has_weights_for_a_thousand_words(spark):
+    words = [f"w{k}" for k in range(1000)]
+    df = spark.createDataFrame([(k, " ".join(words[k * 10 :] + words[: k * 10])) for k in range(20)], "doc_id long, text string")
+    counts = gru_lm.word_counts(df, F.lit(True), 1)
+    model = gru_lm.fit_language_model(df, F.lit(True), counts, rounds=1)
+    assert {w.encode() for w in words} <= set(model.head)
+    assert gru_lm.TAILS >= 32 and gru_lm.STATE >= 16
+
+
 def test_bpe(docs, spark):
     t = tokenizer(BYTE_BPE)
     r = random.Random(2)
