@@ -92,7 +92,7 @@ def st08_reject_alerts(spark, sf):
 @query(f"WITH {TICKS}, p AS (SELECT symbol, ts, price FROM ticks WHERE id % 10 = 0), q AS (SELECT symbol, ts, price FROM ticks WHERE id % 10 = 1) SELECT p.symbol, count(*) AS pairs, count(*) FILTER (WHERE q.price > p.price) AS hits FROM p JOIN q ON p.symbol = q.symbol AND q.ts >= p.ts + {HOUR} AND q.ts < p.ts + {2 * HOUR} GROUP BY 1")
 def st09_interval_join(spark, sf):
     s = _source(spark, sf)
-    p = s.where("id % 10 = 0").select("symbol", "ts", "price")
-    q = _source(spark, sf).where("id % 10 = 1").select(F.col("symbol").alias("symbol2"), F.col("ts").alias("later"), F.col("price").alias("later_price"))
+    p = s.select("symbol", "ts", "price")
+    q = _source(spark, sf).select(F.col("symbol").alias("symbol2"), F.col("ts").alias("later"), F.col("price").alias("later_price"))
     met = S.run(S.interval_join(p, q))
     return met.groupBy("symbol").agg(F.count("*").alias("pairs"), F.count_if(F.col("later_price") > F.col("price")).alias("hits"))
