@@ -36,3 +36,19 @@ def test_interval_join_takes_all_pairs(spark, events):
                 pairs[s] += 1
                 hits[s] += q > p
     assert {r.symbol: (r.pairs, r.hits) for r in QUERIES["st09_interval_join"](spark, folder).collect()} == {s: (pairs[s], hits[s]) for s in pairs}
+
+
+def test_sessions_are_all_closed(spark, events):
+    folder, rows = events
+    by, want = defaultdict(list), {}
+    for _, t, u, _, _ in rows:
+        by[u].append(t)
+    for u, times in by.items():
+        sizes, last = [], None
+        for t in sorted(times):
+            if last is None or t - last >= 2 * HOUR:
+                sizes.append(0)
+            sizes[-1] += 1
+            last = t
+        want[u] = (len(sizes), max(sizes))
+    assert {r.user_id: (r.sessions, r.longest) for r in QUERIES["st04_sessions"](spark, folder).collect()} == want

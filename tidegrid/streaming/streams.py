@@ -16,15 +16,27 @@ def file_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def split_files(df: DataFrame, folder: str, parts: int) -> None:
-    """df in `parts` equal spans of ts, one append after the other, so that a stream over the folder sees time pass."""
+def split_files(df: DataFrame, folder: str, parts: int) -> int | None:
+    """df in `parts` equal spans of ts, one append after the other, so that a stream over the folder sees time pass.
+
+    Returns the last time in epoch microseconds.
+    """
     low, high = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     if low is None:
         df.write.mode("append").parquet(folder)
-        return
+        return None
     part = F.least(F.floor((F.unix_micros("ts") - low) * parts / (high - low + 1)), F.lit(parts - 1))
     for k in range(parts):
         df.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return high
+
+
+def close_files(df: DataFrame, folder: str, at: int) -> None:
+    """Two more files with a row each, null but for ts, at `at` and after: the first moves the watermark, the second has it applied."""
+    spark = df.sparkSession
+    for k in range(2):
+        row = spark.range(1).select(*(F.timestamp_micros(F.lit(at + k * 1_000_000)).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+        row.coalesce(1).write.mode("append").parquet(folder)
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
