@@ -9,10 +9,11 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import shared_folder
+from tidegrid.llm.common import checkpointed, shared_folder
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.language_id import NONE, fit_languages, identify
 from tidegrid.llm.near_dedup import near_duplicates
@@ -22,27 +23,52 @@ from tidegrid.llm.pii import find_pii, fit_tagger
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only_kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents whose row of judged is kept, each doc_id once."""
-    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """docs with row, a number of its own for every row: its file and its place in it, the same each time it is read.
+
+    docs is read from Parquet; anything else is written first.
+    """
+    try:
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        placed = checkpointed(docs.select(*COLUMNS)).select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    files = sorted(r.file for r in placed.select("file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "number long, file string")
+    return placed.join(F.broadcast(numbers), "file").select(*COLUMNS, (F.shiftleft("number", 40) + F.col("place")).alias("row"))
+
+
+def _only_kept(docs: DataFrame, judged: DataFrame, group: str, *order: Column) -> DataFrame:
+    """Of each group of judged (doc_id, which is the row of docs, and group) the first row in the given order."""
+    named = docs.select("row", F.struct(*order, F.col("doc_id").isNull(), "doc_id", "row").alias("rank"))
+    groups = judged.select(F.col("doc_id").alias("row"), F.col(group).alias("group"))
+    kept = groups.join(named, "row").groupBy("group").agg(F.min_by("row", "rank").alias("row"))
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("row").alias("doc_id"), "text")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null text or no letter); fills in a missing lang."""
+    """Drops documents without a language (null text or no letter); fills in a missing lang if any language is known."""
     docs = docs.select(*COLUMNS)
-    found = identify(docs, fit_languages(docs)).where(F.col("language.lang_pred") != NONE)
+    model = fit_languages(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model).where(F.col("language.lang_pred") != NONE)
     return found.withColumn("lang", F.coalesce("lang", "language.lang_pred")).select(*COLUMNS)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    return _only_kept(docs, exact_dedup(docs))
+    """Of equal texts one document stays: the longest, then that of the smallest doc_id."""
+    docs = _with_rows(docs)
+    return _only_kept(docs, exact_dedup(_by_row(docs)), "keep_id", -F.coalesce(F.length("text"), F.lit(0)))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) one document stays."""
-    return _only_kept(docs, near_duplicates(docs))
+    """Of each group of near duplicates (five words, similarity 0.8) one document stays, that of the smallest doc_id."""
+    docs = _with_rows(docs)
+    return _only_kept(docs, near_duplicates(_by_row(docs)), "component_id")
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import duckdb
@@ -37,6 +38,25 @@ def test_empty_table(spark, docs):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def prose(seed: int, n: int) -> str:
+    return " ".join(f"w{x}" for x in random.Random(seed).choices(range(1000), k=n))
+
+
+def test_rows_without_an_id_or_with_one_of_another_text_stay(spark, tmp_path):
+    rows = [(None, prose(k, 60), "en", "s", 0) for k in range(5)] + [(1, prose(7, 60), "en", "s", 0), (1, prose(8, 60), "en", "s", 0), (2, prose(8, 60), "en", "s", 0), (2, prose(8, 60), "en", "s", 0), (None, prose(7, 60), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    for at in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        for stage in (P.drop_exact, P.drop_near):
+            got = [(r.doc_id, r.text) for r in stage(spark, at, SF).collect()]
+            assert len(got) == 7 and set(got) == {(None, prose(k, 60)) for k in range(5)} | {(1, prose(7, 60)), (1, prose(8, 60))}
+
+
+def test_no_known_language_drops_only_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "one text", None, "s", 8), (2, "ünd", None, "s", 3), (3, "12 %", None, "s", 4), (4, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in P.language_id(spark, docs, SF).collect()} == {1, 2}
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
 
