@@ -52,3 +52,22 @@ def test_sessions_are_all_closed(spark, events):
             last = t
         want[u] = (len(sizes), max(sizes))
     assert {r.user_id: (r.sessions, r.longest) for r in QUERIES["st04_sessions"](spark, folder).collect()} == want
+
+
+def test_gaps_and_fill_cover_all_ticks(spark, events):
+    folder, rows = events
+    first, last = min(r[1] for r in rows) // HOUR, max(r[1] for r in rows) // HOUR
+    seen = defaultdict(set)
+    for _, t, u, s, _ in rows:
+        seen[s, u].add(t // HOUR)
+    missing = {(s, u, h) for (s, u), hours in seen.items() for h in range(first, last + 1) if h not in hours}
+    got = QUERIES["wn13_gaps"](spark, folder).collect()
+    found = [(r.symbol, r.user_id, h) for r in got for h in range(r.gap_start // HOUR, r.gap_end // HOUR + 1)]
+    assert len(found) == len(set(found)) == sum(r.missing for r in got) and set(found) == missing
+    end = -(-max(r[1] for r in rows) // HOUR)
+    want = {}
+    for s in "ab":
+        own = sorted((t, k, p) for k, t, _, z, p in rows if z == s)
+        for h in range(-(-own[0][0] // HOUR), end + 1):
+            want[s, h * HOUR] = max(x for x in own if x[0] <= h * HOUR)[2]
+    assert {(r.symbol, r.ts): r.value for r in QUERIES["wn14_forward_fill"](spark, folder).collect()} == want

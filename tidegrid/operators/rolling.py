@@ -58,13 +58,13 @@ def prefix_mean(df: DataFrame, c: str, n: int, out: str) -> DataFrame:
     return run.withColumn(out, (F.col("__sum") - before) / F.least("__n", F.lit(n))).drop("__sum", "__n")
 
 
-def gaps(times: DataFrame, start: int, end: int, width: int) -> DataFrame:
-    """Runs of missing buckets of [start, end] per symbol: gap_start, gap_end (last missing bucket), missing."""
-    bucket = times.select("symbol", (F.col("ts") - F.pmod("ts", F.lit(width))).alias("b")).where(F.col("b").between(start, end)).distinct()
-    edges = bucket.select("symbol").distinct().select("symbol", F.explode(F.array(F.lit(start - width), F.lit(end + width))).alias("b"))
-    following = bucket.union(edges).withColumn("next", F.lead("b").over(by(order="b")))
+def gaps(times: DataFrame, start: int, end: int, width: int, keys: tuple = _BY) -> DataFrame:
+    """Runs of missing buckets of [start, end] per key: gap_start, gap_end (last missing bucket), missing."""
+    bucket = times.select(*keys, (F.col("ts") - F.pmod("ts", F.lit(width))).alias("b")).where(F.col("b").between(start, end)).distinct()
+    edges = bucket.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(start - width), F.lit(end + width))).alias("b"))
+    following = bucket.union(edges).withColumn("next", F.lead("b").over(by(*keys, order="b")))
     wide = following.where(F.col("next") - F.col("b") > width)
-    return wide.select("symbol", (F.col("b") + width).alias("gap_start"), (F.col("next") - width).alias("gap_end"), ((F.col("next") - F.col("b")) / width - 1).cast("long").alias("missing"))
+    return wide.select(*keys, (F.col("b") + width).alias("gap_start"), (F.col("next") - width).alias("gap_end"), ((F.col("next") - F.col("b")) / width - 1).cast("long").alias("missing"))
 
 
 def fill_grid(points: DataFrame, end: int, width: int, value: str = "value", parity: bool = False, start: int = 0) -> DataFrame:

@@ -118,14 +118,25 @@ def wn12_latest_per_key(spark, sf):
 _T0 = 1_704_067_200_000_000
 
 
+def _span(t):
+    """The first and the last time of the table, 0 where it is empty."""
+    low, high = t.agg(F.min("ts"), F.max("ts")).first()
+    return low or 0, high or 0
+
+
 @query(f"WITH {TICKS}, b AS (SELECT DISTINCT symbol, ts - ts % {HOUR} AS b FROM ticks WHERE id % 3 = 0 AND ts - ts % {HOUR} BETWEEN {_T0} AND {_T0 + 30 * DAY}), e AS (SELECT * FROM b UNION ALL SELECT DISTINCT symbol, x FROM b, (VALUES ({_T0 - HOUR}), ({_T0 + 30 * DAY + HOUR})) t(x)), n AS (SELECT symbol, b, lead(b) OVER (PARTITION BY symbol ORDER BY b) AS nx FROM e) SELECT symbol, b + {HOUR} AS gap_start, nx - {HOUR} AS gap_end, ((nx - b) // {HOUR} - 1)::BIGINT AS missing FROM n WHERE nx - b > {HOUR}")
 def wn13_gaps(spark, sf):
-    return R.gaps(ticks(spark, sf).where("id % 3 = 0"), _T0, _T0 + 30 * DAY, HOUR)
+    # By symbol and user, whose hours are sparse at any size of the table.
+    t = ticks(spark, sf)
+    start, end = _span(t)
+    return R.gaps(t, start - start % HOUR, end - end % HOUR, HOUR, ("symbol", "user_id"))
 
 
 @query(f"WITH {TICKS}, p AS (SELECT symbol, CASE WHEN ts % {HOUR} = 0 THEN ts ELSE ts - ts % {HOUR} + {HOUR} END AS b, last(price ORDER BY ts, id) AS value FROM ticks WHERE id % 7 = 0 GROUP BY 1, 2), g AS (SELECT symbol, unnest(range(min(b), {_T0 + 30 * DAY} + 1, {HOUR})) AS ts FROM p WHERE b <= {_T0 + 30 * DAY} GROUP BY 1) SELECT g.symbol, g.ts, value FROM g ASOF JOIN p ON g.symbol = p.symbol AND g.ts >= p.b")
 def wn14_forward_fill(spark, sf):
-    return R.fill_grid(ticks(spark, sf).where("id % 7 = 0").withColumnRenamed("price", "value"), _T0 + 30 * DAY, HOUR)
+    t = ticks(spark, sf)
+    end = _span(t)[1]
+    return R.fill_grid(t.withColumnRenamed("price", "value"), end + -end % HOUR, HOUR)
 
 
 @query(f"WITH {TICKS}, f AS (SELECT user_id, ts, id, price, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, id) AS next_ts FROM ticks WHERE symbol = 'signup') SELECT user_id, id, next_ts, count(*) AS steps FROM (SELECT *, unnest(range(ts, coalesce(next_ts, ts + 1), {8 * HOUR})) AS step FROM f) GROUP BY 1, 2, 3")
