@@ -71,3 +71,57 @@ def test_gaps_and_fill_cover_all_ticks(spark, events):
         for h in range(-(-own[0][0] // HOUR), end + 1):
             want[s, h * HOUR] = max(x for x in own if x[0] <= h * HOUR)[2]
     assert {(r.symbol, r.ts): r.value for r in QUERIES["wn14_forward_fill"](spark, folder).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def traded(spark, tmp_path_factory):
+    """A folder with lines, orders and parts, and the fills (target, qty, price, fee, est, side, status, day)."""
+    folder = tmp_path_factory.mktemp("sf")
+    r = random.Random(6)
+    rows = [(k, 1, k % 30, k % 7, float(r.randrange(1, 9)), float(r.randrange(100, 900)), 0.01 * r.randrange(5), r.choice("OF"), r.choice("FPO"), r.randrange(60)) for k in range(300)]
+    at = lambda d: START + timedelta(days=d)
+    spark.createDataFrame([(k, n, s, p, q, x, tax, side, at(d)) for k, n, s, p, q, x, tax, side, _, d in rows], "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double, l_tax double, l_linestatus string, l_shipdate timestamp").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(x[0], x[8], at(x[9]), 1) for x in rows], "o_orderkey long, o_orderstatus string, o_orderdate timestamp, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(k, 90.0 + 7 * k) for k in range(7)], "p_partkey long, p_retailprice double").write.parquet(f"{folder}/part.parquet")
+    return str(folder), [(s, q, x / q, tax * x, 90.0 + 7 * p, "buy" if side == "O" else "sell", status != "O", d) for _, _, s, p, q, x, tax, side, status, d in rows]
+
+
+def test_parity_gap_has_every_target_and_cost(spark, traded):
+    folder, rows = traded
+    by = defaultdict(list)
+    for x in rows:
+        by[x[0]].append(x)
+    got = {r.target: r for r in QUERIES["ev14_parity_gap"](spark, folder).collect()}
+    assert set(got) == {t for t, own in by.items() if any(x[6] for x in own)} and len(got) > 20
+    for t, r in got.items():
+        done = [x for x in by[t] if x[6]]
+        b, p = sum(x[4] for x in by[t]) / len(by[t]), sum(x[2] for x in done) / len(done)
+        assert (r.orders, r.gap) == (len(done), pytest.approx(p - b, abs=1e-4))
+        assert r.relative_deviation == pytest.approx(abs(p - b) / max(b, p), abs=1e-6)
+        total, fee, slip, impact = sum(x[1] * x[4] for x in done), 0, 0, 0
+        for _, q, price, paid, est, side, _, _ in done:
+            f, s = paid / (q * est), max(0, (price - est if side == "buy" else est - price) / est)
+            fee, slip, impact = fee + f * q * est, slip + s * q * est, impact + max(0, 8.5e-4 - f - s) * q * est
+        want = (5e-4 - fee / total, 2.1e-4 - slip / total, 1.4e-4 - impact / total)
+        assert (r.fee_delta, r.slippage_delta, r.impact_delta, r.total_delta) == pytest.approx((*want, sum(want)), abs=2e-6)
+
+
+def test_parity_has_windows(spark, traded):
+    folder, rows = traded
+    got = {r.window_days: r for r in QUERIES["ev13_parity"](spark, folder).collect()}
+    assert set(got) == {7, 30, None}
+    last = max(x[7] for x in rows)
+    for days, r in got.items():
+        inside = [x for x in rows if days is None or last - x[7] < days]
+        back, paper, matched = [0, 0], [0, 0], 0
+        for t in {x[0] for x in inside}:
+            own = [x for x in inside if x[0] == t]
+            done = [x for x in own if x[6]]
+            if done:
+                matched += 1
+                for sums, some, c in ((back, own, 4), (paper, done, 2)):
+                    n = sum(x[1] * x[c] for x in some)
+                    sums[0] += n * sum(x[c] for x in some) / len(some)
+                    sums[1] += n
+        assert r.matched == matched
+        assert (r.backtest, r.paper) == pytest.approx((back[0] / back[1], paper[0] / paper[1]), abs=1e-3)

@@ -125,24 +125,54 @@ def ev12_drift_verdict(spark, sf):
 _PAR = FILLS + ", b AS (SELECT target, sum(est_price * qty) AS n, avg(est_price) AS ret FROM fills GROUP BY 1), p AS (SELECT target, sum(price * qty) AS n, avg(price) AS ret, count(*) AS orders FROM fills WHERE status <> 'rejected' GROUP BY 1)"
 
 
-def _parity(spark, sf):
-    f = fills(spark, sf)
-    b = f.groupBy("target").agg(F.sum(F.col("est_price") * F.col("qty")).alias("bn"), F.avg("est_price").alias("br"))
-    p = f.where("status <> 'rejected'").groupBy("target").agg(F.sum(F.col("price") * F.col("qty")).alias("pn"), F.avg("price").alias("pr"), F.count("*").alias("orders"))
-    return b.join(p, "target")
+#: Costs that a backtest assumes of a fill, as shares of its notional: the tables hold none, so they are those of the
+#: shared definition at its reference point (volatility 0.02, liquidity 0.8), the whole notional being traded.
+_BACKTEST_COSTS = {k: c / 1e4 for k, c in zip(("fee", "slippage", "impact"), (5.0, (1 + 100 * 0.02) * (1.5 - 0.8), 2 * (1.5 - 0.8)))}
+
+
+def _paper_costs():
+    """Fee, adverse slippage, and what is left of the assumed cost as impact; shares of notional at the estimated price."""
+    est, notional = F.col("est_price"), F.col("est_price") * F.col("qty")
+    fee = F.greatest(F.lit(0.0), F.col("fee") / notional)
+    slip = F.greatest(F.lit(0.0), F.when(F.col("side") == "buy", F.col("price") - est).otherwise(est - F.col("price")) / est)
+    impact = F.greatest(F.lit(0.0), F.lit(sum(_BACKTEST_COSTS.values())) - fee - slip)
+    ok = (est > 0) & (F.col("qty") > 0)
+    total = F.sum(F.when(ok, notional))
+    return [F.coalesce(F.sum(F.when(ok, c * notional)) / total, F.lit(0.0)).alias(n) for c, n in ((fee, "fee"), (slip, "slippage"), (impact, "impact"))]
+
+
+def _parity(f, *keys):
+    b = f.groupBy(*keys, "target").agg(F.sum(F.col("est_price") * F.col("qty")).alias("bn"), F.avg("est_price").alias("br"))
+    p = f.where("status <> 'rejected'").groupBy(*keys, "target").agg(F.sum(F.col("price") * F.col("qty")).alias("pn"), F.avg("price").alias("pr"), F.count("*").alias("orders"), *_paper_costs())
+    on = F.lit(True)
+    for k in (*keys, "target"):
+        on = on & b[k].eqNullSafe(p[k])
+    return b.join(p, on).select(*(b[k] for k in (*keys, "target")), "bn", "br", "pn", "pr", "orders", "fee", "slippage", "impact")
 
 
 @query(f"WITH {_PAR} SELECT count(*) AS matched, round(sum(b.ret * b.n) / sum(b.n), 4) AS backtest, round(sum(p.ret * p.n) / sum(p.n), 4) AS paper, round(abs(sum(p.ret * p.n) / sum(p.n) - sum(b.ret * b.n) / sum(b.n)) / greatest(1e-4, abs(sum(b.ret * b.n) / sum(b.n))), 5) AS deviation, CASE WHEN count(*) < 2 THEN 'insufficient_matched_targets' WHEN sum(orders) < 50 THEN 'insufficient_paper_orders' ELSE 'evaluated' END AS status FROM b JOIN p ON b.target = p.target")
 def ev13_parity(spark, sf):
     back, paper = F.sum(F.col("br") * F.col("bn")) / F.sum("bn"), F.sum(F.col("pr") * F.col("pn")) / F.sum("pn")
     status = F.when(F.count("*") < 2, "insufficient_matched_targets").when(F.sum("orders") < 50, "insufficient_paper_orders").otherwise("evaluated")
-    return _parity(spark, sf).agg(F.count("*").alias("matched"), r6(back, "backtest", 4), r6(paper, "paper", 4), r6(F.abs(paper - back) / F.greatest(F.lit(1e-4), F.abs(back)), "deviation", 5), status.alias("status"))
+    # The last 7 and 30 days up to the latest fill, and (null) all of them.
+    f = fills(spark, sf)
+    age = F.col("last") - F.col("ts")
+    spans = F.filter(F.array(F.when(age < 7 * DAY, 7), F.when(age < 30 * DAY, 30), F.lit(0)), lambda d: d.isNotNull())
+    f = f.crossJoin(F.broadcast(f.agg(F.max("ts").alias("last")))).withColumn("days", F.explode(spans))
+    per = _parity(f, "days").groupBy("days").agg(F.count("*").alias("matched"), r6(back, "backtest", 4), r6(paper, "paper", 4), r6(F.abs(paper - back) / F.greatest(F.lit(1e-4), F.abs(back)), "deviation", 5), status.alias("status"))
+    windows = spark.createDataFrame([(7,), (30,), (0,)], "days int")
+    filled = F.coalesce("status", F.lit("insufficient_matched_targets")).alias("status")
+    return windows.join(per, "days", "left").select(F.nullif("days", F.lit(0)).alias("window_days"), F.coalesce("matched", F.lit(0)).alias("matched"), "backtest", "paper", "deviation", filled)
 
 
 @query(f"WITH {_PAR} SELECT b.target, round(p.ret - b.ret, 4) AS gap, orders FROM b JOIN p ON b.target = p.target ORDER BY abs(p.ret - b.ret) DESC, b.target LIMIT 20")
 def ev14_parity_gap(spark, sf):
     gap = F.col("pr") - F.col("br")
-    return _parity(spark, sf).select("target", gap.alias("g"), "orders").orderBy(F.desc(F.abs("g")), "target").limit(20).select("target", r6(F.col("g"), "gap", 4), "orders")
+    relative = F.abs(gap) / F.greatest(F.lit(0.02), F.abs("br"), F.abs("pr"))
+    deltas = {k: F.lit(c) - F.col(k) for k, c in _BACKTEST_COSTS.items()}
+    deltas["total"] = deltas["fee"] + deltas["slippage"] + deltas["impact"]
+    p = _parity(fills(spark, sf)).orderBy(F.desc(relative), "target")
+    return p.select("target", r6(gap, "gap", 4), r6(relative, "relative_deviation"), "orders", *(r6(c, f"{k}_delta") for k, c in deltas.items()))
 
 
 _RUNS = BARS + f", runs AS (SELECT symbol, ts // {DAY} AS run, sum(close - open) AS pnl, avg(close) AS sharpe, count(*) AS bars, max(high) - min(low) AS dd, count(*) FILTER (WHERE close < open) AS losses FROM bars GROUP BY 1, 2)"
