@@ -341,6 +341,15 @@ def test_exact_dedup(docs, spark):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_small_share_of_a_long_text_stays():
+    words = {k: [f"{k * 2}{c}{d}" for c in "xyz" for d in "pqr"] for k in "abc"}
+    counts = np.array([np.bincount(language_id.trigrams(" ".join(w * 50)), minlength=language_id.BUCKETS) for w in words.values()]) + language_id.ALPHA
+    model = language_id.LanguageModel(list(words), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
+    text = " ".join((words["a"] * 110 + words["b"])[:1000] * 20)
+    best, share, langs = language_id.infer(model, text)
+    assert best == "a" and share < 0.995 and langs == ["a", "b"]
+
+
 def test_language_id(docs):
     model = language_id.fit_languages(docs)
     assert model.langs == ["de", "en"]

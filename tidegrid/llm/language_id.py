@@ -98,10 +98,12 @@ def infer(model: LanguageModel, text: str | None) -> tuple[str, float, list[str]
     cost = PENALTY * 0.5 * np.log(n.sum())
     held = np.arange(len(p))
     share, fit = _mixture(p, n, np.full(len(p), 1 / len(p)))
-    if len(held) > 2:  # languages without a share can't win it back: they go at once
-        some = share >= 0.02
-        if not some.all():
-            held, (share, fit) = held[some], _mixture(p[some], n, share[some] / share[some].sum())
+    some = share >= 0.02
+    if len(held) > 2 and some.any() and not some.all():
+        # Small shares go at once where all of them together are not worth the penalty of one.
+        less, worse = _mixture(p[some], n, share[some] / share[some].sum())
+        if worse + cost >= fit:
+            held, share, fit = held[some], less, worse
     while len(held) > 1:
         rest = np.arange(len(held)) != np.argmin(share)
         less, worse = _mixture(p[held[rest]], n, share[rest] / share[rest].sum())
