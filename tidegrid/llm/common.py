@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Python workers get Arrow batches of at most 2000 rows and about 32 MB, so that very long texts can't fill them."""
+    """Python workers get Arrow batches of at most 2000 rows and about 8 MB, so that very long texts can't fill them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -42,20 +43,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of narrow tables that one task takes.
-A_TASK = 1_000_000
-
-
-def compact(df: DataFrame) -> DataFrame:
-    """checkpointed(df) for narrow rows, in as few partitions as its rows need.
-
-    Rounds over tables that have become small then run in one task, without an exchange for each join and grouping;
-    larger tables stay distributed.
-    """
-    df = checkpointed(df)
-    return df.coalesce(1) if df.count() <= A_TASK else df
-
-
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash with what an operator adds."""
     return docs.select(*columns)
@@ -71,6 +58,21 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Bytes of text that a worker turns into words at a time.
+SLICE = 2 << 20
+
+
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """The column in pieces of about size bytes, one text at least, each with its first position: what a worker holds as Python objects is bounded by a piece."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, column.slice(at, to - at)
+        at = to
+
+
 def raw_of(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,12 +1,17 @@
 """Near duplicates by min-max hashing.
 
 Each permutation gives two values of a signature, the least and the greatest hash of the shingle set, so a signature of
-2 p values costs p hashes of every shingle. Bands of six values put documents into buckets. Documents with one set are
-one node from the start. In every round the nodes of a bucket that are still in different components are compared with
-the bucket's pivots, on their full sets: one pivot in the first round, then four times as many, none of them twice. A bucket
-is done when its nodes are in one component or each has been a pivot. Pairs whose sets cannot be similar enough, as too
-many of their shingles occur nowhere else, need no comparison. So no link inside a bucket is lost, while a large
-group of copies, which one or a few pivots connect, never has all its pairs compared.
+2 p values costs p hashes of every shingle. Bands of eight values put documents into buckets. Documents with one set are
+one node from the start. Every bucket has a pivot, its node with most company in all its buckets, and each node is tested
+against the pivots of its buckets, on full sets: a group of copies holds together by that alone.
+
+What is left are pairs of nodes of one bucket that no chain of links joins. They are found without meeting in pairs. The
+nodes that share a pivot form a cluster; its centre is the set of shingles that more than half of them hold, and a node
+is written as its difference from the centre, shingles it lacks and shingles it adds. For two nodes x, y with differences
+X, Y the sets share |centre| - lacks(x) - lacks(y) + |X and Y| shingles, so the similarity asked for is a number c(x, y) of
+differences that both must have. It is additive in x and y. Nodes that need none with the node of least weight are linked
+to it (near); for all others (far) two nodes can only be linked if they share one of their |X| - c + 1 rarest
+differences, c being the least that any partner asks for. These few are joined, and each pair that meets is tested.
 """
 
 from __future__ import annotations
@@ -21,14 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, checkpointed, compact, raw_of
-from .graph import connected_components
+from .common import batches, bounded_batches, checkpointed, only, raw_of, slices
+from .graph import connected_components, relabelled
 
-#: Values of a band (three permutations), the chance that two documents at the threshold share no band, and how many
-#: times as many pivots a bucket has in each round.
-BAND, MISS, GROWTH = 6, 1e-5, 4
+#: Values of a band (four permutations), and the chance that two documents at the threshold share no band.
+BAND, MISS = 8, 1e-5
 
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -57,130 +61,164 @@ def shingle_sets(raws: list[bytes], k: int) -> list[np.ndarray]:
 
 
 class MinMax:
+    """Permutations of 32 bits: odd multiples of the upper half of a shingle's hash."""
+
     def __init__(self, similarity: float, seed: int = 11):
         self.bands = math.ceil(math.log(MISS) / math.log1p(-(similarity**BAND)))
-        rng = np.random.default_rng(seed)
         n = self.bands * BAND // 2
-        self.xor, self.times = (rng.integers(0, 1 << 63, (n, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        """One key for each band."""
-        low, high = np.full(len(self.xor), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(self.xor), np.uint64)
-        for at in range(0, len(shingles), 4096):
-            x = (shingles[at : at + 4096] ^ self.xor) * self.times
-            x ^= x >> np.uint64(29)
-            np.minimum(low, x.min(1), out=low)
-            np.maximum(high, x.max(1), out=high)
-        values = np.stack([low, high], axis=1).reshape(self.bands, BAND)
-        key = np.arange(self.bands, dtype=np.uint64)
+        self.times = np.random.default_rng(seed).integers(0, 1 << 31, (n, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
+        """One key for each set and band; the sets are not empty."""
+        n = len(self.times)
+        low, high = np.full((len(sets), n), np.iinfo(np.uint32).max, np.uint32), np.zeros((len(sets), n), np.uint32)
+        for k, s in enumerate(sets):
+            x = (s >> np.uint64(32)).astype(np.uint32)
+            for at in range(0, len(x), 1024):
+                y = x[at : at + 1024] * self.times
+                np.minimum(low[k], y.min(1), out=low[k])
+                np.maximum(high[k], y.max(1), out=high[k])
+        values = np.stack([low, high], axis=2).reshape(len(sets), self.bands, BAND).astype(np.uint64)
+        key = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), (len(sets), self.bands))
         for j in range(BAND):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, j])
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, j])
         return key.view(np.int64)
 
 
 def signatures(docs: DataFrame, words: int, similarity: float, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, and the band keys."""
+    """doc_id, key (hash of doc_id and text), n_shingles, digest of the whole set, and the band keys."""
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         min_max = MinMax(similarity)
         for part in parts:
-            sets = shingle_sets(raw_of(part.column(1)), words)
-            rows = ((d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), min_max(s) if len(s) else None) for d, s in zip(part.column(0).to_pylist(), sets))
-            yield from batches(rows, _SIGNATURES)
+            for at, column in slices(part.column(2)):
+                sets = shingle_sets(raw_of(column), words)
+                bands = iter(min_max([s for s in sets if len(s)]))
+                ids, keys = (part.column(c).slice(at, len(sets)).to_pylist() for c in (0, 1))
+                yield from batches(((d, k, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(bands) if len(s) else None) for d, k, s in zip(ids, keys, sets)), _SIGNATURES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield from batches(((d, s.view(np.int64)) for d, s in zip(part.column(0).to_pylist(), shingle_sets(raw_of(part.column(1)), words))), _SETS, 500)
+            for at, column in slices(part.column(1)):
+                nodes = part.column(0).slice(at, len(column)).to_pylist()
+                yield from batches(((d, s.view(np.int64)) for d, s in zip(nodes, shingle_sets(raw_of(column), words))), _SETS, 500)
 
     return texts.select("node", "text").mapInArrow(make, "node long, shingles array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).drop("set_a", "set_b")
-
-
-def _own(sets: DataFrame) -> DataFrame:
-    """node, own: how many of its shingles no other node has. Half of a hash stands for a shingle, so own is never too great."""
-    halves = sets.select("node", F.explode("shingles").alias("s")).groupBy(F.shiftright("s", 32).cast("int").alias("s"))
-    return halves.agg(F.min("node").alias("node"), F.count("*").alias("k")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-
-
-def _tested(pool: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The labels (node, component) once every pair of the pool (node, pivot, shared) is tested or within one component.
-
-    First each node meets the one pivot with which it shares most buckets, then two others, then four: after the first
-    pass most pairs of a group of copies lie within one component and need no test.
-    """
-    turn = 1
-    while True:
-        own = labels.select("node", F.col("component").alias("a"))
-        other = labels.select(F.col("node").alias("pivot"), F.col("component").alias("b"))
-        pool = compact(pool.join(own, "node").join(other, "pivot").where("a <> b").select("node", "pivot", "shared", "a", "b"))
-        if pool.isEmpty():
-            return labels
-        order = Window.partitionBy("node").orderBy(F.desc("shared"), "pivot")
-        ranked = compact(pool.withColumn("turn", F.row_number().over(order)))
-        now = ranked.where(F.col("turn") <= turn).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).dropDuplicates(["a", "b"])
-        links = compact(_linked(now, sets, percent).select("x", "y").distinct())
-        pool = ranked.where(F.col("turn") > turn).select("node", "pivot", "shared")
-        turn *= 2
-        if not links.isEmpty():
-            merged = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("new"))
-            labels = compact(labels.join(merged, "component", "left").select("node", F.coalesce("new", "component").alias("component")))
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (node, pivot) with both sets. Wide rows meet at a popular pivot, so that AQE sees the skew and splits it."""
+    whole = pairs.join(sets.select("node", F.col("shingles").alias("own")), "node")
+    return whole.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("other")), "pivot")
+
+
+def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    return df.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after links (a, b) between components."""
+    links = checkpointed(links.select("a", "b").distinct())
+    return labels if links.isEmpty() else checkpointed(relabelled(labels, connected_components(links)))
+
+
+def _tested(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels after the pairs (node, pivot) of different components have been compared on their full sets."""
+    apart = _labelled(_labelled(pairs.select("node", "pivot"), labels, "node", "a"), labels, "pivot", "b").where("a <> b")
+    common = F.size(F.array_intersect("own", "other"))
+    return _merged(labels, _with_sets(apart, sets).where(100 * common >= percent * (F.size("own") + F.size("other") - common)))
+
+
+def _by_differences(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels after all pairs of nodes of a cluster; members (node, pivot) are the nodes that share a bucket with a pivot."""
+    ends = _labelled(members, labels, "node", "label").groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    unsettled = checkpointed(ends.where("low < high").select("pivot"))
+    if unsettled.isEmpty():
+        return labels
+    every = members.join(unsettled, "pivot", "left_semi").union(unsettled.select(F.col("pivot").alias("node"), "pivot"))
+    lacks, adds = F.array_except("other", "own"), F.array_except("own", "other")
+    written = checkpointed(_with_sets(every, sets).select("pivot", "node", F.size("own").alias("n"), F.size("other").alias("n_pivot"), lacks.alias("lacks"), adds.alias("adds")))
+    size = written.groupBy("pivot").agg(F.count("*").alias("size"), F.max("n_pivot").alias("n_pivot"))
+    seen = written.select("pivot", F.explode("lacks").alias("s"), F.lit(1).alias("held")).union(written.select("pivot", F.explode("adds").alias("s"), F.lit(0).alias("held")))
+    often = checkpointed(seen.groupBy("pivot", "s").agg(F.count("*").alias("k"), F.max("held").alias("held")))
+    # The centre: differences of more than half of the nodes change sides.
+    turned = often.join(size, "pivot").where("2 * k > size").groupBy("pivot").agg(F.collect_list("s").alias("turned"), F.sum(1 - 2 * F.col("held")).alias("grown"))
+    centres = checkpointed(size.join(turned, "pivot", "left").select("pivot", "size", (F.col("n_pivot") + F.coalesce("grown", F.lit(0))).alias("centre"), F.coalesce("turned", F.array().cast("array<long>")).alias("turned")))
+    differences = F.concat("lacks", "adds")
+    q = 100 + percent
+    other = F.concat(F.array_except(differences, "turned"), F.array_except("turned", differences))
+    moved = written.join(centres, "pivot").select("pivot", "node", "n", "centre", other.alias("x")).withColumn("d", F.size("x"))
+    weight = q * (F.col("d") + F.col("centre") - F.col("n")) / 2 + percent * F.col("n")
+    moved = checkpointed(moved.select("pivot", "node", "x", "d", weight.cast("long").alias("w"), (q * F.col("centre")).cast("long").alias("whole")))
+    first = moved.groupBy("pivot").agg(F.min("w").alias("w_first"), F.min_by("node", F.struct("w", "node")).alias("first"))
+    far = (F.col("w") + F.col("w_first") > F.col("whole")).alias("far")
+    sided = checkpointed(moved.join(first, "pivot").select("pivot", "node", "d", "w", "whole", "w_first", "first", far))
+    # A node asks of its far partners for `shorter` at least, and of near ones, if it is far itself, for `longer`.
+    w_far = sided.where("far").groupBy("pivot").agg(F.min("w").alias("w_far"))
+
+    def prefix(least: str):
+        return (F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("w") + F.col(least) - F.col("whole")) / q)) + 1).cast("int")
+
+    cut = sided.join(w_far, "pivot").select("pivot", "node", "d", "w", "whole", "far", prefix("w_far").alias("shorter"), F.when(F.col("far"), prefix("w_first")).otherwise(0).alias("longer"))
+    cut = cut.where("shorter > 0 OR longer > 0")
+    rare = often.join(centres.select("pivot", "size"), "pivot").select("pivot", "s", F.least("k", F.col("size") - F.col("k")).alias("k"))
+    listed = _labelled(cut, labels, "node", "label").join(moved.select("pivot", "node", "x"), ["pivot", "node"]).withColumn("s", F.explode("x")).drop("x").join(rare, ["pivot", "s"])
+    listed = listed.withColumn("turn", F.row_number().over(Window.partitionBy("pivot", "node").orderBy("k", "s")))
+    listed = checkpointed(listed.where(F.col("turn") <= F.greatest("shorter", "longer")).drop("k"))
+    a = listed.where("turn <= shorter").select("pivot", "s", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"), F.col("d").alias("d_a"), F.col("w").alias("w_a"))
+    b = listed.where("far").select("pivot", "s", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("turn"), F.col("shorter"), F.col("d").alias("d_b"), F.col("w").alias("w_b"), "whole")
+    asked = F.col("w_a") + F.col("w_b") - F.col("whole")
+    can = (F.col("label_a") != F.col("label_b")) & (~F.col("far_a") | ((F.col("turn") <= F.col("shorter")) & (F.col("a") < F.col("b")))) & (q * F.least("d_a", "d_b") >= asked)
+    met = a.join(b, ["pivot", "s"]).where(can).groupBy("a", "b").agg(F.min_by(F.struct("pivot", "label_a", "label_b", asked.alias("asked")), "pivot").alias("m")).select("a", "b", "m.*")
+    of_a, of_b = (moved.select("pivot", F.col("node").alias(c), F.col("x").alias(f"x_{c}")) for c in ("a", "b"))
+    linked = met.join(of_a, ["pivot", "a"]).join(of_b, ["pivot", "b"]).where(q * F.size(F.array_intersect("x_a", "x_b")) >= F.col("asked"))
+    near = _labelled(_labelled(sided.where("NOT far AND node <> first").select("node", "first"), labels, "node", "a"), labels, "first", "b").where("a <> b")
+    return _merged(labels, linked.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).union(near.select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents whose shingle sets have a Jaccard similarity of at least `similarity` (in whole percent) are linked;
     component_id is the smallest doc_id reachable, and that document is kept. Null, empty and blank texts have an empty
-    set and are linked with nothing. Rows that share a doc_id count as one document. Equal sets are always linked, and
-    every link is confirmed on full sets; a pair at the threshold shares no band, and can so be missed, with a chance of
-    MISS. Ties don't matter: components don't depend on order. An empty table gives no rows; other columns are not read.
+    set and are linked with nothing. Rows that share a doc_id are judged each by its own text. A null doc_id is no name: a
+    component of such rows alone has a null component_id. Equal sets are always linked, and every link is confirmed on
+    full sets; a pair at the threshold shares no band, and can so be missed, with a chance of MISS. Ties don't matter:
+    components don't depend on order. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     percent = round(100 * similarity)
-    signed = checkpointed(signatures(docs, words, similarity, text))
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    named = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    first = signed.where("n_shingles > 0").join(classes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    buckets = first.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    active = compact(buckets.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("component"), F.lit(False).alias("done")))
-    labels = None
-    if not active.isEmpty():
-        wanted = compact(active.select("node").distinct())
-        sources = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text")).join(wanted, "node")
+    docs = only(docs, "doc_id", text)
+    # The number of a row is fixed once it is written.
+    signed = checkpointed(signatures(docs, words, similarity, text).withColumn("row", F.monotonically_increasing_id()))
+    whole = signed.where("n_shingles > 0")
+    classes = checkpointed(whole.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")))
+    first = whole.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    buckets = first.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    active = checkpointed(buckets.join(sizes, "bucket"))
+    company = active.groupBy("node").agg(F.sum("size").alias("company"))
+    pivots = active.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("pivot"))
+    shared = active.join(pivots, "bucket").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared"))
+    members = checkpointed(shared.select("node", "pivot", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "pivot")).alias("turn")))
+    wanted = checkpointed(members.select("node").union(members.select("pivot")).distinct())
+    labels = wanted.select("node", F.col("node").alias("component"))
+    if not wanted.isEmpty():
+        keys = whole.join(wanted.select(F.col("node").alias("row")), "row", "left_semi").select("key", F.col("row").alias("node"))
+        sources = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col(text).alias("text")).join(keys, "key").dropDuplicates(["node"])
         sets = checkpointed(_sets(sources, words))
-        labels = wanted.select("node", F.col("node").alias("component"))
-        active = compact(active.join(_own(sets), "node", "left").select("bucket", "node", "n", F.coalesce("own", F.lit(0)).alias("own"), "component", "done"))
-    pivots = 1
-    while labels is not None:
-        mixed = active.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("done").alias("all_done")).where("low < high AND NOT all_done").select("bucket")
-        active = compact(active.join(mixed, "bucket"))
-        if active.isEmpty():
-            break
-        some = active.where("NOT done").groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(pivots)).alias("part"))
-        chosen = compact(some.agg(F.min_by(F.struct("node", "n", "own", "component"), F.xxhash64("node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.own").alias("pivot_own"), F.col("p.component").alias("pivot_component")))
-        # What two sets can share at most, against what their union then holds at least.
-        most = F.least(F.col("n") - F.col("own"), F.col("pivot_n") - F.col("pivot_own"))
-        can = 100 * most >= percent * F.greatest(most + F.col("own") + F.col("pivot_own"), "n", "pivot_n")
-        met = active.join(chosen, "bucket").where("component <> pivot_component").where(can)
-        pool = compact(met.groupBy("node", "pivot").agg(F.count("*").alias("shared")))
-        done = chosen.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        active = active.join(done, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
-        labels = _tested(pool, labels, sets, percent)
-        active = compact(active.drop("component").join(labels, "node").select("bucket", "node", "n", "own", "component", "done"))
-        pivots *= GROWTH
-    named = named.join(labels, "node", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "node", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        # Most nodes of a group meet in one component by the pivot with which they share most buckets.
+        labels = _tested(members.where("turn = 1"), labels, sets, percent)
+        labels = _tested(members.where("turn > 1"), labels, sets, percent)
+        labels = _by_differences(members.select("node", "pivot"), labels, sets, percent)
+    named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    found = signed.select("doc_id", "n_shingles", "digest").join(named.join(least, "component").select("digest", "component_id"), "digest", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
