@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceCoder, bounded_batches, texts_of
+from .common import PieceCoder, bounded_batches, slices, texts_of
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -167,7 +167,6 @@ class Vocabulary:
         merged = np.flatnonzero(self.left != np.arange(self.n))
         self.pairs = IntMap(self.left[merged] * self.n + self.right[merged], merged.astype(np.int32))
         self.automaton = SuffixAutomaton(strings)
-        self.bytes = {int(i): s for i, s in zip(self.ids, strings)} | {i: c.encode() for c, i in self.special.items()}
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE leaves token a before token b as they are: undone merge by merge, the latest first, no pair at the border merges earlier than what stands there."""
@@ -241,15 +240,18 @@ class Vocabulary:
 
 
 @cache
-def coder(path: str) -> tuple[Vocabulary, PieceCoder]:
+def coder(path: str) -> PieceCoder:
     """Built once in a worker."""
     vocab = Vocabulary(path)
     special = re.compile("(" + "|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
 
+    def plain(text: str) -> list[str]:
+        return PATTERN.findall(text) if _ODD.search(text) else _CHUNKS.findall(text)
+
     def split(text: str) -> list[str]:
         if special and special.search(text):
-            return [x for part in special.split(text) for x in ([part] if part in vocab.special else split(part))]
-        return PATTERN.findall(text) if _ODD.search(text) else _CHUNKS.findall(text)
+            return [x for part in special.split(text) for x in ([part] if part in vocab.special else plain(part))]
+        return plain(text)
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [[] if c in vocab.special else [x.encode("utf-8") for x in PATTERN.findall(c)] for c in chunks]
@@ -258,40 +260,77 @@ def coder(path: str) -> tuple[Vocabulary, PieceCoder]:
         ids = [np.array([vocab.special[c]], np.int32) if c in vocab.special else found[p[0]] if len(p) == 1 else np.concatenate([found[x] for x in p]) for c, p in zip(chunks, parts)]
         return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids)
 
-    return vocab, PieceCoder(split, encode, limit=250_000)
+    return PieceCoder(split, encode, limit=200_000)
+
+
+@cache
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id; all that decoding needs of a vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    letters = byte_letters()
+    known = {i: bytes(map(letters.__getitem__, x)) for x, i in said["model"]["vocab"].items() if all(c in letters for c in x)} | {x["id"]: x["content"].encode() for x in said["added_tokens"]}
+    return [known.get(k, b"") for k in range(max(known) + 1)]
+
+
+def _decoded(table: list[bytes], ids: list[int] | None) -> str:
+    try:
+        raw = b"".join(map(table.__getitem__, ids or ()))
+    except IndexError:
+        raw = b"".join(table[k] for k in ids if k < len(table))
+    return raw.decode("utf-8", "replace")
+
+
+def _encoded(path: str, parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """doc_id and ids by pieces of a batch."""
+    for part in parts:
+        for at, column in slices(part.column(1)):
+            n, ids = coder(path).batch(texts_of(column))
+            yield part.column(0).slice(at, len(column)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id and ids of every whole text, as the tokenizers library gives them with add_special_tokens=False.
 
     Null and empty texts have no ids. Strings of special tokens in a text become their ids. Repeated rows are encoded
-    each; an empty table gives no rows; other columns are not read.
+    each, a null doc_id stays null; a very long text is read whole, and a very long run without a space is one piece. An
+    empty table gives no rows; other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            n, ids = coder(path)[1].batch(texts_of(part.column(1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+        for found in _encoded(path, parts):
+            yield pa.RecordBatch.from_arrays(list(found), ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
+    return _texts(docs, text).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and the decoded text. Bytes that aren't UTF-8 become U+FFFD; unknown ids decode to nothing; null ids to an empty text."""
+    """doc_id, ids and the decoded text of each row (doc_id, ids).
+
+    Bytes that aren't UTF-8 become U+FFFD; unknown ids decode to nothing; null and empty ids to an empty text. Repeated
+    rows are decoded each, however long; an empty table gives no rows; other columns are not read.
+    """
     bounded_batches(encoded.sparkSession)
 
     def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = coder(path)[0].bytes
-        table = [known.get(k, b"") for k in range(max(known) + 1)]
+        table = byte_table(path)
         for part in parts:
-            texts = []
-            for ids in part.column(1).to_pylist():
-                try:
-                    raw = b"".join(map(table.__getitem__, ids or ()))
-                except IndexError:
-                    raw = b"".join(known.get(k, b"") for k in ids)
-                texts.append(raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_decoded(table, x) for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded string")
+
+
+def bpe_round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """What bpe_decode gives for the rows of bpe_encode, in one step: a task has one Python worker, not two."""
+
+    def both(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = byte_table(path)
+        for doc_id, ids in _encoded(path, parts):
+            yield pa.RecordBatch.from_arrays([doc_id, ids, pa.array([_decoded(table, x) for x in ids.to_pylist()], pa.string())], ["doc_id", "ids", "decoded"])
+
+    return _texts(docs, text).mapInArrow(both, "doc_id long, ids array<int>, decoded string")

@@ -92,27 +92,32 @@ def joined(found: list) -> tuple[np.ndarray, np.ndarray]:
 class PieceCoder:
     """Ids of texts whose pieces encode independently: every distinct piece is encoded once and then looked up.
 
-    encode gets a list of distinct new pieces and returns the number of ids of each and all ids. Between batches at most limit
-    pieces are kept; beyond that the half that was used most stays.
+    encode gets a list of distinct new pieces and returns the number of ids of each and all ids. Between lookups at most
+    limit pieces of together weight characters are kept; beyond that those that were used most stay, half as many.
     """
 
-    def __init__(self, split: Callable[[str], list[str]] | None, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
-        self.split, self.encode, self.limit = split, encode, limit
+    def __init__(self, split: Callable[[str], list[str]] | None, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000, weight: int = 16 << 20):
+        self.split, self.encode, self.limit, self.weight = split, encode, limit, weight
         self.index: dict[str, int] = {}
+        self.held = 0
         self.start, self.length, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def shrink(self) -> None:
-        kept = np.sort(np.argpartition(-self.used, self.limit // 2)[: self.limit // 2])
         names = list(self.index)
+        order = np.argsort(-self.used, kind="stable")
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        fits = np.cumsum(size[order]) <= self.weight // 2
+        kept = np.sort(order[fits][: self.limit // 2])
         self.index = dict(zip(map(names.__getitem__, kept.tolist()), range(len(kept))))
+        self.held = int(size[kept].sum())
         self.ids = self.ids[spread(self.start[kept], self.length[kept])]
         self.length, self.used = self.length[kept], self.used[kept] // 2
         self.start = np.cumsum(self.length) - self.length
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each piece, and the ids of all."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.held > self.weight:
             self.shrink()
         at = np.array(list(map(self.index.get, words, repeat(-1))), np.int64)
         missing = np.flatnonzero(at < 0)
@@ -125,6 +130,7 @@ class PieceCoder:
             self.ids = np.concatenate([self.ids, ids])
             self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.held += sum(map(len, new))
             at[missing] = list(map(self.index.__getitem__, wanted))
         self.used += np.bincount(at, minlength=len(self.used))
         lengths = self.length[at]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_round_trip
 from .common import bounded_batches, documents, remainder, shared_folder
 from .exact_dedup import exact_dedup
 from .gru_lm import score_texts
@@ -31,8 +31,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe_decode(bpe_encode(documents(spark, sf_dir), path), path)
+    decoded = bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     spelled_ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled_ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
