@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import PieceCoder, batches, bounded_batches, joined, spread, texts_of
+from .common import PieceCoder, batches, bounded_batches, joined, slices, spread, texts_of
 
-CAPACITY, SEGMENTS, POOL = 4096, 512, 256
+#: Limits of a sequence: tokens, segments, and tokens that bear loss; examples to choose from.
+CAPACITY, SEGMENTS, LOSS, POOL = 4096, 512, 4096, 256
 END = 2
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("segment", pa.int32()), ("loss_tokens", pa.int64()), ("ids", pa.binary())])
@@ -59,7 +60,7 @@ def word_coder(path: str) -> PieceCoder:
             ids.append(got)
         return np.concatenate(n), np.concatenate(ids)
 
-    runs = PieceCoder(None, letters, limit=500_000)
+    runs = PieceCoder(None, letters, limit=250_000)
     # Letters of Latin-1 with their lower case there, and at most one full stop or comma behind them.
     plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]+)([.,]?)")
     marks = dict(zip([".", ",", ""], [*alone([".", ","])[1].tolist(), -1]))
@@ -80,7 +81,7 @@ def word_coder(path: str) -> PieceCoder:
         out[spread(start[~fit], size[~fit])] = others
         return size, out
 
-    return PieceCoder(split, encode, limit=500_000)
+    return PieceCoder(split, encode, limit=250_000)
 
 
 class Packer:
@@ -172,35 +173,46 @@ class Packer:
             yield from self._fill(1 << (left.bit_length() - 1) if self.cut and left < self.limits[0] else None)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = CAPACITY, pool: int = POOL, end_id: int = END, cut: bool = True) -> DataFrame:
-    """Pieces of documents in sequences of at most capacity tokens: doc_id, start, length, doc_tokens, sequence_id, offset, segment, loss_tokens, ids (little-endian unsigned 32-bit).
+def piece_rows(parts: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer, end_id: int) -> Iterator[tuple]:
+    """Packed pieces of the documents (doc_id, text) of a partition, sequence by sequence."""
+    coder = word_coder(tokenizer)
+    for part in parts:
+        for at, column in slices(part.column(1)):
+            n, ids = coder.batch(texts_of(column))
+            items, to = [], 0
+            for doc_id, k in zip(part.column(0).slice(at, len(column)).to_pylist(), n.tolist()):
+                items.append(((doc_id, k + 1), np.append(ids[to : to + k], np.int32(end_id)), 0, None))
+                to += k
+            yield from packer.add(items)
+    yield from packer.close()
 
-    A document is its ids and end_id; null and empty texts are end_id alone. Ties of the dot product go to the example
-    that came first. Long documents are cut into several pieces. Repeated rows are packed each; an empty table gives no
-    rows; other columns are not read. sequence_id is unique, and the same whenever the input is split the same way.
-    """
+
+def own_packer(capacity: int, segments: int, loss: int, pool: int, cut: bool) -> Packer:
+    """A packer whose sequence numbers are those of the task's partition."""
+    return Packer(TaskContext.get().partitionId() << 33, capacity, segments, loss, pool, cut)
+
+
+def document_texts(docs: DataFrame, text: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text"))
 
-    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_coder(tokenizer)
-        packer = Packer(TaskContext.get().partitionId() << 33, capacity, segments, loss, pool, cut)
 
-        def rows():
-            for part in parts:
-                n, ids = coder.batch(texts_of(part.column(1)))
-                items, at = [], 0
-                for doc_id, k in zip(part.column(0).to_pylist(), n.tolist()):
-                    items.append(((doc_id, k + 1), np.append(ids[at : at + k], np.int32(end_id)), 0, None))
-                    at += k
-                yield from packer.add(items)
-            yield from packer.close()
+def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL, end_id: int = END, cut: bool = True) -> DataFrame:
+    """Pieces of documents in sequences of at most capacity tokens: doc_id, start, length, doc_tokens, sequence_id, offset, segment, loss_tokens, ids (little-endian unsigned 32-bit).
 
-        yield from batches(rows(), _PIECES)
+    A document is its ids and end_id; null and empty texts are end_id alone. Every token but a document's first bears
+    loss. Ties of the dot product go to the example that came first. Long documents are cut into several pieces. Repeated
+    rows are packed each; an empty table gives no rows; other columns are not read. sequence_id is unique, and the same
+    whenever the input is split the same way.
+    """
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(piece_rows(parts, tokenizer, own_packer(capacity, segments, loss, pool, cut), end_id), _PIECES)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(pack, _PIECES_DDL)
+    return document_texts(docs, text).mapInArrow(pack, _PIECES_DDL)
 
 
-def pack_examples(examples: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = CAPACITY, pool: int = POOL, cut: bool = False) -> DataFrame:
+def pack_examples(examples: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL, cut: bool = False) -> DataFrame:
     """The same for instruction data that is tokenised already: doc_id long, ids array<int>, bears_loss array<boolean>.
 
     With cut false an example stays whole unless it exceeds a limit by itself. Null or empty ids give no piece; null
@@ -209,7 +221,7 @@ def pack_examples(examples: DataFrame, capacity: int = CAPACITY, segments: int =
     bounded_batches(examples.sparkSession)
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TaskContext.get().partitionId() << 33, capacity, segments, loss, pool, cut)
+        packer = own_packer(capacity, segments, loss, pool, cut)
 
         def rows():
             for part in parts:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,10 @@ from .exact_dedup import exact_dedup
 from .gru_lm import score_texts
 from .language_id import fit_languages, language_column
 from .near_dedup import near_duplicates
-from .packing import CAPACITY, END, pack_documents
+from .packing import pack_documents
 from .pii import KINDS, fit_tagger, pii_column, spelled
 from .quality import COUNTS, judge_quality
-from .shards import sequences, write_shards
+from .shards import packed_sequences, write_shards
 from .suffix_dedup import remove_repeats
 
 
@@ -57,8 +59,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return write_shards(sequences(pieces, CAPACITY, END), shared_folder(spark, "token_shards"))
+    rows = packed_sequences(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return write_shards(rows, shared_folder(spark, f"token-shards-{uuid.uuid4().hex}"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
