@@ -173,7 +173,7 @@ def _third(packed: bytes, places: list[int]):
 
 
 def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (rank, next): those whose rank is shared. kind 0: no other row has the pair; 1: the first of a shared pair; 2: another of it."""
+    """Rows sorted by (rank, next), with kind. 0: no other row has the pair; 1: the first of a shared pair; 2: another of it."""
     held: list[np.ndarray] | None = None  # the row before the batch and the last row, not yet given out
     for part in parts:
         if not part.num_rows:
@@ -188,19 +188,22 @@ def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _told(rows: list[np.ndarray], start: int, stop: int) -> Iterator[pa.RecordBatch]:
     doc, at, rank, second = rows
-    same_rank = np.concatenate([[False], rank[1:] == rank[:-1], [False]])
-    same_pair = np.concatenate([[False], (rank[1:] == rank[:-1]) & (second[1:] == second[:-1]), [False]])
-    shared, before, after = same_rank[:-1] | same_rank[1:], same_pair[:-1], same_pair[1:]
-    kind = np.where(before, 2, np.where(after, 1, 0)).astype(np.int32)
-    i = np.arange(start, stop)
-    i = i[shared[i]]
-    if len(i):
-        yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(at[i]), pa.array(rank[i]), pa.array(kind[i])], ["doc", "place", "rank", "kind"])
+    same = np.concatenate([[False], (rank[1:] == rank[:-1]) & (second[1:] == second[:-1]), [False]])
+    kind = np.where(same[:-1], 2, np.where(same[1:], 1, 0)).astype(np.int32)
+    if stop > start:
+        yield pa.RecordBatch.from_arrays([pa.array(x[start:stop]) for x in (doc, at, rank, kind)], ["doc", "place", "rank", "kind"])
 
 
 def _sorted(ranked: DataFrame) -> DataFrame:
-    """One level: Spark sorts the rank pairs, and rows with a rank of their own go."""
-    return checkpointed(ranked.repartition("rank").sortWithinPartitions("rank", "next").mapInArrow(_neighbours, _SEEN_DDL))
+    """One level: Spark sorts the rank pairs, and rows with a rank of their own go.
+
+    Rows are dealt out by the pair, so a rank with many continuations (a very common string) is spread over all tasks;
+    which ranks are shared is then counted from one row for each pair.
+    """
+    paired = checkpointed(ranked.repartition("rank", "next").sortWithinPartitions("rank", "next").mapInArrow(_neighbours, _SEEN_DDL))
+    shared = paired.where("kind < 2").groupBy("rank").agg(F.count("*").alias("pairs")).where("pairs > 1").select("rank")
+    singles = checkpointed(paired.where("kind = 0").join(shared, "rank", "left_semi").select("doc", "place", "rank", "kind"))
+    return paired.where("kind > 0").union(singles)
 
 
 def _undecided(seen: DataFrame) -> DataFrame:
