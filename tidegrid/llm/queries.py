@@ -55,7 +55,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number(kind: str):
         return F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(number, KINDS), F.sha2(spelled("pii.base"), 256).alias("base_sha256"), spelled("pii.spans").alias("spans"))
+    return found.select("doc_id", *map(number, KINDS), F.sha2(spelled("pii.base"), 256).alias("base_sha256"), spelled("pii.spans").alias("spans"), F.size("pii.spans").cast("long").alias("n_spans"))
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
