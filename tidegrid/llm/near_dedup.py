@@ -68,8 +68,8 @@ class MinMax:
         n = self.bands * BAND // 2
         self.times = np.random.default_rng(seed).integers(0, 1 << 31, (n, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
-        """One key for each set and band; the sets are not empty."""
+    def extremes(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest value of each set, which isn't empty, under each permutation."""
         n = len(self.times)
         low, high = np.full((len(sets), n), np.iinfo(np.uint32).max, np.uint32), np.zeros((len(sets), n), np.uint32)
         for k, s in enumerate(sets):
@@ -78,6 +78,11 @@ class MinMax:
                 y = x[at : at + 1024] * self.times
                 np.minimum(low[k], y.min(1), out=low[k])
                 np.maximum(high[k], y.max(1), out=high[k])
+        return low, high
+
+    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
+        """One key for each set and band."""
+        low, high = self.extremes(sets)
         values = np.stack([low, high], axis=2).reshape(len(sets), self.bands, BAND).astype(np.uint64)
         key = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), (len(sets), self.bands))
         for j in range(BAND):
