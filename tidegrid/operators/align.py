@@ -16,20 +16,30 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], values: dict
     """left with `values` of the latest right row at or before its time, right_ts, and missing (1 where there is none).
 
     values: output name -> column of right. tie: a column of right that orders rows of one time; the last one wins. With
-    max_age a match older than that counts as missing.
+    max_age a match older than that counts as missing. A null key or time matches nothing. A column of left that is named
+    like an output gives way to it. Without keys (on is empty, max_age is needed) both sides meet on time buckets as wide
+    as max_age, into the next of which right rows are copied, so one series for all left rows needs no single task.
     """
+    outputs = {"right_ts", "missing", *values}
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     match = F.struct(F.col(ts).alias("right_ts"), *(as_col(c).alias(name) for name, c in values.items()))
-    r = right.select(*on, F.col(ts).alias("__ts"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), match.alias("__match"))
-    l = left.select(*on, F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
+    right = right.dropna(subset=[*on, ts])
+    keys = [F.col(c) for c in on]
+    if not on:
+        if max_age is None:
+            raise ValueError("a join without keys needs max_age")
+        bucket = F.floor(F.col(ts) / max(1, max_age)).cast("long")
+        keys, right = [bucket.alias("__bucket")], right.withColumn("__bucket", F.explode(F.array(bucket, bucket + 1)))
+    r = right.select(*(on or ["__bucket"]), F.col(ts).alias("__ts"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), match.alias("__match"))
+    l = left.select(*keys, F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*(c for c in left.columns if c not in outputs), F.col(ts).alias("__at")).alias("__row"))
     both = r.unionByName(l, allowMissingColumns=True)
-    by = Window.partitionBy(*on).orderBy("__ts", "__side", "__tie")
+    by = Window.partitionBy(*(on or ["__bucket"])).orderBy("__ts", "__side", "__tie")
     found = F.last("__match", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__found", found).where("__side = 1").select("__row", "__found")
     if max_age is not None:
-        fresh = F.col(f"__row.{ts}") - F.col("__found.right_ts") <= max_age
+        fresh = F.col("__row.__at") - F.col("__found.right_ts") <= max_age
         out = out.withColumn("__found", F.when(fresh, F.col("__found")))
-    return out.select("__row.*", "__found.*", F.col("__found").isNull().cast("int").alias("missing"))
+    return out.select("__row.*", "__found.*", F.col("__found").isNull().cast("int").alias("missing")).drop("__at")
 
 
 def with_previous(right: DataFrame, value: str, on: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -38,9 +48,9 @@ def with_previous(right: DataFrame, value: str, on: Sequence[str], ts: str = "ts
 
 
 def asof_wide(left: DataFrame, long: DataFrame, names: Sequence[str], on: Sequence[str], name: str = "metric", value: str = "value", tie: str = "id", ts: str = "ts") -> DataFrame:
-    """left with the latest value of each named metric of a long table, and <name>_missing. One pass serves all metrics."""
+    """left with the latest value of each named metric of a long table, and <name>_missing. One pass serves all metrics; null keys and times match nothing."""
     columns = [F.when(F.col(name) == n, F.struct(F.col(value).alias("v"))).alias(n) for n in names]
-    r = long.where(F.col(name).isin(list(names))).select(*on, F.col(ts).alias("__ts"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), *columns)
+    r = long.dropna(subset=[*on, ts]).where(F.col(name).isin(list(names))).select(*on, F.col(ts).alias("__ts"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), *columns)
     l = left.select(*on, F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
     by = Window.partitionBy(*on).orderBy("__ts", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     both = r.unionByName(l, allowMissingColumns=True)
@@ -51,21 +61,19 @@ def asof_wide(left: DataFrame, long: DataFrame, names: Sequence[str], on: Sequen
 def range_join(left: DataFrame, right: DataFrame, on: Sequence[str], low: int, high: int, how: str = "inner", ts: str = "ts", right_ts: str = "right_ts") -> DataFrame:
     """Pairs of one key with low <= right_ts - ts <= high. The right side's time column is named right_ts.
 
-    Both sides meet on time buckets as wide as the range, so an equi join does the work: a left row looks into the two
-    buckets that its range can touch.
+    Both sides meet on time buckets as wide as the range, so an equi join does the work: a range touches two buckets at
+    most, so each right row also stands in the bucket before its own, and a left row looks into one bucket alone. With
+    how "left" a left row without a match stays, once for each time that it is there; null keys and times match nothing.
     """
     width = max(1, high - low)
     bucket = lambda c: F.floor(c / width).cast("long")
-    r = right.withColumn("__bucket", bucket(F.col(right_ts)))
-    l = left.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else left
-    start, end = bucket(F.col(ts) + low), bucket(F.col(ts) + high)
-    spread = l.withColumn("__bucket", F.explode(F.array_distinct(F.array(start, end))))
-    keys = [*on, "__bucket"]
-    met = spread.join(r, keys).where((F.col(right_ts) - F.col(ts)).between(low, high)).drop("__bucket")
-    if how != "left":
-        return met
-    only = [c for c in right.columns if c not in on]
-    return left.join(met.select(*left.columns, *only).withColumn("__hit", F.lit(1)), list(left.columns), "left").drop("__hit")
+    at = bucket(F.col(right_ts))
+    r = right.withColumn("__right_bucket", F.explode(F.array(at, at - 1))).withColumnsRenamed({c: f"__right_{c}" for c in on})
+    l = left.withColumn("__bucket", bucket(F.col(ts) + low))
+    same = (F.col("__bucket") == F.col("__right_bucket")) & (F.col(right_ts) - F.col(ts)).between(low, high)
+    for c in on:
+        same &= F.col(c) == F.col(f"__right_{c}")
+    return l.join(r, same, how).drop("__bucket", "__right_bucket", *(f"__right_{c}" for c in on))
 
 
 def resolve_snapshot(snapshots: DataFrame, at: int, ts: str = "ts") -> DataFrame:

@@ -29,12 +29,12 @@ def _snapshot(spark, sf):
     rows = b.select("symbol", "ts", R.k_return(1).alias("ret_1"), F.when(F.row_number().over(R.by()) > 3, F.stddev_pop("ret").over(R.rows(12))).alias("vol_12"), F.log1p("volume").alias("volume_log"))
     counts = A.rolling_events(rows.select("symbol", "ts"), news(spark, sf), {"6h": 6 * HOUR}, "sentiment")
     joined = rows.join(counts.select("symbol", "ts", F.col("n_6h").alias("events_6h")), ["symbol", "ts"])
-    other = bars(spark, sf).where("symbol = 'purchase'").select("ts", "close", "trades").withColumn("k", F.lit(1))
-    found = asof_join(joined.withColumn("k", F.lit(1)), other, ["k"], {"other_price": "close"}, tie="trades", max_age=HOUR)
-    return found.withColumn("lag_sec", (F.col("ts") - F.col("right_ts")) / 1e6).drop("k", "right_ts", "missing")
+    other = bars(spark, sf).where("symbol = 'purchase'").select("ts", "close", "trades")
+    found = asof_join(joined, other, [], {"other_price": "close"}, tie="trades", max_age=HOUR)
+    return found.withColumn("lag_sec", (F.col("ts") - F.col("right_ts")) / 1e6).drop("right_ts", "missing")
 
 
-_SNAP = _RET + f", n AS (SELECT symbol, ts + size * 1000000 AS ts FROM ticks), cnt AS (SELECT b.symbol, b.ts, count(n.ts) AS events_6h FROM bars b LEFT JOIN n ON n.symbol = b.symbol AND n.ts BETWEEN b.ts - {6 * HOUR} AND b.ts GROUP BY 1, 2), oth AS (SELECT ts, close FROM bars WHERE symbol = 'purchase'), snap AS (SELECT r.symbol, r.ts, ln(r.close / coalesce(lag(r.close) OVER (PARTITION BY r.symbol ORDER BY r.ts), r.close)) AS ret_1, CASE WHEN rn > 3 THEN stddev_pop(ret) OVER (PARTITION BY r.symbol ORDER BY r.ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END AS vol_12, ln(1 + volume) AS volume_log, events_6h, CASE WHEN r.ts - oth.ts <= {HOUR} THEN oth.close END AS other_price, CASE WHEN r.ts - oth.ts <= {HOUR} THEN (r.ts - oth.ts) / 1e6 END AS lag_sec FROM r JOIN cnt ON r.symbol = cnt.symbol AND r.ts = cnt.ts ASOF LEFT JOIN oth ON r.ts >= oth.ts)"
+_SNAP = _RET + f", n AS (SELECT symbol, ts + size * 1000000 AS ts FROM ticks), cnt AS (SELECT b.symbol, b.ts, count(n.ts) AS events_6h FROM bars b LEFT JOIN n ON n.symbol = b.symbol AND n.ts BETWEEN b.ts - {6 * HOUR} AND b.ts GROUP BY 1, 2), oth AS (SELECT ts, close FROM bars WHERE symbol = 'purchase'), snap AS (SELECT r.symbol, r.ts, r.close / coalesce(lag(r.close) OVER (PARTITION BY r.symbol ORDER BY r.ts), r.close) - 1 AS ret_1, CASE WHEN rn > 3 THEN stddev_pop(ret) OVER (PARTITION BY r.symbol ORDER BY r.ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END AS vol_12, ln(1 + volume) AS volume_log, events_6h, CASE WHEN r.ts - oth.ts <= {HOUR} THEN oth.close END AS other_price, CASE WHEN r.ts - oth.ts <= {HOUR} THEN (r.ts - oth.ts) / 1e6 END AS lag_sec FROM r JOIN cnt ON r.symbol = cnt.symbol AND r.ts = cnt.ts ASOF LEFT JOIN oth ON r.ts >= oth.ts)"
 
 
 @query(f"WITH {_SNAP} SELECT symbol, ts, round(ret_1, 6) AS ret_1, round(vol_12, 6) AS vol_12, round(volume_log, 6) AS volume_log, events_6h, other_price, lag_sec FROM snap")
