@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words of the sentiment lexicons.
-POSITIVE = ("good", "great", "strong", "bullish", "up", "gain", "growth", "beat", "win", "rally")
-NEGATIVE = ("bad", "weak", "bearish", "down", "loss", "miss", "fall", "crash", "risk", "fraud")
-NEGATIONS = ("not", "no", "never", "without")
-BOOSTERS, DAMPERS = ("very", "extremely", "really"), ("slightly", "somewhat", "maybe")
-HAPPY, SAD = ("\U0001f680", "\U0001f4c8", "\U0001f600"), ("\U0001f4c9", "\U0001f622", "\U0001f480")
+# Words and signs of the sentiment score.
+POSITIVE = ("bull", "bullish", "breakout", "adoption", "growth", "surge", "rally", "beat", "upgrade", "launch", "partnership", "approval", "record", "strong", "gain")
+NEGATIVE = ("bear", "bearish", "crash", "drop", "hack", "lawsuit", "fraud", "ban", "downgrade", "delay", "selloff", "outage", "weak", "decline", "loss")
+NEGATIONS = ("not", "no", "never", "none", "without", "hardly", "barely", "n't")
+BOOSTERS = ("very", "extremely", "massively", "strongly", "super", "highly", "deeply")
+DAMPERS = ("slightly", "somewhat", "kinda", "kindof", "kind-of", "mildly", "barely")
+HAPPY = ("\U0001f680", "\U0001f4c8", "\U0001f7e2", "\U0001f49a", "\U0001f525", "\u2705")
+SAD = ("\U0001f4c9", "\U0001f534", "\U0001f4a5", "\u274c", "\U0001f9e8", "\u26a0\ufe0f")
+SARCASM = ("/s", "yeah right", "as if", "sure buddy")
+# Weights of the signal score, by feature.
+SIGNAL_WEIGHTS = {
+    "ret_1": 0.10, "ret_3": 0.20, "ret_12": 0.50, "ret_48": 0.30, "trend_bias": 0.35, "orderbook_imbalance": 0.10, "funding_rate": 0.08, "onchain_norm": 0.07, "event_decay": 0.05,
+    "source_tier_weight": 0.04, "source_confidence": 0.03, "social_post_sentiment": 0.04, "social_comment_sentiment": 0.03, "social_engagement_norm": 0.02, "social_influence_norm": 0.01,
+    "social_event_ratio": 0.02, "social_buzz": 0.02, "vol_penalty": -0.01,
+}
+# Scores of start-up event types.
+STARTUP_SCORES = {"funding": 1.0, "mna": 0.7, "product": 0.4, "regulatory": -0.3}
+
+
+@dataclass(frozen=True)
+class CostProfile:
+    """Basis points, multipliers by horizon in hours, and sensitivities; the standard profile."""
+
+    fee_bps: float = 5.0
+    slippage_bps: float = 3.0
+    impact_bps: float = 2.0
+    multipliers: tuple = ((1, 1.0), (4, 1.6), (24, 2.4), (168, 3.2))
+    liquidity: float = 0.6
+    turnover: float = 0.3
+    funding: float = 1.0
+    infra_usd_per_hour: float = 1.88 / 7.2
+    infra_bps_per_hour: float = 0.0
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -21,27 +49,37 @@ def _in(c: Column, words) -> Column:
     return c.isin(*words)
 
 
+def _count_of(text: Column, signs) -> Column:
+    """How many of the signs occur in the text."""
+    return sum((F.contains(text, F.lit(x)).cast("double") for x in signs), F.lit(0.0))
+
+
 def lexicon_sentiment(text: Column) -> Column:
-    """Mean of signed words in [-1, 1]: turned by a negation within two words, scaled by modifiers, emoji, ! and /s."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1))
-    blank = F.array(F.lit(""))
-    # Each word beside the two before it; looking them up by index would find all words again for every word.
-    near = F.arrays_zip(words.alias("w"), F.concat(blank, words).alias("a"), F.concat(blank, blank, words).alias("b"))
-
-    def value(x):
-        w, a, b = F.coalesce(x["w"], F.lit("")), x["a"], x["b"]
-        base = F.when(_in(w, POSITIVE), 1.0).when(_in(w, NEGATIVE), -1.0).otherwise(0.0)
-        turned = F.when(_in(a, NEGATIONS) | _in(b, NEGATIONS), -1.0).otherwise(1.0)
-        scale = F.when(_in(a, BOOSTERS), 1.35).when(_in(a, DAMPERS), 0.7).otherwise(1.0)
-        return base * F.coalesce(turned, F.lit(1.0)) * F.coalesce(scale, F.lit(1.0))
-
-    values = F.filter(F.transform(near, value), lambda v: v != 0)
-    emoji = 0.6 * (sum(F.when(F.contains(low, F.lit(m)), 1.0).otherwise(0.0) for m in HAPPY) - sum(F.when(F.contains(low, F.lit(m)), 1.0).otherwise(0.0) for m in SAD))
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) + emoji
-    boost = F.least(F.lit(1.25), 1 + 0.05 * F.regexp_count(low, F.lit("!")))
-    sarcasm = F.when(low.rlike(r"(^|\s)/s(\s|$)"), 0.5).otherwise(1.0)
-    return clamp(total / F.greatest(F.lit(1.0), F.size(values).cast("double")) * boost * sarcasm, -1.0, 1.0)
+    """Weighted mean of signed words in [-1, 1]: turned by a negation within two words, weighted by modifiers there, with emoji at 0.6, raised by ! and halved by sarcasm. Null and empty texts have 0.
+
+    One pass over the words carries the two words before each.
+    """
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit("([a-z']+|[0-9]+)"), F.lit(1))
+    start = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("raw"), F.lit(0.0).alias("weight"))
+
+    def step(acc, w):
+        a, b = acc["a"], acc["b"]
+        sign = F.when(_in(w, POSITIVE), 1.0).when(_in(w, NEGATIVE), -1.0).otherwise(0.0)
+        negated = _in(a, NEGATIONS) | _in(b, NEGATIONS) | F.endswith(a, F.lit("n't")) | F.endswith(b, F.lit("n't"))
+        amp = F.when(_in(a, BOOSTERS) | _in(b, BOOSTERS), 1.35).otherwise(1.0) * F.when(_in(a, DAMPERS) | _in(b, DAMPERS), 0.7).otherwise(1.0)
+        scored = F.struct(w.alias("a"), a.alias("b"), (acc["raw"] + sign * F.when(negated, -1.0).otherwise(1.0) * amp).alias("raw"), (acc["weight"] + amp).alias("weight"))
+        return F.when(sign == 0, F.struct(w.alias("a"), a.alias("b"), acc["raw"].alias("raw"), acc["weight"].alias("weight"))).otherwise(scored)
+
+    def finish(acc):
+        happy, sad = _count_of(text, HAPPY), _count_of(text, SAD)
+        weight = acc["weight"] + 0.6 * (happy + sad)
+        boost = F.least(F.lit(1.25), 1 + 0.03 * F.regexp_count(text, F.lit("!")))
+        irony = F.when(_count_of(low, SARCASM) > 0, 0.5).otherwise(1.0)
+        return F.when(weight > 1e-9, clamp((acc["raw"] + 0.6 * (happy - sad)) / weight * boost * irony, -1.0, 1.0)).otherwise(0.0)
+
+    return F.aggregate(words, start, step, finish)
 
 
 def keyword_sentiment(text: Column, positive=POSITIVE, negative=NEGATIVE) -> Column:
@@ -87,7 +125,19 @@ def engagement(likes: Column, comments: Column, shares: Column, quotes: Column,
 
 
 def influence_tier(followers: Column) -> Column:
-    return F.when(followers >= 100_000, "mega").when(followers >= 10_000, "macro").when(followers >= 1_000, "micro").otherwise("nano")
+    """By followers: mega, macro, mid, micro and nano."""
+    return F.when(followers >= 1_000_000, "mega").when(followers >= 100_000, "macro").when(followers >= 10_000, "mid").when(followers >= 1_000, "micro").otherwise("nano")
+
+
+def heat_score(engaged: Column, followers: Column, sentiment: Column, mentions: Column) -> Column:
+    """How hot a post is: logarithms of engagement and followers, strength of its sentiment, wanted symbols mentioned."""
+    zero = F.lit(0.0)
+    return F.log1p(F.greatest(zero, engaged)) + 0.5 * F.log1p(F.greatest(zero, followers)) + F.abs(sentiment) + 0.4 * mentions
+
+
+def coverage_score(followers: Column, engaged: Column, text: Column) -> Column:
+    """In [0, 1]: followers against 100,000, engagement against 5,000, and whether there is a text."""
+    return 0.45 * clamp(followers / 100_000, 0.0, 1.0) + 0.45 * clamp(engaged / 5_000, 0.0, 1.0) + F.when(F.coalesce(F.trim(text), F.lit("")) != "", 0.1).otherwise(0.0)
 
 
 def tier_weight(tier: Column) -> Column:
@@ -98,28 +148,84 @@ def quality_score(confidence: Column, tier: Column, freshness: Column, coverage:
     return 0.3 * confidence + 0.25 * tier_weight(tier) + 0.25 * freshness + 0.2 * coverage
 
 
-def turnover_estimate(horizon_hours: Column, vol: Column, liquidity: Column, spread_bps: Column, funding: Column) -> Column:
-    """Turnover of a position held for the horizon: falls with it, rises with volatility and poor liquidity."""
-    base = 0.8 / F.sqrt(F.greatest(F.lit(1.0), horizon_hours))
-    return clamp(base * (1 + clamp(vol * 10, 0.0, 1.0)) * (1.5 - 0.5 * clamp(liquidity, 0.0, 1.0)) * (1 + clamp(spread_bps / 100, 0.0, 0.5)) * (1 + clamp(F.abs(funding) * 100, 0.0, 0.25)), 0.05, 2.0)
+def liquidity_score(score: Column, depth: Column) -> Column:
+    """The given score, or where it isn't positive, one from the book's depth."""
+    return clamp(F.when(score > 0, score).otherwise(F.greatest(depth, F.lit(0.0)) / (depth + 1e6)), 0.0, 1.0)
+
 
+def turnover_estimate(horizon_hours: Column, vol: Column, liquidity: Column, spread_bps: Column, funding: Column, base: float = 0.35, vol_ref: float = 0.02, vol_beta: float = 0.8, liquidity_beta: float = 0.5, spread_ref: float = 8.0, spread_beta: float = 0.25, funding_ref: float = 5e-4, funding_beta: float = 0.1, low: float = 0.01, high: float = 3.0) -> Column:
+    """Turnover of a position held for the horizon: falls with its root, rises with volatility, spread and funding (each up to three times its reference) and with poor liquidity."""
 
-def cost_breakdown(vol: Column, liquidity: Column, turnover: Column, horizon_hours: Column, fee_bps: float = 5.0) -> dict[str, Column]:
-    """Costs in basis points by component and in all. Labels, decisions and evaluation share this one definition."""
+    def rises(c: Column, ref: float, beta: float) -> Column:
+        return 1 + beta * F.least(F.lit(3.0), F.abs(c) / ref)
+
+    scaled = base / F.greatest(F.lit(1.0), F.sqrt(horizon_hours)) * rises(vol, vol_ref, vol_beta) * (1 + liquidity_beta * (1 - clamp(liquidity, 0.0, 1.0)))
+    return clamp(scaled * rises(spread_bps, spread_ref, spread_beta) * rises(funding, funding_ref, funding_beta), low, high)
+
+
+def horizon_multiplier(horizon_hours: Column, profile: CostProfile = CostProfile()) -> Column:
+    """The profile's multiplier of the horizon; that of an hour for horizons it doesn't name."""
+    m = F.when(horizon_hours == profile.multipliers[0][0], profile.multipliers[0][1])
+    for hours, by in profile.multipliers[1:]:
+        m = m.when(horizon_hours == hours, by)
+    return m.otherwise(dict(profile.multipliers).get(1, 1.0))
+
+
+def cost_breakdown(vol: Column, liquidity: Column, turnover: Column, horizon_hours: Column, spread_bps: Column, funding: Column, notional: Column, impact_scale: float = 1.0, profile: CostProfile = CostProfile()) -> dict[str, Column]:
+    """Costs in basis points of notional by component, and in all. Without a notional the infrastructure costs what the profile says for an hour."""
+    m = horizon_multiplier(horizon_hours, profile)
+    infra = F.when(notional > 1e-9, profile.infra_usd_per_hour * horizon_hours / notional * 1e4).otherwise(profile.infra_bps_per_hour * horizon_hours)
     parts = {
-        "fee": fee_bps * turnover,
-        "slippage": (1 + 100 * vol) * (1.5 - clamp(liquidity, 0.0, 1.0)) * turnover,
-        "impact": 2 * turnover * turnover * (1.5 - clamp(liquidity, 0.0, 1.0)),
-        "funding": 0.1 * horizon_hours / 8,
-        "infra": F.lit(0.2),
+        "fee": profile.fee_bps * m,
+        "slippage": (profile.slippage_bps + 0.1 * spread_bps) * m * (1 + profile.liquidity * (1 - clamp(liquidity, 0.0, 1.0))),
+        "impact": profile.impact_bps * m * impact_scale * (1 + profile.turnover * turnover) * (1 + 0.5 * F.greatest(F.lit(0.0), vol)),
+        "funding": F.abs(funding) * profile.funding * horizon_hours * 1e4,
+        "infra": infra,
     }
+    parts = {k: F.greatest(F.lit(0.0), c) for k, c in parts.items()}
     return parts | {"total": sum(parts.values(), F.lit(0.0))}
 
 
-def simple_cost(imbalance: Column, ret: Column, volume: Column, horizon_hours: Column) -> Column:
-    """Share of notional: fee, slippage and impact times a multiplier of the horizon."""
-    impact = F.abs(ret) / F.sqrt(F.greatest(F.lit(1.0), volume))
-    return (5e-4 + 3e-4 * (1 + F.abs(imbalance)) + 0.1 * impact) * (1 + 0.1 * F.log1p(horizon_hours))
+def simple_cost(imbalance: Column, volume_impact: Column, horizon_hours: Column, imbalance_bps: float = 4.0, profile: CostProfile = CostProfile()) -> Column:
+    """Share of notional: fee, slippage and impact (by imbalance of the book and by volume) times the horizon's multiplier."""
+    impact = profile.impact_bps + imbalance_bps * F.least(F.lit(1.0), F.abs(imbalance)) + 25.0 * clamp(volume_impact, 0.0, 0.02)
+    return (profile.fee_bps + profile.slippage_bps + impact) * horizon_multiplier(horizon_hours, profile) / 1e4
+
+
+def signal_score(features: dict[str, Column]) -> Column:
+    """Weighted sum of features by name; one that isn't given counts as 0. The trend is 0.6 of ret_12 and 0.4 of ret_48, the volatility penalty the sum of vol_12, vol_48 and vol_96 without their signs."""
+    get = lambda n: F.coalesce(features[n], F.lit(0.0)) if n in features else F.lit(0.0)
+    made = {"trend_bias": 0.6 * get("ret_12") + 0.4 * get("ret_48"), "vol_penalty": F.abs(get("vol_12")) + F.abs(get("vol_48")) + F.abs(get("vol_96"))}
+    return sum((w * made.get(n, get(n)) for n, w in SIGNAL_WEIGHTS.items()), F.lit(0.0))
+
+
+def proxy_book(open_: Column, high: Column, low: Column, close: Column, volume: Column, min_spread: float = 1.5, max_spread: float = 35.0, return_k: float = 2800.0, depth_k: float = 8.0, min_size: float = 1.0, size_div: float = 20.0, imbalance_k: float = 2.0) -> dict[str, Column]:
+    """A book that a bar stands for: spread_bps, imbalance, bid_px, ask_px, bid_sz, ask_sz."""
+    tiny = F.lit(1e-9)
+    volume = F.greatest(F.lit(0.0), F.coalesce(volume, F.lit(0.0)))
+    spread = clamp(min_spread + F.abs(F.log(F.greatest(close, tiny) / F.greatest(open_, tiny))) * return_k + depth_k / F.greatest(F.lit(1.0), F.log(2 + volume)), min_spread, max_spread)
+    imbalance = clamp(F.tanh(imbalance_k * (close - open_) / F.greatest(F.abs(high - low), F.greatest(close, F.lit(1e-6)) * 0.0005)), -0.95, 0.95)
+    size = F.greatest(F.lit(min_size), volume / size_div)
+    return {"spread_bps": spread, "imbalance": imbalance, "bid_px": close * (1 - spread / 2e4), "ask_px": close * (1 + spread / 2e4), "bid_sz": size * (1 + imbalance), "ask_sz": size * (1 - imbalance)}
+
+
+def startup_vector(kind: Column, tier: Column, confidence: Column, importance: Column, novelty: Column) -> Column:
+    """Score of the event type, of the source's tier (5 where unknown), confidence, importance and novelty (0 where unknown)."""
+    score = F.lit(0.0)
+    for name, value in STARTUP_SCORES.items():
+        score = F.when(F.lower(F.trim(kind)) == name, value).otherwise(score)
+    known = (F.coalesce(c, F.lit(0.0)).cast("double") for c in (confidence, importance, novelty))
+    return F.array(score, (6 - F.coalesce(tier, F.lit(5.0))) / 5.0, *known)
+
+
+def startup_targets(kind: Column, confidence: Column, importance: Column, novelty: Column) -> dict[str, Column]:
+    """Labels after 6, 12 and 24 months, exit, and the multiple to learn, from what an event says."""
+    confidence, importance, novelty = (F.coalesce(c, F.lit(0.0)) for c in (confidence, importance, novelty))
+    kind = F.coalesce(F.lower(F.trim(kind)), F.lit(""))
+    y6, y12 = (kind == "funding").cast("double"), kind.isin("funding", "mna").cast("double")
+    y24 = ((y12 > 0) | (kind == "product") | (confidence >= 0.8)).cast("double")
+    multiple = 0.8 + 1.0 * y6 + 1.2 * y12 + 0.8 * y24 + 0.4 * confidence + 0.3 * importance + 0.2 * novelty
+    return {"y6": y6, "y12": y12, "y24": y24, "y_exit": 1 - y24, "multiple": clamp(multiple, 0.2, 8.0)}
 
 
 def timeframe_seconds(tf: Column) -> Column:
@@ -129,8 +235,12 @@ def timeframe_seconds(tf: Column) -> Column:
     return n * F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
 
 
-def position_size(score: Column, confidence: Column, cost_bps: Column, vol: Column) -> Column:
-    return F.tanh(2 * score) * clamp(confidence, 0.0, 1.0) / (1 + cost_bps / 50) / (1 + 10 * vol)
+def position_size(score: Column, confidence: Column, cost_bps: Column, high_vol: Column, entry: float = 0.02, max_weight: float = 0.05, high_vol_mult: float = 0.65, cost_lambda: float = 1.2) -> Column:
+    """Weight of a position: none below the entry score, then saturating, more with confidence, less with cost and in high volatility."""
+    over = F.tanh((F.abs(score) - entry) / max(1e-9, 4 * entry))
+    cost = F.greatest(F.lit(0.1), 1 - cost_lambda * F.greatest(F.lit(0.0), cost_bps) / 1e4)
+    size = max_weight * over * (0.4 + 0.6 * clamp(confidence, 0.0, 1.0)) * cost * F.when(high_vol, high_vol_mult).otherwise(1.0)
+    return F.when(F.abs(score) < entry, 0.0).otherwise(F.greatest(F.lit(0.0), size))
 
 
 def stirling_lgamma(x: Column) -> Column:

@@ -18,8 +18,14 @@ def rows(n: int, *keys: str, until: int = 0, order: str = "ts"):
 
 
 def k_return(k: int, price: str = "close") -> Column:
-    """Log return over k bars, or over all there are."""
-    return F.log(F.col(price) / F.coalesce(F.lag(price, k).over(by()), F.first(price).over(by())))
+    """Return over k bars, or over all there are."""
+    base = F.coalesce(F.lag(price, k).over(by()), F.first(price).over(by()))
+    return (F.col(price) - base) / F.greatest(base, F.lit(1e-12))
+
+
+def volume_impact(price: str = "close", volume: str = "volume") -> Column:
+    """Size of the last return against the root of the volume."""
+    return F.abs(k_return(1, price)) / F.sqrt(F.greatest(F.lit(1.0), F.col(volume)))
 
 
 def log_return(price: str = "close") -> Column:

@@ -218,11 +218,21 @@ def pf14_feature_dropout(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", dropped.alias("embedding"))
 
 
-@query(f"WITH {NEWS} SELECT id, CASE symbol WHEN 'signup' THEN 1.0 WHEN 'purchase' THEN 0.8 ELSE 0.3 END::DOUBLE AS type_score, (6 - tier) / 5.0::DOUBLE AS tier_score, confidence, CASE WHEN sentiment > 0.3 THEN 1 ELSE 0 END AS label, 1 + round(greatest(sentiment, 0) * 2, 6) AS multiple FROM news")
+#: Start-up event types that the table's event types stand for.
+_STARTUP = {"signup": "funding", "purchase": "mna", "click": "product", "error": "regulatory"}
+_STARTED = NEWS + ", e AS (SELECT *, CASE symbol " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STARTUP.items()) + " ELSE '' END AS kind, (id % 10) / 10 AS importance, (id % 7) / 7 AS novelty FROM news), y AS (SELECT *, (kind = 'funding')::INT AS y6, (kind IN ('funding', 'mna'))::INT AS y12, (kind IN ('funding', 'mna', 'product') OR confidence >= 0.8)::INT AS y24 FROM e)"
+
+
+@query(f"WITH {_STARTED} SELECT id, CASE kind WHEN 'funding' THEN 1.0 WHEN 'mna' THEN 0.7 WHEN 'product' THEN 0.4 WHEN 'regulatory' THEN -0.3 ELSE 0 END::DOUBLE AS type_score, (6 - tier) / 5.0::DOUBLE AS tier_score, confidence, importance, round(novelty, 6) AS novelty, y6::DOUBLE AS y6, y12::DOUBLE AS y12, y24::DOUBLE AS y24, 1.0::DOUBLE - y24 AS y_exit, round(greatest(0.2, least(8, 0.8 + y6 + 1.2 * y12 + 0.8 * y24 + 0.4 * confidence + 0.3 * importance + 0.2 * novelty)), 6) AS multiple FROM y")
 def pf15_startup_vector(spark, sf):
-    kind = F.when(F.col("symbol") == "signup", 1.0).when(F.col("symbol") == "purchase", 0.8).otherwise(0.3)
-    v = F.array(kind, (6 - F.col("tier")) / 5.0, "confidence")
-    return news(spark, sf).withColumn("v", v).select("id", F.col("v")[0].alias("type_score"), F.col("v")[1].alias("tier_score"), F.col("v")[2].alias("confidence"), (F.col("sentiment") > 0.3).cast("int").alias("label"), (1 + F.round(F.greatest("sentiment", F.lit(0.0)) * 2, 6)).alias("multiple"))
+    kind = F.lit("")
+    for name, stands_for in _STARTUP.items():
+        kind = F.when(F.col("symbol") == name, stands_for).otherwise(kind)
+    n = news(spark, sf).withColumn("kind", kind).withColumn("importance", F.col("id") % 10 / 10).withColumn("novelty", F.col("id") % 7 / 7)
+    said = [F.col(c) for c in ("confidence", "importance", "novelty")]
+    rows = n.select("id", E.startup_vector(F.col("kind"), F.col("tier"), *said).alias("v"), *(c.alias(k) for k, c in E.startup_targets(F.col("kind"), *said).items()))
+    names = ("type_score", "tier_score", "confidence", "importance", "novelty")
+    return rows.select("id", *(F.round(F.col("v")[k], 6).alias(c) for k, c in enumerate(names)), "y6", "y12", "y24", "y_exit", F.round("multiple", 6).alias("multiple"))
 
 
 @query(f"WITH {DAYS}, b AS (SELECT symbol FROM days GROUP BY 1 HAVING count(*) < 550) SELECT symbol, count(*) AS n FROM days d WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.symbol = d.symbol) GROUP BY 1")

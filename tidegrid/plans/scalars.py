@@ -21,23 +21,26 @@ def _list(words):
 
 
 #: The generated texts hold no lexicon words: their most frequent words stand in for them, by replacement.
-_SPOKEN = "replace(replace(replace(lower({t}), ' the ', ' not good '), ' und ', ' very bad '), ' que ', ' slightly strong ')"
+_SPOKEN = "replace(replace(replace(lower({t}), ' the ', ' not gain '), ' und ', ' very weak '), ' que ', ' slightly strong ')"
 
 
 def _spoken(c):
-    for a, b in ((" the ", " not good "), (" und ", " very bad "), (" que ", " slightly strong ")):
+    for a, b in ((" the ", " not gain "), (" und ", " very weak "), (" que ", " slightly strong ")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-_D = "d AS (SELECT doc_id, regexp_extract_all(" + _SPOKEN.format(t="text") + ", '[a-z]+') AS w, (length(text) - length(replace(text, '!', ''))) AS bangs FROM documents WHERE text IS NOT NULL)"
-_V = f"CASE WHEN w[i] IN {_list(E.POSITIVE)} THEN 1.0 WHEN w[i] IN {_list(E.NEGATIVE)} THEN -1.0 ELSE 0.0 END::DOUBLE * CASE WHEN coalesce(w[i-1], '') IN {_list(E.NEGATIONS)} OR coalesce(w[i-2], '') IN {_list(E.NEGATIONS)} THEN -1.0 ELSE 1.0 END::DOUBLE * CASE WHEN coalesce(w[i-1], '') IN {_list(E.BOOSTERS)} THEN 1.35 WHEN coalesce(w[i-1], '') IN {_list(E.DAMPERS)} THEN 0.7 ELSE 1.0 END::DOUBLE"
+_D = "d AS (SELECT doc_id, regexp_extract_all(" + _SPOKEN.format(t="coalesce(text, '')") + ", '[a-z'']+|[0-9]+') AS w, coalesce(text, '') AS t FROM documents)"
+_NEAR = "(coalesce(w[i-1], '') IN {0} OR coalesce(w[i-2], '') IN {0})"
+_SIGN = f"CASE WHEN w[i] IN {_list(E.POSITIVE)} THEN 1.0 WHEN w[i] IN {_list(E.NEGATIVE)} THEN -1.0 ELSE 0.0 END::DOUBLE"
+_NEG = "(" + _NEAR.format("('" + "', '".join(w.replace("'", "''") for w in E.NEGATIONS) + "')") + " OR coalesce(w[i-1], '') LIKE '%n''t' OR coalesce(w[i-2], '') LIKE '%n''t')"
+_AMP = f"(CASE WHEN {_NEAR.format(_list(E.BOOSTERS))} THEN 1.35 ELSE 1.0 END * CASE WHEN {_NEAR.format(_list(E.DAMPERS))} THEN 0.7 ELSE 1.0 END)::DOUBLE"
+_SIGNS = lambda c, xs: "(" + " + ".join(f"contains({c}, '{x}')::INT" for x in xs) + ")"
 
 
-@query(f"WITH {_D}, u AS (SELECT doc_id, bangs, w, unnest(range(1, len(w) + 1)) AS i FROM d), v AS (SELECT doc_id, bangs, CASE WHEN i = 1 THEN replace_v1 WHEN i = 2 THEN replace_v2 ELSE v END AS v FROM (SELECT doc_id, bangs, i, {_V} AS v, {_V} AS replace_v1, {_V} AS replace_v2 FROM u)), s AS (SELECT doc_id, any_value(bangs) AS bangs, sum(v) AS total, count(*) FILTER (WHERE v <> 0) AS n FROM v GROUP BY 1) SELECT d.doc_id, round(greatest(-1.0, least(1.0, coalesce(total, 0) / greatest(1, coalesce(n, 0)) * least(1.25, 1 + 0.05 * d.bangs))), 6) + 0.0 AS sentiment FROM d LEFT JOIN s ON d.doc_id = s.doc_id".replace("CASE WHEN i = 1 THEN replace_v1 WHEN i = 2 THEN replace_v2 ELSE v END AS v", "v").replace(f", {_V} AS replace_v1, {_V} AS replace_v2", ""))
+@query(f"WITH {_D}, u AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), v AS (SELECT doc_id, {_SIGN} AS sign, CASE WHEN {_NEG} THEN -1.0 ELSE 1.0 END::DOUBLE AS turned, {_AMP} AS amp FROM u), s AS (SELECT doc_id, sum(sign * turned * amp) AS raw, sum(amp) AS weight FROM v WHERE sign <> 0 GROUP BY 1), e AS (SELECT d.doc_id, t, coalesce(raw, 0) + 0.6::DOUBLE * ({_SIGNS('t', E.HAPPY)} - {_SIGNS('t', E.SAD)}) AS raw, coalesce(weight, 0) + 0.6::DOUBLE * ({_SIGNS('t', E.HAPPY)} + {_SIGNS('t', E.SAD)}) AS weight FROM d LEFT JOIN s ON d.doc_id = s.doc_id) SELECT doc_id, round(CASE WHEN weight > 1e-9 THEN greatest(-1.0, least(1.0, raw / weight * least(1.25, 1 + 0.03 * (length(t) - length(replace(t, '!', '')))) * CASE WHEN {_SIGNS('lower(t)', E.SARCASM)} > 0 THEN 0.5 ELSE 1.0 END)) ELSE 0 END, 6) + 0.0 AS sentiment FROM e")
 def sc01_lexicon_sentiment(spark, sf):
-    d = table(spark, sf, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", (F.round(E.lexicon_sentiment(_spoken(F.lower("text"))), 6) + 0.0).alias("sentiment"))
+    return table(spark, sf, "documents").select("doc_id", (F.round(E.lexicon_sentiment(_spoken(F.lower("text"))), 6) + 0.0).alias("sentiment"))
 
 
 @query("SELECT doc_id, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS sentiment FROM (SELECT doc_id, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in E.POSITIVE) + " AS p, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in E.NEGATIVE) + " AS n FROM documents)")
@@ -62,9 +65,9 @@ def sc04_tickers(spark, sf):
 _KEYS = {"rates": ("the ", "und "), "energy": ("que ", "der "), "tech": ("tion", "ing")}
 
 
-@query("SELECT doc_id, concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in _KEYS.items()) + ", CASE WHEN NOT (" + " OR ".join(f"contains(lower(text), '{w}')" for ws in _KEYS.values() for w in ws) + ") THEN 'macro' END) AS entities, CASE WHEN contains(lower(text), '|') THEN 'table' WHEN contains(lower(text), '.') THEN 'prose' ELSE 'other' END AS event_type FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in _KEYS.items()) + ", CASE WHEN NOT (" + " OR ".join(f"contains(lower(text), '{w}')" for ws in _KEYS.values() for w in ws) + ") THEN 'macro' END) AS entities, CASE WHEN contains(lower(text), '|') THEN 'table' WHEN contains(lower(text), '.') THEN 'prose' ELSE 'other' END AS event_type FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def sc05_entity_map(spark, sf):
-    low = F.lower("text")
+    low = F.lower(F.coalesce("text", F.lit("")))
     hit = {k: F.lit(False) for k in _KEYS}
     for k, ws in _KEYS.items():
         for w in ws:
@@ -72,7 +75,7 @@ def sc05_entity_map(spark, sf):
     named = F.array_compact(F.array(*[F.when(h, k) for k, h in hit.items()]))
     entities = F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("macro")))
     kind = F.when(F.contains(low, F.lit("|")), "table").when(F.contains(low, F.lit(".")), "prose").otherwise("other")
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(entities, ",").alias("entities"), kind.alias("event_type"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(entities, ",").alias("entities"), kind.alias("event_type"))
 
 
 @query("SELECT p_partkey, p_name AS title, p_brand AS source FROM part UNION ALL SELECT -p_partkey, p_name, NULL FROM part")
@@ -102,10 +105,14 @@ def sc09_latency_prior(spark, sf):
     return news(spark, sf).select("id", r6(E.latency_prior(F.col("source"), F.col("tier"), F.col("id").cast("string")), "latency"))
 
 
-@query("SELECT doc_id, round(n_chars + 2 * (doc_id % 50) + 1.8 * (doc_id % 7) + 1.6 * (doc_id % 5) + 0.01 * n_chars, 6) AS engagement, CASE WHEN n_chars * 50 >= 100000 THEN 'mega' WHEN n_chars * 50 >= 10000 THEN 'macro' WHEN n_chars * 50 >= 1000 THEN 'micro' ELSE 'nano' END AS influence FROM documents")
+_ENG = "(n_chars + 2 * (doc_id % 50) + 1.8 * (doc_id % 7) + 1.6 * (doc_id % 5) + 0.01 * n_chars)"
+
+
+@query(f"SELECT doc_id, round({_ENG}, 6) AS engagement, CASE WHEN n_chars * 50 >= 1000000 THEN 'mega' WHEN n_chars * 50 >= 100000 THEN 'macro' WHEN n_chars * 50 >= 10000 THEN 'mid' WHEN n_chars * 50 >= 1000 THEN 'micro' ELSE 'nano' END AS influence, round(ln(1 + {_ENG}) + 0.5 * ln(1 + n_chars * 50) + abs(doc_id % 21 - 10) / 10 + 0.4 * (doc_id % 3), 6) AS heat, round(0.45 * least(1, n_chars * 50 / 100000) + 0.45 * least(1, {_ENG} / 5000) + CASE WHEN trim(coalesce(text, '')) <> '' THEN 0.1 ELSE 0 END, 6) AS coverage FROM documents")
 def sc10_engagement(spark, sf):
-    i = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", r6(E.engagement(F.col("n_chars"), i % 50, i % 7, i % 5, F.col("n_chars")), "engagement"), E.influence_tier(F.col("n_chars") * 50).alias("influence"))
+    i, followers = F.col("doc_id"), F.col("n_chars") * 50
+    engaged = E.engagement(F.col("n_chars"), i % 50, i % 7, i % 5, F.col("n_chars"))
+    return table(spark, sf, "documents").select("doc_id", r6(engaged, "engagement"), E.influence_tier(followers).alias("influence"), r6(E.heat_score(engaged, followers, (i % 21 - 10) / 10, i % 3), "heat"), r6(E.coverage_score(followers, engaged, F.col("text")), "coverage"))
 
 
 @query(f"WITH {NEWS} SELECT id, round(0.3 * confidence + 0.25 * greatest(0, least(1, (6 - tier) / 5)) + 0.25 * exp(-(available - occurred) / 3.6e9) + 0.2 * (id % 3) / 2, 6) AS quality FROM news")
@@ -116,12 +123,14 @@ def sc11_quality_score(spark, sf):
 
 
 _LIQ = "least(1, volume / 500)"
-_TURN = "greatest(0.05, least(2.0, 0.8 / sqrt(greatest(1, h)) * (1 + greatest(0, least(1, sigma / 100 * 10))) * (1.5 - 0.5 * greatest(0, least(1, liq))) * (1 + greatest(0, least(0.5, spread / 100))) * (1 + greatest(0, least(0.25, abs(mu / 1000) * 100)))))"
-_COSTS = PREDICTIONS + f", c0 AS (SELECT symbol, ts, mu, sigma, {_LIQ} AS liq, 10.0::DOUBLE AS spread, h FROM predictions, (VALUES (1), (4), (24)) t(h)), c AS (SELECT *, sigma / 100 AS vol, {_TURN} AS turnover FROM c0)"
+_HOURS = (1, 4, 24, 168)
+_MULT = "CASE h WHEN 4 THEN 1.6 WHEN 24 THEN 2.4 WHEN 168 THEN 3.2 ELSE 1.0 END::DOUBLE"
+_TURN = "greatest(0.01, least(3.0, 0.35 / greatest(1, sqrt(h)) * (1 + 0.8 * least(3, vol / 0.02)) * (1 + 0.5 * (1 - greatest(0, least(1, liq)))) * (1 + 0.25 * least(3, spread / 8)) * (1 + 0.1 * least(3, abs(mu / 1000) / 0.0005))))"
+_COSTS = PREDICTIONS + f", c0 AS (SELECT symbol, ts, mu, sigma / 100 AS vol, {_LIQ} AS liq, 10.0::DOUBLE AS spread, h FROM predictions, (VALUES (1), (4), (24), (168)) t(h)), c AS (SELECT *, {_TURN} AS turnover FROM c0)"
 
 
 def _costed(spark, sf):
-    p = predictions(spark, sf).withColumn("h", F.explode(F.array(*map(F.lit, (1, 4, 24))))).withColumn("liq", F.least(F.lit(1.0), F.col("volume") / 500)).withColumn("vol", F.col("sigma") / 100)
+    p = predictions(spark, sf).withColumn("h", F.explode(F.array(*map(F.lit, _HOURS)))).withColumn("liq", F.least(F.lit(1.0), F.col("volume") / 500)).withColumn("vol", F.col("sigma") / 100)
     return p.withColumn("turnover", E.turnover_estimate(F.col("h"), F.col("vol"), F.col("liq"), F.lit(10.0), F.col("mu") / 1000))
 
 
@@ -130,24 +139,35 @@ def sc12_turnover(spark, sf):
     return _costed(spark, sf).select("symbol", "ts", "h", r6(F.col("turnover"), "turnover"))
 
 
-@query(f"WITH {_COSTS}, p AS (SELECT *, 5 * turnover AS fee, (1 + 100 * vol) * (1.5 - greatest(0, least(1, liq))) * turnover AS slippage, 2 * turnover * turnover * (1.5 - greatest(0, least(1, liq))) AS impact, 0.1 * h / 8 AS funding, 0.2 AS infra FROM c) SELECT symbol, ts, h, round(fee, 6) AS fee, round(slippage, 6) AS slippage, round(impact, 6) AS impact, round(funding, 6)::DOUBLE AS funding, infra::DOUBLE AS infra, round(fee + slippage + impact + funding + infra, 6) AS total FROM p")
+@query(f"WITH {_COSTS}, p AS (SELECT symbol, ts, h, 5 * {_MULT} AS fee, (3 + 0.1 * spread) * {_MULT} * (1 + 0.6 * (1 - greatest(0, least(1, liq)))) AS slippage, 2 * {_MULT} * (1 + 0.3 * turnover) * (1 + 0.5 * vol) AS impact, abs(mu / 1000) * h * 1e4 AS funding, 1.88 / 7.2 * h / 50000 * 1e4 AS infra FROM c) SELECT symbol, ts, h, round(fee, 6) AS fee, round(slippage, 6) AS slippage, round(impact, 6) AS impact, round(funding, 6) AS funding, round(infra::DOUBLE, 6) AS infra, round(fee + slippage + impact + funding + infra, 6) AS total FROM p")
 def sc13_cost_breakdown(spark, sf):
-    parts = E.cost_breakdown(F.col("vol"), F.col("liq"), F.col("turnover"), F.col("h"))
+    parts = E.cost_breakdown(F.col("vol"), F.col("liq"), F.col("turnover"), F.col("h"), F.lit(10.0), F.col("mu") / 1000, F.lit(50_000.0))
     return _costed(spark, sf).select("symbol", "ts", "h", *(r6(c, n) for n, c in parts.items()))
 
 
-@query(f"WITH {BARS}, r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS ret FROM bars) SELECT symbol, ts, round((5e-4 + 3e-4 * (1 + abs((close - low) / nullif(high - low, 0) - 0.5)) + 0.1 * abs(ret) / sqrt(greatest(1, volume))) * (1 + 0.1 * ln(1 + 4)), 9) AS cost FROM r")
+_KBACK = "close / coalesce(lag(close, {k}) OVER (PARTITION BY symbol ORDER BY ts), first_value(close) OVER (PARTITION BY symbol ORDER BY ts)) - 1"
+_BOOK = "greatest(-0.95, least(0.95, tanh(2 * (close - open) / greatest(abs(high - low), greatest(close, 1e-6) * 0.0005))))"
+
+
+@query(f"WITH {BARS}, r AS (SELECT symbol, ts, {_BOOK} AS imbalance, abs({_KBACK.format(k=1)}) / sqrt(greatest(1, volume)) AS impact FROM bars), x AS (SELECT r.*, h FROM r, (VALUES (1), (4), (24), (168)) t(h)) SELECT symbol, ts, h, round((5 + 3 + 2 + 4 * least(1, abs(imbalance)) + 25 * greatest(0, least(0.02, impact))) * {_MULT} / 1e4, 9) AS cost FROM x")
 def sc14_simple_cost(spark, sf):
-    imbalance = (F.col("close") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) - 0.5
-    return bars(spark, sf).withColumn("ret", R.log_return()).select("symbol", "ts", r6(E.simple_cost(imbalance, F.col("ret"), F.col("volume"), F.lit(4)), "cost", 9))
+    imbalance = E.proxy_book(*_C("open", "high", "low", "close", "volume"))["imbalance"]
+    r = bars(spark, sf).select("symbol", "ts", imbalance.alias("imbalance"), R.volume_impact().alias("impact")).withColumn("h", F.explode(F.array(*map(F.lit, _HOURS))))
+    return r.select("symbol", "ts", "h", r6(E.simple_cost(F.col("imbalance"), F.col("impact"), F.col("h")), "cost", 9))
 
 
-_TERMS = {"mu": 0.4, "sigma": -0.2, "p_up": 0.3, "volume": 0.0005}
+_VOL = "CASE WHEN rn < 3 THEN 0 ELSE stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) END"
 
 
-@query(f"WITH {PREDICTIONS} SELECT symbol, ts, round(" + " + ".join(f"{w} * {c}" for c, w in _TERMS.items()) + ", 6) AS score FROM predictions")
+@query(f"WITH {BARS}, r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars), f AS (SELECT symbol, ts, {', '.join(f'{_KBACK.format(k=k)} AS ret_{k}' for k in (1, 3, 12, 48))}, {', '.join(f'{_VOL.format(k=k - 1)} AS vol_{k}' for k in (12, 48, 96))}, {_BOOK} AS ob, (trades % 7) / 7 AS tier, least(1, trades / 10) AS conf, (trades % 11 - 5) / 5 AS post FROM r) SELECT symbol, ts, round(0.1 * ret_1 + 0.2 * ret_3 + 0.5 * ret_12 + 0.3 * ret_48 + 0.35 * (0.6 * ret_12 + 0.4 * ret_48) + 0.1 * ob + 0.04 * tier + 0.03 * conf + 0.04 * post - 0.01 * (vol_12 + vol_48 + vol_96), 6) AS score FROM f")
 def sc15_signal_score(spark, sf):
-    return predictions(spark, sf).select("symbol", "ts", r6(sum((F.col(c) * w for c, w in _TERMS.items()), F.lit(0.0)), "score"))
+    """The terms that bars can give: returns, volatilities and imbalance, and source and social ones from the number of trades."""
+    n = F.col("trades")
+    b = bars(spark, sf).withColumn("ret", R.log_return())
+    given = {f"ret_{k}": R.k_return(k) for k in (1, 3, 12, 48)} | {f"vol_{k}": R.realised_vol(k) for k in (12, 48, 96)}
+    given |= {"orderbook_imbalance": E.proxy_book(*_C("open", "high", "low", "close", "volume"))["imbalance"], "source_tier_weight": (n % 7) / 7, "source_confidence": F.least(F.lit(1.0), n / 10), "social_post_sentiment": (n % 11 - 5) / 5}
+    f = b.select("symbol", "ts", *(c.alias(k) for k, c in given.items()))
+    return f.select("symbol", "ts", r6(E.signal_score({k: F.col(k) for k in given}), "score"))
 
 
 @query("SELECT tf, CASE right(tf, 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END * left(tf, length(tf) - 1)::BIGINT AS seconds, count(*) AS n FROM (SELECT (p_size)::VARCHAR || CASE p_partkey % 5 WHEN 0 THEN 's' WHEN 1 THEN 'm' WHEN 2 THEN 'h' WHEN 3 THEN 'd' ELSE 'x' END AS tf FROM part) WHERE right(tf, 1) <> 'x' GROUP BY 1, 2")
@@ -157,12 +177,10 @@ def sc16_timeframes(spark, sf):
     return t.withColumn("seconds", E.timeframe_seconds(F.col("tf"))).where("seconds IS NOT NULL").groupBy("tf", "seconds").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {BARS}, s AS (SELECT symbol, ts, close, tanh(ln(close / open)) AS imbalance, volume, 2 + 1e3 * abs(ln(close / open)) / sqrt(1 + volume) AS spread_bps FROM bars) SELECT symbol, ts, round(spread_bps, 6) AS spread_bps, round(imbalance, 6) AS imbalance, round(close * (1 - spread_bps / 2e4), 6) AS bid_px, round(close * (1 + spread_bps / 2e4), 6) AS ask_px, round(volume * (1 + imbalance) / 2, 6) AS bid_sz FROM s")
+@query(f"WITH {BARS}, s AS (SELECT symbol, ts, close, {_BOOK} AS imbalance, greatest(1, volume / 20) AS size, least(35.0, greatest(1.5, 1.5 + abs(ln(greatest(close, 1e-9) / greatest(open, 1e-9))) * 2800 + 8 / greatest(1, ln(2 + volume)))) AS spread_bps FROM bars) SELECT symbol, ts, round(spread_bps, 6) AS spread_bps, round(imbalance, 6) AS imbalance, round(close * (1 - spread_bps / 2e4), 6) AS bid_px, round(close * (1 + spread_bps / 2e4), 6) AS ask_px, round(size * (1 + imbalance), 6) AS bid_sz, round(size * (1 - imbalance), 6) AS ask_sz FROM s")
 def sc17_proxy_book(spark, sf):
-    move = F.log(F.col("close") / F.col("open"))
-    s = bars(spark, sf).select("symbol", "ts", "close", "volume", F.tanh(move).alias("im"), (2 + 1e3 * F.abs(move) / F.sqrt(1 + F.col("volume"))).alias("sp"))
-    close, sp = _C("close", "sp")
-    return s.select("symbol", "ts", r6(sp, "spread_bps"), r6(F.col("im"), "imbalance"), r6(close * (1 - sp / 2e4), "bid_px"), r6(close * (1 + sp / 2e4), "ask_px"), r6(F.col("volume") * (1 + F.col("im")) / 2, "bid_sz"))
+    book = E.proxy_book(*_C("open", "high", "low", "close", "volume"))
+    return bars(spark, sf).select("symbol", "ts", *(r6(c, n) for n, c in book.items()))
 
 
 @query(f"WITH {BARS}, m AS (SELECT symbol, ts FROM bars WHERE trades % 3 = 0) SELECT symbol, ts, round((close - open) * volume, 6) AS flow FROM bars b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.symbol = b.symbol AND m.ts = b.ts)")
@@ -172,9 +190,9 @@ def sc18_proxy_flow(spark, sf):
     return b.join(known, ["symbol", "ts"], "left_anti").select("symbol", "ts", r6((F.col("close") - F.col("open")) * F.col("volume"), "flow"))
 
 
-@query(f"WITH {PREDICTIONS} SELECT symbol, ts, round(tanh(2 * mu) * greatest(0, least(1, p_up)) / (1 + 10.0 / 50) / (1 + 10 * sigma), 6) AS size FROM predictions")
+@query(f"WITH {PREDICTIONS} SELECT symbol, ts, round(CASE WHEN abs(mu) < 0.02 THEN 0 ELSE 0.05 * tanh((abs(mu) - 0.02) / 0.08) * (0.4 + 0.6 * p_up) * (1 - 1.2 * 10 / 10000) * CASE WHEN sigma > 1 THEN 0.65 ELSE 1 END END, 6) AS size FROM predictions")
 def sc19_position_size(spark, sf):
-    return predictions(spark, sf).select("symbol", "ts", r6(E.position_size(F.col("mu"), F.col("p_up"), F.lit(10.0), F.col("sigma")), "size"))
+    return predictions(spark, sf).select("symbol", "ts", r6(E.position_size(F.col("mu"), F.col("p_up"), F.lit(10.0), F.col("sigma") > 1), "size"))
 
 
 @query(f"WITH {FILLS} SELECT order_id, line, round(CASE WHEN side = 'buy' THEN price - est_price ELSE est_price - price END / est_price * 1e4, 4) AS slippage_bps, round(sqrt(qty) * 0.5, 6) AS impact_bps FROM fills")
