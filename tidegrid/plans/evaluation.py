@@ -125,9 +125,8 @@ def ev12_drift_verdict(spark, sf):
 _PAR = FILLS + ", b AS (SELECT target, sum(est_price * qty) AS n, avg(est_price) AS ret FROM fills GROUP BY 1), p AS (SELECT target, sum(price * qty) AS n, avg(price) AS ret, count(*) AS orders FROM fills WHERE status <> 'rejected' GROUP BY 1)"
 
 
-#: Costs that a backtest assumes of a fill, as shares of its notional: the tables hold none, so they are those of the
-#: shared definition at its reference point (volatility 0.02, liquidity 0.8), the whole notional being traded.
-_BACKTEST_COSTS = {k: c / 1e4 for k, c in zip(("fee", "slippage", "impact"), (5.0, (1 + 100 * 0.02) * (1.5 - 0.8), 2 * (1.5 - 0.8)))}
+#: Costs that a backtest assumes of a fill, as shares of its notional; the tables hold none.
+_BACKTEST_COSTS = {"fee": 5.0e-4, "slippage": 2.1e-4, "impact": 1.4e-4}
 
 
 def _paper_costs():
@@ -150,7 +149,10 @@ def _parity(f, *keys):
     return b.join(p, on).select(*(b[k] for k in (*keys, "target")), "bn", "br", "pn", "pr", "orders", "fee", "slippage", "impact")
 
 
-@query(f"WITH {_PAR} SELECT count(*) AS matched, round(sum(b.ret * b.n) / sum(b.n), 4) AS backtest, round(sum(p.ret * p.n) / sum(p.n), 4) AS paper, round(abs(sum(p.ret * p.n) / sum(p.n) - sum(b.ret * b.n) / sum(b.n)) / greatest(1e-4, abs(sum(b.ret * b.n) / sum(b.n))), 5) AS deviation, CASE WHEN count(*) < 2 THEN 'insufficient_matched_targets' WHEN sum(orders) < 50 THEN 'insufficient_paper_orders' ELSE 'evaluated' END AS status FROM b JOIN p ON b.target = p.target")
+_SPANS = FILLS + f", w(days) AS (VALUES (7), (30), (NULL)), f AS (SELECT days, fills.* FROM fills, (SELECT max(ts) AS last FROM fills), w WHERE days IS NULL OR last - ts < days * {DAY}), b AS (SELECT days, target, sum(est_price * qty) AS n, avg(est_price) AS ret FROM f GROUP BY 1, 2), p AS (SELECT days, target, sum(price * qty) AS n, avg(price) AS ret, count(*) AS orders FROM f WHERE status <> 'rejected' GROUP BY 1, 2), j AS (SELECT b.days, b.n AS bn, b.ret AS br, p.n AS pn, p.ret AS pr, orders FROM b JOIN p ON b.days IS NOT DISTINCT FROM p.days AND b.target = p.target), per AS (SELECT days, count(*) AS matched, sum(br * bn) / sum(bn) AS back, sum(pr * pn) / sum(pn) AS paper, CASE WHEN count(*) < 2 THEN 'insufficient_matched_targets' WHEN sum(orders) < 50 THEN 'insufficient_paper_orders' ELSE 'evaluated' END AS status FROM j GROUP BY 1)"
+
+
+@query(f"WITH {_SPANS} SELECT w.days AS window_days, coalesce(matched, 0) AS matched, round(back, 4) AS backtest, round(paper, 4) AS paper, round(abs(paper - back) / greatest(1e-4, abs(back)), 5) AS deviation, coalesce(status, 'insufficient_matched_targets') AS status FROM w LEFT JOIN per ON w.days IS NOT DISTINCT FROM per.days")
 def ev13_parity(spark, sf):
     back, paper = F.sum(F.col("br") * F.col("bn")) / F.sum("bn"), F.sum(F.col("pr") * F.col("pn")) / F.sum("pn")
     status = F.when(F.count("*") < 2, "insufficient_matched_targets").when(F.sum("orders") < 50, "insufficient_paper_orders").otherwise("evaluated")
@@ -165,7 +167,10 @@ def ev13_parity(spark, sf):
     return windows.join(per, "days", "left").select(F.nullif("days", F.lit(0)).alias("window_days"), F.coalesce("matched", F.lit(0)).alias("matched"), "backtest", "paper", "deviation", filled)
 
 
-@query(f"WITH {_PAR} SELECT b.target, round(p.ret - b.ret, 4) AS gap, orders FROM b JOIN p ON b.target = p.target ORDER BY abs(p.ret - b.ret) DESC, b.target LIMIT 20")
+_PAPER = "SELECT target, sum(greatest(0, fee / (est_price * qty)) * est_price * qty) / sum(est_price * qty) AS fee, sum(slip * est_price * qty) / sum(est_price * qty) AS slippage, sum(greatest(0, 0.00085 - greatest(0, fee / (est_price * qty)) - slip) * est_price * qty) / sum(est_price * qty) AS impact FROM (SELECT *, greatest(0, CASE WHEN side = 'buy' THEN price - est_price ELSE est_price - price END / est_price) AS slip FROM fills WHERE status <> 'rejected' AND est_price > 0 AND qty > 0) GROUP BY 1"
+
+
+@query(f"WITH {_PAR}, c AS ({_PAPER}), x AS (SELECT b.target, b.ret AS br, p.ret AS pr, orders, 0.0005 - coalesce(fee, 0) AS fee_delta, 0.00021 - coalesce(slippage, 0) AS slippage_delta, 0.00014 - coalesce(impact, 0) AS impact_delta FROM b JOIN p ON b.target = p.target LEFT JOIN c ON b.target = c.target) SELECT target, round(pr - br, 4) AS gap, round(abs(pr - br) / greatest(0.02, abs(br), abs(pr)), 6) AS relative_deviation, orders, round(fee_delta, 6) AS fee_delta, round(slippage_delta, 6) AS slippage_delta, round(impact_delta, 6) AS impact_delta, round(fee_delta + slippage_delta + impact_delta, 6) AS total_delta FROM x")
 def ev14_parity_gap(spark, sf):
     gap = F.col("pr") - F.col("br")
     relative = F.abs(gap) / F.greatest(F.lit(0.02), F.abs("br"), F.abs("pr"))

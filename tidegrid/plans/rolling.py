@@ -25,7 +25,7 @@ def r6(c, name):
 _KS = (1, 3, 12, 48, 96, 288)
 
 
-@query(f"WITH {BARS} SELECT symbol, ts, " + ", ".join(f"round(ln(close / coalesce(lag(close, {k}) OVER ({_W}), first_value(close) OVER ({_W}))), 6) AS ret_{k}" for k in _KS) + " FROM bars")
+@query(f"WITH {BARS} SELECT symbol, ts, " + ", ".join(f"round(close / coalesce(lag(close, {k}) OVER ({_W}), first_value(close) OVER ({_W})) - 1, 6) AS ret_{k}" for k in _KS) + " FROM bars")
 def wn01_returns(spark, sf):
     return bars(spark, sf).select("symbol", "ts", *(r6(R.k_return(k), f"ret_{k}") for k in _KS))
 
@@ -35,9 +35,9 @@ def wn02_realised_vol(spark, sf):
     return _ret(spark, sf).select("symbol", "ts", *(r6(R.realised_vol(k), f"vol_{k}") for k in (12, 48, 96)))
 
 
-@query(f"WITH {_RET} SELECT symbol, ts, round(CASE WHEN stddev_pop(volume) OVER w > 1e-12 THEN (volume - avg(volume) OVER w) / stddev_pop(volume) OVER w ELSE 0 END, 6) AS volume_z, round(ln(1 + volume), 6) AS log_volume, round(abs(ret) / sqrt(greatest(1, volume)), 6) AS impact FROM r WINDOW w AS {_ROWS(48)}")
+@query(f"WITH {_RET} SELECT symbol, ts, round(CASE WHEN stddev_pop(volume) OVER w > 1e-12 THEN (volume - avg(volume) OVER w) / stddev_pop(volume) OVER w ELSE 0 END, 6) AS volume_z, round(ln(1 + volume), 6) AS log_volume, round(abs(close / coalesce(lag(close) OVER ({_W}), close) - 1) / sqrt(greatest(1, volume)), 6) AS impact FROM r WINDOW w AS {_ROWS(48)}")
 def wn03_volume(spark, sf):
-    return _ret(spark, sf).select("symbol", "ts", r6(R.zscore("volume", 49), "volume_z"), r6(F.log1p("volume"), "log_volume"), r6(F.abs("ret") / F.sqrt(F.greatest(F.lit(1.0), "volume")), "impact"))
+    return _ret(spark, sf).select("symbol", "ts", r6(R.zscore("volume", 49), "volume_z"), r6(F.log1p("volume"), "log_volume"), r6(R.volume_impact(), "impact"))
 
 
 def _ewm_sql(span, n, c="close"):
@@ -115,16 +115,13 @@ def wn12_latest_per_key(spark, sf):
     return latest.select("user_id", "r.*")
 
 
-_T0 = 1_704_067_200_000_000
-
-
 def _span(t):
     """The first and the last time of the table, 0 where it is empty."""
     low, high = t.agg(F.min("ts"), F.max("ts")).first()
     return low or 0, high or 0
 
 
-@query(f"WITH {TICKS}, b AS (SELECT DISTINCT symbol, ts - ts % {HOUR} AS b FROM ticks WHERE id % 3 = 0 AND ts - ts % {HOUR} BETWEEN {_T0} AND {_T0 + 30 * DAY}), e AS (SELECT * FROM b UNION ALL SELECT DISTINCT symbol, x FROM b, (VALUES ({_T0 - HOUR}), ({_T0 + 30 * DAY + HOUR})) t(x)), n AS (SELECT symbol, b, lead(b) OVER (PARTITION BY symbol ORDER BY b) AS nx FROM e) SELECT symbol, b + {HOUR} AS gap_start, nx - {HOUR} AS gap_end, ((nx - b) // {HOUR} - 1)::BIGINT AS missing FROM n WHERE nx - b > {HOUR}")
+@query(f"WITH {TICKS}, span AS (SELECT min(ts) - min(ts) % {HOUR} AS a, max(ts) - max(ts) % {HOUR} AS z FROM ticks), b AS (SELECT DISTINCT symbol, user_id, ts - ts % {HOUR} AS b FROM ticks), k AS (SELECT DISTINCT symbol, user_id FROM b), e AS (SELECT * FROM b UNION ALL SELECT symbol, user_id, a - {HOUR} FROM k, span UNION ALL SELECT symbol, user_id, z + {HOUR} FROM k, span), n AS (SELECT symbol, user_id, b, lead(b) OVER (PARTITION BY symbol, user_id ORDER BY b) AS nx FROM e) SELECT symbol, user_id, b + {HOUR} AS gap_start, nx - {HOUR} AS gap_end, ((nx - b) // {HOUR} - 1)::BIGINT AS missing FROM n WHERE nx - b > {HOUR}")
 def wn13_gaps(spark, sf):
     # By symbol and user, whose hours are sparse at any size of the table.
     t = ticks(spark, sf)
@@ -132,7 +129,7 @@ def wn13_gaps(spark, sf):
     return R.gaps(t, start - start % HOUR, end - end % HOUR, HOUR, ("symbol", "user_id"))
 
 
-@query(f"WITH {TICKS}, p AS (SELECT symbol, CASE WHEN ts % {HOUR} = 0 THEN ts ELSE ts - ts % {HOUR} + {HOUR} END AS b, last(price ORDER BY ts, id) AS value FROM ticks WHERE id % 7 = 0 GROUP BY 1, 2), g AS (SELECT symbol, unnest(range(min(b), {_T0 + 30 * DAY} + 1, {HOUR})) AS ts FROM p WHERE b <= {_T0 + 30 * DAY} GROUP BY 1) SELECT g.symbol, g.ts, value FROM g ASOF JOIN p ON g.symbol = p.symbol AND g.ts >= p.b")
+@query(f"WITH {TICKS}, p AS (SELECT symbol, CASE WHEN ts % {HOUR} = 0 THEN ts ELSE ts - ts % {HOUR} + {HOUR} END AS b, last(price ORDER BY ts, id) AS value FROM ticks GROUP BY 1, 2), g AS (SELECT symbol, unnest(range(min(b), (SELECT max(b) FROM p) + 1, {HOUR})) AS ts FROM p GROUP BY 1) SELECT g.symbol, g.ts, value FROM g ASOF JOIN p ON g.symbol = p.symbol AND g.ts >= p.b")
 def wn14_forward_fill(spark, sf):
     t = ticks(spark, sf)
     end = _span(t)[1]

@@ -52,7 +52,7 @@ def st03_sliding(spark, sf):
     return out.select("symbol", _start().alias("start"), "n", r6(F.col("mean"), "mean"))
 
 
-@query(f"WITH {TICKS}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < {2 * HOUR} THEN 0 ELSE 1 END AS new FROM ticks), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n, min(ts) AS a FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c WHERE a < 1705276800000000 GROUP BY 1")
+@query(f"WITH {TICKS}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < {2 * HOUR} THEN 0 ELSE 1 END AS new FROM ticks), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n, min(ts) AS a FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1")
 def st04_sessions(spark, sf):
     # Sessions close in append mode once the watermark has passed them, so closing rows follow the last event.
     t = ticks(spark, sf).withColumn("ts", F.timestamp_micros("ts"))
@@ -95,7 +95,7 @@ def st08_reject_alerts(spark, sf):
     return S.last_update(S.run(rows, "update"), "window").where("rate > 0.08").select(_start().alias("start"), r6(F.col("rate"), "rate"), "n")
 
 
-@query(f"WITH {TICKS}, p AS (SELECT symbol, ts, price FROM ticks WHERE id % 10 = 0), q AS (SELECT symbol, ts, price FROM ticks WHERE id % 10 = 1) SELECT p.symbol, count(*) AS pairs, count(*) FILTER (WHERE q.price > p.price) AS hits FROM p JOIN q ON p.symbol = q.symbol AND q.ts >= p.ts + {HOUR} AND q.ts < p.ts + {2 * HOUR} GROUP BY 1")
+@query(f"WITH {TICKS}, p AS (SELECT symbol, ts, price FROM ticks), q AS (SELECT symbol, ts, price FROM ticks) SELECT p.symbol, count(*) AS pairs, count(*) FILTER (WHERE q.price > p.price) AS hits FROM p JOIN q ON p.symbol = q.symbol AND q.ts >= p.ts + {HOUR} AND q.ts < p.ts + {2 * HOUR} GROUP BY 1")
 def st09_interval_join(spark, sf):
     s = _source(spark, sf)
     p = s.select("symbol", "ts", "price")
