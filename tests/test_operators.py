@@ -48,6 +48,62 @@ def test_range_join_against_all_pairs(spark):
     assert range_join(l, r, ["k"], 5000, 6000, how="left").count() == 60
 
 
+def test_range_join_left_keeps_each_row(spark):
+    l = spark.createDataFrame([("x", 10, None), ("x", 10, None), ("x", 10, "p"), (None, 10, "q"), ("x", None, "r"), ("y", 10, "s"), ("x", 11, "t")], "k string, ts long, note string")
+    r = spark.createDataFrame([("x", 11, 1), ("x", 12, 2), (None, 10, 3), ("x", None, 4)], "k string, right_ts long, j int")
+    got = sorted(((x.k, x.ts, x.note, x.right_ts, x.j) for x in range_join(l, r, ["k"], 0, 1, how="left").collect()), key=repr)
+    want = [("x", 10, None, 11, 1)] * 2 + [("x", 10, "p", 11, 1), (None, 10, "q", None, None), ("x", None, "r", None, None), ("y", 10, "s", None, None), ("x", 11, "t", 11, 1), ("x", 11, "t", 12, 2)]
+    assert got == sorted(want, key=repr)
+    assert range_join(l, r, ["k"], 0, 1).count() == 5
+    assert range_join(l, r, ["k"], 1, 1, how="left").where("j IS NOT NULL").count() == 4
+
+
+def test_asof_null_keys_clashing_names_and_no_keys(spark):
+    l = spark.createDataFrame([(1, None, 100, 5.0), (2, "a", 100, 5.0), (3, "a", None, 5.0)], "id int, k string, ts long, v double")
+    r = spark.createDataFrame([(None, 90, 1, 1.0), ("a", 95, 2, 2.0), ("a", None, 3, 3.0)], "k string, ts long, id int, v double")
+    out = asof_join(l, r, ["k"], {"v": "v"})
+    assert sorted(out.columns) == ["id", "k", "missing", "right_ts", "ts", "v"]
+    assert {x.id: (x.v, x.missing) for x in out.collect()} == {1: (None, 1), 2: (2.0, 0), 3: (None, 1)}
+    random.seed(3)
+    left = [(i, random.randrange(-300, 600)) for i in range(200)]
+    right = [(random.randrange(-300, 600), i) for i in range(60)]
+    got = asof_join(spark.createDataFrame(left, "id int, ts long"), spark.createDataFrame(right, "ts long, n int"), [], {"n": "n"}, tie="n", max_age=20)
+    for x in got.collect():
+        known = [(t, n) for t, n in right if x.ts - 20 <= t <= x.ts]
+        assert (x.n, x.right_ts, x.missing) == ((max(known)[1], max(known)[0], 0) if known else (None, None, 1))
+    with pytest.raises(ValueError):
+        asof_join(l, r, [], {"v": "v"})
+
+
+def test_costs_and_scores_by_hand(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first().x
+    d = F.lit
+    # 0.35 / 2 * (1 + 0.8 * 1) * (1 + 0.5 * 0.5) * (1 + 0.25 * 1) * (1 + 0.1 * 3)
+    assert value(E.turnover_estimate(d(4.0), d(-0.02), d(0.5), d(8.0), d(0.5))) == pytest.approx(0.35 / 2 * 1.8 * 1.25 * 1.25 * 1.3)
+    assert value(E.turnover_estimate(d(1e9), d(0.0), d(1.0), d(0.0), d(0.0))) == 0.01
+    costs = {k: value(c) for k, c in E.cost_breakdown(d(0.04), d(0.5), d(0.2), d(24), d(10.0), d(-0.0001), d(1000.0)).items()}
+    assert costs == pytest.approx({"fee": 12.0, "slippage": 4 * 2.4 * 1.3, "impact": 2 * 2.4 * 1.06 * 1.02, "funding": 24.0, "infra": 1.88 / 7.2 * 24 / 1000 * 1e4, "total": 12 + 4 * 2.4 * 1.3 + 4.8 * 1.06 * 1.02 + 24 + 1.88 / 7.2 * 240})
+    assert value(E.cost_breakdown(d(0.0), d(1.0), d(0.0), d(2), d(0.0), d(0.0), d(0.0))["total"]) == pytest.approx(10.0)
+    assert value(E.simple_cost(d(-3.0), d(0.5), d(4))) == pytest.approx((5 + 3 + 2 + 4 + 0.5) * 1.6 / 1e4)
+    assert value(E.signal_score({"ret_12": d(1.0), "vol_48": d(-2.0)})) == pytest.approx(0.5 + 0.35 * 0.6 - 0.02)
+    assert value(E.position_size(d(0.019), d(1.0), d(0.0), d(False))) == 0
+    assert value(E.position_size(d(-0.10), d(0.5), d(100.0), d(True))) == pytest.approx(0.05 * 0.7615941559557649 * 0.7 * 0.988 * 0.65)
+    assert [value(E.influence_tier(d(n))) for n in (999, 1_000, 10_000, 100_000, 1_000_000)] == ["nano", "micro", "mid", "macro", "mega"]
+    book = {k: value(c) for k, c in E.proxy_book(d(100.0), d(102.0), d(100.0), d(101.0), d(200.0)).items()}
+    assert book["imbalance"] == pytest.approx(0.7615941559557649) and book["bid_sz"] == pytest.approx(10 * 1.7615941559557649)
+    assert book["spread_bps"] == pytest.approx(1.5 + 2800 * 0.00995033085316808 + 8 / 5.308267697401205)
+    assert value(E.startup_vector(d("MNA "), d(2.0), d(0.5), d(None).cast("double"), d(0.25))) == pytest.approx([0.7, 0.8, 0.5, 0.0, 0.25])
+    assert value(E.startup_targets(d("product"), d(0.5), d(0.5), d(0.5))["multiple"]) == pytest.approx(0.8 + 0.8 + 0.2 + 0.15 + 0.1)
+
+
+def test_sentiment_by_hand(spark):
+    rows = {"strong gain": 1.0, "not a strong gain": 0.0, "very weak": -1.0, "slightly strong but loss": (0.7 - 1) / 1.7, "strong \U0001f4c9": 0.4 / 1.6, "gain!!": 1.0, "loss, weak, gain!": -1 / 3 * 1.03, "strong /s": 0.5, "isn't a record": -1.0, "": 0.0, "\U0001f680": 1.0, "words alone": 0.0}
+    df = spark.createDataFrame([(t,) for t in rows] + [(None,)], "t string").select("t", E.lexicon_sentiment(F.col("t")).alias("s"))
+    got = {r.t: r.s for r in df.collect()}
+    assert got.pop(None) == 0.0 and got == pytest.approx(rows)
+
+
 def test_purge_gap():
     day = 24 * HOUR
     folds = S.walk_forward(0, 40 * day, 10 * day, 3 * day, 3 * day, day, 3 * day)

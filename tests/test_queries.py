@@ -26,7 +26,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list:
     def plain(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA:
             return None
         if isinstance(v, (str, bytes)):
             return v
