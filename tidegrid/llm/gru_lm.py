@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, raw_of
+from .common import bounded_batches, checkpointed, raw_of, slices
 
 #: Frequent words with weights of their own; words of a class; classes of other words; size of the state.
 HEAD, MEMBERS, TAILS, STATE = 1024, 32, 32, 16
 #: Passes of averaging (each document takes part in one); lanes and steps of an update; step size; bytes of a scoring block.
-ROUNDS, LANES, STEPS, RATE, BLOCK = 2, 256, 20, 0.01, 24 << 20
+ROUNDS, LANES, STEPS, RATE, BLOCK = 2, 256, 20, 0.01, 8 << 20
 #: The end of a document. No word holds a line feed.
 END = b"\n"
 #: Rows of averaged weights.
@@ -42,7 +42,10 @@ def tail_class(word: bytes) -> int:
 
 @dataclass
 class Gru:
-    """Weights as views of one vector. Symbols: 0 .. HEAD-1 are frequent words, HEAD + k is any other word of class k."""
+    """Weights as views of one vector. Symbols: 0 .. HEAD-1 are frequent words, HEAD + k is any other word of class k.
+
+    Inside, features come first and words last, so that every operation runs along many words.
+    """
 
     flat: np.ndarray
     p: dict[str, np.ndarray] = field(default_factory=dict)
@@ -57,7 +60,7 @@ class Gru:
     @staticmethod
     def shapes() -> dict[str, tuple]:
         groups = HEAD // MEMBERS
-        return {"table": (HEAD + TAILS, 3 * STATE), "u": (STATE, 3 * STATE), "v": (STATE, groups + TAILS), "vb": (groups + TAILS,), "w": (groups, STATE, MEMBERS), "wb": (groups, MEMBERS)}
+        return {"table": (3 * STATE, HEAD + TAILS), "u": (3 * STATE, STATE), "v": (groups + TAILS, STATE), "vb": (groups + TAILS,), "w": (groups, MEMBERS, STATE), "wb": (groups, MEMBERS)}
 
     @classmethod
     def new(cls, head_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 1) -> Gru:
@@ -74,85 +77,105 @@ class Gru:
         return g
 
     def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, memory: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """x: steps x lanes of symbols read; keep: 0 where a document starts. Returns the states after each step and the last."""
+        """x: steps x lanes of symbols read; keep: 0 where a document starts; h: state x lanes. Returns the states (state x steps x lanes) and the last."""
         n, u = STATE, self.p["u"]
-        pre = self.p["table"][x]
-        out = np.empty((*x.shape, n), np.float32)
+        pre = self.p["table"].take(x, axis=1)
+        out = np.empty((n, *x.shape), self.flat.dtype)
         for t in range(len(x)):
-            h = h * keep[t][:, None]
-            a = h @ u
-            g = 0.5 * (np.tanh(0.5 * (pre[t, :, : 2 * n] + a[:, : 2 * n])) + 1)
-            r, z = g[:, :n], g[:, n:]
-            new = np.tanh(pre[t, :, 2 * n :] + r * a[:, 2 * n :])
+            h = h * keep[t]
+            a = u @ h
+            g = pre[: 2 * n, t] + a[: 2 * n]
+            g *= 0.5
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            r, z, an = g[:n], g[n:], a[2 * n :]
+            new = r * an
+            new += pre[2 * n :, t]
+            np.tanh(new, out=new)
             if memory is not None:
-                memory.append((h, a[:, 2 * n :], r, z, new))
-            h = new + z * (h - new)
-            out[t] = h
+                memory.append((h, an, r, z, new))
+            h = z * (h - new)
+            h += new
+            out[:, t] = h
         return out, h
 
-    def log_p(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
-        """Natural log-probability of each symbol y given the state before it; for symbols of TAILS that of the class alone.
-
-        With grads, adds the gradient of the summed negative log-likelihood there, that of h as "h".
-        """
-        p, groups, rows = self.p, HEAD // MEMBERS, np.arange(len(y))
-        group = np.where(y < HEAD, y // MEMBERS, groups + y - HEAD)
-        logits = h @ p["v"] + p["vb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        out = logits[rows, group] - np.log(total[:, 0])
-        if grads is not None:
-            d = e / total
-            d[rows, group] -= 1
-            grads["v"] += h.T @ d
-            grads["vb"] += d.sum(0)
-            grads["h"] = d @ p["v"].T
+    def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each symbol y given the state before it (words x state); for symbols of TAILS that of the class alone."""
+        return self._log_p(np.ascontiguousarray(h.T), y)
+
+    def _log_p(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
+        """With grads, adds the gradient of the summed negative log-likelihood there, that of h as "h"."""
+        p, groups, number = self.p, HEAD // MEMBERS, np.arange(len(y))
+        # Words of a class lie together.
+        group = np.where(y < HEAD, y // MEMBERS, y - (HEAD - groups)).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(groups + 1))
+        h, group, y = h.take(order, axis=1), group[order], y[order]
+        e = p["v"] @ h
+        e += p["vb"][:, None]
+        e -= e.max(0)
+        got = e[group, number]
+        np.exp(e, out=e)
+        total = e.sum(0)
+        got -= np.log(total)
+        if grads is not None:
+            e /= total
+            e[group, number] -= 1
+            grads["v"] += e @ h.T
+            grads["vb"] += e.sum(1)
+            dh = p["v"].T @ e
+        edges = np.searchsorted(group, np.arange(groups + 1)).tolist()
         for k in range(groups):
-            i = order[edges[k] : edges[k + 1]]
-            if not len(i):
+            a, b = edges[k], edges[k + 1]
+            if a == b:
                 continue
-            hi, member = h[i], y[i] - k * MEMBERS
-            logits = hi @ p["w"][k] + p["wb"][k]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1, keepdims=True)
-            some = rows[: len(i)]
-            out[i] += logits[some, member] - np.log(total[:, 0])
+            hi, member, some = h[:, a:b], y[a:b] - k * MEMBERS, number[: b - a]
+            e = p["w"][k] @ hi
+            e += p["wb"][k][:, None]
+            e -= e.max(0)
+            inside = e[member, some]
+            np.exp(e, out=e)
+            total = e.sum(0)
+            got[a:b] += inside - np.log(total)
             if grads is not None:
-                d = e / total
-                d[some, member] -= 1
-                grads["w"][k] += hi.T @ d
-                grads["wb"][k] += d.sum(0)
-                grads["h"][i] += d @ p["w"][k].T
+                e /= total
+                e[member, some] -= 1
+                grads["w"][k] += e @ hi.T
+                grads["wb"][k] += e.sum(1)
+                dh[:, a:b] += p["w"][k].T @ e
+        out = np.empty_like(got)
+        out[order] = got
+        if grads is not None:
+            grads["h"] = np.empty_like(dh)
+            grads["h"][:, order] = dh
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h0: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Summed negative log-likelihood of a window, its gradient as one vector, and the last state."""
+        """Summed negative log-likelihood of a window, its gradient as one vector, and the last state (h0 and it: lanes x state)."""
         n, memory, g = STATE, [], Gru(np.zeros_like(self.flat))
-        states, last = self.states(x, keep, h0, memory)
-        loss = -self.log_p(states.reshape(-1, n), y.ravel(), g.p).sum()
+        states, last = self.states(x, keep, np.ascontiguousarray(h0.T), memory)
+        loss = -self._log_p(states.reshape(n, -1), y.ravel(), g.p).sum()
         dh_out = g.p["h"].reshape(states.shape)
-        dx, da, used = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32), np.empty_like(states)
-        dh = np.zeros_like(h0)
+        dx, du = np.empty((3 * n, *x.shape), self.flat.dtype), g.p["u"]
+        dh = np.zeros_like(last)
+        da = np.empty((3 * n, x.shape[1]), self.flat.dtype)
         for t in range(len(x) - 1, -1, -1):
             h, an, r, z, new = memory[t]
-            dh = dh + dh_out[t]
-            dpn = dh * (1 - z) * (1 - new * new)
-            dx[t, :, :n] = da[t, :, :n] = dpn * an * r * (1 - r)
-            dx[t, :, n : 2 * n] = da[t, :, n : 2 * n] = dh * (h - new) * z * (1 - z)
-            dx[t, :, 2 * n :] = dpn
-            da[t, :, 2 * n :] = dpn * r
-            used[t] = h
-            dh = (dh * z + da[t] @ self.p["u"].T) * keep[t][:, None]
-        g.p["u"][:] = used.reshape(-1, n).T @ da.reshape(-1, 3 * n)
+            dh = dh + dh_out[:, t]
+            dpn = dh * (1 - z)
+            dpn *= 1 - new * new
+            np.multiply(dpn * an, r * (1 - r), out=da[:n])
+            np.multiply(dh * (h - new), z * (1 - z), out=da[n : 2 * n])
+            np.multiply(dpn, r, out=da[2 * n :])
+            dx[: 2 * n, t] = da[: 2 * n]
+            dx[2 * n :, t] = dpn
+            du += da @ h.T
+            dh = dh * z
+            dh += self.p["u"].T @ da
+            dh *= keep[t]
         ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g.p["table"][ids[order][first]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0)
-        return float(loss), g.flat, last
+        g.p["table"][:] = [np.bincount(ids, row, HEAD + TAILS) for row in dx.reshape(3 * n, -1)]
+        return float(loss), g.flat, last.T
 
 
 class Trainer:
@@ -228,7 +251,7 @@ def score_documents(model: Gru, y: np.ndarray, sizes: np.ndarray, lanes: int = 2
     first = np.zeros(len(y), bool)
     first[ends - sizes] = True
     got = np.zeros(len(y), np.float64)
-    h = np.zeros((lanes, STATE), np.float32)
+    h = np.zeros((STATE, lanes), np.float32)
     t = 0
     while t < steps:
         k = int((long > t).sum())
@@ -239,8 +262,8 @@ def score_documents(model: Gru, y: np.ndarray, sizes: np.ndarray, lanes: int = 2
         there = i >= 0
         start = first[i]
         x = np.where(start, 0, y[np.maximum(i - 1, 0)])
-        states, h = model.states(x, (~start).astype(np.float32), h[:k])
-        got[i[there]] = model.log_p(states[there], y[i[there]])
+        states, h = model.states(x, (~start).astype(np.float32), h[:, :k])
+        got[i[there]] = model._log_p(states.reshape(STATE, -1)[:, there.ravel()], y[i[there]])
     return np.add.reduceat(got, ends - sizes)
 
 
@@ -256,51 +279,61 @@ class LanguageModel:
     distinct: int
 
 
-def _block(doc_id: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit(5)), F.lit(blocks)).cast("int")
+def _block(text: str, blocks: int) -> Column:
+    """The block of a row, by its id and text, so that rows without an id are spread as well."""
+    return F.pmod(F.xxhash64("doc_id", text, F.lit(5)), F.lit(blocks)).cast("int")
+
+
+#: Bits of the number of a block's part.
+_PARTS = 20
 
 
 def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of each block with their numbers in training texts, 0 for words of other texts alone."""
+    """Words of each block with their numbers in training texts, 0 for words of other texts alone. at: the block, and which part of its words this is."""
     found: dict[int, tuple[Counter, Counter]] = {}
+    given: Counter = Counter()
 
     def out():
         for block, (learnt, other) in found.items():
             words = [*learnt, *(w for w in other if w not in learnt)]
             numbers = [learnt[w] for w in words]
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), pa.array(some, pa.binary()), pa.array(numbers[at : at + 20_000], pa.int64())], ["block", "word", "n"])
+            at = block << _PARTS | given[block]
+            given[block] += 1
+            for k in range(0, len(words), 20_000):
+                some = words[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(numbers[k : k + 20_000], pa.int64())], ["at", "word", "n"])
 
     for part in parts:
-        for block, train, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), raw_of(part.column(2))):
-            kept = found.setdefault(block, (Counter(), Counter()))[0 if train else 1]
-            kept.update(raw.lower().split())
-            kept[END] += 1
-        if sum(len(a) + len(b) for a, b in found.values()) > 600_000:
-            yield from out()
-            found.clear()
+        for at, column in slices(part.column(2)):
+            flags = (part.column(c).slice(at, len(column)).to_pylist() for c in (0, 1))
+            for block, train, raw in zip(*flags, raw_of(column)):
+                kept = found.setdefault(block, (Counter(), Counter()))[0 if train else 1]
+                kept.update(raw.lower().split())
+                kept[END] += 1
+            if sum(len(a) + len(b) for a, b in found.values()) > 500_000:
+                yield from out()
+                found.clear()
     yield from out()
 
 
 def word_counts(docs: DataFrame, train: Column, blocks: int, text: str = "text") -> DataFrame:
-    """block, word, n: the number of the word in all training texts, for every word of the block."""
-    rows = docs.select(_block("doc_id", blocks).alias("block"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    """block, word, n, kind, first: for every word of the block its number in all training texts and its tail class; first is set in one block of each word."""
+    rows = docs.select(_block(text, blocks).alias("block"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     # Documents of a block meet first, so that a word leaves its block once.
-    local = checkpointed(rows.repartition("block").mapInArrow(_count, "block int, word binary, n long")).repartition("word")
-    total = local.groupBy("word").agg(F.sum("n").alias("n"))
+    local = checkpointed(rows.repartition("block").mapInArrow(_count, "at long, word binary, n long")).repartition("word")
+    total = local.groupBy("word").agg(F.sum("n").alias("n"), F.min("at").alias("in"))
+    kind = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS)).cast("int")
     # A block that gave out its words in parts has some twice, with the same total.
-    return checkpointed(local.select("block", "word").join(total, "word"))
+    return checkpointed(local.select("at", "word").join(total, "word").select(F.shiftright("at", _PARTS).cast("int").alias("block"), "word", "n", kind.alias("kind"), (F.col("at") == F.col("in")).alias("first")))
 
 
 def fit_language_model(docs: DataFrame, train: Column, counts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> LanguageModel:
     """The model of all documents for which train holds. counts: as from word_counts."""
     spark = docs.sparkSession
-    known = counts.where("n > 0").groupBy("word").agg(F.max("n").alias("n"))
+    known = counts.where("first AND n > 0").select("word", "n", "kind")
     top = known.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()
     head = [END, *(bytes(r.word) for r in top)]
-    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS)).cast("int")
-    rows = known.groupBy(tail.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    rows = known.groupBy(F.col("kind").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     end_n = known.where(F.col("word") == F.lit(END)).collect()
     head_counts = np.array([end_n[0].n if end_n else 0, *(r.n for r in top)], np.float64)
     words, distinct = np.zeros(TAILS), np.zeros(TAILS)
@@ -314,7 +347,7 @@ def fit_language_model(docs: DataFrame, train: Column, counts: DataFrame, text:
     model.gru = Gru.new(head_counts, model.tail_words)
     learn = docs.where(train)
     for k in range(rounds):
-        part = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(rounds)) == k).select(F.col(text).alias("text"))
+        part = learn.where(F.pmod(F.xxhash64("doc_id", text, F.lit(9)), F.lit(rounds)) == k).select(F.col(text).alias("text"))
         shared = spark.sparkContext.broadcast((model.gru.flat, head))
         got = part.mapInArrow(_trained(shared, RATE / (1 + k)), "slice int, words double, weights binary").repartition("slice").mapInArrow(_averaged, "slice int, words double, weights binary").collect()
         flat = model.gru.flat.copy()
@@ -336,10 +369,10 @@ def _trained(shared, rate: float):
         kept: list[bytes] = []
         size = 0
         for part in parts:
-            for raw in raw_of(part.column(0)):
+            for raw in (raw for _, column in slices(part.column(0)) for raw in raw_of(column)):
                 kept.append(raw)
                 size += len(raw)
-                if size > BLOCK // 4:
+                if size > 6 << 20:
                     trainer.stream(*symbols.of(kept))
                     kept, size = [], 0
         if kept:
@@ -370,15 +403,15 @@ def _scorer(shared):
         model = shared.value
         if not docs.num_rows:
             return _SCORES.empty_table()
-        # Three numbers for each word of the block: its symbol, its count, and its place in the table of both. A word that
-        # came twice has one place.
-        number = dict(zip((w for chunk in counts.column("word").chunks for w in chunk.to_pylist()), counts.column("n").to_pylist()))
-        index = dict(zip(number, range(len(number))))
-        n = np.fromiter(number.values(), np.float64, len(number))
-        head = {w: k for k, w in enumerate(model.head)}
-        symbol = np.fromiter((head.get(w, -1) for w in index), np.int32, len(index))
-        kind = np.fromiter((tail_class(w) for w in index), np.int32, len(index))
-        symbol = np.where(symbol >= 0, symbol, HEAD + kind).astype(np.int32)
+        # For each word of the block its symbol, its count, and its place in the table of both. A word that came twice has one place.
+        words = [w for chunk in counts.column("word").chunks for w in chunk.to_pylist()]
+        index = dict(zip(words, range(len(words))))
+        n = counts.column("n").to_numpy().astype(np.float64)
+        kind = counts.column("kind").to_numpy()
+        symbol = (HEAD + kind).astype(np.int32)
+        for k, w in enumerate(model.head):
+            if w in index:
+                symbol[index[w]] = k
         base = np.log10((n + 1) / (model.words + model.distinct + 1))
         inside = np.where(symbol < HEAD, 0.0, np.log10((n + 1) / (np.maximum(model.tail_words, 0) + np.maximum(model.tail_distinct, 0) + 1)[kind]))
         end = index[END]
@@ -413,5 +446,5 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame
     blocks = 1 + size // BLOCK
     counts = word_counts(docs, train, blocks)
     shared = spark.sparkContext.broadcast(fit_language_model(docs, train, counts))
-    left = docs.select(_block("doc_id", blocks).alias("block"), "doc_id", "text").groupBy("block")
-    return left.cogroup(counts.groupBy("block")).applyInArrow(_scorer(shared), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    left = docs.select(_block("text", blocks).alias("block"), "doc_id", "text").groupBy("block")
+    return left.cogroup(counts.select("block", "word", "n", "kind").groupBy("block")).applyInArrow(_scorer(shared), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
