@@ -33,13 +33,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, computed once into a table in the shared folder.
 
     A table is read back with its real size and without the constraints that a plan of many rounds gathers.
     """
     path = shared_folder(df.sparkSession, f"tidegrid-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

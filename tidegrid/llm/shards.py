@@ -112,7 +112,7 @@ def write_shards(rows: DataFrame, folder: str, key: int = 1, per_shard: int = PE
     from pyarrow import fs
 
     spark = rows.sparkSession
-    rows = checkpointed(rows.select("sequence_id", "n_tokens", "doc_ids", "ids"))
+    rows = checkpointed(rows.select("sequence_id", "n_tokens", "doc_ids", "ids"), compression="zstd")
     part = F.shiftrightunsigned("sequence_id", 33)
     numbers = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.max(F.octet_length("ids")).alias("stride"))
     counts = sorted((r.part, r.n, r.stride) for r in numbers.collect())  # one row for each partition
@@ -120,7 +120,8 @@ def write_shards(rows: DataFrame, folder: str, key: int = 1, per_shard: int = PE
     n, stride = starts[-1], max((s for *_, s in counts), default=0)
     first = spark.createDataFrame([(p, s) for (p, *_), s in zip(counts, starts)], "part long, first long")
     index = F.col("first") + F.col("sequence_id").bitwiseAND((1 << 33) - 1)
-    slotted = rows.withColumn("part", part).join(first, "part").withColumn("slot", slot_column(index, n, key))
+    # One row of two numbers for each partition: by broadcast, so that the sequences are shuffled once, to their shards.
+    slotted = rows.withColumn("part", part).join(F.broadcast(first), "part").withColumn("slot", slot_column(index, n, key))
     placed = slotted.select("slot", F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), "sequence_id", "n_tokens", "doc_ids", "ids")
     shards = max(1, -(-n // per_shard))
 
