@@ -44,23 +44,86 @@ def pool_vectors(items: DataFrame, keys: Sequence[str], vector: str, weight: Col
     return pooled.select(*keys, F.col("m.mean").alias("pooled"), "disagreement")
 
 
-def trailing_profile(grid: DataFrame, events: DataFrame, window: int, half: float) -> DataFrame:
-    """Events of the last `window` at each grid time: n, decayed weight and sentiment, deviation, source entropy, velocity.
+def _ratio(top, bottom, least: float = 1e-9) -> Column:
+    return F.col(top) / F.greatest(F.col(bottom), F.lit(least))
 
-    Two levels of sums: first per source, then over sources, so the entropy needs no list of events.
+
+def event_profile(grid: DataFrame, events: DataFrame, window: int, half: float = 12.0) -> DataFrame:
+    """symbol, ts and 23 features of the events of the last `window` (its start excluded) at each grid time; zeros where there are none.
+
+    events: symbol, ts (when available), source, tier_weight, confidence, raw_confidence, importance, novelty,
+    post_sentiment, comment_sentiment, is_social, engagement, followers, comments. An event weighs tier_weight *
+    confidence; those without weight don't count. Two levels of sums, first per source, then over sources, so neither
+    the entropy nor the deviations need a list of events.
     """
     from .align import range_join
 
-    age = (F.col("ts") - F.col("right_ts")) / 3.6e9
-    met = range_join(grid, events.withColumnRenamed("ts", "right_ts"), ["symbol"], -window, 0).withColumn("w", F.exp(-age / half) * F.col("confidence"))
-    per = met.groupBy("symbol", "ts", "source").agg(F.sum("w").alias("mass"), F.count("*").alias("k"), F.sum(F.col("w") * F.col("sentiment")).alias("s1"), F.sum(F.col("w") * F.col("sentiment") ** 2).alias("s2"), F.count_if(age <= 1).alias("recent"))
-    total = F.sum("mass")
-    all_ = per.groupBy("symbol", "ts").agg(total.alias("mass"), F.sum("k").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("recent").alias("recent"), F.sum(F.when(F.col("mass") > 0, F.col("mass") * F.log("mass")).otherwise(0.0)).alias("mlm"))
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    e = events.withColumn("ew", F.col("tier_weight") * F.col("confidence")).where("ew > 0").withColumnRenamed("ts", "right_ts")
+    e = e.withColumn("s", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.5 * (F.col("post_sentiment") + F.col("comment_sentiment")))))
+    met = range_join(grid.select("symbol", "ts"), e, ["symbol"], 1 - window, 0)
+    age, ew, s, social = (F.col("ts") - F.col("right_ts")) / 3.6e9, F.col("ew"), F.col("s"), F.col("is_social")
+    only = lambda c: F.when(social, c).otherwise(0.0)
+    sums = {
+        "mass": ew, "decayed": ew * F.exp(-age / half), "tiers": F.col("tier_weight"), "confidences": F.col("raw_confidence"), "n": F.lit(1.0),
+        "young": F.when(age <= 1, ew).otherwise(0.0), "mid": F.when((age > 1) & (age <= 6), ew).otherwise(0.0), "old": F.when(age > 6, ew).otherwise(0.0),
+        "s1": ew * s, "s2": ew * s * s, "sabs": ew * F.abs(s), "importances": ew * unit(F.col("importance")), "novelties": ew * unit(F.col("novelty")) * unit(F.col("raw_confidence")),
+        "soc_n": only(F.lit(1.0)), "soc": only(ew), "posts": only(ew * F.col("post_sentiment")), "said": only(ew * F.col("comment_sentiment")),
+        "engaged": only(ew * F.log1p("engagement")), "followed": only(ew * F.log1p("followers")), "answers": only(F.greatest(F.lit(0.0), F.col("comments").cast("double"))),
+    }
+    per = met.groupBy("symbol", "ts", "source").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    all_ = per.groupBy("symbol", "ts").agg(*(F.sum(k).alias(k) for k in sums), F.count("*").alias("sources"), F.sum(F.col("mass") * F.log("mass")).alias("mlm"), F.sum(F.col("s1") * F.col("s1") / F.col("mass")).alias("between"))
     mean = F.col("s1") / F.col("mass")
-    return all_.where("mass > 0").select(
-        "symbol", "ts", "n", "mass", mean.alias("sentiment"), F.sqrt(F.greatest(F.col("s2") / F.col("mass") - mean * mean, F.lit(0.0))).alias("disagreement"),
-        (F.log("mass") - F.col("mlm") / F.col("mass")).alias("entropy"), F.tanh(F.col("recent") / F.greatest(F.lit(1.0), F.col("n") / 24.0)).alias("velocity"),
-    )
+    dev = lambda second: F.sqrt(F.greatest(F.lit(0.0), F.col(second) / F.col("mass") - mean * mean))
+    has = F.col("soc") > 0
+    post, comment = F.when(has, _ratio("posts", "soc")).otherwise(0.0), F.when(has, _ratio("said", "soc")).otherwise(0.0)
+    one = F.lit(1.0)
+    features = {
+        "event_decay": _ratio("decayed", "mass"), "source_tier_weight": _ratio("tiers", "n"), "source_confidence": _ratio("confidences", "n"),
+        "social_post_sentiment": post, "social_comment_sentiment": comment,
+        "social_engagement_norm": F.when(has, F.tanh(_ratio("engaged", "soc") / 6)).otherwise(0.0), "social_influence_norm": F.when(has, F.tanh(_ratio("followed", "soc") / 14)).otherwise(0.0),
+        "social_event_ratio": _ratio("soc_n", "n"), "social_buzz": F.tanh("soc"), "event_velocity_1h": F.tanh("young"), "event_velocity_6h": F.tanh((F.col("young") + F.col("mid")) / 6),
+        "event_disagreement": F.least(one, dev("s2")), "source_diversity": F.when(F.col("sources") >= 2, (F.log("mass") - F.col("mlm") / F.col("mass")) / F.log(F.col("sources").cast("double"))).otherwise(0.0),
+        "cross_source_consensus": 1 - F.least(one, dev("between")), "comment_skew": comment - post,
+        "event_lag_bucket_0_1h": _ratio("young", "mass"), "event_lag_bucket_1_6h": _ratio("mid", "mass"), "event_lag_bucket_6_24h": _ratio("old", "mass"),
+        "event_density": F.least(one, F.col("n") / 32), "sentiment_abs": F.least(one, _ratio("sabs", "mass")), "social_comment_rate": F.when(F.col("soc_n") > 0, F.tanh(F.col("answers") / F.greatest(one, F.col("soc_n") * 20))).otherwise(0.0),
+        "event_importance_mean": _ratio("importances", "mass"), "novelty_confidence_blend": _ratio("novelties", "mass"),
+    }
+    found = all_.select("symbol", "ts", *(c.alias(k) for k, c in features.items()))
+    return grid.select("symbol", "ts").join(found, ["symbol", "ts"], "left").fillna(0.0, list(features))
+
+
+def social_profile(grid: DataFrame, buckets: DataFrame, window: int, cap: int = 256) -> DataFrame:
+    """symbol, ts and 12 features of the social buckets of the last `window`, its start included, the newest `cap` of them; no row without any.
+
+    buckets: symbol, ts, items, posts, comments, engagement, authors, post_sentiment, comment_sentiment.
+    """
+    from .align import range_join
+
+    met = range_join(grid.select("symbol", "ts"), buckets.withColumnRenamed("ts", "right_ts"), ["symbol"], -window, 0)
+    newest = F.row_number().over(Window.partitionBy("symbol", "ts").orderBy(F.desc("right_ts")))
+    met = met.withColumn("turn", newest).where(F.col("turn") <= cap)
+    one, w = F.lit(1.0), F.greatest(F.lit(1.0), F.col("items").cast("double"))
+    clipped = lambda c: F.greatest(F.lit(-1.0), F.least(one, F.col(c)))
+    total = lambda c: F.sum(F.greatest(F.lit(0.0), F.col(c).cast("double")))
+    hour = F.sum(F.when(F.col("ts") - F.col("right_ts") <= 3_600_000_000, F.col("items").cast("double")).otherwise(0.0))
+    t = met.groupBy("symbol", "ts").agg(F.count("*").alias("rows"), *(total(c).alias(c) for c in ("items", "posts", "comments", "engagement", "authors")), hour.alias("hour"), F.sum(w * clipped("post_sentiment")).alias("post"), F.sum(w * clipped("comment_sentiment")).alias("comment"))
+    den = F.greatest(one, F.col("items"))
+    post, comment = F.col("post") / den, F.col("comment") / den
+    features = {
+        "social_post_sentiment": post, "social_comment_sentiment": comment, "social_engagement_norm": F.tanh(F.log1p(F.col("engagement") / den) / 3), "social_influence_norm": F.tanh(F.log1p(F.col("authors") / F.greatest(one, F.col("rows"))) / 2),
+        "social_event_ratio": F.least(one, F.col("items") / 72), "social_buzz": F.tanh(F.log1p("items") / 4), "event_velocity_1h": F.tanh(F.col("hour") / 12), "event_velocity_6h": F.tanh(F.col("items") / 72),
+        "comment_skew": comment - post, "event_density": F.least(one, F.col("items") / 72), "sentiment_abs": F.least(one, F.abs(0.5 * (post + comment))), "social_comment_rate": F.col("comments") / F.greatest(one, F.col("posts")),
+    }
+    return t.select("symbol", "ts", *(c.alias(k) for k, c in features.items()))
+
+
+def blend_profiles(base: DataFrame, override: DataFrame, alpha: float = 0.35) -> DataFrame:
+    """base with the features of override mixed in by alpha; where base has 0, override counts alone; base stays where override has no row."""
+    shared = [c for c in override.columns if c not in ("symbol", "ts")]
+    o = override.withColumnsRenamed({c: f"__{c}" for c in shared})
+    mixed = [F.when(F.col(f"__{c}").isNull(), F.col(c)).when(F.abs(F.col(c)) <= 1e-12, F.col(f"__{c}")).otherwise((1 - alpha) * F.col(c) + alpha * F.col(f"__{c}")).alias(c) if c in shared else F.col(c) for c in base.columns]
+    return base.join(o, ["symbol", "ts"], "left").select(*mixed)
 
 
 def rolling_events(grid: DataFrame, events: DataFrame, windows: dict[str, int], value: str) -> DataFrame:

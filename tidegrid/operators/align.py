@@ -79,3 +79,17 @@ def range_join(left: DataFrame, right: DataFrame, on: Sequence[str], low: int, h
 def resolve_snapshot(snapshots: DataFrame, at: int, ts: str = "ts") -> DataFrame:
     """The row with the greatest time at or before `at`."""
     return snapshots.where(F.col(ts) <= at).agg(F.max_by(F.struct(*snapshots.columns), ts).alias("r")).select("r.*")
+
+
+def exact_join(left: DataFrame, required: dict[str, DataFrame], on: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+    """left with the columns of every required table at the same keys; rows that one of them lacks are gone."""
+    for df in required.values():
+        left = left.join(df, list(on))
+    return left
+
+
+def check_context(left: DataFrame, context: DataFrame, on: Sequence[str] = ("symbol", "ts")) -> None:
+    """Raises where a row of left has no context at its keys."""
+    lacking = left.join(context, list(on), "left_anti").limit(1).collect()
+    if lacking:
+        raise ValueError(f"no context for {lacking[0]}")

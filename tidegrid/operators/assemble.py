@@ -7,9 +7,12 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import asof_join
 from .rolling import by
 
 
@@ -113,6 +116,62 @@ def assign_folds(df: DataFrame, folds: list[tuple], on: str = "ts") -> DataFrame
     return df.join(F.broadcast(table), (F.col(on) >= F.col("__from")) & (F.col(on) < F.col("__to"))).drop("__from", "__to")
 
 
+def check_dims(df: DataFrame, vector: str, dims: int, most: float = 0.0) -> dict:
+    """n, mismatched and ratio of vectors that don't have dims values; raises where the ratio is above `most`."""
+    row = df.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size(vector), F.lit(-1)) != dims).alias("mismatched")).first()
+    ratio = row.mismatched / max(1, row.n)
+    if ratio > most:
+        raise ValueError(f"{row.mismatched} of {row.n} vectors don't have {dims} values")
+    return {"n": row.n, "mismatched": row.mismatched, "ratio": ratio}
+
+
+def row_folds(df: DataFrame, train: int, test: int, purge: int, step: int | None = None) -> DataFrame:
+    """df once for each walk-forward fold and split ("train", "test") that holds it, by row numbers of each symbol: purge rows lie between train and test, folds start step (test) rows apart and are whole."""
+    step = step or test
+    n = F.count("*").over(Window.partitionBy("symbol"))
+    d = df.withColumn("__i", F.row_number().over(by()) - 1).withColumn("__n", n)
+    i, last = F.col("__i"), F.floor((F.col("__n") - train - purge - test) / step)
+
+    def folds(split: str, a: int, to: int) -> Column:
+        """The folds k for which row i lies in [k * step + a, k * step + to)."""
+        low, high = F.greatest(F.lit(0), F.ceil((i - to + 1) / step)).cast("int"), F.least(last, F.floor((i - a) / step)).cast("int")
+        found = F.transform(F.sequence(low, F.greatest(low, high)), lambda k: F.struct(k.alias("fold"), F.lit(split).alias("split")))
+        return F.when(high >= low, found).otherwise(F.array().cast("array<struct<fold:int,split:string>>"))
+
+    both = F.concat(folds("train", 0, train), folds("test", train + purge, train + purge + test))
+    return d.withColumn("__f", F.explode(both)).select(*df.columns, "__f.fold", "__f.split")
+
+
+def ridge(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, l2: float = 1.0) -> DataFrame:
+    """keys and weights (array, in the order of features) of ridge regressions without intercept, one for each key.
+
+    The sums of products are one aggregate over all rows; a key's small system of equations is solved in one task.
+    """
+    k = len(features)
+    pairs = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
+    sums = df.groupBy(*keys).agg(*pairs, *(F.sum(F.col(a) * F.col(target)).alias(f"t{i}") for i, a in enumerate(features)))
+    packed = sums.select(*keys, F.array(*(F.col(f"g{min(i, j)}_{max(i, j)}") + (l2 if i == j else 0.0) for i in range(k) for j in range(k))).alias("g"), F.array(*(f"t{i}" for i in range(k))).alias("t"))
+
+    @F.pandas_udf("array<double>")
+    def solve(g: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.solve(np.array(a, float).reshape(k, k), np.array(b, float)) for a, b in zip(g, t)])
+
+    return packed.select(*keys, solve("g", "t").alias("weights"))
+
+
+def merge_views(rows: DataFrame, text: DataFrame, at: int, width: int, max_age: int | None = None) -> DataFrame:
+    """Rows (symbol, ts, values, mask) with the latest text vector (symbol, ts, block) at or before them in positions at .. at + width - 1.
+
+    text_case says what was there: "fresh", "stale" (older than max_age: the block counts as missing), or "none" (the
+    block is zeros and missing). text_lag_sec is the age of what was found, whether it counts or not.
+    """
+    found = asof_join(rows, text, ["symbol"], {"__block": "block"}, tie="ts")
+    lag = F.col("ts") - F.col("right_ts")
+    case = F.when(F.col("right_ts").isNull(), "none").when(lag > (max_age if max_age is not None else 1 << 62), "stale").otherwise("fresh")
+    found = found.withColumn("text_case", case).withColumn("__miss", (F.col("text_case") != "fresh").cast("int")).withColumn("__block", F.when(F.col("text_case") == "fresh", F.col("__block")))
+    return merge_block(found, "__block", at, width, "__miss").select(*rows.columns, "text_case", (lag / 1e6).alias("text_lag_sec"))
+
+
 def positions(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Average-cost accounting of ordered fills (qty signed, price): qty, avg_cost, realised."""
     rows = F.array_sort(F.collect_list(F.struct(*order, "qty", "price")))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import cost_breakdown
+from .rolling import equity
+
 
 def calibration_error(df: DataFrame, keys: Sequence[str], p: str, hit: str, bins: int = 10) -> DataFrame:
     """Mean gap between probability and frequency over equal bins, weighted by their rows."""
@@ -35,3 +38,63 @@ def ks(df: DataFrame, keys: Sequence[str], value: str, is_new: str) -> DataFrame
     run = w.orderBy(value)
     gap = F.abs(F.sum("a").over(run) / F.sum("a").over(w) - F.sum("b").over(run) / F.sum("b").over(w))
     return points.select(*keys, gap.alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"))
+
+
+def metric_pack(df: DataFrame, keys: Sequence[str], horizon_hours: int = 1, notional: float = 0.0, order: str = "ts", bins: int = 10) -> DataFrame:
+    """Per key: n, mse, mae, spearman_ic, hit_rate, sharpe, max_drawdown, turnover, avg_holding, brier, ece, coverage.
+
+    df: keys, order, y_raw, y_net, mu, sigma, p_up, q_low, q_high. The position is mu / sigma in [-1, 1]; its changes pay
+    the cost of the shared profile at the key's own volatility and turnover. Ranks of equal values go by order.
+    """
+    by = Window.partitionBy(*keys).orderBy(order)
+    position = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("mu") / F.greatest(F.col("sigma"), F.lit(1e-6))))
+    d = df.withColumn("__pos", position).withColumn("__prev", F.coalesce(F.lag("__pos").over(by), F.lit(0.0))).withColumn("__turn", F.abs(F.col("__pos") - F.col("__prev")))
+    for c in ("mu", "y_net"):
+        d = d.withColumn(f"__rank_{c}", F.row_number().over(Window.partitionBy(*keys).orderBy(c, order)))
+    means = d.groupBy(*keys).agg(F.avg(F.abs("y_raw")).alias("__vol"), F.avg("__turn").alias("__mean_turn"))
+    cost = cost_breakdown(F.col("__vol"), F.lit(0.0), F.col("__mean_turn"), F.lit(horizon_hours), F.lit(0.0), F.lit(0.0), F.lit(notional))["total"]
+    priced = d.join(means.withColumn("__cost", cost / 1e4).drop("__mean_turn", "__vol"), list(keys))
+    priced = priced.withColumn("pnl", F.col("__pos") * F.col("y_raw") - F.col("__turn") * F.col("__cost"))
+    curved = equity(priced, "pnl", tuple(keys))
+    held, label = F.abs("__pos") > 1e-9, (F.col("y_net") >= 0).cast("double")
+    out = curved.withColumn("__label", label).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg((F.col("mu") - F.col("y_net")) ** 2).alias("mse"), F.avg(F.abs(F.col("mu") - F.col("y_net"))).alias("mae"), F.corr("__rank_mu", "__rank_y_net").alias("spearman_ic"),
+        F.avg((F.signum("mu") == F.signum("y_net")).cast("double")).alias("hit_rate"), (F.avg("pnl") / F.greatest(F.lit(1e-9), F.stddev_pop("pnl"))).alias("sharpe"), F.abs(F.min("drawdown")).alias("max_drawdown"), F.avg("__turn").alias("turnover"),
+        (F.count_if(held) / F.greatest(F.lit(1), F.count_if(held & (F.abs("__prev") <= 1e-9)))).alias("avg_holding"), F.avg((F.col("p_up") - F.col("__label")) ** 2).alias("brier"), F.avg(F.col("y_net").between(F.col("q_low"), F.col("q_high")).cast("double")).alias("coverage"),
+    )
+    return out.join(calibration_error(df.withColumn("__label", label), keys, "p_up", "__label", bins), list(keys))
+
+
+def drift_verdict(scores: DataFrame, features: DataFrame, hits: DataFrame, rejects: DataFrame, slippage: DataFrame, keys: Sequence[str], psi_limit: float = 0.2, ks_limit: float = 0.2, hit_limit: float = 0.15, reject_limit: float = 0.05) -> DataFrame:
+    """Per key psi, ks, feature_psi, label_stability_delta, reject_rate_delta, slippage_abs_mean, drift and action.
+
+    Each table has the keys, value and is_new (recent or reference rows); features also has name; slippage is of recent
+    rows. Drift of scores, features, hit rates or rejects asks for a check whether to roll back; a score drift near its
+    limit warns. A key that a table lacks has no drift there.
+    """
+    gap = lambda df, name: df.groupBy(*keys).agg(F.abs(F.coalesce(F.avg(F.when(F.col("is_new"), F.col("value"))), F.lit(0.0)) - F.coalesce(F.avg(F.when(~F.col("is_new"), F.col("value"))), F.lit(0.0))).alias(name))
+    out = psi(scores, keys, "value", "is_new").join(ks(scores, keys, "value", "is_new"), list(keys))
+    per = psi(features, [*keys, "name"], "value", "is_new").groupBy(*keys).agg(F.avg("psi").alias("feature_psi"))
+    slip = slippage.groupBy(*keys).agg(F.avg(F.abs("value")).alias("slippage_abs_mean"))
+    for part in (per, gap(hits, "label_stability_delta"), gap(rejects, "reject_rate_delta"), slip):
+        out = out.join(part, list(keys), "left")
+    out = out.fillna(0.0, ["feature_psi", "label_stability_delta", "reject_rate_delta", "slippage_abs_mean"])
+    drift = (F.col("psi") >= psi_limit) | (F.col("ks") >= ks_limit) | (F.col("feature_psi") >= psi_limit) | (F.col("label_stability_delta") >= hit_limit) | (F.col("reject_rate_delta") >= reject_limit)
+    return out.withColumn("drift", drift).withColumn("action", F.when(drift, "rollback_check").when(F.col("psi") > 0.7 * psi_limit, "warn").otherwise("keep"))
+
+
+def reviewer_agreement(reviews: DataFrame) -> DataFrame:
+    """a, b, pairs, agreed of reviewers: the first review of each reviewer of an event (event, reviewer, verdict, ts) counts; reviews without an event don't."""
+    first = reviews.where("event IS NOT NULL").groupBy("event", "reviewer").agg(F.min_by("verdict", "ts").alias("verdict"))
+    a, b = (first.select("event", F.col("reviewer").alias(c), F.col("verdict").alias(f"v{c}")) for c in ("a", "b"))
+    return a.join(b, "event").where("a < b").groupBy("a", "b").agg(F.count("*").alias("pairs"), F.count_if(F.col("va").eqNullSafe(F.col("vb"))).alias("agreed"))
+
+
+def audit_chain(frames: dict[str, DataFrame]) -> DataFrame:
+    """decision, steps, chain: what happened for each decision in order. frames: kind -> (decision, ts, ref), in the order in which kinds of one time follow."""
+    tagged = None
+    for k, (kind, df) in enumerate(frames.items()):
+        rows = df.select("decision", "ts", F.lit(k).alias("place"), F.lit(kind).alias("kind"), F.col("ref").cast("string").alias("ref"))
+        tagged = rows if tagged is None else tagged.union(rows)
+    grouped = tagged.where("decision IS NOT NULL").groupBy("decision").agg(F.count("*").alias("steps"), F.array_sort(F.collect_list(F.struct("ts", "place", "ref", "kind"))).alias("s"))
+    return grouped.select("decision", "steps", F.transform("s", lambda x: F.struct(x["ts"].alias("ts"), x["kind"].alias("kind"), x["ref"].alias("ref"))).alias("chain"))

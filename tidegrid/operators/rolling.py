@@ -57,6 +57,58 @@ def skew(c: str, n: int) -> Column:
     return F.when(var > 1e-14, (m3 - 3 * m * m2 + 2 * m**3) / F.pow(var, F.lit(1.5))).otherwise(0.0)
 
 
+def stats_pack(c: str, n: int) -> dict[str, Column]:
+    """mean, std, min, max, last, zscore, exponential mean and the deviation of its course, lag-1 autocorrelation and quantiles of the last n rows, or of all there are.
+
+    c has no nulls. The course of the exponential mean starts at the frame's first row.
+    """
+    w, a = rows(n), 2 / (n + 1)
+    mean, dev = F.avg(c).over(w), F.stddev_pop(c).over(w)
+    start = F.struct(F.lit(None).cast("double").alias("e"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
+
+    def step(acc, x):
+        e = F.coalesce(a * x + (1 - a) * acc["e"], x)
+        return F.struct(e.alias("e"), (acc["s1"] + e).alias("s1"), (acc["s2"] + e * e).alias("s2"))
+
+    course = F.aggregate(F.collect_list(c).over(w), start, step)
+    size = F.count(c).over(w)
+    spread = lambda acc: F.sqrt(F.greatest(F.lit(0.0), acc["s2"] / size - (acc["s1"] / size) * (acc["s1"] / size)))
+    before, pairs = f"{c}__before", rows(n - 1)
+    varied = (F.row_number().over(by()) > 2) & (F.stddev_pop(before).over(pairs) > 1e-12) & (F.stddev_pop(F.when(F.col(before).isNotNull(), F.col(c))).over(pairs) > 1e-12)
+    return {
+        "mean": mean, "std": dev, "min": F.min(c).over(w), "max": F.max(c).over(w), "last": F.col(c), "zscore": (F.col(c) - mean) / F.greatest(dev, F.lit(1e-9)),
+        "ewm_mean": course["e"], "ewm_std": spread(course), "autocorr1": F.when(varied, F.corr(c, before).over(pairs)).otherwise(0.0), "quantile_10": F.percentile(c, 0.1).over(w), "quantile_90": F.percentile(c, 0.9).over(w),
+    }
+
+
+def with_stats(df: DataFrame, c: str, windows: tuple[int, ...]) -> DataFrame:
+    """df without rows whose c is null, and the pack of each window as <name>_<n>."""
+    known = df.where(F.col(c).isNotNull()).withColumn(f"{c}__before", F.lag(c).over(by()))
+    return known.select(*df.columns, *(v.alias(f"{name}_{n}") for n in windows for name, v in stats_pack(c, n).items()))
+
+
+#: What regime features read; a null counts as masked.
+REGIME_INPUTS = ("ret_1", "vol_12", "orderbook_spread_bps", "orderbook_depth_total", "orderbook_imbalance", "funding_rate", "basis_rate", "open_interest", "ret_48", "ret_288", "text_coverage", "text_disagreement", "event_count_1h")
+
+
+def regime_features(df: DataFrame) -> DataFrame:
+    """symbol, ts, regime (16 values) and regime_mask (1 where an input is missing) of rows with the columns of REGIME_INPUTS; those that aren't there are missing."""
+    there = [c for c in REGIME_INPUTS if c in df.columns]
+    v = lambda c: F.col(f"__v_{c}")
+    m = lambda *cs: F.greatest(*(F.col(f"__m_{c}") for c in cs)) if len(cs) > 1 else F.col(f"__m_{cs[0]}")
+    d = df.select("symbol", "ts", *((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in there else F.lit(0.0)).alias(f"__v_{c}") for c in REGIME_INPUTS), *((F.col(c).isNull().cast("byte") if c in there else F.lit(1).cast("byte")).alias(f"__m_{c}") for c in REGIME_INPUTS))
+    vol, oi, w96 = F.stddev_pop(v("ret_1")).over(rows(24)), v("open_interest"), rows(96)
+    change = oi - F.coalesce(F.lag(oi).over(by()), oi)
+    zero = F.lit(0.0)
+    fall = F.greatest(zero, -change) * (1 + F.greatest(zero, v("orderbook_spread_bps"))) * (1 + vol)
+    skewed = F.when(F.row_number().over(by()) >= 3, skew("__v_ret_1", 48)).otherwise(0.0)
+    funding = v("funding_rate")
+    z = (funding - F.avg(funding).over(w96)) / F.greatest(F.lit(1e-8), F.stddev_pop(funding).over(w96))
+    values = [vol, F.stddev_pop(v("vol_12")).over(rows(24)), skewed, v("orderbook_spread_bps"), F.log1p(F.greatest(zero, v("orderbook_depth_total"))), v("orderbook_imbalance"), funding, z, v("basis_rate"), oi, change, fall, 0.6 * v("ret_48") + 0.4 * v("ret_288"), v("text_coverage"), v("text_disagreement"), v("event_count_1h")]
+    masks = [m("ret_1", "vol_12"), m("ret_1", "vol_12"), m("ret_1"), m("orderbook_spread_bps"), m("orderbook_depth_total"), m("orderbook_imbalance"), m("funding_rate"), m("funding_rate"), m("basis_rate"), m("open_interest"), m("open_interest"), m("open_interest", "orderbook_spread_bps", "ret_1"), m("ret_48", "ret_288"), m("text_coverage"), m("text_disagreement"), m("event_count_1h")]
+    return d.select("symbol", "ts", F.array(*values).alias("regime"), F.array(*masks).alias("regime_mask"))
+
+
 def prefix_mean(df: DataFrame, c: str, n: int, out: str) -> DataFrame:
     """Mean of the last n rows from running sums: linear in the rows for any n, where a frame costs n a row."""
     run = df.withColumn("__sum", F.sum(c).over(by().rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(by()))

@@ -81,27 +81,41 @@ def ag09_text_pooling(spark, sf):
     return facts.join(pooled, "label").select("label", "num_items", "unique_authors", r6(F.least(F.lit(1.0), F.col("num_items") / 12), "coverage"), r6(F.col("disagreement"), "disagreement"), r6(F.col("pooled")[0], "first_dim"), r6(F.col("pooled")[63], "last_dim"))
 
 
-@query(f"""WITH {NEWS}, g AS (SELECT DISTINCT symbol, ts - ts % {6 * HOUR} + {6 * HOUR} AS ts FROM ticks),
-m AS (SELECT g.symbol, g.ts, source, sentiment AS s, (g.ts - n.ts) / 3.6e9 AS age, exp(-((g.ts - n.ts) / 3.6e9) / 12) * confidence AS w FROM g JOIN news n ON g.symbol = n.symbol AND n.ts BETWEEN g.ts - {DAY} AND g.ts),
-p AS (SELECT symbol, ts, source, sum(w) AS mass, count(*) AS k, sum(w * s) AS s1, sum(w * s * s) AS s2, count(*) FILTER (WHERE age <= 1) AS recent FROM m GROUP BY 1, 2, 3),
-a AS (SELECT symbol, ts, sum(mass) AS mass, sum(k) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(recent) AS recent, sum(CASE WHEN mass > 0 THEN mass * ln(mass) ELSE 0 END) AS mlm FROM p GROUP BY 1, 2)
-SELECT symbol, ts, n::BIGINT AS n, round(mass, 6) AS mass, round(s1 / mass, 6) + 0.0 AS sentiment, round(sqrt(greatest(s2 / mass - (s1 / mass) * (s1 / mass), 0)), 5) AS disagreement, round(ln(mass) - mlm / mass, 5) + 0.0 AS entropy, round(tanh(recent / greatest(1.0, n / 24.0)), 6) AS velocity FROM a WHERE mass > 0""")
-def ag10_event_profile(spark, sf):
+_SOCIAL = "greatest(0, least(1, (6 - tier) / 5.0::DOUBLE)) AS tw, confidence AS conf, (id % 10) / 10 AS imp, (id % 7) / 7 AS nov, sentiment AS ps, (id % 13 - 6) / 6 AS cs, id % 2 = 0 AS soc, id % 500 AS eng, (id % 1000) * 10 AS fol, id % 9 AS com"
+_PROFILE = NEWS + f""", g AS (SELECT DISTINCT symbol, ts - ts % {6 * HOUR} + {6 * HOUR} AS ts FROM ticks), ev AS (SELECT symbol, ts, source, {_SOCIAL} FROM news),
+m AS (SELECT g.symbol, g.ts, source, tw, conf, imp, nov, ps, cs, soc, eng, fol, com, tw * conf AS ew, greatest(-1, least(1, 0.5 * (ps + cs))) AS s, (g.ts - e.ts) / 3.6e9 AS age FROM g JOIN ev e ON g.symbol = e.symbol AND e.ts > g.ts - {DAY} AND e.ts <= g.ts WHERE tw * conf > 0),
+src AS (SELECT symbol, ts, source, sum(ew) AS mass, sum(ew * s) AS s1 FROM m GROUP BY 1, 2, 3),
+sa AS (SELECT symbol, ts, count(*) AS k, -sum(mass / tot * ln(mass / tot)) AS ent, sum(mass * (s1 / mass - mean) ** 2) / any_value(tot) AS var FROM (SELECT *, sum(mass) OVER w AS tot, sum(s1) OVER w / sum(mass) OVER w AS mean FROM src WINDOW w AS (PARTITION BY symbol, ts)) GROUP BY 1, 2),
+t AS (SELECT symbol, ts, count(*) AS n, sum(ew) AS mass, sum(ew * exp(-age / 12)) AS decayed, avg(tw) AS tier, avg(conf) AS conf, sum(ew) FILTER (WHERE age <= 1) AS y, sum(ew) FILTER (WHERE age > 1 AND age <= 6) AS mi, sum(ew) FILTER (WHERE age > 6) AS o, sum(ew * s) / sum(ew) AS mean, sum(ew * s * s) / sum(ew) AS sq, sum(ew * abs(s)) / sum(ew) AS sabs, sum(ew * imp) / sum(ew) AS imp, sum(ew * nov * conf) / sum(ew) AS nov, count(*) FILTER (WHERE soc) AS sn, coalesce(sum(ew) FILTER (WHERE soc), 0) AS sm, sum(ew * ps) FILTER (WHERE soc) AS ps, sum(ew * cs) FILTER (WHERE soc) AS cs, sum(ew * ln(1 + eng)) FILTER (WHERE soc) AS eng, sum(ew * ln(1 + fol)) FILTER (WHERE soc) AS fol, sum(com) FILTER (WHERE soc) AS com FROM m GROUP BY 1, 2),
+prof AS (SELECT g.symbol, g.ts, coalesce(decayed / mass, 0) AS event_decay, coalesce(tier, 0) AS source_tier_weight, coalesce(conf, 0) AS source_confidence, coalesce(ps / sm, 0) AS social_post_sentiment, coalesce(cs / sm, 0) AS social_comment_sentiment, coalesce(tanh(eng / sm / 6), 0) AS social_engagement_norm, coalesce(tanh(fol / sm / 14), 0) AS social_influence_norm, coalesce(sn / n, 0) AS social_event_ratio, coalesce(tanh(sm), 0) AS social_buzz, coalesce(tanh(y), 0) AS event_velocity_1h, coalesce(tanh((coalesce(y, 0) + coalesce(mi, 0)) / 6), 0) AS event_velocity_6h, coalesce(least(1, sqrt(greatest(0, sq - mean * mean))), 0) AS event_disagreement, CASE WHEN k >= 2 THEN ent / ln(k) ELSE 0 END AS source_diversity, coalesce(1 - least(1, sqrt(greatest(0, var))), 0) AS cross_source_consensus, coalesce(cs / sm - ps / sm, 0) AS comment_skew, coalesce(y / mass, 0) AS event_lag_bucket_0_1h, coalesce(mi / mass, 0) AS event_lag_bucket_1_6h, coalesce(o / mass, 0) AS event_lag_bucket_6_24h, coalesce(least(1, n / 32), 0) AS event_density, coalesce(least(1, sabs), 0) AS sentiment_abs, coalesce(tanh(com / greatest(1, sn * 20)), 0) AS social_comment_rate, coalesce(imp, 0) AS event_importance_mean, coalesce(nov, 0) AS novelty_confidence_blend FROM g LEFT JOIN t ON g.symbol = t.symbol AND g.ts = t.ts LEFT JOIN sa ON g.symbol = sa.symbol AND g.ts = sa.ts)"""
+_PROFILE_NAMES = ("event_decay", "source_tier_weight", "source_confidence", "social_post_sentiment", "social_comment_sentiment", "social_engagement_norm", "social_influence_norm", "social_event_ratio", "social_buzz", "event_velocity_1h", "event_velocity_6h", "event_disagreement", "source_diversity", "cross_source_consensus", "comment_skew", "event_lag_bucket_0_1h", "event_lag_bucket_1_6h", "event_lag_bucket_6_24h", "event_density", "sentiment_abs", "social_comment_rate", "event_importance_mean", "novelty_confidence_blend")
+
+
+def _profile(spark, sf):
     grid = ticks(spark, sf).select("symbol", (F.col("ts") - F.pmod("ts", F.lit(6 * HOUR)) + 6 * HOUR).alias("ts")).distinct()
-    p = A.trailing_profile(grid, news(spark, sf).select("symbol", "ts", "source", "sentiment", "confidence"), DAY, 12.0)
-    return p.select("symbol", "ts", "n", r6(F.col("mass"), "mass"), (F.round("sentiment", 6) + 0.0).alias("sentiment"), r6(F.col("disagreement"), "disagreement", 5), (F.round("entropy", 5) + 0.0).alias("entropy"), r6(F.col("velocity"), "velocity"))
+    i = F.col("id")
+    events = news(spark, sf).select("symbol", "ts", "source", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (6 - F.col("tier")) / 5)).alias("tier_weight"), "confidence", F.col("confidence").alias("raw_confidence"), (i % 10 / 10).alias("importance"), (i % 7 / 7).alias("novelty"), F.col("sentiment").alias("post_sentiment"), ((i % 13 - 6) / 6).alias("comment_sentiment"), (i % 2 == 0).alias("is_social"), (i % 500).alias("engagement"), (i % 1000 * 10).alias("followers"), (i % 9).alias("comments"))
+    return grid, A.event_profile(grid, events, DAY)
+
+
+@query(f"WITH {_PROFILE} SELECT symbol, ts, " + ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in _PROFILE_NAMES) + " FROM prof")
+def ag10_event_profile(spark, sf):
+    return _profile(spark, sf)[1].select("symbol", "ts", *((F.round(c, 9) + 0.0).alias(c) for c in _PROFILE_NAMES))
 
 
-_BLEND = f"(PARTITION BY symbol ORDER BY ts RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)"
+_SOCIAL_NAMES = tuple(c for c in _PROFILE_NAMES if c in ("social_post_sentiment", "social_comment_sentiment", "social_engagement_norm", "social_influence_norm", "social_event_ratio", "social_buzz", "event_velocity_1h", "event_velocity_6h", "comment_skew", "event_density", "sentiment_abs", "social_comment_rate"))
+_BUCKETS = f", bk AS (SELECT symbol, ts - ts % 300000000 + 300000000 AS ts, count(*) AS items, count(*) FILTER (WHERE id % 3 = 0) AS posts, count(*) FILTER (WHERE id % 3 <> 0) AS comments, sum(id % 500) AS engagement, count(DISTINCT user_id) AS authors, avg((id % 21 - 10) / 10) AS post, avg((id % 13 - 6) / 6) AS comment FROM ticks GROUP BY 1, ticks.ts - ticks.ts % 300000000), j AS (SELECT g.symbol, g.ts, bk.* EXCLUDE (symbol, ts), g.ts - bk.ts <= {HOUR} AS young, row_number() OVER (PARTITION BY g.symbol, g.ts ORDER BY bk.ts DESC) AS turn FROM g JOIN bk ON g.symbol = bk.symbol AND bk.ts BETWEEN g.ts - {6 * HOUR} AND g.ts), st AS (SELECT symbol, ts, count(*) AS r, sum(items) AS items, sum(posts) AS posts, sum(comments) AS comments, sum(engagement) AS eng, sum(authors) AS aut, sum(CASE WHEN young THEN items ELSE 0 END) AS hour, sum(items * post) / sum(items) AS post, sum(items * comment) / sum(items) AS comment FROM j WHERE turn <= 256 GROUP BY 1, 2), so AS (SELECT symbol, ts, post AS social_post_sentiment, comment AS social_comment_sentiment, tanh(ln(1 + eng / items) / 3) AS social_engagement_norm, tanh(ln(1 + aut / r) / 2) AS social_influence_norm, least(1, items / 72) AS social_event_ratio, tanh(ln(1 + items) / 4) AS social_buzz, tanh(hour / 12) AS event_velocity_1h, tanh(items / 72) AS event_velocity_6h, comment - post AS comment_skew, least(1, items / 72) AS event_density, least(1, abs(0.5 * (post + comment))) AS sentiment_abs, comments / greatest(1, posts) AS social_comment_rate FROM st)"
 
 
-@query(f"WITH {NEWS}, b AS (SELECT symbol, ts - ts % {HOUR} AS ts, sum(sentiment) AS s, count(*) AS n FROM news GROUP BY 1, news.ts - news.ts % {HOUR}), w AS (SELECT symbol, ts, s / n AS base, sum(s) OVER {_BLEND} / sum(n) OVER {_BLEND} AS soc, sum(n) OVER {_BLEND} AS n FROM b) SELECT symbol, ts, n::BIGINT AS n, round(CASE WHEN abs(base) <= 1e-12 THEN soc ELSE 0.65 * base + 0.35 * soc END, 6) + 0.0 AS blended FROM w")
+@query(f"WITH {_PROFILE}{_BUCKETS} SELECT p.symbol, p.ts, " + ", ".join(f"round(CASE WHEN so.{c} IS NULL THEN p.{c} WHEN abs(p.{c}) <= 1e-12 THEN so.{c} ELSE 0.65 * p.{c} + 0.35 * so.{c} END, 9) + 0.0 AS {c}" for c in _SOCIAL_NAMES) + " FROM prof p LEFT JOIN so ON p.symbol = so.symbol AND p.ts = so.ts")
 def ag11_social_blend(spark, sf):
-    b = news(spark, sf).groupBy("symbol", (F.col("ts") - F.pmod("ts", F.lit(HOUR))).alias("b")).agg(F.sum("sentiment").alias("s"), F.count("*").alias("k")).withColumnRenamed("b", "ts")
-    w = R.by().rangeBetween(-6 * HOUR, 0)
-    x = b.select("symbol", "ts", (F.col("s") / F.col("k")).alias("base"), (F.sum("s").over(w) / F.sum("k").over(w)).alias("soc"), F.sum("k").over(w).alias("n"))
-    blended = F.when(F.abs("base") <= 1e-12, F.col("soc")).otherwise(0.65 * F.col("base") + 0.35 * F.col("soc"))
-    return x.select("symbol", "ts", "n", (F.round(blended, 6) + 0.0).alias("blended"))
+    grid, profile = _profile(spark, sf)
+    t, i = ticks(spark, sf), F.col("id")
+    bucket = (F.col("ts") - F.pmod("ts", F.lit(300_000_000)) + 300_000_000).alias("bucket")
+    facts = (F.count("*").alias("items"), F.count_if(i % 3 == 0).alias("posts"), F.count_if(i % 3 != 0).alias("comments"), F.sum(i % 500).alias("engagement"), F.countDistinct("user_id").alias("authors"), F.avg((i % 21 - 10) / 10).alias("post_sentiment"), F.avg((i % 13 - 6) / 6).alias("comment_sentiment"))
+    buckets = t.groupBy("symbol", bucket).agg(*facts).withColumnRenamed("bucket", "ts")
+    blended = A.blend_profiles(profile, A.social_profile(grid, buckets, 6 * HOUR))
+    return blended.select("symbol", "ts", *((F.round(c, 9) + 0.0).alias(c) for c in _SOCIAL_NAMES))
 
 
 @query(f"WITH {BARS}, g AS (SELECT symbol, ts FROM bars) SELECT g.symbol, g.ts, " + ", ".join(f"(SELECT count(*) FROM ticks t WHERE t.symbol = g.symbol AND t.ts BETWEEN g.ts - {h * HOUR} AND g.ts) AS n_{h}h, round((SELECT avg(price) FROM ticks t WHERE t.symbol = g.symbol AND t.ts BETWEEN g.ts - {h * HOUR} AND g.ts), 6) AS mean_{h}h" for h in (1, 6)) + " FROM g")

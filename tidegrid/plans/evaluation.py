@@ -24,11 +24,20 @@ def _z(c, name, n=6):
     return (F.round(c, n) + 0.0).alias(name)
 
 
-@query(f"WITH {PREDICTIONS} SELECT symbol, count(*) AS n, round(avg((mu - y) ** 2), 6) AS mse, round(avg(abs(mu - y)), 6) AS mae, round(avg((sign(mu) = sign(y))::INT), 6) AS hit, round(avg(sign(mu) * y) / nullif(stddev_pop(sign(mu) * y), 0), 6) AS sharpe, round(avg((p_up - (y > 0)::INT) ** 2), 6) AS brier, round(avg((y BETWEEN mu - 1.2816 * sigma AND mu + 1.2816 * sigma)::INT), 6) AS coverage FROM predictions GROUP BY 1")
+@query(f"""WITH {PREDICTIONS}, d AS (SELECT symbol, ts, mu, sigma, p_up, y, y - sign(y) * 0.0012 AS net, greatest(-1, least(1, mu / greatest(sigma, 1e-6))) AS pos FROM predictions),
+e AS (SELECT *, coalesce(lag(pos) OVER ({_W}), 0) AS prev, row_number() OVER (PARTITION BY symbol ORDER BY mu, ts) AS rm, row_number() OVER (PARTITION BY symbol ORDER BY net, ts) AS ry FROM d),
+c AS (SELECT symbol, (5 + 3 * 1.6 + 2 * (1 + 0.3 * avg(abs(pos - prev))) * (1 + 0.5 * avg(abs(y)))) / 1e4 AS cost FROM e GROUP BY 1),
+p AS (SELECT e.*, pos * y - abs(pos - prev) * cost AS pnl FROM e JOIN c ON e.symbol = c.symbol),
+q AS (SELECT *, CASE WHEN max((pnl <= -1)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN pnl > -1 THEN ln(1 + pnl) ELSE 0 END) OVER w) END AS curve FROM p WINDOW w AS ({_W} ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, CASE WHEN max(curve) OVER w > 0 THEN curve / max(curve) OVER w - 1 ELSE -1 END AS dd FROM q WINDOW w AS ({_W} ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT symbol, least(floor(p_up * 10), 9) AS bin, count(*) AS n, avg(p_up) AS p, avg((net >= 0)::INT) AS h FROM f GROUP BY 1, 2), x AS (SELECT symbol, sum(n * abs(p - h)) / sum(n) AS ece FROM b GROUP BY 1)
+SELECT f.symbol, count(*) AS n, round(avg((mu - net) ** 2), 6) AS mse, round(avg(abs(mu - net)), 6) AS mae, round(corr(rm, ry), 6) AS spearman_ic, round(avg((sign(mu) = sign(net))::INT), 6) AS hit_rate, round(avg(pnl) / greatest(1e-9, stddev_pop(pnl)), 6) AS sharpe, round(abs(min(dd)), 6) AS max_drawdown, round(avg(abs(pos - prev)), 6) AS turnover, round(count(*) FILTER (WHERE abs(pos) > 1e-9) / greatest(1, count(*) FILTER (WHERE abs(pos) > 1e-9 AND abs(prev) <= 1e-9)), 6) AS avg_holding, round(avg((p_up - (net >= 0)::INT) ** 2), 6) AS brier, round(any_value(ece), 6) AS ece, round(avg((net BETWEEN mu - 1.2816 * sigma AND mu + 1.2816 * sigma)::INT), 6) AS coverage FROM f JOIN x ON f.symbol = x.symbol GROUP BY 1""")
 def ev01_metric_pack(spark, sf):
-    mu, y, p, s = (F.col(c) for c in ("mu", "y", "p_up", "sigma"))
-    pnl = F.signum(mu) * y
-    return predictions(spark, sf).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.avg((mu - y) ** 2), "mse"), r6(F.avg(F.abs(mu - y)), "mae"), r6(F.avg((F.signum(mu) == F.signum(y)).cast("int")), "hit"), r6(F.avg(pnl) / F.nullif(F.stddev_pop(pnl), F.lit(0.0)), "sharpe"), r6(F.avg((p - (y > 0).cast("int")) ** 2), "brier"), r6(F.avg(y.between(mu - 1.2816 * s, mu + 1.2816 * s).cast("int")), "coverage"))
+    p = predictions(spark, sf)
+    spread = 1.2816 * F.col("sigma")
+    d = p.select("symbol", "ts", "mu", "sigma", "p_up", F.col("y").alias("y_raw"), (F.col("y") - F.signum("y") * 0.0012).alias("y_net"), (F.col("mu") - spread).alias("q_low"), (F.col("mu") + spread).alias("q_high"))
+    m = E.metric_pack(d, ["symbol"])
+    return m.select("symbol", "n", *(r6(F.col(c), c) for c in m.columns if c not in ("symbol", "n")))
 
 
 @query(f"WITH {PREDICTIONS}, b AS (SELECT symbol, least(floor(p_up * 10), 9) AS bin, count(*) AS n, avg(p_up) AS p, avg((y > 0)::INT) AS h FROM predictions GROUP BY 1, 2) SELECT symbol, round(sum(n * abs(p - h)) / sum(n), 6) AS ece FROM b GROUP BY 1")
@@ -115,11 +124,20 @@ def ev11_feature_drift(spark, sf):
     return E.psi(v, ["symbol"], "x", "new").join(shift, "symbol").agg(r6(F.avg("psi"), "mean_psi"), r6(F.avg("shift"), "mean_shift"), F.count("*").alias("features"))
 
 
-@query(f"WITH {_PSI}{_KS} SELECT symbol, CASE WHEN psi > 0.25 OR ks > 0.2 THEN 'retrain' WHEN psi > 0.1 OR ks > 0.1 THEN 'watch' ELSE 'ok' END AS action FROM psi JOIN ks USING (symbol)")
+_FPSI = ", fv AS (SELECT symbol, size::DOUBLE AS x, ts >= " + str(_CUT) + " AS new FROM ticks), fq AS (SELECT symbol, unnest([" + ", ".join(f"quantile_cont(x, {k / 10})" for k in range(1, 10)) + "]) AS e FROM fv WHERE NOT new GROUP BY 1), fe AS (SELECT symbol, list(e) AS edges FROM fq GROUP BY 1), fc AS (SELECT fv.symbol, len(list_filter(edges, lambda e: x > e)) AS bin, count(*) FILTER (WHERE NOT new) AS a, count(*) FILTER (WHERE new) AS b FROM fv JOIN fe ON fv.symbol = fe.symbol GROUP BY 1, 2), fs AS (SELECT symbol, greatest(a / sum(a) OVER (PARTITION BY symbol), 1e-6) AS pa, greatest(b / sum(b) OVER (PARTITION BY symbol), 1e-6) AS pb FROM fc), fpsi AS (SELECT symbol, sum((pb - pa) * ln(pb / pa)) AS fpsi FROM fs GROUP BY 1)"
+_DELTAS = f", pr AS (SELECT symbol, abs(coalesce(avg((sign(mu) = sign(y))::INT) FILTER (WHERE ts >= {_CUT}), 0) - coalesce(avg((sign(mu) = sign(y))::INT) FILTER (WHERE ts < {_CUT}), 0)) AS hit FROM predictions GROUP BY 1), rj AS (SELECT symbol, abs(coalesce(avg((price < 5)::INT) FILTER (WHERE ts >= {_CUT}), 0) - coalesce(avg((price < 5)::INT) FILTER (WHERE ts < {_CUT}), 0)) AS rej FROM ticks GROUP BY 1), sl AS (SELECT symbol, avg(abs(close / open - 1)) AS slip FROM bars WHERE ts >= {_CUT} GROUP BY 1)"
+
+
+@query(f"WITH {PREDICTIONS}{_PSI[len(TICKS):]}{_KS}{_FPSI}{_DELTAS}, v2 AS (SELECT psi.symbol, psi, ks, fpsi, hit, rej, coalesce(slip, 0) AS slip, psi >= 0.2 OR ks >= 0.2 OR fpsi >= 0.2 OR hit >= 0.15 OR rej >= 0.05 AS drift FROM psi JOIN ks ON psi.symbol = ks.symbol JOIN fpsi ON psi.symbol = fpsi.symbol JOIN pr ON psi.symbol = pr.symbol JOIN rj ON psi.symbol = rj.symbol LEFT JOIN sl ON psi.symbol = sl.symbol) SELECT symbol, round(psi, 6) AS psi, round(ks, 6) AS ks, round(fpsi, 6) AS feature_psi, round(hit, 6) AS label_stability_delta, round(rej, 6) AS reject_rate_delta, round(slip, 6) AS slippage_abs_mean, drift, CASE WHEN drift THEN 'rollback_check' WHEN psi > 0.14 THEN 'warn' ELSE 'keep' END AS action FROM v2")
 def ev12_drift_verdict(spark, sf):
-    v = _halves(spark, sf)
-    both = E.psi(v, ["symbol"], "x", "new").join(E.ks(v, ["symbol"], "x", "new"), "symbol")
-    return both.select("symbol", F.when((F.col("psi") > 0.25) | (F.col("ks") > 0.2), "retrain").when((F.col("psi") > 0.1) | (F.col("ks") > 0.1), "watch").otherwise("ok").alias("action"))
+    t, new = ticks(spark, sf), (F.col("ts") >= _CUT).alias("is_new")
+    scores = t.select("symbol", F.col("price").alias("value"), new)
+    features = t.select("symbol", F.lit("size").alias("name"), F.col("size").cast("double").alias("value"), new)
+    hits = predictions(spark, sf).select("symbol", (F.signum("mu") == F.signum("y")).cast("double").alias("value"), new)
+    rejects = t.select("symbol", (F.col("price") < 5).cast("double").alias("value"), new)
+    slippage = bars(spark, sf).where(F.col("ts") >= _CUT).select("symbol", (F.col("close") / F.col("open") - 1).alias("value"))
+    d = E.drift_verdict(scores, features, hits, rejects, slippage, ["symbol"])
+    return d.select("symbol", *(r6(F.col(c), c) for c in ("psi", "ks", "feature_psi", "label_stability_delta", "reject_rate_delta", "slippage_abs_mean")), "drift", "action")
 
 
 _PAR = FILLS + ", b AS (SELECT target, sum(est_price * qty) AS n, avg(est_price) AS ret FROM fills GROUP BY 1), p AS (SELECT target, sum(price * qty) AS n, avg(price) AS ret, count(*) AS orders FROM fills WHERE status <> 'rejected' GROUP BY 1)"

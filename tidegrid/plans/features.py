@@ -51,16 +51,15 @@ def fx02_contract(spark, sf):
     return a.select("symbol", "ts", v[0].alias("v0"), r6(v[1], "v1", 3), r6(v[2], "v2", 3), (F.round(v[3], 4) + 0.0).alias("v3"), r6(v[4], "v4", 4), masked.alias("masked"))
 
 
-@query(f"WITH {BARS}, t AS (SELECT symbol, ts - ts % {6 * HOUR} + {6 * HOUR} AS ts, [avg(price), count(*)::DOUBLE] AS block FROM ticks GROUP BY 1, ticks.ts - ticks.ts % {6 * HOUR}) SELECT b.symbol, b.ts, round(close::FLOAT::DOUBLE, 2) AS v0, round(coalesce(block[1], 0)::FLOAT::DOUBLE, 2) AS v1, coalesce(block[2], 0) AS v2, (block IS NULL)::INT AS m1 FROM bars b ASOF LEFT JOIN t ON b.symbol = t.symbol AND b.ts >= t.ts")
+@query(f"WITH {BARS}, t AS (SELECT symbol, ts - ts % {6 * HOUR} + {6 * HOUR} AS ts, [avg(price), count(*)::DOUBLE] AS block FROM ticks GROUP BY 1, ticks.ts - ticks.ts % {6 * HOUR}), j AS (SELECT b.symbol, b.ts, close, block, (b.ts - t.ts) / 1e6 AS lag, CASE WHEN block IS NULL THEN 'none' WHEN b.ts - t.ts > {4 * HOUR} THEN 'stale' ELSE 'fresh' END AS text_case FROM bars b ASOF LEFT JOIN t ON b.symbol = t.symbol AND b.ts >= t.ts) SELECT symbol, ts, round(close::FLOAT::DOUBLE, 2) AS v0, CASE WHEN text_case = 'fresh' THEN round(block[1]::FLOAT::DOUBLE, 2) ELSE 0 END AS v1, CASE WHEN text_case = 'fresh' THEN block[2] ELSE 0 END AS v2, (text_case <> 'fresh')::INT AS m1, text_case, lag AS text_lag_sec FROM j")
 def fx03_view_merge(spark, sf):
     end = (F.col("ts") - F.pmod("ts", F.lit(6 * HOUR)) + 6 * HOUR).alias("e")
     text = ticks(spark, sf).groupBy("symbol", end).agg(F.array(F.avg("price"), F.count("*").cast("double")).alias("block")).withColumnRenamed("e", "ts")
     zero = F.lit(0.0)
     b = bars(spark, sf).select("symbol", "ts", F.array(F.col("close"), zero, zero).cast("array<float>").alias("values"), F.array(F.lit(0), F.lit(1), F.lit(1)).cast("array<tinyint>").alias("mask"))
-    found = asof_join(b, text, ["symbol"], {"block": "block"}, tie="ts")
-    m = S.merge_block(found, "block", 1, 2, "missing")
+    m = S.merge_views(b, text, 1, 2, max_age=4 * HOUR)
     v = [F.col("values")[k].cast("double") for k in range(3)]
-    return m.select("symbol", "ts", r6(v[0], "v0", 2), r6(v[1], "v1", 2), v[2].alias("v2"), F.col("mask")[1].cast("int").alias("m1"))
+    return m.select("symbol", "ts", r6(v[0], "v0", 2), r6(v[1], "v1", 2), v[2].alias("v2"), F.col("mask")[1].cast("int").alias("m1"), "text_case", "text_lag_sec")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) <> 64) AS mismatched, count(*) FILTER (WHERE len(embedding) <> 64) / count(*) > 0.05 AS abort FROM embeddings")
@@ -119,6 +118,12 @@ def fx11_purged_kfold(spark, sf):
     return k.groupBy("symbol", "fold").agg(F.count_if((F.col("rn") > low) & (F.col("rn") <= high)).alias("test"), F.count_if((F.col("rn") <= low - 24) | (F.col("rn") > high + 24)).alias("train"))
 
 
+@query(f"WITH {BARS}, n AS (SELECT symbol, ts, row_number() OVER ({_W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), k AS (SELECT *, unnest(range(0, greatest(0, (n - 260) // 48 + 1))) AS fold FROM n WHERE n >= 260) SELECT symbol, fold::INT AS fold, CASE WHEN i < fold * 48 + 200 THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM k WHERE i BETWEEN fold * 48 AND fold * 48 + 199 OR i BETWEEN fold * 48 + 212 AND fold * 48 + 259 GROUP BY 1, 2, 3")
+def fx11_row_folds(spark, sf):
+    f = S.row_folds(bars(spark, sf).select("symbol", "ts"), train=200, test=48, purge=12)
+    return f.groupBy("symbol", "fold", "split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 @query(f"WITH {PREDICTIONS}, {_FOLD_SQL}, j AS (SELECT fold, split, mu FROM predictions JOIN fold ON ts >= a AND ts < b), s AS (SELECT fold, avg(mu) AS m, stddev_pop(mu) AS d FROM j WHERE split = 'train' GROUP BY 1) SELECT j.fold, count(*) AS n, round(avg((mu - m) / d), 6) AS mean, round(stddev_pop((mu - m) / d), 6) AS std FROM j JOIN s ON j.fold = s.fold WHERE split = 'test' GROUP BY 1")
 def fx12_standardise(spark, sf):
     j = S.assign_folds(predictions(spark, sf).select("ts", "mu"), _FOLDS)
@@ -131,12 +136,9 @@ def fx12_standardise(spark, sf):
 def fx13_ridge(spark, sf):
     """Ridge without intercept, one plan for all folds: the normal equations are sums."""
     j = S.assign_folds(predictions(spark, sf).select("ts", F.col("mu").alias("a"), F.col("sigma").alias("b"), "y"), _FOLDS)
-    s = lambda x, y: F.sum(F.col(x) * F.col(y))
-    g = j.where("split = 'train'").groupBy("fold").agg((s("a", "a") + 1).alias("aa"), s("a", "b").alias("ab"), (s("b", "b") + 1).alias("bb"), s("a", "y").alias("ay"), s("b", "y").alias("by"))
-    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    w = g.select("fold", ((F.col("bb") * F.col("ay") - F.col("ab") * F.col("by")) / det).alias("wa"), ((F.col("aa") * F.col("by") - F.col("ab") * F.col("ay")) / det).alias("wb"))
-    error = F.col("y") - F.col("a") * F.col("wa") - F.col("b") * F.col("wb")
-    return j.where("split = 'test'").join(w, "fold").groupBy("fold").agg(r6(F.first("wa"), "w_mu"), r6(F.first("wb"), "w_sigma"), r6(F.avg(error * error), "mse"))
+    w = S.ridge(j.where("split = 'train'"), ["fold"], ["a", "b"], "y")
+    error = F.col("y") - F.col("a") * F.col("weights")[0] - F.col("b") * F.col("weights")[1]
+    return j.where("split = 'test'").join(w, "fold").groupBy("fold").agg(r6(F.first(F.col("weights")[0]), "w_mu"), r6(F.first(F.col("weights")[1]), "w_sigma"), r6(F.avg(error * error), "mse"))
 
 
 @query(f"WITH {_RET} SELECT symbol, ts, round(lead(ret, 4) OVER ({_W}), 6) AS target FROM r")

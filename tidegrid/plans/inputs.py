@@ -245,10 +245,11 @@ def pf16_exclude_blocked(spark, sf):
 _DEFAULTS = (("en", 1, 0.9), ("de", 2, 0.8), ("fr", 3, 0.7), ("es", 4, 0.6))
 
 
-@query("WITH f(lang, tier, confidence) AS (VALUES " + ", ".join(map(str, _DEFAULTS)) + ") SELECT doc_id, tier, confidence::DOUBLE AS confidence, CASE WHEN contains(lower(text), 'heit') THEN 'policy' ELSE 'news' END AS event_type FROM documents JOIN f USING (lang)")
+@query("WITH f(lang, tier, confidence) AS (VALUES " + ", ".join(map(str, _DEFAULTS)) + ") SELECT doc_id, tier, confidence::DOUBLE AS confidence, CASE WHEN contains(lower(text), 'heit') THEN 'policy' ELSE 'news' END AS event_type FROM (SELECT doc_id, coalesce(tier, 5) AS tier, coalesce(confidence, 0.5) AS confidence, coalesce(text, '') AS text FROM documents LEFT JOIN f USING (lang))")
 def pf17_source_defaults(spark, sf):
     defaults = spark.createDataFrame(_DEFAULTS, "lang string, tier int, confidence double")
-    return table(spark, sf, "documents").join(defaults, "lang").select("doc_id", "tier", "confidence", F.when(F.contains(F.lower("text"), F.lit("heit")), "policy").otherwise("news").alias("event_type"))
+    known = table(spark, sf, "documents").join(F.broadcast(defaults), "lang", "left")
+    return known.select("doc_id", F.coalesce("tier", F.lit(5)).alias("tier"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.when(F.contains(F.lower("text"), F.lit("heit")), "policy").otherwise("news").alias("event_type"))
 
 
 # Top k, sampling, sets
@@ -265,10 +266,16 @@ _CAPPED = NEWS + f", d AS (SELECT id, source, ts // {DAY} AS day, confidence FRO
 @query(f"WITH {_CAPPED} SELECT id, source FROM p WHERE pick <= (SELECT count(*) * 0.1 FROM d WHERE source <> 's1') UNION ALL SELECT id, source FROM d WHERE source <> 's1'")
 def tk02_provider_cap(spark, sf):
     d = news(spark, sf).select("id", "source", F.floor(F.col("ts") / DAY).alias("day"), "confidence")
-    keep = int(d.where("source <> 's1'").count() * 0.1)
-    rounds = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("confidence"), "id"))
-    picked = d.where("source = 's1'").withColumn("round", rounds).orderBy("round", "day", "id").limit(keep)
-    return picked.select("id", "source").union(d.where("source <> 's1'").select("id", "source"))
+    others = d.where("source <> 's1'")
+    order = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("confidence"), "id"))
+    ranked = d.where("source = 's1'").withColumn("round", order)
+    # How many rows come before a round and day: sums over rounds and days alone, so no window holds all rows.
+    sizes = ranked.groupBy("round", "day").agg(F.count("*").alias("k"))
+    before = sizes.withColumn("before", F.sum("k").over(Window.orderBy("round", "day")) - F.col("k"))
+    within = F.row_number().over(Window.partitionBy("round", "day").orderBy("id"))
+    kept = others.agg((F.count("*") * 0.1).alias("keep"))
+    picked = ranked.withColumn("within", within).join(before, ["round", "day"]).crossJoin(F.broadcast(kept)).where(F.col("before") + F.col("within") <= F.col("keep"))
+    return picked.select("id", "source").union(others.select("id", "source"))
 
 
 @query(f"WITH {TICKS}, h AS (SELECT user_id, sum(price) AS heat FROM ticks GROUP BY 1), s AS (SELECT user_id, heat, least(20, round(1000 * heat / sum(heat) OVER ()))::BIGINT AS base, row_number() OVER (ORDER BY heat DESC, user_id) AS rk, count(*) OVER () AS n FROM h), l AS (SELECT *, greatest(0, 1000 - sum(base) OVER ())::BIGINT AS rest FROM s) SELECT user_id, (base + rest // n + CASE WHEN rk <= rest % n THEN 1 ELSE 0 END)::BIGINT AS budget FROM l")
@@ -350,23 +357,31 @@ def _events(spark, sf):
     return ticks(spark, sf).withColumn("fp", F.sha2(key, 256))
 
 
-@query(f"WITH {_FP}, f AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY ts, id) AS rn FROM e) SELECT count(*) AS accepted, count(*) FILTER (WHERE rn = 1) AS inserted, count(*) FILTER (WHERE rn > 1) AS deduplicated FROM f")
+@query(f"WITH {_FP}, old AS (SELECT DISTINCT fp FROM e WHERE ts < {_T0 + 10 * DAY}), f AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY ts, id) AS rn FROM e WHERE ts >= {_T0 + 10 * DAY}) SELECT count(*) AS accepted, count(*) FILTER (WHERE rn = 1 AND old.fp IS NULL) AS inserted, count(*) FILTER (WHERE rn > 1 OR old.fp IS NOT NULL) AS deduplicated FROM f LEFT JOIN old ON f.fp = old.fp")
 def en01_event_dedup(spark, sf):
-    rn = F.row_number().over(Window.partitionBy("fp").orderBy("ts", "id"))
-    return _events(spark, sf).withColumn("rn", rn).agg(F.count("*").alias("accepted"), F.count_if(F.col("rn") == 1).alias("inserted"), F.count_if(F.col("rn") > 1).alias("deduplicated"))
+    """The events of the first ten days are there; the others come as a batch."""
+    e = _events(spark, sf)
+    batch, there = e.where(F.col("ts") >= _T0 + 10 * DAY), e.where(F.col("ts") < _T0 + 10 * DAY)
+    new = io.new_events(batch, there, "fp", ("ts", "id"))
+    counts = batch.agg(F.count("*").alias("accepted")).crossJoin(new.agg(F.count("*").alias("inserted")))
+    return counts.withColumn("deduplicated", F.col("accepted") - F.col("inserted"))
 
 
-@query("SELECT entity, count(*) AS links FROM (SELECT DISTINCT doc_id, unnest([source, lang]) AS entity FROM documents) WHERE entity IS NOT NULL GROUP BY 1")
+_KINDS2 = "l AS (SELECT DISTINCT doc_id, kind, name FROM (SELECT doc_id, unnest(['source', 'lang']) AS kind, unnest([source, lang]) AS name FROM documents) WHERE name IS NOT NULL)"
+
+
+@query(f"WITH {_KINDS2}, e AS (SELECT kind, name, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM l GROUP BY 1, 2) SELECT kind, name, first_doc, last_doc, count(*) AS links FROM e JOIN l USING (kind, name) GROUP BY 1, 2, 3, 4")
 def en02_entity_links(spark, sf):
-    links = table(spark, sf, "documents").select("doc_id", F.explode(F.array("source", "lang")).alias("entity")).where("entity IS NOT NULL").distinct()
-    return links.groupBy("entity").agg(F.count("*").alias("links"))
+    """Entities are upserted by kind and name (the first document stays, the last one moves), links inserted once."""
+    entities, links = io.entity_links(table(spark, sf, "documents").select("doc_id", F.explode(F.create_map(F.lit("source"), "source", F.lit("lang"), "lang")).alias("kind", "name")), "doc_id")
+    return entities.join(links, ["kind", "name"]).groupBy("kind", "name", "first_doc", "last_doc").agg(F.count("*").alias("links"))
 
 
-@query("SELECT doc_id, list_contains(['src0', 'src1', 'en'], source)::INT + list_contains(['src0', 'src1', 'en'], lang)::INT AS known FROM documents WHERE lang IS NOT NULL")
+@query("SELECT doc_id, list_contains(['src0', 'src1', 'en'], source)::INT + list_contains(['src0', 'src1', 'en'], lang)::INT AS known FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents)")
 def en03_entity_union(spark, sf):
     known = F.array(F.lit("src0"), F.lit("src1"), F.lit("en"))
     merged = F.array_union(F.array("source", "lang"), F.array("lang"))
-    return table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", F.size(F.filter(merged, lambda e: F.array_contains(known, e))).alias("known"))
+    return table(spark, sf, "documents").select("doc_id", F.size(F.filter(merged, lambda e: F.array_contains(known, e))).alias("known"))
 
 
 @query(f"WITH {NEWS} SELECT id, round(0.35 + 0.65 * abs(sentiment), 6) AS importance, (available - occurred) / 1e6 AS lag_sec, CASE WHEN abs(sentiment) > 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS coverage FROM news")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.align import asof_join, asof_wide, range_join, resolve_snapshot, with_previous
+from ..operators.align import asof_join, asof_wide, exact_join, range_join, resolve_snapshot, with_previous
+from ..operators.evaluate import audit_chain, reviewer_agreement
 from ..operators.bars import to_bars
 from ..sources.fixtures import BARS, DAY, DAYS, FILLS, HOUR, NEWS, TICKS, bars, days, fills, news, table, ticks
 from .registry import query
@@ -121,8 +122,7 @@ def jn12_near_in_time(spark, sf):
 @query(f"WITH {BARS} SELECT f.symbol, f.ts, f.volume, b.close, c.high FROM bars f JOIN bars b ON f.symbol = b.symbol AND f.ts = b.ts AND b.close > 0 JOIN bars c ON f.symbol = c.symbol AND f.ts = c.ts")
 def jn13_exact_join(spark, sf):
     b = bars(spark, sf)
-    close, context = b.where("close > 0").select("symbol", "ts", "close"), b.select("symbol", "ts", "high")
-    return b.select("symbol", "ts", "volume").join(close, ["symbol", "ts"]).join(context, ["symbol", "ts"])
+    return exact_join(b.select("symbol", "ts", "volume"), {"close": b.where("close > 0").select("symbol", "ts", "close"), "context": b.select("symbol", "ts", "high")})
 
 
 @query(f"WITH {FILLS}, a AS (SELECT target, sum(qty) AS filled FROM fills WHERE status = 'filled' GROUP BY 1), b AS (SELECT target, sum(qty) AS rejected FROM fills WHERE status = 'rejected' GROUP BY 1) SELECT target, filled, rejected FROM a JOIN b USING (target)")
@@ -152,11 +152,11 @@ def jn16_scope_union(spark, sf):
     return union.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query("WITH r AS (SELECT doc_id, 'quality' AS reviewer, quality AS verdict FROM labels UNION ALL SELECT doc_id, 'toxic', 1 - toxic FROM labels) SELECT a.reviewer AS a, b.reviewer AS b, count(*) AS pairs, count(*) FILTER (WHERE a.verdict = b.verdict) AS agreed FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.reviewer < b.reviewer GROUP BY 1, 2")
+@query("WITH l AS (SELECT conv_id AS event, 'r' || (turn % 4) AS reviewer, length(text) % 3 AS verdict, turn FROM conversations), f AS (SELECT event, reviewer, arg_min(verdict, turn) AS verdict FROM l GROUP BY 1, 2) SELECT a.reviewer AS a, b.reviewer AS b, count(*) AS pairs, count(*) FILTER (WHERE a.verdict IS NOT DISTINCT FROM b.verdict) AS agreed FROM f a JOIN f b ON a.event = b.event AND a.reviewer < b.reviewer GROUP BY 1, 2")
 def jn17_reviewer_agreement(spark, sf):
-    rows = table(spark, sf, "labels").select("doc_id", F.explode(F.create_map(F.lit("quality"), "quality", F.lit("toxic"), 1 - F.col("toxic"))).alias("reviewer", "verdict"))
-    a, b = rows.select("doc_id", F.col("reviewer").alias("a"), F.col("verdict").alias("va")), rows.select("doc_id", F.col("reviewer").alias("b"), F.col("verdict").alias("vb"))
-    return a.join(b, "doc_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("pairs"), F.count_if(F.col("va") == F.col("vb")).alias("agreed"))
+    """Turns of a conversation stand for reviews of an event by four reviewers, who may come back."""
+    reviewer = F.concat(F.lit("r"), (F.col("turn") % 4).cast("string"))
+    return reviewer_agreement(table(spark, sf, "conversations").select(F.col("conv_id").alias("event"), reviewer.alias("reviewer"), (F.length("text") % 3).alias("verdict"), F.col("turn").alias("ts")))
 
 
 @query(f"WITH {BARS}, r AS (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS ret FROM bars), p AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS rho FROM r a JOIN r b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2), s AS (SELECT a AS symbol, rho FROM p UNION ALL SELECT b, rho FROM p) SELECT symbol, round(max(abs(rho)), 6) AS strongest, round(product(CASE WHEN abs(rho) >= 0.05 THEN 1 - abs(rho) ELSE 1 END), 6) AS penalty FROM s GROUP BY 1")
@@ -179,10 +179,17 @@ def jn19_position_diff(spark, sf):
     return both.select("target", "diff", F.round("v", 4).alias("value"), (F.col("v") > 10000).alias("drift"))
 
 
-@query(f"WITH {FILLS}, u AS (SELECT o_orderkey AS order_id, epoch_us(o_orderdate) AS ts, 'decision' AS kind, 0 AS line FROM orders UNION ALL SELECT order_id, ts, status, line FROM fills) SELECT order_id, count(*) AS steps, string_agg(kind || ':' || line, ',' ORDER BY ts, kind, line) AS chain FROM u GROUP BY 1")
+@query(f"""WITH {FILLS}, u AS (SELECT o_orderkey AS d, epoch_us(o_orderdate) AS ts, 0 AS place, 'decision' AS kind, o_orderkey::VARCHAR AS ref FROM orders UNION ALL SELECT order_id, min(ts), 1, 'signal', target::VARCHAR FROM fills GROUP BY order_id, target UNION ALL SELECT order_id, min(ordered), 2, 'order', side FROM fills GROUP BY order_id, side
+UNION ALL SELECT order_id, max(ts), 3, 'position', target::VARCHAR FROM fills WHERE status = 'filled' GROUP BY order_id, target UNION ALL SELECT order_id, ordered, 4, 'child', line::VARCHAR FROM fills UNION ALL SELECT order_id, ts, 5, 'fill', line::VARCHAR FROM fills WHERE status <> 'rejected')
+SELECT d AS decision, count(*) AS steps, string_agg(kind || ':' || ref, ',' ORDER BY ts, place, ref) AS chain FROM u GROUP BY 1""")
 def jn20_audit_chain(spark, sf):
     from ..sources.fixtures import micros
 
-    decided = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), micros("o_orderdate").alias("ts"), F.lit("decision").alias("kind"), F.lit(0).alias("line"))
-    steps = decided.union(fills(spark, sf).select("order_id", "ts", "status", "line")).groupBy("order_id").agg(F.count("*").alias("steps"), F.array_sort(F.collect_list(F.struct("ts", "kind", "line"))).alias("s"))
-    return steps.select("order_id", "steps", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["line"].cast("string"))), ",").alias("chain"))
+    f = fills(spark, sf).withColumnRenamed("order_id", "decision")
+    per = lambda df, key, ts: df.groupBy("decision", F.col(key).alias("ref")).agg(ts.alias("ts"))
+    chained = audit_chain({
+        "decision": table(spark, sf, "orders").select(F.col("o_orderkey").alias("decision"), micros("o_orderdate").alias("ts"), F.col("o_orderkey").alias("ref")),
+        "signal": per(f, "target", F.min("ts")), "order": per(f, "side", F.min("ordered")), "position": per(f.where("status = 'filled'"), "target", F.max("ts")),
+        "child": f.select("decision", F.col("ordered").alias("ts"), F.col("line").alias("ref")), "fill": f.where("status <> 'rejected'").select("decision", "ts", F.col("line").alias("ref")),
+    })
+    return chained.select("decision", "steps", F.array_join(F.transform("chain", lambda x: F.concat_ws(":", x["kind"], x["ref"])), ",").alias("chain"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
 from ..operators import rolling as R
 from ..sources.fixtures import BARS, DAY, FILLS, HOUR, PREDICTIONS, TICKS, bars, fills, predictions, ticks
 from .registry import query
@@ -85,22 +86,36 @@ def wn08_transforms(spark, sf):
     return ticks(spark, sf).select("id", r6(F.tanh(F.log(F.greatest(F.lit(1e-9), p))), "level"), r6(F.tanh(25 * p / 1e4), "rate"), r6(F.tanh(5 * p / 1e3), "ratio"), r6(F.tanh(p * F.col("size") / 1e6), "flow"))
 
 
-@query(f"WITH {_RET}, p AS (SELECT *, lag(ret) OVER ({_W}) AS prev FROM r) SELECT symbol, ts, round(avg(ret) OVER w, 6) + 0.0 AS mean, round(stddev_pop(ret) OVER w, 6) AS std, round(min(ret) OVER w, 6) AS low, round(max(ret) OVER w, 6) AS high, round(quantile_cont(ret, 0.1) OVER w, 6) AS q10, round(quantile_cont(ret, 0.9) OVER w, 6) AS q90, CASE WHEN rn > 26 THEN round(corr(ret, prev) OVER w, 5) END AS autocorr FROM p WINDOW w AS {_ROWS(23)}")
+_PACK = 24
+_EW = 2 / (_PACK + 1)
+
+
+@query(f"""WITH {_RET}, k AS (SELECT symbol, ts, ret, row_number() OVER ({_W}) AS rn FROM r WHERE ret IS NOT NULL), p AS (SELECT *, lag(ret) OVER ({_W}) AS prev FROM k),
+f AS (SELECT *, list(ret) OVER w AS seg, avg(ret) OVER w AS mean, stddev_pop(ret) OVER w AS std, min(ret) OVER w AS low, max(ret) OVER w AS high, quantile_cont(ret, 0.1) OVER w AS q10, quantile_cont(ret, 0.9) OVER w AS q90, corr(ret, prev) OVER v AS ac, stddev_pop(prev) OVER v AS da, stddev_pop(CASE WHEN prev IS NOT NULL THEN ret END) OVER v AS db FROM p WINDOW w AS {_ROWS(_PACK - 1)}, v AS {_ROWS(_PACK - 2)}),
+e AS (SELECT *, list_transform(range(1, len(seg) + 1), lambda i: list_reduce(seg[1:i], lambda acc, x: {_EW!r} * x + {1 - _EW!r} * acc)) AS ew FROM f)
+SELECT symbol, ts, round(mean, 6) + 0.0 AS mean_24, round(std, 6) AS std_24, round(low, 6) AS min_24, round(high, 6) AS max_24, round(ret, 6) AS last_24, round((ret - mean) / greatest(std, 1e-9), 4) + 0.0 AS zscore_24, round(ew[-1], 6) AS ewm_mean_24, round(list_stddev_pop(ew), 6) AS ewm_std_24, round(CASE WHEN rn > 2 AND da > 1e-12 AND db > 1e-12 THEN ac ELSE 0 END, 5) AS autocorr1_24, round(q10, 6) AS quantile_10_24, round(q90, 6) AS quantile_90_24 FROM e""")
 def wn09_stats_pack(spark, sf):
-    w = R.rows(24)
-    r = _ret(spark, sf).withColumn("prev", F.lag("ret").over(R.by())).withColumn("rn", F.row_number().over(R.by()))
-    return r.select(
-        "symbol", "ts", (F.round(F.avg("ret").over(w), 6) + 0.0).alias("mean"), r6(F.stddev_pop("ret").over(w), "std"), r6(F.min("ret").over(w), "low"), r6(F.max("ret").over(w), "high"),
-        r6(F.percentile("ret", 0.1).over(w), "q10"), r6(F.percentile("ret", 0.9).over(w), "q90"), F.when(F.col("rn") > 26, F.round(F.corr("ret", "prev").over(w), 5)).alias("autocorr"),
-    )
+    packed = R.with_stats(_ret(spark, sf).select("symbol", "ts", "ret"), "ret", (_PACK,))
+    digits = {"zscore_24": 4, "autocorr1_24": 5}
+    return packed.select("symbol", "ts", *((F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in packed.columns if c.endswith("_24")))
+
+
+_REG = BARS + f""", i0 AS (SELECT *, ln(close / lag(close) OVER ({_W})) AS lr, row_number() OVER ({_W}) AS rn FROM bars),
+i AS (SELECT symbol, ts, close / coalesce(lag(close) OVER ({_W}), close) - 1 AS ret_1, CASE WHEN rn < 3 THEN 0 ELSE stddev_pop(lr) OVER {_ROWS(11)} END AS vol_12, CASE WHEN trades % 3 <> 0 THEN least(35.0, greatest(1.5, 1.5 + abs(ln(close / open)) * 2800 + 8 / greatest(1, ln(2 + volume)))) END AS spread, volume * 2 AS depth, greatest(-0.95, least(0.95, tanh(2 * (close - open) / greatest(high - low, close * 0.0005)))) AS imb, (close - open) / close AS funding, CASE WHEN trades % 2 = 0 THEN volume END AS oi, close / coalesce(lag(close, 48) OVER ({_W}), first_value(close) OVER ({_W})) - 1 AS ret_48, close / coalesce(lag(close, 288) OVER ({_W}), first_value(close) OVER ({_W})) - 1 AS ret_288, least(1, trades / 20) AS cov, trades AS n, rn FROM i0),
+z AS (SELECT * REPLACE (coalesce(spread, 0) AS spread, coalesce(oi, 0) AS oi), (spread IS NULL)::INT AS sm, (oi IS NULL)::INT AS om FROM i),
+y AS (SELECT *, stddev_pop(ret_1) OVER {_ROWS(23)} AS vol, stddev_pop(vol_12) OVER {_ROWS(23)} AS vv, avg(ret_1) OVER s AS m1, avg(ret_1 ** 2) OVER s AS m2, avg(ret_1 ** 3) OVER s AS m3, (funding - avg(funding) OVER f) / greatest(1e-8, stddev_pop(funding) OVER f) AS fz, oi - coalesce(lag(oi) OVER ({_W}), oi) AS change FROM z WINDOW s AS {_ROWS(47)}, f AS {_ROWS(95)})"""
 
 
-@query(f"""WITH {_RET}, v AS (SELECT *, stddev_pop(ret) OVER {_ROWS(23)} AS vol FROM r WHERE rn > 1),
-m AS (SELECT *, stddev_pop(vol) OVER {_ROWS(23)} AS vv, avg(ret) OVER w AS m1, avg(ret * ret) OVER w AS m2, avg(ret * ret * ret) OVER w AS m3 FROM v WINDOW w AS {_ROWS(47)})
-SELECT symbol, ts, round(vol, 6) AS vol, round(vv, 6) AS vol_of_vol, round(CASE WHEN m2 - m1 * m1 > 1e-14 THEN (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / (m2 - m1 * m1) ** 1.5 ELSE 0 END, 5) + 0.0 AS skew, (vol IS NULL)::INT AS mask FROM m""")
+@query(f"WITH {_REG} SELECT symbol, ts, round(vol, 6) AS r0, round(vv, 6) AS r1, round(CASE WHEN rn >= 3 AND m2 - m1 * m1 > 1e-14 THEN (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / (m2 - m1 * m1) ** 1.5 ELSE 0 END, 4) + 0.0 AS r2, round(spread, 5) AS r3, round(ln(1 + depth), 6) AS r4, round(imb, 6) + 0.0 AS r5, round(funding, 6) + 0.0 AS r6, round(fz, 4) + 0.0 AS r7, 0.0::DOUBLE AS r8, oi::DOUBLE AS r9, change::DOUBLE + 0.0 AS r10, round(greatest(0, -change) * (1 + spread) * (1 + vol), 4) AS r11, round(0.6 * ret_48 + 0.4 * ret_288, 6) + 0.0 AS r12, cov::DOUBLE AS r13, 0.0::DOUBLE AS r14, n::DOUBLE AS r15, sm AS m3, om AS m9, greatest(sm, om) AS m11, 2 + sm + om * 2 + greatest(sm, om) AS masked FROM y")
 def wn10_regime(spark, sf):
-    r = _ret(spark, sf).where("ret IS NOT NULL").withColumn("vol", F.stddev_pop("ret").over(R.rows(24)))
-    return r.select("symbol", "ts", r6(F.col("vol"), "vol"), r6(F.stddev_pop("vol").over(R.rows(24)), "vol_of_vol"), (F.round(R.skew("ret", 48), 5) + 0.0).alias("skew"), F.col("vol").isNull().cast("int").alias("mask"))
+    b = bars(spark, sf).withColumn("ret", R.log_return())
+    book = E.proxy_book(*(F.col(c) for c in ("open", "high", "low", "close", "volume")))
+    n = F.col("trades")
+    rows = b.select("symbol", "ts", R.k_return(1).alias("ret_1"), R.realised_vol(12).alias("vol_12"), F.when(n % 3 != 0, book["spread_bps"]).alias("orderbook_spread_bps"), (F.col("volume") * 2).alias("orderbook_depth_total"), book["imbalance"].alias("orderbook_imbalance"), ((F.col("close") - F.col("open")) / F.col("close")).alias("funding_rate"), F.when(n % 2 == 0, F.col("volume")).alias("open_interest"), R.k_return(48).alias("ret_48"), R.k_return(288).alias("ret_288"), F.least(F.lit(1.0), n / 20).alias("text_coverage"), n.alias("event_count_1h"))
+    x = R.regime_features(rows)
+    digits = {2: 4, 3: 5, 7: 4, 11: 4}
+    masked = F.aggregate("regime_mask", F.lit(0), lambda s, m: s + m.cast("int"))
+    return x.select("symbol", "ts", *((F.round(F.col("regime")[k], digits.get(k, 6)) + 0.0).alias(f"r{k}") for k in range(16)), *(F.col("regime_mask")[k].cast("int").alias(f"m{k}") for k in (3, 9, 11)), masked.alias("masked"))
 
 
 @query(f"WITH {FILLS} SELECT target, ts, order_id, line, rn FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ts DESC, order_id DESC, line DESC) AS rn FROM fills) WHERE rn <= 2")

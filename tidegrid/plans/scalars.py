@@ -108,11 +108,11 @@ def sc09_latency_prior(spark, sf):
 _ENG = "(n_chars + 2 * (doc_id % 50) + 1.8 * (doc_id % 7) + 1.6 * (doc_id % 5) + 0.01 * n_chars)"
 
 
-@query(f"SELECT doc_id, round({_ENG}, 6) AS engagement, CASE WHEN n_chars * 50 >= 1000000 THEN 'mega' WHEN n_chars * 50 >= 100000 THEN 'macro' WHEN n_chars * 50 >= 10000 THEN 'mid' WHEN n_chars * 50 >= 1000 THEN 'micro' ELSE 'nano' END AS influence, round(ln(1 + {_ENG}) + 0.5 * ln(1 + n_chars * 50) + abs(doc_id % 21 - 10) / 10 + 0.4 * (doc_id % 3), 6) AS heat, round(0.45 * least(1, n_chars * 50 / 100000) + 0.45 * least(1, {_ENG} / 5000) + CASE WHEN trim(coalesce(text, '')) <> '' THEN 0.1 ELSE 0 END, 6) AS coverage FROM documents")
+@query(f"SELECT doc_id, round({_ENG}, 6) AS engagement, CASE WHEN n_chars * 50 >= 1000000 THEN 'mega' WHEN n_chars * 50 >= 100000 THEN 'macro' WHEN n_chars * 50 >= 10000 THEN 'mid' WHEN n_chars * 50 >= 1000 THEN 'micro' ELSE 'nano' END AS influence, round(ln(1 + {_ENG}) + 0.5 * ln(1 + n_chars * 50) + abs(doc_id % 21 - 10) / 10 + 0.4 * (doc_id % 3), 6) AS heat, round(0.45 * least(1, n_chars * 50 / 100000) + 0.45 * least(1, {_ENG} / 5000) + CASE WHEN trim(coalesce(text, '')) <> '' THEN 0.1 ELSE 0 END, 9) AS coverage FROM documents")
 def sc10_engagement(spark, sf):
     i, followers = F.col("doc_id"), F.col("n_chars") * 50
     engaged = E.engagement(F.col("n_chars"), i % 50, i % 7, i % 5, F.col("n_chars"))
-    return table(spark, sf, "documents").select("doc_id", r6(engaged, "engagement"), E.influence_tier(followers).alias("influence"), r6(E.heat_score(engaged, followers, (i % 21 - 10) / 10, i % 3), "heat"), r6(E.coverage_score(followers, engaged, F.col("text")), "coverage"))
+    return table(spark, sf, "documents").select("doc_id", r6(engaged, "engagement"), E.influence_tier(followers).alias("influence"), r6(E.heat_score(engaged, followers, (i % 21 - 10) / 10, i % 3), "heat"), r6(E.coverage_score(followers, engaged, F.col("text")), "coverage", 9))
 
 
 @query(f"WITH {NEWS} SELECT id, round(0.3 * confidence + 0.25 * greatest(0, least(1, (6 - tier) / 5)) + 0.25 * exp(-(available - occurred) / 3.6e9) + 0.2 * (id % 3) / 2, 6) AS quality FROM news")
@@ -177,10 +177,10 @@ def sc16_timeframes(spark, sf):
     return t.withColumn("seconds", E.timeframe_seconds(F.col("tf"))).where("seconds IS NOT NULL").groupBy("tf", "seconds").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {BARS}, s AS (SELECT symbol, ts, close, {_BOOK} AS imbalance, greatest(1, volume / 20) AS size, least(35.0, greatest(1.5, 1.5 + abs(ln(greatest(close, 1e-9) / greatest(open, 1e-9))) * 2800 + 8 / greatest(1, ln(2 + volume)))) AS spread_bps FROM bars) SELECT symbol, ts, round(spread_bps, 6) AS spread_bps, round(imbalance, 6) AS imbalance, round(close * (1 - spread_bps / 2e4), 6) AS bid_px, round(close * (1 + spread_bps / 2e4), 6) AS ask_px, round(size * (1 + imbalance), 6) AS bid_sz, round(size * (1 - imbalance), 6) AS ask_sz FROM s")
+@query(f"WITH {BARS}, s AS (SELECT symbol, ts, close, {_BOOK} AS imbalance, greatest(1, volume / 20) AS size, least(35.0, greatest(1.5, 1.5 + abs(ln(greatest(close, 1e-9) / greatest(open, 1e-9))) * 2800 + 8 / greatest(1, ln(2 + volume)))) AS spread_bps FROM bars) SELECT symbol, ts, round(spread_bps, 6) AS spread_bps, round(imbalance, 6) AS imbalance, round(close * (1 - spread_bps / 2e4), 9) AS bid_px, round(close * (1 + spread_bps / 2e4), 9) AS ask_px, round(size * (1 + imbalance), 6) AS bid_sz, round(size * (1 - imbalance), 6) AS ask_sz FROM s")
 def sc17_proxy_book(spark, sf):
     book = E.proxy_book(*_C("open", "high", "low", "close", "volume"))
-    return bars(spark, sf).select("symbol", "ts", *(r6(c, n) for n, c in book.items()))
+    return bars(spark, sf).select("symbol", "ts", *(r6(c, n, 9 if n.endswith("px") else 6) for n, c in book.items()))
 
 
 @query(f"WITH {BARS}, m AS (SELECT symbol, ts FROM bars WHERE trades % 3 = 0) SELECT symbol, ts, round((close - open) * volume, 6) AS flow FROM bars b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.symbol = b.symbol AND m.ts = b.ts)")

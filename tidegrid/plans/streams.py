@@ -35,7 +35,7 @@ def io13_tick_stream(spark, sf):
 
 @query(f"WITH {TICKS} SELECT symbol, ts - ts % {HOUR} AS ts, first(price ORDER BY ticks.ts, id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ticks.ts, id) AS close, sum(size)::BIGINT AS volume FROM ticks GROUP BY 1, ticks.ts - ticks.ts % {HOUR}")
 def st01_bars(spark, sf):
-    out = S.last_update(S.run(S.bars_stream(_source(spark, sf), "1 hour", "40 days"), "update"), "symbol", "window")
+    out = S.last_update(S.run(S.bars_stream(_source(spark, sf), "1 hour", "1 hour"), "update"), "symbol", "window")
     return out.select("symbol", _start().alias("ts"), "open", "high", "low", "close", "volume")
 
 
@@ -43,12 +43,12 @@ def st01_bars(spark, sf):
 def st02_dedup(spark, sf):
     key = F.concat_ws("|", "symbol", F.col("user_id").cast("string"), F.floor(F.unix_micros("ts") / DAY).cast("string"))
     stream = _source(spark, sf, lambda t: t.withColumn("fingerprint", F.sha2(key, 256)))
-    return S.run(S.dedup_stream(stream, "40 days")).groupBy("symbol").agg(F.count("*").alias("n"))
+    return S.run(S.dedup_stream(stream, "1 day")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {TICKS}, w AS (SELECT symbol, price, unnest([ts - ts % {HOUR} - k * {HOUR} FOR k IN range(6)]) AS start FROM ticks) SELECT symbol, start, count(*) AS n, round(avg(price), 6) AS mean FROM w GROUP BY 1, 2")
 def st03_sliding(spark, sf):
-    out = S.last_update(S.run(S.sliding_counts(_source(spark, sf), late="40 days"), "update"), "symbol", "window")
+    out = S.last_update(S.run(S.sliding_counts(_source(spark, sf), late="1 hour"), "update"), "symbol", "window")
     return out.select("symbol", _start().alias("start"), "n", r6(F.col("mean"), "mean"))
 
 
@@ -91,8 +91,8 @@ def st07_enrich(spark, sf):
 @query(f"WITH {TICKS}, w AS (SELECT (symbol = 'error')::INT AS rejected, unnest([ts - ts % {3 * HOUR} - k * {3 * HOUR} FOR k IN range(2)]) AS start FROM ticks) SELECT start, round(avg(rejected), 6) AS rate, count(*) AS n FROM w GROUP BY 1 HAVING avg(rejected) > 0.08")
 def st08_reject_alerts(spark, sf):
     stream = _source(spark, sf, lambda t: t.withColumn("rejected", (F.col("symbol") == "error").cast("int")))
-    rows = stream.withWatermark("ts", "40 days").groupBy(F.window("ts", "6 hours", "3 hours")).agg(F.avg("rejected").alias("rate"), F.count("*").alias("n"))
-    return S.last_update(S.run(rows, "update"), "window").where("rate > 0.08").select(_start().alias("start"), r6(F.col("rate"), "rate"), "n")
+    rates = S.last_update(S.run(S.reject_rates(stream), "update"), "window")
+    return S.alerts(rates, 0.08).select(_start().alias("start"), r6(F.col("rate"), "rate"), "n")
 
 
 @query(f"WITH {TICKS}, p AS (SELECT symbol, ts, price FROM ticks), q AS (SELECT symbol, ts, price FROM ticks) SELECT p.symbol, count(*) AS pairs, count(*) FILTER (WHERE q.price > p.price) AS hits FROM p JOIN q ON p.symbol = q.symbol AND q.ts >= p.ts + {HOUR} AND q.ts < p.ts + {2 * HOUR} GROUP BY 1")

@@ -86,3 +86,15 @@ def repair_clocks(df: DataFrame) -> DataFrame:
     available = F.greatest(published, "available")
     wrong = (F.col("published") < F.col("occurred")) | (F.col("available") < F.col("published"))
     return df.withColumns({"clock_violation": wrong, "published": published, "available": available, "source_latency_ms": ((available - F.col("occurred")) / 1000).cast("long")})
+
+
+def new_events(batch: DataFrame, there: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The first row of each key of the batch, without keys that are there already."""
+    first = batch.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__rn = 1").drop("__rn")
+    return first.join(there.select(key), key, "left_anti")
+
+
+def entity_links(mentions: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    """Entities (kind, name, first_doc, last_doc) and links (doc, kind, name) of mentions; each link once, null names have none."""
+    links = mentions.where("name IS NOT NULL").select(doc, "kind", "name").distinct()
+    return links.groupBy("kind", "name").agg(F.min(doc).alias("first_doc"), F.max(doc).alias("last_doc")), links

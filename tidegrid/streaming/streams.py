@@ -92,9 +92,14 @@ def lag_alerts(events: DataFrame, limit: float = 40.0) -> DataFrame:
     return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(q.alias("q")).select("window", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), (F.col("q")[1] > limit).alias("alert"))
 
 
-def reject_alerts(orders: DataFrame, share: float) -> DataFrame:
-    rate = F.avg("rejected")
-    return orders.withWatermark("ts", "1 hour").groupBy(F.window("ts", "6 hours", "3 hours")).agg(rate.alias("rate"), F.count("*").alias("n")).where(F.col("rate") > share)
+def reject_rates(orders: DataFrame, size: str = "6 hours", step: str = "3 hours", late: str = "1 hour") -> DataFrame:
+    """Share of rejected orders by sliding window."""
+    return orders.withWatermark("ts", late).groupBy(F.window("ts", size, step)).agg(F.avg("rejected").alias("rate"), F.count("*").alias("n"))
+
+
+def alerts(rates: DataFrame, share: float) -> DataFrame:
+    """Windows whose final rate is above the share. Rates of an open window can still fall, so this follows their last update."""
+    return rates.where(F.col("rate") > share)
 
 
 class Position(StatefulProcessor):
