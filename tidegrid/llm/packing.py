@@ -3,7 +3,8 @@
 Every example is a vector (tokens, segments, loss-bearing tokens) and every sequence a bin with a limit on each. A bin
 takes the example with the largest dot product of its vector with the bin's free room, both as shares of the limits,
 until none fits; then an example is cut to fill what is left. Each partition of the input fills its own bins from a
-bounded pool, so that no row is shuffled. A partition's last tokens form sequences whose lengths are powers of two.
+bounded pool, so that no row is shuffled. A partition's last tokens, and examples too small to fill a sequence within
+its limit of segments, form sequences whose lengths are powers of two.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import PieceCoder, batches, bounded_batches, joined, slices, spread, texts_of
 
 #: Limits of a sequence: tokens, segments, and tokens that bear loss; examples to choose from.
-CAPACITY, SEGMENTS, LOSS, POOL = 4096, 512, 4096, 256
+CAPACITY, SEGMENTS, LOSS, POOL = 4096, 32, 4096, 256
 END = 2
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("segment", pa.int32()), ("loss_tokens", pa.int64()), ("ids", pa.binary())])
@@ -137,14 +138,26 @@ class Packer:
         over = np.flatnonzero(np.cumsum(flags[:n]) > room[2])
         return int(over[0]) if len(over) else n
 
+    @staticmethod
+    def _short(tokens: np.ndarray, room: np.ndarray) -> bool:
+        """Whether the largest examples that may still come hold fewer tokens than there is room for."""
+        k = int(room[1])
+        return bool((tokens if len(tokens) <= k else np.partition(tokens, -k)[-k:]).sum() < room[0])
+
     def _fill(self, limit: int | None = None) -> Iterator[tuple]:
         room = self.limits.copy()
         if limit is not None:
             room[0] = limit
+        if self.cut and len(self.items) > self.limits[1]:
+            # Where as many examples as a bin may hold can't fill it, its length is a power of two that they do fill.
+            most = int(np.partition(self.sizes[:, 0], -int(self.limits[1]))[-int(self.limits[1]) :].sum())
+            if most < room[0]:
+                room[0] = 1 << (most.bit_length() - 1)
         taken = []
         while self.items and room[0] >= 1 and room[1] >= 1:
             fits = (self.sizes <= room).all(axis=1)
-            if fits.any():
+            # Whole examples come first, unless all that may still come can't fill the bin: then a longer one is cut.
+            if fits.any() and not (self.cut and self._short(self.sizes[fits, 0], room) and (self.sizes[:, 0] > room[0]).any()):
                 gain = self.sizes @ (room / self.limits / self.limits)
                 item = self._drop(int(np.argmax(np.where(fits, gain, -1.0))))
             elif self.cut:
