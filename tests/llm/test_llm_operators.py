@@ -19,11 +19,16 @@ from tidegrid.llm import bpe, gru_lm, language_id, near_dedup, pii, quality, sha
 from tidegrid.llm.common import remainder
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.graph import connected_components
-from tidegrid.llm.packing import pack_documents, pack_examples
+from tidegrid.llm.packing import SEGMENTS, pack_documents, pack_examples
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(["the", "of", "words", "and", "some", "more"]) for _ in range(n))
+
+
 def texts(docs):
     return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
 
@@ -75,6 +80,15 @@ def test_packing(docs):
     assert pack_documents(docs.limit(0), WORD_BPE).count() == 0
 
 
+def test_packing_of_many_tiny_texts_leaves_no_padding(spark):
+    t = tokenizer(WORD_BPE)
+    rows = [(i, "word" * (i % 2)) for i in range(700)] + [(700 + i, prose(i, 900)) for i in range(3)]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), WORD_BPE).collect()
+    per = Counter(r.sequence_id for r in got)
+    assert max(per.values()) == SEGMENTS  # the limit binds
+    assert check_pieces(got, [(i, t.encode(x, add_special_tokens=False).ids + [2]) for i, x in rows], 4096, SEGMENTS) == 0
+
+
 def test_packing_words_that_are_no_words(docs, spark):
     odd = ["<|startoftext|>x <|endoftext|>", "don't I'LL", "Áb ́", "x\x1cy\x1fz", "Σας ΣΑΣ İ", "日本語 ２", "a b c", "...,,,!!", "Ünï.", "\x85"]
     t = tokenizer(WORD_BPE)
