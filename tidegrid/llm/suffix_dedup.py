@@ -124,12 +124,18 @@ def placed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 16, at >> 8 & 255, at & 255
 
 
-_RANKED_DDL = "doc long, place long, rank long, next long"
+_RANKED_DDL = "doc long, place long, rank long, next long, known int, salt long"
 _SEEN_DDL = "doc long, place long, rank long, kind int"
 
 
 def _ranked(doc: np.ndarray, at: np.ndarray, rank: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(rank.view(np.int64)), pa.array(second.view(np.int64))], ["doc", "place", "rank", "next"])
+    """Rows of a level. known: 0, or 1 and 2 for the first row and the others of a pair that is here more than once; others carry a salt, as no sort need find them."""
+    pair = mix(rank * np.uint64(_BASE) + second)
+    _, first, group, number = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+    known = np.where(number[group] > 1, 2, 0).astype(np.int32)
+    known[first[number > 1]] = 1
+    salt = np.where(known == 2, mix(doc.view(np.uint64) + at.view(np.uint64)).view(np.int64) | 1, 0)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(rank.view(np.int64)), pa.array(second.view(np.int64)), pa.array(known), pa.array(salt)], ["doc", "place", "rank", "next", "known", "salt"])
 
 
 def _each(expand):
@@ -156,6 +162,8 @@ def _each(expand):
 def _first(raw: bytes):
     if len(raw) < LENGTH:
         return None
+    if len(raw) >> _POSITION_BITS:
+        raise ValueError(f"a text of {len(raw)} bytes: positions have {_POSITION_BITS} bits")
     first, n, ahead, rank, cover = anchors(raw)
     return place(first, n, ahead), rank, cover
 
@@ -187,9 +195,9 @@ def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _told(rows: list[np.ndarray], start: int, stop: int) -> Iterator[pa.RecordBatch]:
-    doc, at, rank, second = rows
+    doc, at, rank, second, known = rows
     same = np.concatenate([[False], (rank[1:] == rank[:-1]) & (second[1:] == second[:-1]), [False]])
-    kind = np.where(same[:-1], 2, np.where(same[1:], 1, 0)).astype(np.int32)
+    kind = np.where((known == 2) | same[:-1], 2, np.where((known == 1) | same[1:], 1, 0)).astype(np.int32)
     if stop > start:
         yield pa.RecordBatch.from_arrays([pa.array(x[start:stop]) for x in (doc, at, rank, kind)], ["doc", "place", "rank", "kind"])
 
@@ -198,9 +206,11 @@ def _sorted(ranked: DataFrame) -> DataFrame:
     """One level: Spark sorts the rank pairs, and rows with a rank of their own go.
 
     Rows are dealt out by the pair, so a rank with many continuations (a very common string) is spread over all tasks;
-    which ranks are shared is then counted from one row for each pair.
+    which ranks are shared is then counted from one row for each pair. Of a very common pair every batch sends one row
+    to its place and deals out the others by their salt, since these are known to be shared.
     """
-    paired = checkpointed(ranked.repartition("rank", "next").sortWithinPartitions("rank", "next").mapInArrow(_neighbours, _SEEN_DDL))
+    dealt = ranked.repartition("rank", "next", "salt").sortWithinPartitions("rank", "next", "known")
+    paired = checkpointed(dealt.select("doc", "place", "rank", "next", "known").mapInArrow(_neighbours, _SEEN_DDL))
     shared = paired.where("kind < 2").groupBy("rank").agg(F.count("*").alias("pairs")).where("pairs > 1").select("rank")
     singles = checkpointed(paired.where("kind = 0").join(shared, "rank", "left_semi").select("doc", "place", "rank", "kind"))
     return paired.where("kind > 0").union(singles)
@@ -249,8 +259,8 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, in the same text or another one.
     Null and empty texts and those shorter than LENGTH lose nothing. Rows with equal doc_id and text share a hash and
-    lose everything if they are long enough, as each repeats the other. Equality is that of two independent 64-bit
-    fingerprints. Texts may have up to 2**28 bytes. An empty table gives no rows; other columns are not read.
+    lose everything if they are long enough, as each repeats the other. Equality is that of two 64-bit fingerprints, of
+    overlapping parts at the first two levels. A text of 2**28 bytes or more is an error. An empty table gives no rows; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64("doc_id", text).alias("doc"), F.col(text).alias("text"))
