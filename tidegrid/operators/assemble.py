@@ -172,6 +172,17 @@ def merge_views(rows: DataFrame, text: DataFrame, at: int, width: int, max_age:
     return merge_block(found, "__block", at, width, "__miss").select(*rows.columns, "text_case", (lag / 1e6).alias("text_lag_sec"))
 
 
+def with_block(rows: DataFrame, right: DataFrame, name: str, values: dict[str, str], max_age: int | None = None, tie: str = "ts") -> DataFrame:
+    """rows with the latest values of another series of the symbol, how old they are (<name>_lag_sec) and whether there are none that are fresh enough (<name>_missing)."""
+    found = asof_join(rows, right, ["symbol"], values, tie=tie, max_age=max_age)
+    return found.withColumn(f"{name}_lag_sec", (F.col("ts") - F.col("right_ts")) / 1e6).withColumnRenamed("missing", f"{name}_missing").drop("right_ts")
+
+
+def synthetic_ratio(flags: Sequence[Column]) -> Column:
+    """Share of a row's blocks that are synthetic; a block that is missing is none."""
+    return sum((F.coalesce(f.cast("double"), F.lit(0.0)) for f in flags), F.lit(0.0)) / len(flags)
+
+
 def positions(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Average-cost accounting of ordered fills (qty signed, price): qty, avg_cost, realised."""
     rows = F.array_sort(F.collect_list(F.struct(*order, "qty", "price")))

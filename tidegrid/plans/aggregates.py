@@ -124,9 +124,9 @@ def ag12_rolling_events(spark, sf):
     return e.select("symbol", "ts", "n_1h", r6(F.col("mean_1h"), "mean_1h"), "n_6h", r6(F.col("mean_6h"), "mean_6h"))
 
 
-@query(f"WITH {FILLS}, s AS (SELECT order_id, sum(qty) AS qty, sum(CASE WHEN status <> 'rejected' THEN qty ELSE 0 END) AS filled, sum(CASE WHEN status <> 'rejected' THEN qty * price ELSE 0 END) AS notional, sum(CASE WHEN status <> 'rejected' THEN fee ELSE 0 END) AS fees FROM fills GROUP BY 1) SELECT order_id, filled, round(notional, 4) AS notional, round(notional / nullif(filled, 0) + 1e-7, 3) AS vwap, round(fees, 4) AS fees, CASE WHEN filled <= 0 THEN 'submitted' WHEN filled < qty THEN 'partial' ELSE 'filled' END AS status FROM s")
+@query(f"WITH {FILLS}, s AS (SELECT order_id, sum(qty) AS qty, sum(CASE WHEN status <> 'rejected' THEN qty ELSE 0 END) AS filled, sum(CASE WHEN status <> 'rejected' THEN qty * price ELSE 0 END) AS notional, sum(CASE WHEN status <> 'rejected' THEN fee ELSE 0 END) AS fees FROM fills GROUP BY 1) SELECT order_id, filled, round(notional, 4) AS notional, round(notional / nullif(filled, 0), 9) AS vwap, round(fees, 4) AS fees, CASE WHEN filled <= 0 THEN 'submitted' WHEN filled < qty THEN 'partial' ELSE 'filled' END AS status FROM s")
 def ag13_fill_rollup(spark, sf):
-    return A.rollup_fills(fills(spark, sf)).withColumns({"notional": F.round("notional", 4), "vwap": F.round(F.col("vwap") + 1e-7, 3), "fees": F.round("fees", 4)})
+    return A.rollup_fills(fills(spark, sf)).withColumns({"notional": F.round("notional", 4), "vwap": F.round("vwap", 9), "fees": F.round("fees", 4)})
 
 
 _SLIP = "(price - est_price) / est_price * 1e4 * CASE WHEN side = 'buy' THEN 1 ELSE -1 END"

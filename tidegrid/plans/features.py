@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import assemble as S
 from ..operators import rolling as R
-from ..operators.align import asof_join
+from ..operators.align import asof_join, asof_wide
 from ..sources.fixtures import BARS, DAY, HOUR, PREDICTIONS, bars, fills, news, predictions, table, ticks
 from .registry import query
 
@@ -21,31 +21,50 @@ def r6(c, name, n=6):
     return F.round(c, n).alias(name)
 
 
-CONTRACT = (S.Feature("ret_1", required=True), S.Feature("vol_12", impute="median"), S.Feature("volume_log"), S.Feature("events_6h", "event"), S.Feature("other_price", "derivatives", "ffill"), S.Feature("lag_sec", "quality"))
+CONTRACT = (S.Feature("ret_1", required=True), S.Feature("vol_12"), S.Feature("volume_log"), S.Feature("events_6h", "event"), S.Feature("other_price", "derivatives", "ffill"), S.Feature("lag_sec", "quality", "median"))
+
+
+_CORE = ("symbol", "ts", "ret_1", "vol_12", "volume_log", "events_6h", "other_price", "lag_sec")
 
 
 def _snapshot(spark, sf):
     b = bars(spark, sf).withColumn("ret", R.log_return())
-    rows = b.select("symbol", "ts", R.k_return(1).alias("ret_1"), F.when(F.row_number().over(R.by()) > 3, F.stddev_pop("ret").over(R.rows(12))).alias("vol_12"), F.log1p("volume").alias("volume_log"))
-    counts = A.rolling_events(rows.select("symbol", "ts"), news(spark, sf), {"6h": 6 * HOUR}, "sentiment")
-    joined = rows.join(counts.select("symbol", "ts", F.col("n_6h").alias("events_6h")), ["symbol", "ts"])
+    price = {f"ret_{k}": R.k_return(k) for k in (1, 12)} | {f"vol_{k}": R.realised_vol(k) for k in (12, 48)}
+    rows = b.select("symbol", "ts", *(c.alias(n) for n, c in price.items()), F.log1p("volume").alias("volume_log"), R.zscore("volume", 49).alias("volume_z"))
+    counts = A.rolling_events(rows.select("symbol", "ts"), news(spark, sf), {"1h": HOUR, "6h": 6 * HOUR}, "sentiment")
+    joined = rows.join(counts.select("symbol", "ts", F.col("n_1h").alias("events_1h"), F.col("n_6h").alias("events_6h")), ["symbol", "ts"])
     other = bars(spark, sf).where("symbol = 'purchase'").select("ts", "close", "trades")
     found = asof_join(joined, other, [], {"other_price": "close"}, tie="trades", max_age=HOUR)
     return found.withColumn("lag_sec", (F.col("ts") - F.col("right_ts")) / 1e6).drop("right_ts", "missing")
 
 
-_SNAP = _RET + f", n AS (SELECT symbol, ts + size * 1000000 AS ts FROM ticks), cnt AS (SELECT b.symbol, b.ts, count(n.ts) AS events_6h FROM bars b LEFT JOIN n ON n.symbol = b.symbol AND n.ts BETWEEN b.ts - {6 * HOUR} AND b.ts GROUP BY 1, 2), oth AS (SELECT ts, close FROM bars WHERE symbol = 'purchase'), snap AS (SELECT r.symbol, r.ts, r.close / coalesce(lag(r.close) OVER (PARTITION BY r.symbol ORDER BY r.ts), r.close) - 1 AS ret_1, CASE WHEN rn > 3 THEN stddev_pop(ret) OVER (PARTITION BY r.symbol ORDER BY r.ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END AS vol_12, ln(1 + volume) AS volume_log, events_6h, CASE WHEN r.ts - oth.ts <= {HOUR} THEN oth.close END AS other_price, CASE WHEN r.ts - oth.ts <= {HOUR} THEN (r.ts - oth.ts) / 1e6 END AS lag_sec FROM r JOIN cnt ON r.symbol = cnt.symbol AND r.ts = cnt.ts ASOF LEFT JOIN oth ON r.ts >= oth.ts)"
+_SNAP = _RET + f", n AS (SELECT symbol, ts + size * 1000000 AS ts FROM ticks), cnt AS (SELECT b.symbol, b.ts, count(n.ts) FILTER (WHERE n.ts >= b.ts - {HOUR}) AS events_1h, count(n.ts) AS events_6h FROM bars b LEFT JOIN n ON n.symbol = b.symbol AND n.ts BETWEEN b.ts - {6 * HOUR} AND b.ts GROUP BY 1, 2), oth AS (SELECT ts, close FROM bars WHERE symbol = 'purchase'), px AS (SELECT *, close / coalesce(lag(close) OVER ({_W}), close) - 1 AS ret_1, close / coalesce(lag(close, 12) OVER ({_W}), first_value(close) OVER ({_W})) - 1 AS ret_12, CASE WHEN rn < 3 THEN 0 ELSE stddev_pop(ret) OVER ({_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END AS vol_12, CASE WHEN rn < 3 THEN 0 ELSE stddev_pop(ret) OVER ({_W} ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) END AS vol_48, ln(1 + volume) AS volume_log, CASE WHEN stddev_pop(volume) OVER z > 1e-12 THEN (volume - avg(volume) OVER z) / stddev_pop(volume) OVER z ELSE 0 END AS volume_z FROM r WINDOW z AS ({_W} ROWS BETWEEN 48 PRECEDING AND CURRENT ROW)), snap AS (SELECT px.symbol, px.ts, ret_1, ret_12, vol_12, vol_48, volume_log, volume_z, events_1h, events_6h, CASE WHEN px.ts - oth.ts <= {HOUR} THEN oth.close END AS other_price, CASE WHEN px.ts - oth.ts <= {HOUR} THEN (px.ts - oth.ts) / 1e6 END AS lag_sec FROM px JOIN cnt ON px.symbol = cnt.symbol AND px.ts = cnt.ts ASOF LEFT JOIN oth ON px.ts >= oth.ts)"
+_METRICS = ("m0", "m1", "m2")
+_FULL = _SNAP + f", book AS (SELECT symbol, ts, (high - low) / ((high + low) / 2) * 1e4 AS spread_bps, (volume - trades) / (volume + trades) AS imbalance, volume + trades AS depth, trades % 2 = 0 AS synthetic FROM bars WHERE trades % 4 <> 0), fund AS (SELECT symbol, ts - ts % {8 * HOUR} + {8 * HOUR} AS ts, avg(price) / 1e4 AS rate FROM ticks GROUP BY 1, ticks.ts - ticks.ts % {8 * HOUR}), " + ", ".join(f"{m} AS (SELECT symbol, ts, last(price ORDER BY id) AS v FROM ticks WHERE id % 3 = {k} GROUP BY 1, 2)" for k, m in enumerate(_METRICS)) + f", s1 AS (SELECT snap.*, CASE WHEN snap.ts - k.ts <= {2 * HOUR} THEN k.ts END AS bts, spread_bps, imbalance, depth, synthetic FROM snap ASOF LEFT JOIN book k ON snap.symbol = k.symbol AND snap.ts >= k.ts), s2 AS (SELECT s1.*, f.ts AS fts, rate FROM s1 ASOF LEFT JOIN fund f ON s1.symbol = f.symbol AND s1.ts >= f.ts), s3 AS (SELECT s2.*, m0.v AS m0 FROM s2 ASOF LEFT JOIN m0 ON s2.symbol = m0.symbol AND s2.ts >= m0.ts), s4 AS (SELECT s3.*, m1.v AS m1 FROM s3 ASOF LEFT JOIN m1 ON s3.symbol = m1.symbol AND s3.ts >= m1.ts), s5 AS (SELECT s4.*, m2.v AS m2 FROM s4 ASOF LEFT JOIN m2 ON s4.symbol = m2.symbol AND s4.ts >= m2.ts)"
 
 
-@query(f"WITH {_SNAP} SELECT symbol, ts, round(ret_1, 6) AS ret_1, round(vol_12, 6) AS vol_12, round(volume_log, 6) AS volume_log, events_6h, other_price, lag_sec FROM snap")
+@query(f"WITH {_FULL} SELECT symbol, ts, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("ret_1", "ret_12", "vol_12", "vol_48", "volume_log", "volume_z")) + ", events_1h, events_6h, other_price, lag_sec, CASE WHEN bts IS NOT NULL THEN round(spread_bps, 5) END AS spread_bps, CASE WHEN bts IS NOT NULL THEN round(imbalance, 6) + 0.0 END AS imbalance, CASE WHEN bts IS NOT NULL THEN depth::DOUBLE END AS depth, (ts - bts) / 1e6 AS book_lag_sec, (bts IS NULL)::INT AS book_missing, round(rate, 9) AS funding_rate, (ts - fts) / 1e6 AS funding_lag_sec, (fts IS NULL)::INT AS funding_missing, m0, m1, m2, (m0 IS NULL)::INT AS m0_missing, (m1 IS NULL)::INT AS m1_missing, (m2 IS NULL)::INT AS m2_missing, round((CASE WHEN bts IS NOT NULL AND synthetic THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN fts IS NOT NULL AND ts - fts > 0 THEN 1 ELSE 0 END) / 2, 6) AS synthetic_ratio FROM s5")
 def fx01_feature_snapshot(spark, sf):
+    """Price, event, book, funding and metric blocks with their ages, what is missing and what is synthetic; a funding rate that isn't of its own hour counts as carried on."""
     s = _snapshot(spark, sf)
-    return s.select("symbol", "ts", r6(F.col("ret_1"), "ret_1"), r6(F.col("vol_12"), "vol_12"), r6(F.col("volume_log"), "volume_log"), "events_6h", "other_price", "lag_sec")
-
-
-@query(f"WITH {_SNAP}, m AS (SELECT quantile_cont(vol_12, 0.5) AS med FROM snap) SELECT symbol, ts, events_6h::DOUBLE AS v0, round(coalesce(lag_sec, 0)::FLOAT::DOUBLE, 3) AS v1, round(coalesce(other_price, last_value(other_price IGNORE NULLS) OVER ({_W}), 0)::FLOAT::DOUBLE, 3) AS v2, round(ret_1::FLOAT::DOUBLE, 4) + 0.0 AS v3, round(coalesce(vol_12, med)::FLOAT::DOUBLE, 4) AS v4, (lag_sec IS NULL)::INT + (other_price IS NULL)::INT + (vol_12 IS NULL)::INT AS masked FROM snap, m")
+    b, t = bars(spark, sf), ticks(spark, sf)
+    mid, sizes = (F.col("high") + F.col("low")) / 2, F.col("volume") + F.col("trades")
+    book = b.where("trades % 4 <> 0").select("symbol", "ts", ((F.col("high") - F.col("low")) / mid * 1e4).alias("spread_bps"), ((F.col("volume") - F.col("trades")) / sizes).alias("imbalance"), sizes.alias("depth"), (F.col("trades") % 2 == 0).alias("synthetic"))
+    funding = t.groupBy("symbol", (F.col("ts") - F.pmod("ts", F.lit(8 * HOUR)) + 8 * HOUR).alias("at")).agg((F.avg("price") / 1e4).alias("rate")).withColumnRenamed("at", "ts")
+    s = S.with_block(s, book, "book", {c: c for c in ("spread_bps", "imbalance", "depth", "synthetic")}, max_age=2 * HOUR)
+    s = S.with_block(s, funding, "funding", {"funding_rate": "rate"})
+    metrics = t.select("symbol", "ts", "id", F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("metric"), F.col("price").alias("value"))
+    s = asof_wide(s, metrics, _METRICS, ["symbol"])
+    synthetic = S.synthetic_ratio([F.col("synthetic"), F.col("funding_lag_sec") > 0])
+    rounded = {"spread_bps": 5, "funding_rate": 9}
+    named = ("ret_1", "ret_12", "vol_12", "vol_48", "volume_log", "volume_z", "spread_bps", "imbalance", "funding_rate")
+    kept = ("events_1h", "events_6h", "other_price", "lag_sec", "depth", "book_lag_sec", "book_missing", "funding_lag_sec", "funding_missing", *_METRICS, *(f"{m}_missing" for m in _METRICS))
+    return s.select("symbol", "ts", *((F.round(c, rounded.get(c, 6)) + 0.0).alias(c) for c in named), *kept, r6(synthetic, "synthetic_ratio"))
+
+
+@query(f"WITH {_SNAP}, m AS (SELECT quantile_cont(lag_sec, 0.5) AS med FROM snap) SELECT symbol, ts, events_6h::DOUBLE AS v0, round(coalesce(lag_sec, med, 0)::FLOAT::DOUBLE, 3) AS v1, round(coalesce(other_price, last_value(other_price IGNORE NULLS) OVER ({_W}), 0)::FLOAT::DOUBLE, 3) AS v2, round(ret_1::FLOAT::DOUBLE, 4) + 0.0 AS v3, round(vol_12::FLOAT::DOUBLE, 4) AS v4, (lag_sec IS NULL)::INT + (other_price IS NULL)::INT AS masked FROM snap, m")
 def fx02_contract(spark, sf):
-    a = S.align(_snapshot(spark, sf), CONTRACT)
+    a = S.align(_snapshot(spark, sf).select(*_CORE), CONTRACT)
     v = [F.col("values")[k].cast("double") for k in range(5)]
     masked = F.aggregate("mask", F.lit(0), lambda s, m: s + m.cast("int"))
     return a.select("symbol", "ts", v[0].alias("v0"), r6(v[1], "v1", 3), r6(v[2], "v2", 3), (F.round(v[3], 4) + 0.0).alias("v3"), r6(v[4], "v4", 4), masked.alias("masked"))

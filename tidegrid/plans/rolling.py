@@ -58,12 +58,12 @@ def wn05_acceleration(spark, sf):
     return r.select("symbol", "ts", r6(F.col("ret") - F.lag("ret").over(R.by()), "acceleration"), r6(F.stddev_pop("ret").over(R.rows(12)) - F.stddev_pop("ret").over(R.rows(48)), "term"))
 
 
-@query(f"WITH {_RET} SELECT symbol, ts, " + ", ".join(f"round(stddev_pop(ret) OVER {_ROWS(k, '1 PRECEDING')}, 6) AS vol_{k}" for k in (6, 24)) + f", round((volume - avg(volume) OVER {_ROWS(12, '1 PRECEDING')}) / nullif(stddev_pop(volume) OVER {_ROWS(12, '1 PRECEDING')}, 0), 6) AS volume_z FROM r WHERE true QUALIFY rn > 3")
+@query(f"WITH {_RET} SELECT symbol, ts, " + ", ".join(f"round(stddev_pop(ret) OVER {_ROWS(k, '1 PRECEDING')}, 6) AS vol_{k}" for k in (6, 24)) + f", round((volume - avg(volume) OVER {_ROWS(12, '1 PRECEDING')}) / nullif(stddev_pop(volume) OVER {_ROWS(12, '1 PRECEDING')}, 0), 6) AS volume_z FROM r")
 def wn06_trailing_row(spark, sf):
     w = R.rows(12, until=-1)
-    r = _ret(spark, sf).withColumn("rn", F.row_number().over(R.by()))
+    r = _ret(spark, sf)
     z = (F.col("volume") - F.avg("volume").over(w)) / F.nullif(F.stddev_pop("volume").over(w), F.lit(0.0))
-    return r.select("symbol", "ts", *(r6(F.stddev_pop("ret").over(R.rows(k, until=-1)), f"vol_{k}") for k in (6, 24)), r6(z, "volume_z"), "rn").where("rn > 3").drop("rn")
+    return r.select("symbol", "ts", *(r6(F.stddev_pop("ret").over(R.rows(k, until=-1)), f"vol_{k}") for k in (6, 24)), r6(z, "volume_z"))
 
 
 _BOOK = BARS + ", book AS (SELECT symbol, ts, low AS bid_px, high AS ask_px, volume AS bid_sz, trades::DOUBLE AS ask_sz, CASE WHEN trades % 2 = 0 THEN 12.5::DOUBLE END AS spread_bps FROM bars)"
