@@ -57,29 +57,35 @@ def _count_of(text: Column, signs) -> Column:
 def lexicon_sentiment(text: Column) -> Column:
     """Weighted mean of signed words in [-1, 1]: turned by a negation within two words, weighted by modifiers there, with emoji at 0.6, raised by ! and halved by sarcasm. Null and empty texts have 0.
 
-    One pass over the words carries the two words before each.
+    Words are split once, signed ones are found by their places, and only these look at the two words before them.
     """
     text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
-    words = F.regexp_extract_all(low, F.lit("([a-z']+|[0-9]+)"), F.lit(1))
-    start = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("raw"), F.lit(0.0).alias("weight"))
-
-    def step(acc, w):
-        a, b = acc["a"], acc["b"]
-        sign = F.when(_in(w, POSITIVE), 1.0).when(_in(w, NEGATIVE), -1.0).otherwise(0.0)
-        negated = _in(a, NEGATIONS) | _in(b, NEGATIONS) | F.endswith(a, F.lit("n't")) | F.endswith(b, F.lit("n't"))
-        amp = F.when(_in(a, BOOSTERS) | _in(b, BOOSTERS), 1.35).otherwise(1.0) * F.when(_in(a, DAMPERS) | _in(b, DAMPERS), 0.7).otherwise(1.0)
-        scored = F.struct(w.alias("a"), a.alias("b"), (acc["raw"] + sign * F.when(negated, -1.0).otherwise(1.0) * amp).alias("raw"), (acc["weight"] + amp).alias("weight"))
-        return F.when(sign == 0, F.struct(w.alias("a"), a.alias("b"), acc["raw"].alias("raw"), acc["weight"].alias("weight"))).otherwise(scored)
-
-    def finish(acc):
-        happy, sad = _count_of(text, HAPPY), _count_of(text, SAD)
-        weight = acc["weight"] + 0.6 * (happy + sad)
-        boost = F.least(F.lit(1.25), 1 + 0.03 * F.regexp_count(text, F.lit("!")))
-        irony = F.when(_count_of(low, SARCASM) > 0, 0.5).otherwise(1.0)
-        return F.when(weight > 1e-9, clamp((acc["raw"] + 0.6 * (happy - sad)) / weight * boost * irony, -1.0, 1.0)).otherwise(0.0)
-
-    return F.aggregate(words, start, step, finish)
+    known = F.struct(
+        F.regexp_extract_all(low, F.lit("([a-z']+|[0-9]+)"), F.lit(1)).alias("words"), _count_of(text, HAPPY).alias("happy"), _count_of(text, SAD).alias("sad"),
+        F.regexp_count(text, F.lit("!")).alias("bangs"), F.when(_count_of(low, SARCASM) > 0, 0.5).otherwise(1.0).alias("irony"),
+    )
+
+    def score(k):
+        words = k["words"]
+        places = F.filter(F.transform(words, lambda w, i: F.when(_in(w, POSITIVE + NEGATIVE), i)), lambda i: i.isNotNull())
+
+        def step(acc, i):
+            a, b = F.coalesce(F.get(words, i - 1), F.lit("")), F.coalesce(F.get(words, i - 2), F.lit(""))
+            negated = _in(a, NEGATIONS) | _in(b, NEGATIONS) | F.endswith(a, F.lit("n't")) | F.endswith(b, F.lit("n't"))
+            amp = F.when(_in(a, BOOSTERS) | _in(b, BOOSTERS), 1.35).otherwise(1.0) * F.when(_in(a, DAMPERS) | _in(b, DAMPERS), 0.7).otherwise(1.0)
+            sign = F.when(_in(F.get(words, i), POSITIVE), 1.0).otherwise(-1.0) * F.when(negated, -1.0).otherwise(1.0)
+            return F.struct((acc["raw"] + sign * amp).alias("raw"), (acc["weight"] + amp).alias("weight"))
+
+        def finish(acc):
+            weight = acc["weight"] + 0.6 * (k["happy"] + k["sad"])
+            mean = (acc["raw"] + 0.6 * (k["happy"] - k["sad"])) / weight
+            return F.when(weight > 1e-9, clamp(mean * F.least(F.lit(1.25), 1 + 0.03 * k["bangs"]) * k["irony"], -1.0, 1.0)).otherwise(0.0)
+
+        return F.aggregate(places, F.struct(F.lit(0.0).alias("raw"), F.lit(0.0).alias("weight")), step, finish)
+
+    # As the element of a list what is known of a text is worked out once, however often the score names it.
+    return F.element_at(F.transform(F.array(known), score), 1)
 
 
 def keyword_sentiment(text: Column, positive=POSITIVE, negative=NEGATIVE) -> Column:

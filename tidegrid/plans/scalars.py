@@ -40,7 +40,8 @@ _SIGNS = lambda c, xs: "(" + " + ".join(f"contains({c}, '{x}')::INT" for x in xs
 
 @query(f"WITH {_D}, u AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), v AS (SELECT doc_id, {_SIGN} AS sign, CASE WHEN {_NEG} THEN -1.0 ELSE 1.0 END::DOUBLE AS turned, {_AMP} AS amp FROM u), s AS (SELECT doc_id, sum(sign * turned * amp) AS raw, sum(amp) AS weight FROM v WHERE sign <> 0 GROUP BY 1), e AS (SELECT d.doc_id, t, coalesce(raw, 0) + 0.6::DOUBLE * ({_SIGNS('t', E.HAPPY)} - {_SIGNS('t', E.SAD)}) AS raw, coalesce(weight, 0) + 0.6::DOUBLE * ({_SIGNS('t', E.HAPPY)} + {_SIGNS('t', E.SAD)}) AS weight FROM d LEFT JOIN s ON d.doc_id = s.doc_id) SELECT doc_id, round(CASE WHEN weight > 1e-9 THEN greatest(-1.0, least(1.0, raw / weight * least(1.25, 1 + 0.03 * (length(t) - length(replace(t, '!', '')))) * CASE WHEN {_SIGNS('lower(t)', E.SARCASM)} > 0 THEN 0.5 ELSE 1.0 END)) ELSE 0 END, 6) + 0.0 AS sentiment FROM e")
 def sc01_lexicon_sentiment(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", (F.round(E.lexicon_sentiment(_spoken(F.lower("text"))), 6) + 0.0).alias("sentiment"))
+    spoken = table(spark, sf, "documents").select("doc_id", _spoken(F.lower("text")).alias("said"))
+    return spoken.select("doc_id", (F.round(E.lexicon_sentiment(F.col("said")), 6) + 0.0).alias("sentiment"))
 
 
 @query("SELECT doc_id, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS sentiment FROM (SELECT doc_id, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in E.POSITIVE) + " AS p, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in E.NEGATIVE) + " AS n FROM documents)")
