@@ -198,6 +198,8 @@ def piece_rows(parts: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer,
                 to += k
             yield from packer.add(items)
     yield from packer.close()
+    # The worker lives on for other tasks; what Arrow holds in reserve goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def own_packer(capacity: int, segments: int, loss: int, pool: int, cut: bool) -> Packer:
@@ -220,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity
     """
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(piece_rows(parts, tokenizer, own_packer(capacity, segments, loss, pool, cut), end_id), _PIECES)
+        yield from batches(piece_rows(parts, tokenizer, own_packer(capacity, segments, loss, pool, cut), end_id), _PIECES, 500)
 
     return document_texts(docs, text).mapInArrow(pack, _PIECES_DDL)
 
@@ -245,6 +247,6 @@ def pack_examples(examples: DataFrame, capacity: int = CAPACITY, segments: int =
                 yield from packer.add(items)
             yield from packer.close()
 
-        yield from batches(rows(), _PIECES)
+        yield from batches(rows(), _PIECES, 500)
 
     return examples.select(examples["doc_id"].cast("long").alias("doc_id"), examples["ids"].cast("array<int>").alias("ids"), examples["bears_loss"].cast("array<boolean>").alias("bears_loss")).mapInArrow(pack, _PIECES_DDL)
