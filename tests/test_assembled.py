@@ -170,3 +170,25 @@ def test_late_rows_are_dropped(spark):
     got = streams.last_update(streams.run(streams.bars_stream(stream, "1 hour", "30 minutes"), "update"), "symbol", "window")
     # Rows are late by the watermark before the last batch, which stood at minute 170 when minute 5 came; minute 190 was still in time.
     assert sorted((r.open, r.close, r.volume) for r in got.where("symbol = 'a'").collect()) == [(1.0, 1.0, 1), (4.0, 2.0, 2), (5.0, 5.0, 1)]
+
+
+def test_sql_functions_are_the_column_ones(spark):
+    from tidegrid.functions import expr as X
+    from tidegrid.functions.registered import register
+
+    register(spark)
+    rows = [(1.0, 0.03, 0.4, 0.2, 9.0, -0.0002, 1000.0), (24.0, 0.0, 2.0, 0.0, 0.0, 0.0, 0.0), (5.0, 0.5, -1.0, 1.5, 90.0, 0.01, 5e4)]
+    df = spark.createDataFrame(rows, "h double, vol double, liquidity double, turnover double, spread_bps double, funding double, notional double")
+    c = [F.col(n) for n in ("h", "vol", "liquidity", "spread_bps", "funding")]
+    costs = X.cost_breakdown(c[1], c[2], F.col("turnover"), c[0], c[3], c[4], F.col("notional"))["total"]
+    got = df.select(F.expr("cost_bps(h, vol, liquidity, turnover, spread_bps, funding, notional)"), costs, F.expr("turnover_estimate(h, vol, liquidity, spread_bps, funding)"), X.turnover_estimate(*c), F.expr("quality_score(vol, h, liquidity, turnover)"), X.quality_score(c[1], c[0], c[2], F.col("turnover")))
+    for r in got.collect():
+        assert (r[0], r[2], r[4]) == pytest.approx((r[1], r[3], r[5]))
+
+
+def test_encoder_hook(spark):
+    from tidegrid.operators.encode import encode_texts
+
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, ""), (4, "abcd")], "id int, t string").coalesce(1)
+    got = {r.id: r.v for r in encode_texts(df, "t", "v", lambda texts: [[len(t), len(texts)] for t in texts], size=2).collect()}
+    assert got == {1: [2, 2], 2: None, 3: [0, 2], 4: [4, 1]}
