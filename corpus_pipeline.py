@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of
 the next one. All but the last return the columns of documents.
+
+In every stage columns besides those of documents are not read and go; nulls in doc_id, lang, source and n_chars are kept
+as they are; very long texts are read whole; an empty table gives no rows. A row is known by its place, not by its
+doc_id, so rows without an id, or with one that another row has as well, are judged each.
 """
 
 from __future__ import annotations
@@ -50,7 +54,10 @@ def _by_row(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null text or no letter); fills in a missing lang if any language is known."""
+    """Drops documents without a language: null, empty or blank texts and those without a letter. Fills in a missing lang.
+
+    Repeated rows stay each. Where no row has a lang, no language is known and lang stays null.
+    """
     docs = docs.select(*COLUMNS)
     model = fit_languages(docs)
     if not model.langs:
@@ -60,26 +67,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays: the longest, then that of the smallest doc_id."""
+    """Of equal texts one document stays: the longest, then that of the smallest doc_id (null last), then the first row. Null, empty and blank texts are equal."""
     docs = _with_rows(docs)
     return _only_kept(docs, exact_dedup(_by_row(docs)), "keep_id", -F.coalesce(F.length("text"), F.lit(0)))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) one document stays, that of the smallest doc_id."""
+    """Of each group of near duplicates (five words, similarity 0.8) one document stays: that of the smallest doc_id (null last), then the first row. Null, empty and blank texts stay each."""
     docs = _with_rows(docs)
     return _only_kept(docs, near_duplicates(_by_row(docs)), "component_id")
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to the name of their kind; n_chars follows the text."""
+    """Personal data give way to the name of their kind; n_chars follows the text. Null texts stay null, with null n_chars; all rows stay."""
     docs = docs.select(*COLUMNS)
     masked = find_pii(docs, fit_tagger(docs)).withColumn("text", F.col("pii.masked"))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens; null and empty texts are an end alone, repeated rows are packed each."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
