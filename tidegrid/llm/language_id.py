@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, texts_of
+from .common import bounded_batches, give_back, texts_of
 
 #: Trigram buckets; what one row of counts holds; smoothing; rounds of EM; penalty of a language, in log(trigrams) / 2.
 BUCKETS, SLICE, ALPHA, ROUNDS, PENALTY = 1 << 16, 1 << 13, 0.5, 12, 4.0
@@ -48,6 +48,7 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found in by.items():
             total[lang] = total.get(lang, 0) + np.bincount(np.concatenate(found), minlength=BUCKETS)
     yield from _rows((lang, k, n[k * SLICE : (k + 1) * SLICE]) for lang, n in total.items() for k in range(BUCKETS // SLICE))
+    give_back()
 
 
 def _add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, checkpointed, only, raw_of, slices
+from .common import batches, bounded_batches, checkpointed, give_back, only, raw_of, slices
 from .graph import connected_components, relabelled
 
 #: Values of a band (four permutations), and the chance that two documents at the threshold share no band.
@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, words: int, similarity: float, text: str = "text
                 bands = iter(min_max([s for s in sets if len(s)]))
                 ids, keys = (part.column(c).slice(at, len(sets)).to_pylist() for c in (0, 1))
                 yield from batches(((d, k, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(bands) if len(s) else None) for d, k, s in zip(ids, keys, sets)), _SIGNATURES)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(sign, "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
@@ -112,6 +113,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
             for at, column in slices(part.column(1)):
                 nodes = part.column(0).slice(at, len(column)).to_pylist()
                 yield from batches(((d, s.view(np.int64)) for d, s in zip(nodes, shingle_sets(raw_of(column), words))), _SETS, 500)
+        give_back()
 
     return texts.select("node", "text").mapInArrow(make, "node long, shingles array<long>")
 

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import PieceCoder, batches, bounded_batches, joined, slices, spread, texts_of
+from .common import PieceCoder, batches, bounded_batches, give_back, joined, slices, spread, texts_of
 
 #: Limits of a sequence: tokens, segments, and tokens that bear loss; examples to choose from.
 CAPACITY, SEGMENTS, LOSS, POOL = 4096, 32, 4096, 256
+#: Words that a worker keeps the ids of, about 0.6 KB each.
+KEPT = 250_000
 END = 2
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("segment", pa.int32()), ("loss_tokens", pa.int64()), ("ids", pa.binary())])
@@ -30,8 +32,8 @@ _PIECES_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_i
 
 
 @cache
-def word_coder(path: str) -> PieceCoder:
-    """Ids of the lower-casing word tokenizer. White space separates its words and is dropped, so words encode alone."""
+def word_coder(path: str, kept: int = KEPT) -> PieceCoder:
+    """Ids of the lower-casing word tokenizer. White space separates its words and is dropped, so words encode alone. kept: how many words a worker keeps the ids of."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -61,7 +63,7 @@ def word_coder(path: str) -> PieceCoder:
             ids.append(got)
         return np.concatenate(n), np.concatenate(ids)
 
-    runs = PieceCoder(None, letters, limit=250_000)
+    runs = PieceCoder(None, letters, limit=kept)
     # Letters of Latin-1 with their lower case there, and at most one full stop or comma behind them.
     plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]+)([.,]?)")
     marks = dict(zip([".", ",", ""], [*alone([".", ","])[1].tolist(), -1]))
@@ -82,7 +84,7 @@ def word_coder(path: str) -> PieceCoder:
         out[spread(start[~fit], size[~fit])] = others
         return size, out
 
-    return PieceCoder(split, encode, limit=250_000)
+    return PieceCoder(split, encode, limit=kept)
 
 
 class Packer:
@@ -186,9 +188,9 @@ class Packer:
             yield from self._fill(1 << (left.bit_length() - 1) if self.cut and left < self.limits[0] else None)
 
 
-def piece_rows(parts: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer, end_id: int) -> Iterator[tuple]:
+def piece_rows(parts: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer, end_id: int, kept: int = KEPT) -> Iterator[tuple]:
     """Packed pieces of the documents (doc_id, text) of a partition, sequence by sequence."""
-    coder = word_coder(tokenizer)
+    coder = word_coder(tokenizer, kept)
     for part in parts:
         for at, column in slices(part.column(1)):
             n, ids = coder.batch(texts_of(column))
@@ -198,8 +200,7 @@ def piece_rows(parts: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer,
                 to += k
             yield from packer.add(items)
     yield from packer.close()
-    # The worker lives on for other tasks; what Arrow holds in reserve goes back.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def own_packer(capacity: int, segments: int, loss: int, pool: int, cut: bool) -> Packer:
@@ -212,17 +213,17 @@ def document_texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL, end_id: int = END, cut: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL, end_id: int = END, cut: bool = True, kept: int = KEPT) -> DataFrame:
     """Pieces of documents in sequences of at most capacity tokens: doc_id, start, length, doc_tokens, sequence_id, offset, segment, loss_tokens, ids (little-endian unsigned 32-bit).
 
     A document is its ids and end_id; null and empty texts are end_id alone. Every token but a document's first bears
     loss. Ties of the dot product go to the example that came first. Long documents are cut into several pieces. Repeated
     rows are packed each; an empty table gives no rows; other columns are not read. sequence_id is unique, and the same
-    whenever the input is split the same way.
+    whenever the input is split the same way. kept bounds the memory of a worker, not the result.
     """
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(piece_rows(parts, tokenizer, own_packer(capacity, segments, loss, pool, cut), end_id), _PIECES, 500)
+        yield from batches(piece_rows(parts, tokenizer, own_packer(capacity, segments, loss, pool, cut), end_id, kept), _PIECES, 500)
 
     return document_texts(docs, text).mapInArrow(pack, _PIECES_DDL)
 
