@@ -87,7 +87,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens; null and empty texts are an end alone, repeated rows are packed each."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Workers of earlier stages are still there, so a worker keeps fewer words here.
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept=60_000)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("pii", mask_pii), ("packing", pack)]
