@@ -177,8 +177,9 @@ def horizon_multiplier(horizon_hours: Column, profile: CostProfile = CostProfile
     return m.otherwise(dict(profile.multipliers).get(1, 1.0))
 
 
-def cost_breakdown(vol: Column, liquidity: Column, turnover: Column, horizon_hours: Column, spread_bps: Column, funding: Column, notional: Column, impact_scale: float = 1.0, profile: CostProfile = CostProfile()) -> dict[str, Column]:
-    """Costs in basis points of notional by component, and in all. Without a notional the infrastructure costs what the profile says for an hour."""
+def cost_breakdown(vol: Column, liquidity: Column, turnover: Column, horizon_hours: Column, spread_bps: Column | None = None, funding: Column | None = None, notional: Column | None = None, impact_scale: float = 1.0, profile: CostProfile = CostProfile()) -> dict[str, Column]:
+    """Costs in basis points of notional by component, and in all. What isn't given counts as 0; without a notional the infrastructure costs what the profile says for an hour."""
+    spread_bps, funding, notional = (F.lit(0.0) if c is None else c for c in (spread_bps, funding, notional))
     m = horizon_multiplier(horizon_hours, profile)
     infra = F.when(notional > 1e-9, profile.infra_usd_per_hour * horizon_hours / notional * 1e4).otherwise(profile.infra_bps_per_hour * horizon_hours)
     parts = {
