@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import PieceCoder, bounded_batches, slices, texts_of
 
+#: Pieces of more than LONG bytes, and the FEW longest of a batch if above SHORT, advance alone by looking up what is known, as a numpy call for a few rows costs more; entries that these lookups keep at most.
+LONG, FEW, SHORT, KEPT = 2000, 32, 64, 500_000
+
 #: Fixed pattern of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A run of spaces stays with the word after it: no match of PATTERN crosses such a border.
@@ -167,6 +171,9 @@ class Vocabulary:
         merged = np.flatnonzero(self.left != np.arange(self.n))
         self.pairs = IntMap(self.left[merged] * self.n + self.right[merged], merged.astype(np.int32))
         self.automaton = SuffixAutomaton(strings)
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.ending: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.fitting: dict[int, bool] = {}
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE leaves token a before token b as they are: undone merge by merge, the latest first, no pair at the border merges earlier than what stands there."""
@@ -195,6 +202,9 @@ class Vocabulary:
         out: list = [None] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
         at = 0
+        while at < len(order) and len(pieces[order[at]]) > (LONG if at >= FEW else SHORT):
+            out[order[at]] = self._encode_long(pieces[order[at]])
+            at += 1
         while at < len(order):
             # Pieces of like length share a table of at most about a million cells.
             rows = max(1, min(20_000, (1 << 20) // max(1, len(pieces[order[at]]))))
@@ -204,6 +214,80 @@ class Vocabulary:
             at += rows
         return out
 
+    def _move(self, state: int, c: int) -> tuple[int, int]:
+        """The state after one more byte, and the length of its match if a suffix link was taken, else 0."""
+        key = state << 8 | c
+        if key not in self.moves:
+            auto, linked = self.automaton, 0
+            to = int(auto.go.get(np.array([key]))[0])
+            while to < 0 and auto.link[state] >= 0:
+                state = int(auto.link[state])
+                to, linked = int(auto.go.get(np.array([state << 8 | c]))[0]), int(auto.length[state]) + 1
+            if len(self.moves) >= KEPT:
+                self.moves.clear()
+            self.moves[key] = (max(to, 0), linked)
+        return self.moves[key]
+
+    def _ends(self, at: int) -> tuple[tuple[int, int], ...]:
+        """The tokens that end where the automaton is in this state, longest first, and their sizes."""
+        if at not in self.ending:
+            auto, found, up = self.automaton, [], at
+            while up >= 0:
+                token = int(auto.token[up])
+                found.append((token, int(self.size[token])))
+                up = int(auto.near[auto.link[up]]) if auto.link[up] >= 0 else -1
+            if len(self.ending) >= KEPT:
+                self.ending.clear()
+            self.ending[at] = tuple(found)
+        return self.ending[at]
+
+    @cached_property
+    def plain(self) -> tuple[list[int], list[int], dict[int, int]]:
+        """left, right and pairs as Python has them: far faster one at a time."""
+        held = self.pairs.keys >= 0
+        return self.left.tolist(), self.right.tolist(), dict(zip(self.pairs.keys[held].tolist(), self.pairs.values[held].tolist()))
+
+    def _fits(self, a: int, b: int) -> bool:
+        """compatible() of two tokens."""
+        key = a * self.n + b
+        fits = self.fitting.get(key)
+        if fits is None:
+            left, right, pairs = self.plain
+            n, limit = self.n, self.n
+            while fits is None:
+                if pairs.get(a * n + b, limit) < limit:
+                    fits = False
+                elif left[a] != a and (a > b or left[b] == b):
+                    limit, a = a, right[a]
+                elif left[b] != b:
+                    limit, b = b + 1, left[b]
+                else:
+                    fits = True
+            if len(self.fitting) >= KEPT:
+                self.fitting.clear()
+            self.fitting[key] = fits
+        return fits
+
+    def _encode_long(self, piece: bytes) -> np.ndarray:
+        """The same for one long piece, whose states, tokens and pairs soon repeat."""
+        auto, fits = self.automaton, self._fits
+        last = array("i", bytes(4 * (len(piece) + 1)))
+        state = matched = 0
+        for i, c in enumerate(piece, 1):
+            before = state
+            state, linked = self._move(before, c)
+            matched = linked or matched + 1
+            at = state if auto.token[state] >= 0 and auto.length[state] == matched else int(auto.near[auto.link[state]])
+            for token, size in self._ends(at):
+                if size == i or fits(last[i - size], token):
+                    last[i] = token
+                    break
+        ids, at = [], len(piece)
+        while at:
+            ids.append(self.ids[last[at]])
+            at -= int(self.size[last[at]])
+        return np.array(ids[::-1], np.int32)
+
     def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
         auto = self.automaton
         size = np.array(list(map(len, pieces)), np.int64)
