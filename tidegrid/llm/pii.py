@@ -2,17 +2,20 @@
 
 The model is a bidirectional LSTM over characters with a CRF over tags, trained in numpy on labelled spans: those that the
 patterns find, secrets that are assigned to a telling name, and the same again in disguise, as people write them when no
-pattern shall match: "jo (at) mail dot example dot com", numbers in other groups, secrets without a name in front. So it
-learns from the characters and their surroundings what the patterns can't say. It reads the surroundings of every digit,
-every @ and every spelled-out "at" of the whole text in overlapping windows; where windows overlap their emissions are
-averaged, and one Viterbi path covers the whole stretch.
+pattern shall match: "jo (at) mail dot example dot com", numbers in other groups, secrets without a name in front or of
+letters alone. So it learns from the characters and their surroundings what the patterns can't say. It reads the
+surroundings of every digit, every @, every spelled-out "at", of what is assigned to a name and of every long run of
+letters, of the whole text in overlapping windows; where windows overlap their emissions are averaged, and one Viterbi
+path covers a stretch. Very long stretches are decoded in runs that overlap, and their spans put together again.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,8 @@ from .common import batches, bounded_batches, checkpointed, texts_of
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # Only the first digit of a run can begin a match, and no part of a run can do what the whole can't.
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -37,7 +41,9 @@ TAGS = (*KINDS, "secret")
 NAMED_SECRET = re.compile(r"""(?i:token|secret|passw(?:or)?d|api_?key|auth)\s*[=:]\s*["']?([A-Za-z0-9_\-]{16,128})""")
 
 #: Labelled stretches of each kind that the model is fitted on, at most; window and step; what surrounds a digit; layers; passes; the least mean probability of an added span.
-LABELLED, WINDOW, STEP, AROUND, EMBED, HIDDEN, PASSES, SURE = 300, 64, 32, 32, 8, 16, 6, 0.9
+LABELLED, WINDOW, STEP, AROUND, EMBED, HIDDEN, PASSES, SURE = 300, 64, 32, 32, 8, 16, 12, 0.9
+#: Characters that are decoded as one, what longer stretches' runs share with their neighbours on each side, and characters that a worker holds the emissions of.
+RUN, LAP, TOGETHER = 1024, 64, 1 << 16
 
 
 def luhn(digits: str) -> bool:
@@ -53,7 +59,7 @@ def valid(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in found.split("."))
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in (x.lstrip("0") for x in found.split(".")))
     digits = re.sub("[^0-9]", "", found)
     return 9 <= len(digits) <= 15 if kind == "phone" else 12 <= len(digits) <= 19 and luhn(digits)
 
@@ -86,11 +92,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-_TRIGGER = re.compile(r"[0-9@]+|(?<=[\[(])at(?=[\])])|(?<= )at(?= [A-Za-z0-9-]+ dot )")
+_TRIGGER = re.compile(r"""[0-9@]+|(?<=[\[({<])(?:at|AT)(?=[\])}>])|(?<= )(?:at|AT)(?= [A-Za-z0-9-]+ (?:dot|DOT) )|[=:]\s{0,2}["']?[A-Za-z0-9_-]{12,}|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}""")
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The surroundings of digits, @ and spelled-out "at", merged where they meet."""
+    """The surroundings of digits, @ and spelled-out "at", of what is assigned to a name and of long runs, merged where they meet."""
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
@@ -237,26 +243,38 @@ class Tagger:
             losses.append(float(np.mean(seen)))
         return losses
 
-    def decode(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best path over y: steps x tags, and the probability of each of its tags."""
+    def decode(self, ys: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The best path over each y (steps x tags), and the probability of each of its tags. All advance together, the longest first."""
+        order = sorted(range(len(ys)), key=lambda k: -len(ys[k]))
+        size = np.array([len(ys[k]) for k in order])
+        steps, rows, tags = int(size[0]), len(ys), len(TAGS) + 1
         move = self.p["move"].astype(np.float64)
-        y = y.astype(np.float64)
-        best, back = y[0], np.zeros(y.shape, np.int64)
-        alpha, beta = np.empty_like(y), np.zeros_like(y)
+        y = np.zeros((steps, rows, tags))
+        for j, k in enumerate(order):
+            y[: size[j], j] = ys[k]
+        live = np.searchsorted(-size, -np.arange(steps), side="left")
+        back = np.zeros((steps, rows, tags), np.int8)
+        alpha, beta, best = np.zeros_like(y), np.zeros_like(y), y[0].copy()
         alpha[0] = y[0]
-        for t in range(1, len(y)):
-            scores = best[:, None] + move
-            back[t] = scores.argmax(0)
-            best = scores.max(0) + y[t]
-            alpha[t] = _lse(alpha[t - 1][:, None] + move, 0) + y[t]
-        for t in range(len(y) - 2, -1, -1):
-            beta[t] = _lse(move + (y[t + 1] + beta[t + 1])[None], 1)
-        path = np.empty(len(y), np.int64)
-        path[-1] = best.argmax()
-        for t in range(len(y) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        sure = np.exp(alpha + beta - _lse(alpha[-1], 0))[np.arange(len(y)), path]
-        return path, sure
+        for t in range(1, steps):
+            n = live[t]
+            scores = best[:n, :, None] + move
+            back[t, :n] = scores.argmax(1)
+            best[:n] = scores.max(1) + y[t, :n]
+            alpha[t, :n] = _lse(alpha[t - 1, :n, :, None] + move, 1) + y[t, :n]
+        path = np.zeros((steps, rows), np.int64)
+        path[size - 1, np.arange(rows)] = best.argmax(1)
+        for t in range(steps - 1, 0, -1):
+            n = live[t]
+            beta[t - 1, :n] = _lse(move + (y[t, :n] + beta[t, :n])[:, None, :], 2)
+            path[t - 1, :n] = back[t, np.arange(n), path[t, :n]]
+        log_z = _lse(alpha[size - 1, np.arange(rows)], 1)
+        at = np.take_along_axis(alpha + beta, path[:, :, None], 2)[:, :, 0]
+        sure = np.exp(np.minimum(at - log_z, 0))
+        out: list = [None] * rows
+        for j, k in enumerate(order):
+            out[k] = path[: size[j], j], sure[: size[j], j]
+        return out
 
 
 def windows(code: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -272,48 +290,65 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def runs_of(a: int, b: int) -> list[tuple[int, int, int, int]]:
+    """A stretch as runs: start, end, and what of it counts. A short one is one run; those of a long one overlap by LAP on both sides of what counts."""
+    if b - a <= RUN:
+        return [(a, b, a, b)]
+    return [(max(a, s - LAP), min(b, s + RUN - LAP), s, min(b, s + RUN - 2 * LAP)) for s in range(a, b, RUN - 2 * LAP)]
+
+
+def _tagged(tagger: Tagger, parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tags and their probabilities of each run of codes; emissions are averaged where windows overlap."""
+    places = [(j, start, part) for j, code in enumerate(parts) for start, part in windows(code)]
+    total = [np.zeros((len(code), len(TAGS) + 1)) for code in parts]
+    n = [np.zeros(len(code)) for code in parts]
+    for at in range(0, len(places), 512):
+        some = places[at : at + 512]
+        # Padding sits to the right; the backward pass starts there from a blank, as it did in training.
+        y = tagger.emissions(_padded([part for *_, part in some])[0])
+        for i, (j, start, part) in enumerate(some):
+            total[j][start : start + len(part)] += y[: len(part), i]
+            n[j][start : start + len(part)] += 1
+    averaged = [t / k[:, None] for t, k in zip(total, n)]
+    order = sorted(range(len(parts)), key=lambda j: -len(parts[j]))
+    out: list = [None] * len(parts)
+    for at in range(0, len(order), 256):
+        some = order[at : at + 256]
+        for j, found in zip(some, tagger.decode([averaged[j] for j in some])):
+            out[j] = found
+    return out
+
+
 def model_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """What the model finds in each text, and is sure of."""
-    places, parts = [], []
-    for k, text in enumerate(texts):
-        for a, b in stretches(text):
-            code = codes(text[a:b])
-            for start, part in windows(code):
-                places.append((k, a, b, start))
-                parts.append(part)
+    """What the model finds in each text, and is sure of. However long a stretch is, a bounded part of it is held at a time."""
+    wanted = [(k, a, *run) for k, text in enumerate(texts) for a, b in stretches(text) for run in runs_of(a, b)]
+    # text, stretch, start, end, tag, sum of probabilities; a span goes on in the next run of its stretch.
+    spans: list[list] = []
+    at = 0
+    while at < len(wanted):
+        to, held = at, 0
+        while to < len(wanted) and (to == at or held + wanted[to][3] - wanted[to][2] <= TOGETHER):
+            held += wanted[to][3] - wanted[to][2]
+            to += 1
+        some = wanted[at:to]
+        for (k, stretch, start, _, first, end), (path, sure) in zip(some, _tagged(tagger, [codes(texts[k][x:y]) for k, _, x, y, _, _ in some])):
+            path, sure = path[first - start : end - start], sure[first - start : end - start]
+            edges = np.flatnonzero(np.diff(path, prepend=-1, append=-1))
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                tag, total = int(path[s]), float(sure[s:e].sum())
+                if s == 0 and spans and spans[-1][:2] == [k, stretch] and spans[-1][3:5] == [first, tag]:
+                    spans[-1][3], spans[-1][5] = first + e, spans[-1][5] + total
+                elif tag:
+                    spans.append([k, stretch, first + s, first + e, tag, total])
+        at = to
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-
-    def close(key):
-        k, a, b = key
-        total, n = held.pop(key)
-        path, sure = tagger.decode(total / n[:, None])
-        edges = np.flatnonzero(np.diff(path, prepend=-1, append=-1))
-        for s, e in zip(edges[:-1], edges[1:]):
-            if path[s] and sure[s:e].mean() >= SURE:
-                out[k].append((a + int(s), a + int(e), TAGS[path[s] - 1]))
-
-    last = None
-    for at in range(0, len(parts), 512):
-        x, _ = _padded(parts[at : at + 512])
-        # Padding sits to the right; the backward pass starts there from a blank, as it did in training.
-        y = tagger.emissions(x)
-        for j, (k, a, b, start) in enumerate(places[at : at + 512]):
-            key = (k, a, b)
-            if last is not None and key != last:
-                close(last)
-            if key not in held:
-                held[key] = (np.zeros((b - a, y.shape[2])), np.zeros(b - a))
-            n = len(parts[at + j])
-            held[key][0][start : start + n] += y[:n, j]
-            held[key][1][start : start + n] += 1
-            last = key
-    if last is not None:
-        close(last)
+    for k, _, start, end, tag, total in spans:
+        if total >= SURE * (end - start):
+            out[k].append((start, end, TAGS[tag - 1]))
     return out
 
 
-_DOT, _AT = r"(?:\s?\.\s?|\s?[\[(]dot[\])]\s?|\sdot\s)", r"(?:\s?@\s?|\s?[\[(]at[\])]\s?|\sat\s)"
+_DOT, _AT = (rf"(?:\s?{sign}\s?|\s?[\[({{<](?i:{word})[\])}}>]\s?|\s(?i:{word})\s)" for sign, word in ((r"\.", "dot"), ("@", "at")))
 _LOOSE = {
     "email": re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]{1,9}(?:\s?\.\s?[0-9]{1,9}){3}"),
@@ -321,10 +356,11 @@ _LOOSE = {
     "phone": re.compile(r"(?:\+|00)?\s?\(?[0-9]+(?:[\s().-]{1,2}[0-9]+)+"),
     "secret": re.compile(r"[A-Za-z0-9_-]{16,}"),
 }
+_ASSIGNED = re.compile(r"""[=:]\s{0,2}["']?$""")
 
 
-def plausible(kind: str, found: str) -> bool:
-    """What an added span must hold besides the model's word: a looser form than the pattern's, and the kind's own check."""
+def plausible(kind: str, found: str, before: str = "") -> bool:
+    """What an added span must hold besides the model's word: a looser form than the pattern's, and the kind's own check. A secret without a digit must be assigned to something."""
     if not _LOOSE[kind].fullmatch(found):
         return False
     if kind == "email":
@@ -332,10 +368,13 @@ def plausible(kind: str, found: str) -> bool:
     if kind == "ip":
         return all(int(x) <= 255 for x in re.findall("[0-9]+", found))
     if kind == "secret":
-        return any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
+        return any(c.isalpha() for c in found) and (any(c.isdigit() for c in found) or bool(_ASSIGNED.search(before)))
     return valid(kind, found)
 
 
+_RUN_START, _RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"), re.compile(r"[A-Za-z0-9_-]*")
+
+
 def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     """The span without spaces, quotes and full stops at its ends; a secret is the whole run of its characters."""
     while start < end and text[start] in " \t\n\"'.,;:=":
@@ -343,8 +382,9 @@ def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     while end > start and text[end - 1] in " \t\n\"'.,;:=":
         end -= 1
     if kind == "secret" and start < end:
-        start = re.search(r"[A-Za-z0-9_-]*$", text[max(0, start - 128) : start]).start() + max(0, start - 128)
-        end = re.compile(r"[A-Za-z0-9_-]{0,128}").match(text, end).end()
+        while start and text[start - 1] in _RUN_START:
+            start -= 1
+        end = _RUN.match(text, end).end()
     return start, end
 
 
@@ -353,8 +393,16 @@ def find_spans(tagger: Tagger | None, texts: list[str]) -> list[tuple[list, list
     out = []
     for text, added in zip(texts, model_spans(tagger, texts) if tagger else [[] for _ in texts]):
         base = base_spans(text)
-        found = ((*trimmed(text, a, b, kind), kind) for a, b, kind in added)
-        more = [s for s in found if plausible(s[2], text[s[0] : s[1]]) and not any(s[0] < e and b < s[1] for b, e, _ in base)]
+        starts, ends = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+        more, done = [], 0
+        for a, b, kind in added:
+            if a < done:  # in a run that is a secret already
+                continue
+            a, b = trimmed(text, a, b, kind)
+            before = bisect_left(starts, b)
+            if plausible(kind, text[a:b], text[max(0, a - 4) : a]) and not (before and ends[before - 1] > a):
+                more.append((a, b, kind))
+                done = b
         out.append((base, sorted(base + more, key=lambda s: (s[0], TAGS.index(s[2])))))
     return out
 
@@ -372,8 +420,11 @@ def _disguised(kind: str, found: str, rng: np.random.Generator) -> str:
     """The same data as people write it when no pattern shall match."""
     pick = lambda *x: x[rng.integers(len(x))]
     if kind == "email":
-        at, dot = pick((" at ", " dot "), ("(at)", "(dot)"), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" @ ", "."), (" @ ", " . "))
-        return found.replace("@", at).replace(".", dot)
+        at, dot = pick((" at ", " dot "), (" at ", " dot "), ("(at)", "(dot)"), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" @ ", "."), (" @ ", " . "), (" (at) ", "."), ("[at]", "."), ("{at}", "{dot}"))
+        # A name may have several parts, and so may a machine's.
+        local, _, machine = found.partition("@")
+        local, machine = pick(local, local.replace("_", ".").replace("-", "."), f"{local[:2]}.{local}"), pick(machine, f"{local[:4]}.{machine}")
+        return f"{local}@{machine}".replace(".", dot).replace("@", at)
     if kind == "ip":
         return found.replace(".", pick(" . ", ". ", " ."))
     if kind == "card":
@@ -381,7 +432,8 @@ def _disguised(kind: str, found: str, rng: np.random.Generator) -> str:
         return pick(".", "/", "_", "  ").join(digits[k : k + 4] for k in range(0, len(digits), 4))
     if kind == "phone":
         return pick(found.lstrip("+"), found.replace("+", "00"), re.sub("[() -]+", ".", found).lstrip("+").strip("."))
-    return found
+    # A secret may be longer or shorter than those that are labelled.
+    return pick(found, found, found + found[::-1], found[:20])
 
 
 def disguised(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
@@ -392,10 +444,22 @@ def disguised(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int,
         before = text[at:a]
         if kind == "secret":
             named = re.search(r"""\S+\s*[=:]\s*["']?$""", before)
-            if named:
+            words = re.findall("[a-z]{3,9}", text)
+            if named and words and rng.random() < 0.4:
+                # Of letters alone, as words in a row or not; then its name must tell.
+                names = ("password: ", "passwd=", "secret = '", "db_pass: \"", "token: ", "api_key=", "pwd = ", "SECRET=")
+                before = before[: named.start()] + names[rng.integers(len(names))]
+                new = "".join(words[rng.integers(len(words))] for _ in range(3 + rng.integers(4)))
+                new = (new + new)[:16] if len(new) < 16 else new
+                new = "".join(rng.permutation(list(new))) if rng.random() < 0.5 else new
+            elif named:
                 names = ("key: ", "bearer ", "access_key = ", "", "credential=", "pwd: '", '"session": "')
                 before = before[: named.start()] + names[rng.integers(len(names))]
-        new = _disguised(kind, text[a:b], rng)
+                new = _disguised(kind, text[a:b], rng)
+            else:
+                new = _disguised(kind, text[a:b], rng)
+        else:
+            new = _disguised(kind, text[a:b], rng)
         spans.append((size + len(before), size + len(before) + len(new), kind))
         parts += [before, new]
         size += len(before) + len(new)
@@ -432,7 +496,8 @@ def _labelled(parts: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
     held: dict[str, dict[int, str]] = {}
     for part in parts:
         for text in texts_of(part.column(0)):
-            for a, b in stretches(text):
+            # What is read is longer than a stretch's surroundings only by whole words.
+            for a, b in ((x, min(x + 4 * WINDOW, z)) for y, z in stretches(text) for x in range(y, z, 4 * WINDOW)):
                 while a and not text[a - 1].isspace() and b - a < 4 * WINDOW:
                     a -= 1
                 while b < len(text) and not text[b].isspace() and b - a < 8 * WINDOW:
