@@ -13,6 +13,7 @@ chance the join drops.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,38 @@ def shingles_of(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of words; those of the texts of one call are looked up once each."""
+    """Hashes of words; a word is hashed once, as long as no more than LIMIT words are kept."""
 
-    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        known = {w: xxhash.xxh3_64_intdigest(w) for words in texts for w in words}
-        return [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) for words in texts]
+    LIMIT = 300_000
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > self.LIMIT:
+            self.known, new = {}, set(words)
+        self.known.update(zip(new, map(xxhash.xxh3_64_intdigest, new)))
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+
+class Words:
+    """The words of some texts as one list, with the place of each text in it."""
+
+    def __init__(self, raws: list[bytes], hashes: Hasher):
+        texts = [words_of(raw) for raw in raws]
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.end = np.cumsum(self.size)
+        self.words = list(chain.from_iterable(texts))
+        self.hashes = hashes(self.words)
+
+    def asked(self, width: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place in the list and hash of the shingles of width words that lie in one text and that the bitmap lets through."""
+        s = shingles_of(self.hashes, width)
+        at = np.flatnonzero(_asked(s, known))
+        text = np.searchsorted(self.end, at, side="right")
+        inside = at + width <= self.end[text]
+        return text[inside], at[inside], s[at[inside]]
 
 
 def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
@@ -72,7 +100,8 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
                 texts = [words_of(x) for x in raw_of(column)]
                 names = part.column(0).slice(at, len(texts)).to_pylist()
                 rows = []
-                for name, words, h in zip(names, texts, hashes(texts)):
+                for name, words in zip(names, texts):
+                    h = hashes(words)
                     width = min(window, len(words))
                     s = shingles_of(h, min(shingle, width)).view(np.int64) if width else ()
                     per = width - min(shingle, width) + 1
@@ -107,8 +136,8 @@ def shingle_counts(docs: DataFrame, known, widths: list[int]) -> DataFrame:
         hashes = Hasher()
         for part in parts:
             for _, column in slices(part.column(0)):
-                found = [s[_asked(s, known.value)] for h in hashes([words_of(x) for x in raw_of(column)]) for width in widths for s in (shingles_of(h, width),)]
-                s, n = np.unique(np.concatenate(found), return_counts=True)
+                words = Words(raw_of(column), hashes)
+                s, n = np.unique(np.concatenate([words.asked(width, known.value)[2] for width in widths]), return_counts=True)
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["shingle", "n"])
         give_back()
@@ -126,19 +155,19 @@ def candidates(docs: DataFrame, known, widths: list[int], window: int) -> DataFr
         hashes, number = Hasher(), TaskContext.get().partitionId() << 40
         for part in parts:
             for start, column in slices(part.column(1)):
-                texts = [words_of(x) for x in raw_of(column)]
-                rows = []
-                for doc_id, words, h in zip(part.column(0).slice(start, len(texts)).to_pylist(), texts, hashes(texts)):
-                    number += 1
-                    rows.append((number, doc_id, len(words), None, None, None, None))
-                    for width in widths:
-                        s = shingles_of(h, width)
-                        for at in np.flatnonzero(_asked(s, known.value)).tolist():
-                            first = max(0, at + width - window)
-                            rows.append((number, doc_id, len(words), int(s[at].view(np.int64)), at, first, b" ".join(words[first : at + window]).decode()))
-                            if len(rows) >= 4000:
-                                yield _record(rows)
-                                rows = []
+                texts = Words(raw_of(column), hashes)
+                doc_ids, size, end = part.column(0).slice(start, len(column)).to_pylist(), texts.size.tolist(), texts.end.tolist()
+                rows = [(number + k, doc_id, n, None, None, None, None) for k, (doc_id, n) in enumerate(zip(doc_ids, size))]
+                for width in widths:
+                    for k, at, s in zip(*(x.tolist() for x in texts.asked(width, known.value))):
+                        begin = end[k] - size[k]
+                        first = max(begin, at + width - window)
+                        near = b" ".join(texts.words[first : min(end[k], at + window)]).decode()
+                        rows.append((number + k, doc_ids[k], size[k], s - (s >> 63 << 64), at - begin, first - begin, near))
+                        if len(rows) >= 4000:
+                            yield _record(rows)
+                            rows = []
+                number += len(column)
                 if rows:
                     yield _record(rows)
         give_back()
