@@ -93,10 +93,16 @@ def path_labels(df: DataFrame, step: int, price: str = "close") -> DataFrame:
 
 
 def sample_index(df: DataFrame, lookback: int, horizon: int) -> DataFrame:
-    """Rows that have a full lookback before them and a full horizon after them, with their number."""
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    rows = df.withColumn("t_idx", F.row_number().over(by()) - 1).withColumn("__n", n)
-    return rows.where((F.col("t_idx") + 1 >= lookback) & (F.col("t_idx") + 1 <= F.col("__n") - horizon)).drop("__n")
+    """Rows that have a full lookback before them and a full horizon after them, with their number t_idx and label_ts, the time of the row `horizon` later."""
+    if horizon < 1:
+        raise ValueError(f"a label {horizon} rows ahead would be known already")
+    rows = df.withColumn("t_idx", F.row_number().over(by()) - 1).withColumn("label_ts", F.lead("ts", horizon).over(by()))
+    return rows.where((F.col("t_idx") + 1 >= lookback) & F.col("label_ts").isNotNull())
+
+
+def leaks(samples: DataFrame) -> DataFrame:
+    """Samples whose label doesn't lie ahead of them: repeated times, or a series that isn't in order."""
+    return samples.where(F.col("label_ts") <= F.col("ts"))
 
 
 def walk_forward(start: int, end: int, train: int, val: int, test: int, gap: int, step: int) -> list[tuple]:

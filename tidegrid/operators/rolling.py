@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,12 +93,12 @@ def with_stats(df: DataFrame, c: str, windows: tuple[int, ...]) -> DataFrame:
 REGIME_INPUTS = ("ret_1", "vol_12", "orderbook_spread_bps", "orderbook_depth_total", "orderbook_imbalance", "funding_rate", "basis_rate", "open_interest", "ret_48", "ret_288", "text_coverage", "text_disagreement", "event_count_1h")
 
 
-def regime_features(df: DataFrame) -> DataFrame:
-    """symbol, ts, regime (16 values) and regime_mask (1 where an input is missing) of rows with the columns of REGIME_INPUTS; those that aren't there are missing."""
+def regime_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """symbol, ts, the columns in keep, regime (16 values) and regime_mask (1 where an input is missing) of rows with the columns of REGIME_INPUTS; those that aren't there are missing."""
     there = [c for c in REGIME_INPUTS if c in df.columns]
     v = lambda c: F.col(f"__v_{c}")
     m = lambda *cs: F.greatest(*(F.col(f"__m_{c}") for c in cs)) if len(cs) > 1 else F.col(f"__m_{cs[0]}")
-    d = df.select("symbol", "ts", *((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in there else F.lit(0.0)).alias(f"__v_{c}") for c in REGIME_INPUTS), *((F.col(c).isNull().cast("byte") if c in there else F.lit(1).cast("byte")).alias(f"__m_{c}") for c in REGIME_INPUTS))
+    d = df.select("symbol", "ts", *keep, *((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in there else F.lit(0.0)).alias(f"__v_{c}") for c in REGIME_INPUTS), *((F.col(c).isNull().cast("byte") if c in there else F.lit(1).cast("byte")).alias(f"__m_{c}") for c in REGIME_INPUTS))
     vol, oi, w96 = F.stddev_pop(v("ret_1")).over(rows(24)), v("open_interest"), rows(96)
     change = oi - F.coalesce(F.lag(oi).over(by()), oi)
     zero = F.lit(0.0)
@@ -106,7 +108,7 @@ def regime_features(df: DataFrame) -> DataFrame:
     z = (funding - F.avg(funding).over(w96)) / F.greatest(F.lit(1e-8), F.stddev_pop(funding).over(w96))
     values = [vol, F.stddev_pop(v("vol_12")).over(rows(24)), skewed, v("orderbook_spread_bps"), F.log1p(F.greatest(zero, v("orderbook_depth_total"))), v("orderbook_imbalance"), funding, z, v("basis_rate"), oi, change, fall, 0.6 * v("ret_48") + 0.4 * v("ret_288"), v("text_coverage"), v("text_disagreement"), v("event_count_1h")]
     masks = [m("ret_1", "vol_12"), m("ret_1", "vol_12"), m("ret_1"), m("orderbook_spread_bps"), m("orderbook_depth_total"), m("orderbook_imbalance"), m("funding_rate"), m("funding_rate"), m("basis_rate"), m("open_interest"), m("open_interest"), m("open_interest", "orderbook_spread_bps", "ret_1"), m("ret_48", "ret_288"), m("text_coverage"), m("text_disagreement"), m("event_count_1h")]
-    return d.select("symbol", "ts", F.array(*values).alias("regime"), F.array(*masks).alias("regime_mask"))
+    return d.select("symbol", "ts", *keep, F.array(*values).alias("regime"), F.array(*masks).alias("regime_mask"))
 
 
 def prefix_mean(df: DataFrame, c: str, n: int, out: str) -> DataFrame:

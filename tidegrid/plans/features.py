@@ -9,7 +9,9 @@ from ..operators import aggregate as A
 from ..operators import assemble as S
 from ..operators import rolling as R
 from ..operators.align import asof_join, asof_wide
-from ..sources.fixtures import BARS, DAY, HOUR, PREDICTIONS, bars, fills, news, predictions, table, ticks
+from ..sources.fixtures import BARS, DAY, HOUR, PREDICTIONS, bars, fills, micros, news, predictions, table, ticks
+from ..sources.io import scratch
+from ..sources.panel import PanelStore
 from .registry import query
 
 _T0 = 1_704_067_200_000_000
@@ -111,7 +113,8 @@ def fx07_sequence(spark, sf):
 
 @query(f"WITH {BARS}, n AS (SELECT symbol, ts, row_number() OVER ({_W}) - 1 AS t_idx, count(*) OVER (PARTITION BY symbol) AS n FROM bars) SELECT symbol, ts, t_idx FROM n WHERE t_idx + 1 >= 96 AND t_idx + 1 <= n - 24")
 def fx08_sample_index(spark, sf):
-    return S.sample_index(bars(spark, sf).select("symbol", "ts"), 96, 24)
+    found = S.sample_index(bars(spark, sf).select("symbol", "ts"), 96, 24)
+    return found.join(S.leaks(found).select("symbol", "ts"), ["symbol", "ts"], "left_anti").select("symbol", "ts", "t_idx")
 
 
 @query(f"WITH {_RET} SELECT symbol, count(*) AS n, round(count(*) FILTER (WHERE ret IS NULL) / count(*), 6) AS missing_ratio, count(*) >= 600 AS enough FROM r GROUP BY 1")
@@ -120,6 +123,20 @@ def fx09_panel_report(spark, sf):
     return r.groupBy("symbol").agg(F.count("*").alias("n"), r6(F.count_if(F.col("ret").isNull()) / F.count("*"), "missing_ratio"), (F.count("*") >= 600).alias("enough"))
 
 
+@query(f"WITH {_RET}, f AS (SELECT symbol, ts, close, (close / coalesce(lag(close) OVER ({_W}), close) - 1)::FLOAT::DOUBLE AS ret_1, (CASE WHEN rn < 3 THEN 0 ELSE stddev_pop(ret) OVER ({_W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END)::FLOAT::DOUBLE AS vol_12, trades % 5 = 0 AS hidden FROM r), v AS (SELECT *, CASE WHEN hidden THEN 0 ELSE vol_12 END AS seen FROM f) SELECT symbol, ts, close, round(ret_1, 5) + 0.0 AS ret_1, hidden::INT AS hidden, round(stddev_pop(ret_1) OVER ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 5) AS realized_vol, round(stddev_pop(seen) OVER ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 5) AS vol_of_vol, hidden::INT AS vol_masked FROM v")
+def fx09_panel_store(spark, sf):
+    """A panel built in two overlapping ranges, whose rows are those of one build: the second one writes only the days that it touches."""
+    b = bars(spark, sf).withColumn("ret", R.log_return())
+    f = b.select("symbol", "ts", "close", R.k_return(1).alias("ret_1"), R.realised_vol(12).alias("vol_12"), (F.col("trades") % 5 == 0).cast("byte").alias("hidden"))
+    rows = f.select("symbol", "ts", "close", F.array("ret_1", "vol_12").cast("array<float>").alias("values"), F.array(F.lit(0).cast("byte"), F.col("hidden")).alias("mask"))
+    store = PanelStore(spark, scratch(spark), ["ret_1", "vol_12"], lookback=24, horizons={"1h": 1, "4h": 4})
+    first, last = table(spark, sf, "events").agg(F.min(micros("ts")), F.max(micros("ts"))).first() or (None, None)
+    store.build(rows, first - HOUR, first + (last - first) * 3 // 5)
+    store.build(rows, first + (last - first) // 2, last)
+    v, g = F.col("values"), F.col("regime")
+    return store.read().select("symbol", "ts", "close", (F.round(v[0].cast("double"), 5) + 0.0).alias("ret_1"), F.col("mask")[1].cast("int").alias("hidden"), r6(g[0], "realized_vol", 5), r6(g[1], "vol_of_vol", 5), F.col("regime_mask")[0].cast("int").alias("vol_masked"))
+
+
 _FOLDS = S.walk_forward(_T0, _T0 + 30 * DAY, 10 * DAY, 3 * DAY, 3 * DAY, DAY, 3 * DAY)
 _FOLD_SQL = "fold(fold, split, a, b) AS (VALUES " + ", ".join(map(str, _FOLDS)) + ")"
 
