@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.align import asof_join, asof_wide, exact_join, range_join, resolve_snapshot, with_previous
 from ..operators.evaluate import audit_chain, reviewer_agreement
-from ..operators.bars import to_bars
-from ..sources.fixtures import BARS, DAY, DAYS, FILLS, HOUR, NEWS, TICKS, bars, days, fills, news, table, ticks
+from ..operators.bars import fan_out, roll_up
+from ..sources.fixtures import BARS, DAY, DAYS, FILLS, HOUR, NEWS, TICKS, bars, days, fills, micros, news, table, ticks
+from ..sources.io import scratch, upsert_partitions
 from .registry import query
 
 _PAIR = TICKS + ", l AS (SELECT * FROM ticks WHERE symbol = 'purchase'), r AS (SELECT user_id, max(ts) AS ts, last(price ORDER BY id) AS price FROM ticks WHERE symbol = 'click' GROUP BY user_id, ticks.ts)"
@@ -83,18 +84,29 @@ def jn08_asof_metrics(spark, sf):
 _TF = {"1h": HOUR, "4h": 4 * HOUR, "1d": DAY}
 
 
-@query("WITH " + BARS + ", g AS (SELECT symbol, ts + " + str(HOUR) + " AS as_of FROM bars), tf AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _TF.items()) + ") t(tf, width)), c0 AS (SELECT symbol, tf, ticks.ts - ticks.ts % width + width AS ts, last(price ORDER BY ticks.ts, id) AS close FROM ticks, tf GROUP BY 1, 2, 3), c AS (SELECT *, lag(close) OVER (PARTITION BY symbol, tf ORDER BY ts) AS prev FROM c0), gt AS (SELECT * FROM g, tf) SELECT gt.symbol, as_of, gt.tf, close, round(close / prev - 1, 6) AS ret_1, (as_of - c.ts) / 1e6 AS lag_sec FROM gt ASOF LEFT JOIN c ON gt.symbol = c.symbol AND gt.tf = c.tf AND as_of >= c.ts")
+_CONTEXT_SQL = "WITH " + BARS + ", g AS (SELECT symbol, ts + " + str(HOUR) + " AS as_of FROM bars), tf AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _TF.items()) + ") t(tf, width)), c0 AS (SELECT symbol, tf, ticks.ts - ticks.ts % width + width AS ts, last(price ORDER BY ticks.ts, id) AS close, sum(size)::DOUBLE AS volume FROM ticks, tf GROUP BY 1, 2, 3), c AS (SELECT *, lag(close) OVER (PARTITION BY symbol, tf ORDER BY ts) AS prev FROM c0), gt AS (SELECT * FROM g, tf)"
+
+
+@query(_CONTEXT_SQL + " SELECT gt.symbol, as_of, gt.tf, close, round(close / prev - 1, 6) AS ret_1, (as_of - c.ts) / 1e6 AS lag_sec FROM gt ASOF LEFT JOIN c ON gt.symbol = c.symbol AND gt.tf = c.tf AND as_of >= c.ts")
 def jn09_multi_timeframe(spark, sf):
-    t = ticks(spark, sf)
-    grid = bars(spark, sf).select("symbol", (F.col("ts") + HOUR).alias("ts")).withColumn("tf", F.explode(F.array(*map(F.lit, _TF))))
-    context = None
-    for name, width in _TF.items():
-        one = to_bars(t, width).select("symbol", F.lit(name).alias("tf"), (F.col("ts") + width).alias("ts"), "close")
-        context = one if context is None else context.union(one)
-    found = asof_join(grid, with_previous(context, "close", ["symbol", "tf"]), ["symbol", "tf"], {"close": "close", "prev": "prev_close"}, tie="ts")
-    value = F.struct("close", F.round(F.col("close") / F.col("prev") - 1, 6).alias("ret_1"), ((F.col("ts") - F.col("right_ts")) / 1e6).alias("lag_sec"))
-    maps = found.groupBy("symbol", "ts").agg(F.map_from_entries(F.collect_list(F.struct("tf", value))).alias("context"))
-    return maps.select("symbol", F.col("ts").alias("as_of"), F.explode("context").alias("tf", "v")).select("symbol", "as_of", "tf", "v.*")
+    """Trades are read once: wider bars are merged from the hourly ones."""
+    b = bars(spark, sf)
+    context = fan_out(b.select("symbol", (F.col("ts") + HOUR).alias("ts")), roll_up(b, _TF, HOUR), _TF)
+    return context.select("symbol", "as_of", F.explode("context").alias("tf", "v")).select("symbol", "as_of", "tf", "v.close", F.round("v.ret_1", 6).alias("ret_1"), "v.lag_sec")
+
+
+@query(_CONTEXT_SQL + " SELECT gt.symbol, as_of, gt.tf, (close IS NULL)::INT AS missing, close, round(close / prev - 1, 6) AS ret_1, volume, (as_of - c.ts) / 1e6 AS lag_sec FROM gt ASOF LEFT JOIN c ON gt.symbol = c.symbol AND gt.tf = c.tf AND as_of >= c.ts")
+def jn09_context_upsert(spark, sf):
+    """The context in a table by day: first the older half, then the newer two thirds, and those again, which changes nothing."""
+    b = bars(spark, sf)
+    context = fan_out(b.select("symbol", (F.col("ts") + HOUR).alias("ts")), roll_up(b, _TF, HOUR), _TF)
+    rows = context.select("symbol", "as_of", F.lit("1h").alias("primary_timeframe"), "context", "coverage", F.floor(F.col("as_of") / DAY).cast("long").alias("day"))
+    low, high = table(spark, sf, "events").agg(F.min(micros("ts")), F.max(micros("ts"))).first()
+    path = scratch(spark)
+    for part in ("as_of <= {mid}", "as_of > {third}", "as_of > {third}"):
+        upsert_partitions(rows.where(part.format(mid=(low + high) // 2, third=low + (high - low) // 3)), path, ["symbol", "primary_timeframe", "as_of"], "day")
+    there = spark.read.schema(rows.schema).parquet(path).select("symbol", "as_of", F.explode("context").alias("tf", "v"))
+    return there.select("symbol", "as_of", "tf", "v.missing", "v.close", F.round("v.ret_1", 6).alias("ret_1"), "v.volume", "v.lag_sec")
 
 
 @query(f"WITH {DAYS} SELECT ts, close, volume FROM days WHERE symbol = 1 AND ts <= epoch_us(TIMESTAMP '1998-06-15') ORDER BY ts DESC LIMIT 1")

@@ -55,6 +55,25 @@ def write_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], *by: str) -> None:
+    """Puts new into the table at path, which is partitioned by `by`: of each key the new row stays, others stay as they are.
+
+    Only partitions that new has rows in are read and written, each in one move at the end; doing the same again
+    changes nothing. Keys decide the partition, so a row never leaves its own. Of new rows with one key the greatest stays.
+    """
+    spark, rest = new.sparkSession, [c for c in new.columns if c not in keys]
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    if not there:
+        write_partitions(latest(new, keys, *(F.desc(F.to_json(F.struct(c))) for c in rest)).repartition(*by), path, *by)
+        return
+    one = scratch(spark)
+    latest(new, keys, *(F.desc(F.to_json(F.struct(c))) for c in rest)).write.parquet(one)
+    fresh = spark.read.schema(new.schema).parquet(one)
+    old = spark.read.schema(new.schema).parquet(path).join(fresh.select(*by).distinct(), list(by), "left_semi").join(fresh.select(*keys), list(keys), "left_anti")
+    write_partitions(fresh.unionByName(old).repartition(*by), path, *by)
+
+
 def csv_import(spark: SparkSession, path: str, keys: Sequence[str], numbers: Sequence[str], order: Sequence[str]) -> DataFrame:
     """A CSV with a header: bad numbers become 0, the first row of each key stays."""
     raw = spark.read.option("header", True).csv(path)
