@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trailing import Trailing, trailing_sums
+
 
 def liquidity_rank(bars: DataFrame, min_days: int, day: int) -> DataFrame:
     """symbol, turnover, bars, days, rank of symbols with at least min_days active days."""
@@ -53,25 +55,29 @@ def event_profile(grid: DataFrame, events: DataFrame, window: int, half: float =
 
     events: symbol, ts (when available), source, tier_weight, confidence, raw_confidence, importance, novelty,
     post_sentiment, comment_sentiment, is_social, engagement, followers, comments. An event weighs tier_weight *
-    confidence; those without weight don't count. Two levels of sums, first per source, then over sources, so neither
-    the entropy nor the deviations need a list of events.
+    confidence; those without weight don't count. A null source is one source. Two levels of sums, first per source, then over
+    sources, so neither the entropy nor the deviations need a list of events; the sums are running ones in blocks of
+    time, so no event meets the grid times of its window one by one.
     """
-    from .align import range_join
-
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    e = events.withColumn("ew", F.col("tier_weight") * F.col("confidence")).where("ew > 0").withColumnRenamed("ts", "right_ts")
+    e = events.withColumn("ew", F.col("tier_weight") * F.col("confidence")).where("ew > 0").withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     e = e.withColumn("s", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.5 * (F.col("post_sentiment") + F.col("comment_sentiment")))))
-    met = range_join(grid.select("symbol", "ts"), e, ["symbol"], 1 - window, 0)
-    age, ew, s, social = (F.col("ts") - F.col("right_ts")) / 3.6e9, F.col("ew"), F.col("s"), F.col("is_social")
+    hour, ew, s, social = 3_600_000_000, F.col("ew"), F.col("s"), F.col("is_social")
     only = lambda c: F.when(social, c).otherwise(0.0)
     sums = {
-        "mass": ew, "decayed": ew * F.exp(-age / half), "tiers": F.col("tier_weight"), "confidences": F.col("raw_confidence"), "n": F.lit(1.0),
-        "young": F.when(age <= 1, ew).otherwise(0.0), "mid": F.when((age > 1) & (age <= 6), ew).otherwise(0.0), "old": F.when(age > 6, ew).otherwise(0.0),
+        "mass": ew, "tiers": F.col("tier_weight"), "confidences": F.col("raw_confidence"), "n": F.lit(1.0),
         "s1": ew * s, "s2": ew * s * s, "sabs": ew * F.abs(s), "importances": ew * unit(F.col("importance")), "novelties": ew * unit(F.col("novelty")) * unit(F.col("raw_confidence")),
         "soc_n": only(F.lit(1.0)), "soc": only(ew), "posts": only(ew * F.col("post_sentiment")), "said": only(ew * F.col("comment_sentiment")),
         "engaged": only(ew * F.log1p("engagement")), "followed": only(ew * F.log1p("followers")), "answers": only(F.greatest(F.lit(0.0), F.col("comments").cast("double"))),
     }
-    per = met.groupBy("symbol", "ts", "source").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    # A grid time is asked about the sources that had an event in its block of time or the one before.
+    block = F.floor(F.col("ts") / window).cast("long")
+    active = e.select("symbol", "source", F.explode(F.array(block, block + 1)).alias("block")).distinct()
+    asked = grid.select("symbol", "ts", block.alias("block")).distinct().join(active, ["symbol", "block"]).drop("block")
+    spans = [Trailing(window, sums, {"decayed": (ew, half * hour)}), Trailing(hour, {"young": ew}, closed=True), Trailing(6 * hour, {"recent": ew}, closed=True)]
+    per = trailing_sums(asked, e, spans, ["symbol", "source"]).where("n > 0")
+    per = per.withColumn("mid", F.col("recent") - F.col("young")).withColumn("old", F.col("mass") - F.col("recent"))
+    sums = [c for c in per.columns if c not in ("symbol", "source", "ts", "recent")]
     all_ = per.groupBy("symbol", "ts").agg(*(F.sum(k).alias(k) for k in sums), F.count("*").alias("sources"), F.sum(F.col("mass") * F.log("mass")).alias("mlm"), F.sum(F.col("s1") * F.col("s1") / F.col("mass")).alias("between"))
     mean = F.col("s1") / F.col("mass")
     dev = lambda second: F.sqrt(F.greatest(F.lit(0.0), F.col(second) / F.col("mass") - mean * mean))
@@ -127,14 +133,12 @@ def blend_profiles(base: DataFrame, override: DataFrame, alpha: float = 0.35) ->
 
 
 def rolling_events(grid: DataFrame, events: DataFrame, windows: dict[str, int], value: str) -> DataFrame:
-    """Counts and means of events in trailing windows, both ends included, at each grid time: one union, one pass."""
-    e = events.select("symbol", "ts", F.col(value).alias("__v"), F.lit(0).alias("__grid"))
-    both = e.unionByName(grid.select("symbol", "ts", F.lit(1).alias("__grid")), allowMissingColumns=True)
-    out = []
-    for name, width in windows.items():
-        w = Window.partitionBy("symbol").orderBy("ts").rangeBetween(-width, 0)
-        out += [F.count("__v").over(w).alias(f"n_{name}"), F.avg("__v").over(w).alias(f"mean_{name}")]
-    return both.select("symbol", "ts", "__grid", *out).where("__grid = 1").drop("__grid")
+    """Counts and means of events in trailing windows, both ends included, at each grid time, one row for each row of the grid: running sums in blocks of time, so a long window costs no more than a short one."""
+    v = F.col(value)
+    spans = [Trailing(width, {f"n_{name}": F.when(v.isNotNull(), 1), f"sum_{name}": v}, closed=True) for name, width in windows.items()]
+    found = trailing_sums(grid, events, spans)
+    out = [c for name in windows for c in (F.col(f"n_{name}").cast("long").alias(f"n_{name}"), (F.col(f"sum_{name}") / F.nullif(f"n_{name}", F.lit(0.0))).alias(f"mean_{name}"))]
+    return grid.select("symbol", "ts").join(found.select("symbol", "ts", *out), ["symbol", "ts"])
 
 
 def rollup_fills(fills: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.align import asof_join, asof_wide, exact_join, range_join, resolve_snapshot, with_previous
 from ..operators.evaluate import audit_chain, reviewer_agreement
 from ..operators.bars import fan_out, roll_up
+from ..operators.trailing import direction_counts
 from ..sources.fixtures import BARS, DAY, DAYS, FILLS, HOUR, NEWS, TICKS, bars, days, fills, micros, news, table, ticks
 from ..sources.io import scratch, upsert_partitions
 from .registry import query
@@ -116,11 +117,10 @@ def jn10_snapshot(spark, sf):
 
 @query(f"WITH {BARS} SELECT a.symbol, CASE WHEN b.close / a.close - 1 > 0.01 THEN 1 WHEN b.close / a.close - 1 < -0.01 THEN -1 ELSE 0 END AS direction, count(*) AS n FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.ts BETWEEN a.ts + {HOUR} AND a.ts + {24 * HOUR} GROUP BY 1, 2")
 def jn11_future_direction(spark, sf):
-    b = bars(spark, sf).select("symbol", "ts", "close")
-    later = b.select("symbol", F.col("ts").alias("right_ts"), F.col("close").alias("later"))
-    move = F.col("later") / F.col("close") - 1
-    met = range_join(b, later, ["symbol"], HOUR, 24 * HOUR)
-    return met.groupBy("symbol", F.when(move > 0.01, 1).when(move < -0.01, -1).otherwise(0).alias("direction")).agg(F.count("*").alias("n"))
+    counted = direction_counts(bars(spark, sf), HOUR, 24 * HOUR, 0.01)
+    n = counted.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in ("up", "down", "flat")))
+    each = F.array(*(F.struct(F.lit(d).alias("direction"), F.col(c).alias("n")) for d, c in ((1, "up"), (-1, "down"), (0, "flat"))))
+    return n.select("symbol", F.inline(each)).where("n > 0")
 
 
 @query(f"WITH {TICKS} SELECT l.id, count(r.id) AS near, max(r.price) AS best FROM ticks l LEFT JOIN ticks r ON r.symbol = 'click' AND l.user_id = r.user_id AND abs(r.ts - l.ts) < {HOUR} WHERE l.symbol = 'purchase' GROUP BY 1")
