@@ -7,22 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import ranked
 from .trailing import Trailing, trailing_sums
 
 
 def liquidity_rank(bars: DataFrame, min_days: int, day: int) -> DataFrame:
-    """symbol, turnover, bars, days, rank of symbols with at least min_days active days."""
-    rows = bars.groupBy("symbol").agg(F.sum(F.abs(F.col("close") * F.col("volume"))).alias("turnover"), F.count("*").alias("bars"), F.countDistinct(F.floor(F.col("ts") / day)).alias("days"))
-    # One row for each symbol: the ranking window holds the universe, not the bars.
-    return rows.where(F.col("days") >= min_days).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("turnover"), "symbol")))
+    """symbol, turnover, bars, days, rank of symbols with at least min_days active days; ties of turnover go by symbol."""
+    # Days are counted by a second level of sums: a distinct count would expand every row.
+    by_day = bars.groupBy("symbol", F.floor(F.col("ts") / day).alias("day")).agg(F.sum(F.abs(F.col("close") * F.col("volume"))).alias("turnover"), F.count("*").alias("bars"))
+    rows = by_day.groupBy("symbol").agg(F.sum("turnover").alias("turnover"), F.sum("bars").alias("bars"), F.count("day").alias("days"))
+    return ranked(rows.where(F.col("days") >= min_days), F.desc("turnover"), "symbol")
 
 
-def hysteresis(ranked: DataFrame, previous: Sequence, top: int, keep: int) -> DataFrame:
+def hysteresis(ranked_: DataFrame, previous: Sequence, top: int, keep: int) -> DataFrame:
     """The new universe: members of before that rank no lower than keep come first, then others by rank, top in all."""
     order = F.array_position(F.array(*map(F.lit, previous)), F.col("symbol"))
     kept = (order > 0) & (F.col("rank") <= keep)
+    # Nobody beyond these can get in: kept ones are previous, and of the others the best `top` are enough.
+    near = ranked_.withColumn("kept", kept).where(F.col("kept") | (F.col("rank") <= top + len(previous)))
     place = F.row_number().over(Window.orderBy(F.desc("kept"), F.when(F.col("kept"), order), "rank"))
-    return ranked.withColumn("kept", kept).withColumn("place", place).where(F.col("place") <= top).select("symbol", "rank", "kept", "place")
+    return near.withColumn("place", place).where(F.col("place") <= top).select("symbol", "rank", "kept", "place")
 
 
 def coverage(times: DataFrame, start: int, end: int, width: int) -> DataFrame:

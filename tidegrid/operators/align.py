@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], values: dict[str, Column | str], tie: str = "id", ts: str = "ts", max_age: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], values: dict[str, Column | str], tie: str = "id", ts: str = "ts", max_age: int | None = None, chunk: int | None = None) -> DataFrame:
     """left with `values` of the latest right row at or before its time, right_ts, and missing (1 where there is none).
 
     values: output name -> column of right. tie: a column of right that orders rows of one time; the last one wins. With
     max_age a match older than that counts as missing. A null key or time matches nothing. A column of left that is named
     like an output gives way to it. Without keys (on is empty, max_age is needed) both sides meet on time buckets as wide
-    as max_age, into the next of which right rows are copied, so one series for all left rows needs no single task.
+    as max_age, into the next of which right rows are copied, so one series for all left rows needs no single task. With
+    chunk a key's rows are scanned in chunks of that much time, each of which starts with the last match of those before
+    it: a key with most of the rows then takes as many tasks as it has chunks.
     """
     outputs = {"right_ts", "missing", *values}
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -32,8 +34,18 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], values: dict
         keys, right = [bucket.alias("__bucket")], right.withColumn("__bucket", F.explode(F.array(bucket, bucket + 1)))
     r = right.select(*(on or ["__bucket"]), F.col(ts).alias("__ts"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), match.alias("__match"))
     l = left.select(*keys, F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*(c for c in left.columns if c not in outputs), F.col(ts).alias("__at")).alias("__row"))
+    names = list(on or ["__bucket"])
     both = r.unionByName(l, allowMissingColumns=True)
-    by = Window.partitionBy(*(on or ["__bucket"])).orderBy("__ts", "__side", "__tie")
+    if chunk is not None:
+        names.append("__chunk")
+        both = both.withColumn("__chunk", F.floor(F.col("__ts") / chunk).cast("long"))
+        # Of each chunk the last match, and from these what every later one starts with: one row for each key and chunk.
+        ends = both.groupBy(*names).agg(F.max_by("__match", F.when(F.col("__side") == 0, F.struct("__ts", "__tie"))).alias("__match"))
+        before = Window.partitionBy(*names[:-1]).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ends.withColumn("__match", F.last("__match", ignorenulls=True).over(before)).where(F.col("__match").isNotNull())
+        starts = starts.withColumn("__ts", F.col("__chunk") * chunk).withColumn("__side", F.lit(-1))
+        both = both.unionByName(starts, allowMissingColumns=True)
+    by = Window.partitionBy(*names).orderBy("__ts", "__side", "__tie")
     found = F.last("__match", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__found", found).where("__side = 1").select("__row", "__found")
     if max_age is not None:

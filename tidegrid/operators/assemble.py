@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import asof_join
+from .order import quantiles
 from .rolling import by
 
 
@@ -44,15 +45,16 @@ def check_columns(columns: Sequence[str], features: Sequence[Feature], keys: Seq
 def align(df: DataFrame, features: Sequence[Feature], keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """values and mask (1 = missing) in name order, and schema_hash. A feature without a column is missing in every row.
 
-    Medians are one aggregate over the table, forward fill one window for all such features; columns stay scalar until
-    the last step.
+    A median is an exact selection over the table, forward fill one window for all such features; columns stay scalar
+    until the last step.
     """
     check_columns(df.columns, features, keys)
     ordered = sorted(features, key=lambda f: f.name)
     there = [f for f in ordered if f.name in df.columns]
     medians = [f.name for f in there if f.impute == "median"]
     if medians:
-        df = df.crossJoin(F.broadcast(df.agg(*(F.percentile(c, 0.5).alias(f"__median_{c}") for c in medians))))
+        for c in medians:
+            df = df.crossJoin(F.broadcast(quantiles(df, [], c, {f"__median_{c}": 0.5})))
     last = Window.partitionBy(keys[0]).orderBy(keys[1]).rowsBetween(Window.unboundedPreceding, 0)
 
     def value(f: Feature) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cost_breakdown
+from .order import quantiles
 from .rolling import equity
 
 
@@ -20,8 +21,8 @@ def calibration_error(df: DataFrame, keys: Sequence[str], p: str, hit: str, bins
 
 def psi(df: DataFrame, keys: Sequence[str], value: str, is_new: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index per key, with edges at quantiles of the old rows: one row of edges for each key."""
-    probs = [k / bins for k in range(1, bins)]
-    edges = df.where(~F.col(is_new)).groupBy(*keys).agg(F.percentile(value, probs).alias("edges"))
+    probs = {f"__e{k}": k / bins for k in range(1, bins)}
+    edges = quantiles(df.where(~F.col(is_new)), keys, value, probs).select(*keys, F.array(*probs).alias("edges"))
     joined = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))
     bin_ = F.size(F.filter("edges", lambda e: F.col(value) > e))
     counts = joined.groupBy(*keys, bin_.alias("bin")).agg(F.count_if(~F.col(is_new)).alias("a"), F.count_if(F.col(is_new)).alias("b"))

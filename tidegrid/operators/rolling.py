@@ -127,11 +127,12 @@ def gaps(times: DataFrame, start: int, end: int, width: int, keys: tuple = _BY)
     return wide.select(*keys, (F.col("b") + width).alias("gap_start"), (F.col("next") - width).alias("gap_end"), ((F.col("next") - F.col("b")) / width - 1).cast("long").alias("missing"))
 
 
-def fill_grid(points: DataFrame, end: int, width: int, value: str = "value", parity: bool = False, start: int = 0) -> DataFrame:
+def fill_grid(points: DataFrame, end: int, width: int, value: str = "value", parity: bool = False, start: int = 0, chunk: int | None = None) -> DataFrame:
     """Every bucket from a symbol's first point to end with the latest value: interval expansion, no join with a grid.
 
     A point counts from the next bucket border on. With parity it counts from its bucket's start, and the first value
-    extends back to start, as the older ingestion did; that looks ahead.
+    extends back to start, as the older ingestion did; that looks ahead. With chunk a symbol's points are scanned in
+    chunks of that much time.
     """
     floor = F.col("ts") - F.pmod("ts", F.lit(width))
     at = floor if parity else F.when(F.pmod("ts", F.lit(width)) == 0, F.col("ts")).otherwise(floor + width)
@@ -139,16 +140,66 @@ def fill_grid(points: DataFrame, end: int, width: int, value: str = "value", par
     first = F.row_number().over(by(order="b")) == 1
     begin = F.when(first, F.least("b", F.lit(start))).otherwise(F.col("b")) if parity else F.col("b")
     until = F.coalesce(F.lead("b").over(by(order="b")) - width, F.lit(end))
+    if chunk is not None:
+        # The next point of a chunk's last one is the first of a later chunk: the same scan with time turned round.
+        turned = carried(last.withColumn("__at", -F.col("b")), _BY, chunk, {"__next": (F.min("b"), F.min("__next"))}, ts="__at")
+        by_chunk = Window.partitionBy(*_BY, "__chunk").orderBy("b")
+        until = F.coalesce(F.lead("b").over(by_chunk), F.col("__next")) - width
+        until, last = F.coalesce(until, F.lit(end)), turned
+        if parity:
+            lead = last.groupBy(*_BY).agg(F.min("b").alias("__first"))
+            last = last.join(lead, list(_BY))
+            begin = F.when(F.col("b") == F.col("__first"), F.least("b", F.lit(start))).otherwise(F.col("b"))
     spans = last.select("symbol", value, begin.alias("begin"), until.alias("until"))
     return spans.select("symbol", F.explode(F.sequence("begin", "until", F.lit(width))).alias("ts"), value)
 
 
-def equity(df: DataFrame, ret: str = "ret", keys: tuple = _BY, include_initial: bool = False) -> DataFrame:
-    """df with equity (product of 1 + ret, 0 once a step loses all) and drawdown from the running peak."""
-    w = by(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    dead = F.max((F.col(ret) <= -1).cast("int")).over(w) == 1
-    level = F.when(dead, 0.0).otherwise(F.exp(F.sum(F.when(F.col(ret) > -1, F.log1p(ret)).otherwise(0.0)).over(w)))
-    out = df.withColumn("equity", level)
-    peak = F.max("equity").over(w)
+def carried(df: DataFrame, keys: Sequence[str], chunk: int, states: dict[str, tuple[Column, Column]], ts: str = "ts") -> DataFrame:
+    """df with __chunk, its chunk of time, and for every state what the chunks of its key before that hold of it.
+
+    states: name -> (aggregate of a chunk, window function that makes the state of several chunks of their <name>). So a
+    scan in order needs a task for a chunk of a key, not for a key: first the sums of chunks, then a scan of these, then
+    each chunk from where the one before it ends. Names begin with __.
+    """
+    at = F.floor(F.col(ts) / chunk).cast("long")
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*keys, at.alias("__chunk")).agg(*(one.alias(name) for name, (one, _) in states.items()))
+    starts = ends.select(*keys, "__chunk", *(over.over(before).alias(name) for name, (_, over) in states.items()))
+    # A null key is a key as well.
+    k = starts.withColumnsRenamed({c: f"__k_{c}" for c in (*keys, "__chunk")})
+    same = F.col("__chunk").eqNullSafe(F.col("__k___chunk"))
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    return df.withColumn("__chunk", at).join(k, same, "left").drop(*(f"__k_{c}" for c in (*keys, "__chunk")))
+
+
+def previous(df: DataFrame, c: str, chunk: int, keys: Sequence[str] = _BY, order: Sequence[str] = ("ts", "id"), out: str | None = None) -> DataFrame:
+    """df with prev_<c>, the value of the row before in the order (times first), in chunks of time."""
+    last = (F.max_by(F.struct(F.col(c).alias("v")), F.struct(*order)), F.last("__last", ignorenulls=True))
+    d = carried(df, keys, chunk, {"__last": last}, order[0])
+    within = F.lag(F.struct(F.col(c).alias("v"))).over(Window.partitionBy(*keys, "__chunk").orderBy(*order))
+    return d.withColumn(out or f"prev_{c}", F.coalesce(within, F.col("__last"))["v"]).drop("__chunk", "__last")
+
+
+def equity(df: DataFrame, ret: str = "ret", keys: tuple = _BY, include_initial: bool = False, chunk: int | None = None) -> DataFrame:
+    """df with equity (product of 1 + ret, 0 once a step loses all) and drawdown from the running peak.
+
+    With chunk a key's steps are scanned in chunks of that much ts: growth and ruin are carried on first, then peaks.
+    """
+    grown, ruin = F.when(F.col(ret) > -1, F.log1p(ret)).otherwise(0.0), (F.col(ret) <= -1).cast("int")
+    parts, d = list(keys), df
+    if chunk is not None:
+        d = carried(df, keys, chunk, {"__grown": (F.sum(grown), F.sum("__grown")), "__ruin": (F.max(ruin), F.max("__ruin"))})
+        parts.append("__chunk")
+    w = by(*parts).rowsBetween(Window.unboundedPreceding, 0)
+    total, dead = F.sum(grown).over(w), F.max(ruin).over(w)
+    if chunk is not None:
+        total, dead = total + F.coalesce("__grown", F.lit(0.0)), F.greatest(dead, "__ruin")
+    out = d.withColumn("equity", F.when(dead == 1, 0.0).otherwise(F.exp(total)))
+    if chunk is not None:
+        out = carried(out.drop("__chunk", "__grown", "__ruin"), keys, chunk, {"__peak": (F.max("equity"), F.max("__peak"))})
+        peak = F.greatest(F.max("equity").over(w), "__peak")
+    else:
+        peak = F.max("equity").over(w)
     peak = F.greatest(peak, F.lit(1.0)) if include_initial else peak
-    return out.withColumn("drawdown", F.when(peak > 0, F.col("equity") / peak - 1).otherwise(-1.0))
+    return out.withColumn("drawdown", F.when(peak > 0, F.col("equity") / peak - 1).otherwise(-1.0)).drop("__chunk", "__peak")

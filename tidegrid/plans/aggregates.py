@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import rolling as R
+from ..operators.order import quantiles, ranked
 from ..sources.fixtures import BARS, DAY, DAYS, FILLS, HOUR, NEWS, PREDICTIONS, TICKS, bars, days, fills, news, predictions, table, ticks
 from .registry import query
 
@@ -39,8 +40,8 @@ def ag03_snapshot_hash(spark, sf):
 
 @query(f"WITH {TICKS}, g AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, id) AS p FROM ticks) SELECT symbol, count(*) AS total, count(*) FILTER (WHERE price IS NULL) AS nulls, count(*) FILTER (WHERE price <= 1) AS invalid, count(*) FILTER (WHERE ts = p) AS duplicates, count(*) FILTER (WHERE ts - p > {2 * HOUR}) AS gaps, round(count(*) FILTER (WHERE ts - p > {2 * HOUR}) / count(*), 6) AS gap_rate, count(*) FILTER (WHERE ts - p > {2 * HOUR}) / count(*) < 0.05 AS passed FROM g GROUP BY 1")
 def ag04_quality_window(spark, sf):
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts", "id"))
-    g = ticks(spark, sf).withColumn("gap", gap).groupBy("symbol").agg(F.count("*").alias("total"), F.count_if(F.col("price").isNull()).alias("nulls"), F.count_if(F.col("price") <= 1).alias("invalid"), F.count_if(F.col("gap") == 0).alias("duplicates"), F.count_if(F.col("gap") > 2 * HOUR).alias("gaps"))
+    t = R.previous(ticks(spark, sf), "ts", 7 * DAY)
+    g = t.withColumn("gap", F.col("ts") - F.col("prev_ts")).groupBy("symbol").agg(F.count("*").alias("total"), F.count_if(F.col("price").isNull()).alias("nulls"), F.count_if(F.col("price") <= 1).alias("invalid"), F.count_if(F.col("gap") == 0).alias("duplicates"), F.count_if(F.col("gap") > 2 * HOUR).alias("gaps"))
     rate = F.col("gaps") / F.col("total")
     return g.withColumn("gap_rate", F.round(rate, 6)).withColumn("passed", rate < 0.05)
 
@@ -56,7 +57,8 @@ _QS = ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))
 @query(f"WITH {NEWS} SELECT symbol, " + ", ".join(f"round(quantile_cont(greatest(0, available - occurred) / 1e6, {q}), 6) AS {n}" for q, n in _QS) + " FROM news GROUP BY 1")
 def ag06_latency_quantiles(spark, sf):
     lag = F.greatest(F.lit(0), F.col("available") - F.col("occurred")) / 1e6
-    return news(spark, sf).groupBy("symbol").agg(*(r6(F.percentile(lag, q), n) for q, n in _QS))
+    found = quantiles(news(spark, sf), ["symbol"], lag, {n: q for q, n in _QS})
+    return found.select("symbol", *(r6(F.col(n), n) for _, n in _QS))
 
 
 @query("WITH d AS (SELECT DISTINCT conv_id, turn, role, length(text) AS n FROM conversations) SELECT role, count(*) FILTER (WHERE turn = 0) AS posts, count(*) FILTER (WHERE turn > 0) AS comments, count(DISTINCT conv_id) AS threads, round(count(*) FILTER (WHERE n > 100) / count(*), 6) AS enriched_ratio, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, round(avg(n), 6) AS mean FROM d GROUP BY 1 ORDER BY comments DESC LIMIT 20")
@@ -138,7 +140,12 @@ def _slip():
 
 @query(f"WITH {FILLS} SELECT round(quantile_cont({_SLIP}, 0.5), 6) AS slip_p50, round(quantile_cont({_SLIP}, 0.9), 6) AS slip_p90, round(count(*) FILTER (WHERE status = 'rejected') / count(*), 6) AS reject_rate, round(quantile_cont((ts - ordered) / 1e6, 0.5), 6) AS latency_p50, max(ts) AS last_fill FROM fills")
 def ag14_execution_stats(spark, sf):
-    return fills(spark, sf).agg(r6(F.percentile(_slip(), 0.5), "slip_p50"), r6(F.percentile(_slip(), 0.9), "slip_p90"), r6(F.count_if(F.col("status") == "rejected") / F.count("*"), "reject_rate"), r6(F.percentile((F.col("ts") - F.col("ordered")) / 1e6, 0.5), "latency_p50"), F.max("ts").alias("last_fill"))
+    f = fills(spark, sf)
+    slip = quantiles(f, [], _slip(), {"slip_p50": 0.5, "slip_p90": 0.9})
+    latency = quantiles(f, [], (F.col("ts") - F.col("ordered")) / 1e6, {"latency_p50": 0.5})
+    rest = f.agg(r6(F.count_if(F.col("status") == "rejected") / F.count("*"), "reject_rate"), F.max("ts").alias("last_fill"))
+    # Three single rows.
+    return slip.crossJoin(latency).crossJoin(rest).select(*(r6(F.col(c), c) for c in ("slip_p50", "slip_p90", "latency_p50")), "reject_rate", "last_fill")
 
 
 @query(f"WITH {FILLS} SELECT target, round(sum(CASE WHEN side = 'buy' THEN qty * price ELSE -qty * price END), 2) AS notional, round(sum(fee), 2) AS cost, count(*) AS orders, count(*) FILTER (WHERE status = 'rejected') AS rejects FROM fills GROUP BY ROLLUP (target)")
@@ -211,9 +218,9 @@ def ag22_review_stats(spark, sf):
 @query(f"WITH {PREDICTIONS}, p AS (SELECT symbol, CASE WHEN mu > 0 THEN 'trend' ELSE 'revert' END AS strategy, sign(mu) * y AS pnl, ts FROM predictions), t AS (SELECT pnl, row_number() OVER (ORDER BY pnl, ts, symbol) AS rn, count(*) OVER () AS n FROM p), tail AS (SELECT round(avg(pnl), 6) AS tail_mean FROM t WHERE rn <= greatest(1, round(n * 0.01))) SELECT symbol, strategy, count(*) AS n, round(avg(pnl), 6) AS mean, any_value(tail_mean) AS tail_mean FROM p, tail GROUP BY GROUPING SETS ((symbol), (strategy), ())")
 def ag23_run_summary(spark, sf):
     p = predictions(spark, sf).select("symbol", F.when(F.col("mu") > 0, "trend").otherwise("revert").alias("strategy"), (F.signum("mu") * F.col("y")).alias("pnl"), "ts")
-    # The worst hundredth by a distributed sort and limit, not by one ordered window over all rows.
-    k = max(1, round(p.count() * 0.01))
-    tail = p.orderBy("pnl", "ts", "symbol").limit(k).agg(F.round(F.avg("pnl"), 6).alias("tail_mean"))
+    # The worst hundredth by ranks of a distributed sort; the number of rows is one more single-row sum of the plan.
+    size = p.agg(F.greatest(F.lit(1), F.round(F.count("*") * 0.01)).alias("k"))
+    tail = ranked(p, "pnl", "ts", "symbol").crossJoin(F.broadcast(size)).where("rank <= k").agg(F.round(F.avg("pnl"), 6).alias("tail_mean"))
     sets = p.groupingSets([["symbol"], ["strategy"], []], "symbol", "strategy").agg(F.count("*").alias("n"), r6(F.avg("pnl"), "mean"))
     return sets.crossJoin(F.broadcast(tail))
 

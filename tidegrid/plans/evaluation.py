@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import evaluate as E
 from ..operators import rolling as R
+from ..operators.order import quantiles
 from ..sources.fixtures import BARS, DAY, FILLS, PREDICTIONS, TICKS, bars, fills, predictions, table, ticks
 from .registry import query
 
@@ -55,7 +56,7 @@ def ev03_fold_summary(spark, sf):
 @query(f"WITH {PREDICTIONS}, m AS (SELECT quantile_cont(sigma, 0.5) AS med FROM predictions), s AS (SELECT sign(mu) * y AS pnl, unnest([CASE WHEN sigma > med THEN 'high_vol' ELSE 'low_vol' END, CASE WHEN abs(mu / sigma) > 2 THEN 'extreme' END, CASE WHEN mu > 0 THEN 'up' ELSE 'down' END]) AS slice FROM predictions, m) SELECT slice, count(*) AS n, round(avg(pnl), 6) AS pnl FROM s WHERE slice IS NOT NULL GROUP BY 1")
 def ev04_regime_slices(spark, sf):
     p = predictions(spark, sf)
-    p = p.crossJoin(F.broadcast(p.agg(F.percentile("sigma", 0.5).alias("med"))))
+    p = p.crossJoin(F.broadcast(quantiles(p, [], "sigma", {"med": 0.5})))
     flags = F.array(F.when(F.col("sigma") > F.col("med"), "high_vol").otherwise("low_vol"), F.when(F.abs(F.col("mu") / F.col("sigma")) > 2, "extreme"), F.when(F.col("mu") > 0, "up").otherwise("down"))
     s = p.select((F.signum("mu") * F.col("y")).alias("pnl"), F.explode(F.array_compact(flags)).alias("slice"))
     return s.groupBy("slice").agg(F.count("*").alias("n"), r6(F.avg("pnl"), "pnl"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..sources import io
+from ..operators.order import ranked
 from ..sources.fixtures import BARS, DAY, DAYS, FILLS, NEWS, TICKS, bars, days, fills, news, table, ticks
 from .registry import query
 
@@ -268,13 +269,13 @@ def tk02_provider_cap(spark, sf):
     d = news(spark, sf).select("id", "source", F.floor(F.col("ts") / DAY).alias("day"), "confidence")
     others = d.where("source <> 's1'")
     order = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("confidence"), "id"))
-    ranked = d.where("source = 's1'").withColumn("round", order)
+    rounds = d.where("source = 's1'").withColumn("round", order)
     # How many rows come before a round and day: sums over rounds and days alone, so no window holds all rows.
-    sizes = ranked.groupBy("round", "day").agg(F.count("*").alias("k"))
+    sizes = rounds.groupBy("round", "day").agg(F.count("*").alias("k"))
     before = sizes.withColumn("before", F.sum("k").over(Window.orderBy("round", "day")) - F.col("k"))
     within = F.row_number().over(Window.partitionBy("round", "day").orderBy("id"))
     kept = others.agg((F.count("*") * 0.1).alias("keep"))
-    picked = ranked.withColumn("within", within).join(before, ["round", "day"]).crossJoin(F.broadcast(kept)).where(F.col("before") + F.col("within") <= F.col("keep"))
+    picked = rounds.withColumn("within", within).join(before, ["round", "day"]).crossJoin(F.broadcast(kept)).where(F.col("before") + F.col("within") <= F.col("keep"))
     return picked.select("id", "source").union(others.select("id", "source"))
 
 
@@ -285,10 +286,9 @@ def tk03_budget(spark, sf):
     base = F.least(F.lit(20), F.round(1000 * F.col("heat") / F.col("total"))).cast("long")
     s = h.crossJoin(F.broadcast(total)).withColumn("base", base)
     spent = s.agg(F.greatest(F.lit(0), 1000 - F.sum("base")).alias("rest"))
-    # One row a user: the ranking window holds users, not their events.
-    ranked = s.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("heat"), "user_id"))).crossJoin(F.broadcast(spent))
+    placed = ranked(s, F.desc("heat"), "user_id", rank="rk").crossJoin(F.broadcast(spent))
     extra = F.when(F.col("rk") <= F.col("rest") % F.col("n"), 1).otherwise(0)
-    return ranked.select("user_id", (F.col("base") + F.floor(F.col("rest") / F.col("n")) + extra).cast("long").alias("budget"))
+    return placed.select("user_id", (F.col("base") + F.floor(F.col("rest") / F.col("n")) + extra).cast("long").alias("budget"))
 
 
 @query(f"WITH {BARS}, r AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), k AS (SELECT unnest(range(20)) AS k) SELECT DISTINCT symbol, ts FROM r JOIN k ON i = floor(k * (n - 1) / 19.0)")

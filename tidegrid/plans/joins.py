@@ -50,7 +50,7 @@ def jn04_anti_join(spark, sf):
 @query(f"WITH {_PAIR} SELECT l.id, l.ts, r.ts AS right_ts, r.price AS click_price, (r.ts IS NULL)::INT AS missing FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts")
 def jn05_asof_backward(spark, sf):
     left, right = _sides(spark, sf)
-    return asof_join(left.select("id", "ts", "user_id"), right, ["user_id"], {"click_price": "price"}).drop("user_id")
+    return asof_join(left.select("id", "ts", "user_id"), right, ["user_id"], {"click_price": "price"}, chunk=7 * DAY).drop("user_id")
 
 
 @query(f"WITH {_PAIR}, rp AS (SELECT *, lag(price) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM r) SELECT l.id, round(ln(rp.price / rp.prev), 6) AS ret_1, (l.ts - rp.ts) / 1e6 AS lag_sec FROM l ASOF LEFT JOIN rp ON l.user_id = rp.user_id AND l.ts >= rp.ts")

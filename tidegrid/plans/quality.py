@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rolling as R
+from ..operators.order import quantiles
 from ..sources.fixtures import BARS, DAY, DAYS, HOUR, NEWS, TICKS, bars, days, news, table, ticks
 from .registry import query
 
@@ -69,7 +70,7 @@ def dq04_full_history(spark, sf):
     cov = _cov(spark, sf).where("modality = 'price'").select("symbol", "c")
     hours = _modes(spark, sf).where("modality = 'price'").select("symbol", F.floor(F.col("ts") / HOUR).alias("b")).distinct()
     gaps = hours.withColumn("wide", F.lead("b").over(R.by(order="b")) - F.col("b") > 1).groupBy("symbol").agg(F.count_if("wide").alias("gaps"))
-    lag = news(spark, sf).groupBy("symbol").agg(r6(F.percentile((F.col("available") - F.col("occurred")) / 1e6, 0.9), "latency_p90"))
+    lag = quantiles(news(spark, sf), ["symbol"], (F.col("available") - F.col("occurred")) / 1e6, {"latency_p90": 0.9}).withColumn("latency_p90", F.round("latency_p90", 6))
     return cov.join(gaps, "symbol").join(lag, "symbol").select("symbol", r6(F.col("c"), "coverage"), "gaps", "latency_p90", (F.col("c") >= 0.93).alias("complete"))
 
 

@@ -148,7 +148,7 @@ def wn13_gaps(spark, sf):
 def wn14_forward_fill(spark, sf):
     t = ticks(spark, sf)
     end = _span(t)[1]
-    return R.fill_grid(t.withColumnRenamed("price", "value"), end + -end % HOUR, HOUR)
+    return R.fill_grid(t.withColumnRenamed("price", "value"), end + -end % HOUR, HOUR, chunk=7 * DAY)
 
 
 @query(f"WITH {TICKS}, f AS (SELECT user_id, ts, id, price, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, id) AS next_ts FROM ticks WHERE symbol = 'signup') SELECT user_id, id, next_ts, count(*) AS steps FROM (SELECT *, unnest(range(ts, coalesce(next_ts, ts + 1), {8 * HOUR})) AS step FROM f) GROUP BY 1, 2, 3")
@@ -168,7 +168,7 @@ def _pnl(spark, sf):
 
 @query(f"WITH {_PNL}, s AS (SELECT symbol, ts, ret * 0.01 AS r FROM pnl), e AS (SELECT symbol, ts, exp(sum(ln(1 + r)) OVER ({_W})) AS equity FROM s), d AS (SELECT *, equity / max(equity) OVER ({_W}) - 1 AS dd FROM e) SELECT symbol, round(last(equity ORDER BY ts), 6) AS final, round(min(dd), 6) AS max_drawdown FROM d GROUP BY 1")
 def wn16_drawdown(spark, sf):
-    e = R.equity(_pnl(spark, sf).withColumn("ret", F.col("ret") * 0.01))
+    e = R.equity(_pnl(spark, sf).withColumn("ret", F.col("ret") * 0.01), chunk=7 * DAY)
     return e.groupBy("symbol").agg(F.round(F.max_by("equity", "ts"), 6).alias("final"), F.round(F.min("drawdown"), 6).alias("max_drawdown"))
 
 
