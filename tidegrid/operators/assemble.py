@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,19 +192,41 @@ def synthetic_ratio(flags: Sequence[Column]) -> Column:
     return sum((F.coalesce(f.cast("double"), F.lit(0.0)) for f in flags), F.lit(0.0)) / len(flags)
 
 
+def filled(held: float, cost: float, realised: float, qty: float, price: float) -> tuple[float, float, float]:
+    """Quantity, average cost and realised result after one more fill (qty signed): a flip begins a new basis."""
+    new = held + qty
+    if held == 0 or (held > 0) == (qty > 0):
+        return new, (cost * abs(held) + price * abs(qty)) / abs(new) if new else 0.0, realised
+    closed = min(abs(held), abs(qty)) * (1 if held > 0 else -1)
+    return new, 0.0 if new == 0 else price if (new > 0) != (held > 0) else cost, realised + closed * (price - cost)
+
+
 def positions(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Average-cost accounting of ordered fills (qty signed, price): qty, avg_cost, realised."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, "qty", "price")))
-    zero = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("avg_cost"), F.lit(0.0).alias("realised"))
-
-    def step(s, x):
-        q, p = x["qty"], x["price"]
-        new = s["qty"] + q
-        same = (s["qty"] == 0) | (F.signum(s["qty"]) == F.signum(q))
-        closed = F.least(F.abs(s["qty"]), F.abs(q)) * F.signum(s["qty"])
-        realised = F.when(same, s["realised"]).otherwise(s["realised"] + closed * (p - s["avg_cost"]))
-        flipped = F.signum(new) != F.signum(s["qty"])
-        cost = F.when(new == 0, 0.0).when(same, (s["avg_cost"] * F.abs(s["qty"]) + p * F.abs(q)) / F.abs(new)).when(flipped, p).otherwise(s["avg_cost"])
-        return F.struct(new.alias("qty"), cost.alias("avg_cost"), realised.alias("realised"))
-
-    return fills.groupBy(*keys).agg(rows.alias("r")).select(*keys, F.aggregate("r", zero, step).alias("s")).select(*keys, "s.*")
+    """keys, qty, avg_cost, realised and unrealised (at the last price) of ordered fills (qty signed, price), by average cost.
+
+    Fills are sorted by key and order, and one pass over a sorted partition keeps the state of one key alone: memory is
+    bounded by a batch of rows, however long a key's history. Fills without a quantity or a price don't count; a null
+    key is a key; a key without any fill that counts isn't there.
+    """
+    known = fills.dropna(subset=["qty", "price"]).select(*keys, *order, F.col("qty").cast("double").alias("__qty"), F.col("price").cast("double").alias("__price"))
+    ordered = known.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "__qty", "__price")
+    n, schema = len(keys), [f"{c} {known.schema[c].dataType.simpleString()}" for c in keys]
+    names = [*keys, "qty", "avg_cost", "realised", "unrealised"]
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = last = None
+        for part in parts:
+            done = []
+            for *now, qty, price in zip(*(c.to_pylist() for c in part.columns)):
+                if now != key:
+                    if key is not None:
+                        done.append((*key, *state, (last - state[1]) * state[0]))
+                    key, state = now, (0.0, 0.0, 0.0)
+                state, last = filled(*state, qty, price), price
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, part.schema.field(k).type if k < n else pa.float64()) for k, c in enumerate(zip(*done))], names=names)
+            types = part.schema
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], types.field(k).type if k < n else pa.float64()) for k, c in enumerate((*key, *state, (last - state[1]) * state[0]))], names=names)
+
+    return ordered.mapInArrow(fold, ", ".join([*schema, "qty double", "avg_cost double", "realised double", "unrealised double"]))

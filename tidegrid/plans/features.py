@@ -9,7 +9,7 @@ from ..operators import aggregate as A
 from ..operators import assemble as S
 from ..operators import rolling as R
 from ..operators.align import asof_join, asof_wide
-from ..sources.fixtures import BARS, DAY, HOUR, PREDICTIONS, bars, fills, micros, news, predictions, table, ticks
+from ..sources.fixtures import BARS, DAY, FILLS, HOUR, PREDICTIONS, bars, fills, micros, news, predictions, table, ticks
 from ..sources.io import scratch
 from ..sources.panel import PanelStore
 from .registry import query
@@ -219,7 +219,11 @@ def fx18_strategy_bucket(spark, sf):
     return predictions(spark, sf).groupBy("symbol", label.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query()
+_FILL_FOLD = "list_reduce(list({'q': q, 'p': p, 'held': q, 'cost': CASE WHEN q = 0 THEN 0 ELSE p END, 'real': 0.0::DOUBLE} ORDER BY ts, order_id, line), lambda s, x: {'q': x.q, 'p': x.p, 'held': s.held + x.q, 'cost': CASE WHEN s.held + x.q = 0 THEN 0 WHEN s.held = 0 OR (s.held > 0) = (x.q > 0) THEN (s.cost * abs(s.held) + x.p * abs(x.q)) / abs(s.held + x.q) WHEN (s.held + x.q > 0) <> (s.held > 0) THEN x.p ELSE s.cost END, 'real': CASE WHEN s.held = 0 OR (s.held > 0) = (x.q > 0) THEN s.real ELSE s.real + least(abs(s.held), abs(x.q)) * CASE WHEN s.held > 0 THEN 1 ELSE -1 END * (x.p - s.cost) END})"
+
+
+@query(f"WITH {FILLS}, f AS (SELECT *, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS q, price AS p FROM fills WHERE status = 'filled'), s AS (SELECT account, target, {_FILL_FOLD} AS s FROM f GROUP BY 1, 2) SELECT account, target, s.held AS qty, round(s.cost, 6) AS avg_cost, round(s.real, 4) + 0.0 AS realised, round((s.p - s.cost) * s.held, 4) + 0.0 AS unrealised FROM s")
 def fx19_positions(spark, sf):
     f = fills(spark, sf).where("status = 'filled'").withColumn("qty", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")))
-    return S.positions(f, ["account", "target"], ["ts", "order_id", "line"])
+    p = S.positions(f, ["account", "target"], ["ts", "order_id", "line"])
+    return p.select("account", "target", "qty", r6(F.col("avg_cost"), "avg_cost"), (F.round("realised", 4) + 0.0).alias("realised"), (F.round("unrealised", 4) + 0.0).alias("unrealised"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.align import asof_join
 from ..sources import io
-from ..sources.fixtures import DAY, HOUR, TICKS, ticks
+from ..sources.fixtures import DAY, HOUR, NEWS, TICKS, news, ticks
 from ..streaming import streams as S
 from .registry import query
 
@@ -20,6 +20,18 @@ def _source(spark, sf, extra=lambda df: df, parts=3):
     return S.file_stream(spark, folder, t.schema)
 
 
+def _shuffled(spark, sf, late=2 * HOUR, closing=DAY, extra=lambda df: df):
+    """The events as they arrive, up to `late` after their time and so out of order, and rows behind the last one that move the watermark `closing` past it."""
+    t = extra(ticks(spark, sf)).withColumn("__arrival", F.col("ts") + F.pmod(F.hash("id"), F.lit(late))).withColumn("ts", F.timestamp_micros("ts"))
+    folder = io.scratch(spark)
+    S.split_files(t, folder, 5, "__arrival")
+    last = t.agg(F.max(F.unix_micros("ts"))).first()[0]
+    if last is not None:
+        S.close_files(t, folder, last + closing)
+    t = t.drop("__arrival")
+    return S.file_stream(spark, folder, t.schema)
+
+
 def _start(c="window.start"):
     return F.unix_micros(c)
 
@@ -46,10 +58,17 @@ def st02_dedup(spark, sf):
     return S.run(S.dedup_stream(stream, "1 day")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TICKS}, w AS (SELECT symbol, price, unnest([ts - ts % {HOUR} - k * {HOUR} FOR k IN range(6)]) AS start FROM ticks) SELECT symbol, start, count(*) AS n, round(avg(price), 6) AS mean FROM w GROUP BY 1, 2")
+@query(f"WITH {NEWS}, w AS (SELECT symbol, sentiment, unnest([1, 6]) AS hours, ts FROM news), x AS (SELECT symbol, sentiment, hours, unnest([ts - ts % {HOUR} - k * {HOUR} FOR k IN range(hours)]) AS start FROM w) SELECT symbol, hours, start, count(*) AS n, round(avg(sentiment), 6) + 0.0 AS mean FROM x GROUP BY 1, 2, 3")
 def st03_sliding(spark, sf):
-    out = S.last_update(S.run(S.sliding_counts(_source(spark, sf), late="1 hour"), "update"), "symbol", "window")
-    return out.select("symbol", _start().alias("start"), "n", r6(F.col("mean"), "mean"))
+    n = news(spark, sf).select("symbol", F.timestamp_micros("ts").alias("ts"), "sentiment")
+    folder = io.scratch(spark)
+    S.split_files(n, folder, 3)
+    both = None
+    for hours in (1, 6):
+        one = S.last_update(S.run(S.sliding_counts(S.file_stream(spark, folder, n.schema), f"{hours} hours"), "update"), "symbol", "window")
+        one = one.select("symbol", F.lit(hours).alias("hours"), _start().alias("start"), "n", (F.round("mean", 6) + 0.0).alias("mean"))
+        both = one if both is None else both.union(one)
+    return both
 
 
 @query(f"WITH {TICKS}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < {2 * HOUR} THEN 0 ELSE 1 END AS new FROM ticks), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n, min(ts) AS a FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1")
@@ -57,7 +76,8 @@ def st04_sessions(spark, sf):
     # Sessions close in append mode once the watermark has passed them, so closing rows follow the last event.
     t = ticks(spark, sf).withColumn("ts", F.timestamp_micros("ts"))
     folder = io.scratch(spark)
-    last = S.split_files(t, folder, 3)
+    S.split_files(t, folder, 3)
+    last = t.agg(F.max(F.unix_micros("ts"))).first()[0]
     if last is not None:
         S.close_files(t, folder, last + 2 * HOUR + DAY + 1_000_000)
     out = S.run(S.sessions(S.file_stream(spark, folder, t.schema), "2 hours", "1 day"))
@@ -66,15 +86,40 @@ def st04_sessions(spark, sf):
     return real.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
-@query()
+@query(f"WITH {TICKS} SELECT ts - ts % {HOUR} AS ts, quantile_disc(size, 0.5)::DOUBLE AS p50, quantile_disc(size, 0.95)::DOUBLE AS p95, quantile_disc(size, 0.95) > 120 AS alert FROM ticks GROUP BY 1, ticks.ts - ticks.ts % {HOUR}")
 def st05_lag_alerts(spark, sf):
-    return S.run(S.lag_alerts(_source(spark, sf, lambda t: t.withColumn("lag", F.col("size").cast("double"))))).select(_start().alias("ts"), "p50", "p95", "alert")
+    """Windows of an hour hold far fewer rows than the sketch's accuracy, so its quantiles are exact."""
+    lags = S.lag_alerts(_source(spark, sf, lambda t: t.withColumn("lag", F.col("size").cast("double"))))
+    return S.last_update(S.run(lags, "update"), "window").select(_start().alias("ts"), "p50", "p95", "alert")
+
+
+@query(f"WITH {TICKS}, g AS (SELECT symbol, ts AS last_at, lead(ts) OVER (PARTITION BY symbol ORDER BY ts, id) AS nxt FROM ticks) SELECT symbol AS source, last_at, last_at + 600000000 AS alert_at FROM g WHERE nxt IS NULL OR nxt - last_at > 600000000")
+def st05_freshness(spark, sf):
+    """Sources that were silent for more than ten minutes, the silence after the last event of all included."""
+    events = _shuffled(spark, sf).withColumnRenamed("symbol", "source")
+    with S.rocksdb(spark):
+        return S.run(S.freshness_alerts(events, late="3 hours")).where("source IS NOT NULL")
 
 
 @query(f"WITH {TICKS}, l AS (SELECT user_id, price, size, row_number() OVER w AS rn, CASE WHEN price < lag(price) OVER w THEN 0 ELSE 1 END AS stop FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) SELECT user_id, sum(size)::DOUBLE AS qty, (max(rn) - max(CASE WHEN stop = 1 THEN rn END))::BIGINT AS streak FROM l GROUP BY 1")
 def st06_positions(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return S.last_update(S.run(S.positions_stream(_source(spark, sf)), "update"), "user_id")
+    events = _shuffled(spark, sf, extra=lambda t: t.withColumn("qty", F.col("size")))
+    with S.rocksdb(spark):
+        found = S.last_update(S.run(S.positions_stream(events, "3 hours"), "update"), "user_id")
+    return found.where("user_id IS NOT NULL").select("user_id", "qty", "streak")
+
+
+_FOLD = "list_reduce(list({'q': q, 'p': p, 'held': q, 'cost': CASE WHEN q = 0 THEN 0 ELSE p END, 'real': 0.0::DOUBLE} ORDER BY {order}), lambda s, x: {'q': x.q, 'p': x.p, 'held': s.held + x.q, 'cost': CASE WHEN s.held + x.q = 0 THEN 0 WHEN s.held = 0 OR (s.held > 0) = (x.q > 0) THEN (s.cost * abs(s.held) + x.p * abs(x.q)) / abs(s.held + x.q) WHEN (s.held + x.q > 0) <> (s.held > 0) THEN x.p ELSE s.cost END, 'real': CASE WHEN s.held = 0 OR (s.held > 0) = (x.q > 0) THEN s.real ELSE s.real + least(abs(s.held), abs(x.q)) * CASE WHEN s.held > 0 THEN 1 ELSE -1 END * (x.p - s.cost) END})"
+
+
+@query(f"WITH {TICKS}, f AS (SELECT user_id, ts, id, price AS p, (CASE WHEN id % 3 = 0 THEN -1 ELSE 1 END * (size + 1))::DOUBLE AS q FROM ticks), s AS (SELECT user_id, " + _FOLD.replace("{order}", "ts, id") + " AS s FROM f GROUP BY 1) SELECT user_id, s.held AS qty, round(s.cost, 6) AS avg_cost, round(s.real, 4) + 0.0 AS realised, round((s.p - s.cost) * s.held, 4) + 0.0 AS unrealised FROM s")
+def st06_fills_in_order(spark, sf):
+    """Signed fills that arrive up to two hours late, and the result of taking them in the order of their time."""
+    signed = F.when(F.col("id") % 3 == 0, -1).otherwise(1) * (F.col("size") + 1)
+    events = _shuffled(spark, sf, extra=lambda t: t.withColumn("qty", signed))
+    with S.rocksdb(spark):
+        found = S.last_update(S.run(S.positions_stream(events, "3 hours"), "update"), "user_id")
+    return found.where("user_id IS NOT NULL").select("user_id", "qty", r6(F.col("avg_cost"), "avg_cost"), (F.round("realised", 4) + 0.0).alias("realised"), (F.round("unrealised", 4) + 0.0).alias("unrealised"))
 
 
 @query(f"WITH {TICKS}, l AS (SELECT * FROM ticks WHERE symbol = 'purchase'), r AS (SELECT * FROM ticks WHERE symbol = 'click') SELECT l.id, r.price AS click_price FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts")

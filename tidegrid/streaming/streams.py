@@ -3,40 +3,56 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.assemble import filled
 from ..sources.io import scratch
 
 
 def file_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1) -> DataFrame:
+    """The files of a folder, oldest first, per_trigger files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def split_files(df: DataFrame, folder: str, parts: int) -> int | None:
-    """df in `parts` equal spans of ts, one append after the other, so that a stream over the folder sees time pass.
+def split_files(df: DataFrame, folder: str, parts: int, arrival: Column | str = "ts") -> None:
+    """df in `parts` files, ranges of arrival, so that a stream over the folder sees time pass.
 
-    Returns the last time in epoch microseconds.
+    Ranges are written beside each other, a task for each; the files then get times in the order of the ranges, as a
+    stream reads the oldest file first. Columns are those of df without arrival, if that is one whose name begins with __.
     """
-    low, high = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    if low is None:
-        df.write.mode("append").parquet(folder)
-        return None
-    part = F.least(F.floor((F.unix_micros("ts") - low) * parts / (high - low + 1)), F.lit(parts - 1))
-    for k in range(parts):
-        df.where(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return high
+    rest = [c for c in df.columns if not c.startswith("__")]
+    df.repartitionByRange(parts, arrival).select(*rest).write.mode("append").parquet(folder)
+    _in_order(df.sparkSession, folder)
+
+
+def _in_order(spark: SparkSession, folder: str) -> None:
+    """Files that have no time of their own yet get one after all others, in the order of their names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(((f.getPath().getName(), f.getModificationTime(), f.getPath()) for f in fs.listStatus(p) if f.getPath().getName().startswith("part-")), key=lambda x: x[0])
+    at = max((t for _, t, _ in files if t < _OLD), default=_OLD // 2)
+    for _, t, path in files:
+        if t >= _OLD:
+            at += 10_000
+            fs.setTimes(path, at, -1)
+
+
+#: Files of a stream get times before this one (2001), by which they are told from new ones.
+_OLD = 1_000_000_000_000
 
 
 def close_files(df: DataFrame, folder: str, at: int) -> None:
     """Two more files with a row each, null but for ts, at `at` and after: the first moves the watermark, the second has it applied."""
     spark = df.sparkSession
     for k in range(2):
-        row = spark.range(1).select(*(F.timestamp_micros(F.lit(at + k * 1_000_000)).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+        row = spark.range(1).select(*(F.timestamp_micros(F.lit(at + k * 1_000_000)).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if not f.name.startswith("__")))
         row.coalesce(1).write.mode("append").parquet(folder)
+        _in_order(spark, folder)
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -78,20 +94,124 @@ def dedup_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def sliding_counts(events: DataFrame, size: str = "6 hours", step: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy("symbol", F.window("ts", size, step)).agg(F.count("*").alias("n"), F.avg("price").alias("mean"))
+def sliding_counts(events: DataFrame, size: str = "6 hours", step: str = "1 hour", late: str = "1 hour", value: str = "sentiment") -> DataFrame:
+    """Events and their mean sentiment by symbol and sliding window."""
+    return events.withWatermark("ts", late).groupBy("symbol", F.window("ts", size, step)).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
 
 
-def lag_alerts(events: DataFrame, limit: float = 40.0) -> DataFrame:
+#: Seconds of the 95th percentile of ingest lag, and without any event, from which an alert is due.
+LAG_LIMIT, SILENCE = 120.0, 600
+
+
+def lag_alerts(events: DataFrame, limit: float = LAG_LIMIT) -> DataFrame:
     """Quantiles of ingest lag (seconds) by window, and whether the 95th passes the limit."""
     q = F.percentile_approx("lag", [0.5, 0.95], 10_000)
     return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(q.alias("q")).select("window", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), (F.col("q")[1] > limit).alias("alert"))
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful Python needs, for as long as the block lasts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class Ordered(StatefulProcessor):
+    """Takes a key's rows in the order of their time, however they come.
+
+    Rows wait in a list until the watermark has passed them, as then no earlier one can follow; an event-time timer at
+    the oldest waiting row wakes the key. So what a key holds is bounded by the watermark's delay. fields: columns of the
+    rows as a schema that begins with "at long" (epoch microseconds) and "id long".
+    """
+
+    fields = "at long, id long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.names = handle, [f.split()[0] for f in self.fields.split(", ")]
+        self.waiting = handle.getListState("waiting", self.fields)
+        self.due = handle.getValueState("due", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # One part after the other goes into the list, so a batch of a key is never in memory whole.
+        for part in rows:
+            self.waiting.appendList(list(part[self.names].itertuples(index=False, name=None)))
+            self._wake(int(part["at"].min()))
+        yield from ()
+
+    def _wake(self, at: int) -> None:
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is None or at // 1000 < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at // 1000)
+            self.due.update((at // 1000,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.waiting.get())
+        ready, later = sorted(r for r in held if r[0] <= until), [r for r in held if r[0] > until]
+        self.waiting.clear()
+        self.due.clear()
+        if later:
+            self.waiting.appendList(later)
+            self._wake(min(r[0] for r in later))
+        found = self.take(key, ready, until)
+        if found is not None:
+            yield found
+
+    def take(self, key, rows: list[tuple], until: int) -> pd.DataFrame | None:
+        """The output of rows that are final, in order; until is the watermark."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class Silence(Ordered):
+    """For each key the times at which nothing had come for `limit` seconds. A timer of the silence itself fires without an event."""
+
+    def __init__(self, limit: int):
+        self.limit = limit * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "at long, told boolean")
+
+    def take(self, key, rows: list[tuple], until: int) -> pd.DataFrame | None:
+        last, told = self.last.get() if self.last.exists() else (None, False)
+        found = []
+        for at, *_ in rows:
+            if last is not None and at - last > self.limit and not told:
+                found.append((last, last + self.limit))
+            last, told = (at, False) if last is None or at > last else (last, told)
+        if last is not None and not told and until - last > self.limit:
+            found.append((last, last + self.limit))
+            told = True
+        if last is None:
+            return None
+        self.last.update((last, told))
+        if not told and not self.due.exists():
+            self._wake(last + self.limit + 1000)
+        if not found:
+            return None
+        return pd.DataFrame({"source": [key[0]] * len(found), "last_at": [a for a, _ in found], "alert_at": [b for _, b in found]})
+
+
+def freshness_alerts(events: DataFrame, limit: int = SILENCE, late: str = "1 hour") -> DataFrame:
+    """source, last_at, alert_at (epoch microseconds) of every time at which a source (source, ts, id) had been silent for more than limit seconds."""
+    rows = events.withWatermark("ts", late).select("source", "ts", F.unix_micros("ts").alias("at"), F.col("id").cast("long").alias("id"))
+    return rows.groupBy("source").transformWithStateInPandas(Silence(limit), "source string, last_at long, alert_at long", "Append", "EventTime")
+
+
 def reject_rates(orders: DataFrame, size: str = "6 hours", step: str = "3 hours", late: str = "1 hour") -> DataFrame:
     """Share of rejected orders by sliding window."""
     return orders.withWatermark("ts", late).groupBy(F.window("ts", size, step)).agg(F.avg("rejected").alias("rate"), F.count("*").alias("n"))
@@ -102,27 +222,30 @@ def alerts(rates: DataFrame, share: float) -> DataFrame:
     return rates.where(F.col("rate") > share)
 
 
-class Position(StatefulProcessor):
-    """Running quantity and losing streak of each key; rows of a batch are taken in time order."""
+class Position(Ordered):
+    """Running quantity, average cost, realised and unrealised result and losing streak of each key."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("s", "qty double, last double, streak long")
+    fields = "at long, id long, qty double, price double"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        got = pd.concat(rows).sort_values(["ts", "id"])
-        qty, last, streak = self.state.get() if self.state.exists() else (0.0, None, 0)
-        for price, size in zip(got["price"], got["size"]):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("s", "qty double, avg_cost double, realised double, last double, streak long")
+
+    def take(self, key, rows: list[tuple], until: int) -> pd.DataFrame | None:
+        if not rows:
+            return None
+        qty, cost, realised, last, streak = self.state.get() if self.state.exists() else (0.0, 0.0, 0.0, None, 0)
+        for _, _, size, price in rows:
             streak = streak + 1 if last is not None and price < last else 0
-            qty, last = qty + size, price
-        self.state.update((float(qty), float(last), int(streak)))
-        yield pd.DataFrame({"user_id": [key[0]], "qty": [float(qty)], "streak": [int(streak)]})
-
-    def close(self) -> None:
-        pass
+            (qty, cost, realised), last = filled(qty, cost, realised, size, price), price
+        self.state.update((float(qty), float(cost), float(realised), float(last), int(streak)))
+        return pd.DataFrame({"user_id": [key[0]], "qty": [float(qty)], "avg_cost": [float(cost)], "realised": [float(realised)], "unrealised": [float((last - cost) * qty)], "streak": [int(streak)]})
 
 
-def positions_stream(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id").transformWithStateInPandas(Position(), "user_id long, qty double, streak long", "Update", "None")
+def positions_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The position of each user after every step of the watermark, from fills (user_id, ts, id, qty signed, price) that may come out of order by `late`."""
+    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("id").cast("long").alias("id"), F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Position(), "user_id long, qty double, avg_cost double, realised double, unrealised double, streak long", "Update", "EventTime")
 
 
 def enrich_stream(events: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
