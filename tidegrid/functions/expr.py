@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -13,8 +15,8 @@ NEGATIVE = ("bear", "bearish", "crash", "drop", "hack", "lawsuit", "fraud", "ban
 NEGATIONS = ("not", "no", "never", "none", "without", "hardly", "barely", "n't")
 BOOSTERS = ("very", "extremely", "massively", "strongly", "super", "highly", "deeply")
 DAMPERS = ("slightly", "somewhat", "kinda", "kindof", "kind-of", "mildly", "barely")
-HAPPY = ("\U0001f680", "\U0001f4c8", "\U0001f7e2", "\U0001f49a", "\U0001f525", "\u2705")
-SAD = ("\U0001f4c9", "\U0001f534", "\U0001f4a5", "\u274c", "\U0001f9e8", "\u26a0\ufe0f")
+HAPPY = ("🚀", "📈", "🟢", "💚", "🔥", "✅")
+SAD = ("📉", "🔴", "💥", "❌", "🧨", "⚠️")
 SARCASM = ("/s", "yeah right", "as if", "sure buddy")
 # Weights of the signal score, by feature.
 SIGNAL_WEIGHTS = {
@@ -22,6 +24,26 @@ SIGNAL_WEIGHTS = {
     "source_tier_weight": 0.04, "source_confidence": 0.03, "social_post_sentiment": 0.04, "social_comment_sentiment": 0.03, "social_engagement_norm": 0.02, "social_influence_norm": 0.01,
     "social_event_ratio": 0.02, "social_buzz": 0.02, "vol_penalty": -0.01,
 }
+# Words of the keyword sentiment of imported posts, and of enriched texts.
+IMPORT_POSITIVE = ("bull", "bullish", "surge", "rally", "upgrade", "approval")
+IMPORT_NEGATIVE = ("bear", "bearish", "crash", "drop", "hack", "lawsuit", "ban")
+ENRICH_POSITIVE = ("bull", "bullish", "rally", "surge", "growth", "beat", "approval", "上涨", "利好", "看涨")
+ENRICH_NEGATIVE = ("bear", "bearish", "crash", "drop", "hack", "lawsuit", "ban", "下跌", "暴跌", "利空")
+# Names that stand for a symbol, capital words that are none, and keywords of symbols.
+ALIASES = {"BTC": "BTC", "BITCOIN": "BTC", "XBT": "BTC", "ETH": "ETH", "ETHEREUM": "ETH", "SOL": "SOL", "SOLANA": "SOL"}
+NO_TICKERS = ("THE", "WITH", "FROM", "THIS", "THAT")
+ENTITY_KEYWORDS = {
+    "BTC": ("bitcoin", "btc", "比特币"), "ETH": ("ethereum", "eth", "以太坊"), "SOL": ("solana", "sol", "索拉纳"), "BNB": ("bnb", "binance"), "XRP": ("xrp", "ripple"),
+    "ADA": ("ada", "cardano", "艾达"), "DOGE": ("doge", "dogecoin", "狗狗币"), "TRX": ("trx", "tron"), "AVAX": ("avax", "avalanche"), "LINK": ("link", "chainlink"),
+}
+FALLBACK_ENTITY = "US_MACRO"
+# Words that make an event regulatory, and those that make it macroeconomic.
+REGULATORY = ("sec", "regulation", "policy", "ban", "law", "enforcement", "监管", "禁令", "执法")
+MACRO = ("federal reserve", "fomc", "cpi", "inflation", "interest rate", "unemployment", "trump", "election", "etf", "blackrock", "fidelity", "treasury", "fed", "美联储", "通胀", "利率", "特朗普", "大选", "贝莱德")
+# Minutes of delay, from and to, by how a provider's name begins (in this order), and for all others.
+OFFICIAL = ("rss:federal_reserve", "rss:sec", "rss:cftc", "rss:whitehouse")
+DELAYS = ((("google_news_rss",), 25.0, 110.0), (("gdelt",), 18.0, 70.0), (OFFICIAL, 2.0, 18.0), (("rss:crypto_media",), 8.0, 35.0), (("rss:",), 6.0, 30.0))
+OTHER_DELAY = (10.0, 45.0)
 # Scores of start-up event types.
 STARTUP_SCORES = {"funding": 1.0, "mna": 0.7, "product": 0.4, "regulatory": -0.3}
 
@@ -88,24 +110,64 @@ def lexicon_sentiment(text: Column) -> Column:
     return F.element_at(F.transform(F.array(known), score), 1)
 
 
-def keyword_sentiment(text: Column, positive=POSITIVE, negative=NEGATIVE) -> Column:
-    """(hits of positive - hits of negative) / all hits; 0 without any."""
-    low = F.lower(text)
-    p, n = (sum(F.contains(low, F.lit(w)).cast("int") for w in words) for words in (positive, negative))
+def keywords(text: Column, words: Sequence[str]) -> Column:
+    """The different words that occur anywhere in the lower-cased text, in one scan for all of them.
+
+    At every place the longest word that begins there is found; the words that it begins with are there as well. So no
+    word hides another, wherever they overlap. A null text has none.
+    """
+    longest = sorted(dict.fromkeys(words), key=lambda w: (-len(w), w))
+    begins = F.create_map(*(x for w in longest for x in (F.lit(w), F.array(*(F.lit(v) for v in longest if w.startswith(v))))))
+    pattern = "(?=(" + "|".join(re.escape(w) for w in longest) + "))"
+    hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
+    return F.coalesce(F.array_distinct(F.flatten(F.transform(hits, lambda w: F.element_at(begins, w)))), F.array().cast("array<string>"))
+
+
+def number_of(found: Column, words: Sequence[str]) -> Column:
+    """How many of the words are among those found."""
+    return F.size(F.array_intersect(found, F.array(*map(F.lit, words))))
+
+
+def keyword_sentiment(found: Column, positive: Sequence[str] = IMPORT_POSITIVE, negative: Sequence[str] = IMPORT_NEGATIVE) -> Column:
+    """(positive words - negative words) / both, of words found by keywords(); 0 without any."""
+    p, n = number_of(found, positive), number_of(found, negative)
     return F.when(p + n > 0, (p - n) / (p + n)).otherwise(0.0)
 
 
 def language_hint(text: Column) -> Column:
-    """zh where a Han character occurs, en where only ASCII letters do, else other."""
-    return F.when(text.rlike("[\\x{4e00}-\\x{9fff}]"), "zh").when(text.rlike("[A-Za-z]") & ~text.rlike("[^\\x{00}-\\x{7f}]"), "en").otherwise("other")
+    """zh where a Han character occurs, else en where a letter A-Z or a-z does, else other."""
+    return F.when(text.rlike("[\\x{4e00}-\\x{9fff}]"), "zh").when(text.rlike("[A-Za-z]"), "en").otherwise("other")
+
 
+def _word(pattern: str) -> str:
+    """A match that no letter, digit or underscore of any script touches."""
+    return rf"(?<![\p{{L}}\p{{N}}_])({pattern})(?![\p{{L}}\p{{N}}_])"
 
-def tickers(text: Column, aliases: dict[str, str], stop: tuple = ("THE", "AND", "FOR"), cap: int = 5) -> Column:
-    """$TICKERS and all-capital words of 2 to 5 letters, aliases replaced, without stop words, first `cap` distinct."""
-    found = F.regexp_extract_all(text, F.lit(r"\$?\b([A-Z]{2,5})\b"), F.lit(1))
+
+def tickers(text: Column, aliases: Mapping[str, str] = ALIASES, stop: Sequence[str] = NO_TICKERS, cap: int = 5) -> Column:
+    """The first `cap` different symbols: first words of 3 to 16 letters that are an alias, in any case, then capital words of 2 to 5 letters that aren't stop words, aliases replaced."""
     names = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    mapped = F.transform(F.filter(found, lambda w: ~w.isin(*stop)), lambda w: F.coalesce(F.try_element_at(names, w), w))
-    return F.slice(F.array_distinct(mapped), 1, cap)
+    named = F.transform(F.regexp_extract_all(text, F.lit(_word("[A-Za-z]{3,16}")), F.lit(1)), lambda w: F.try_element_at(names, F.upper(w)))
+    capital = F.filter(F.regexp_extract_all(text, F.lit(_word("[A-Z]{2,5}")), F.lit(1)), lambda w: ~w.isin(*stop))
+    return F.slice(F.array_distinct(F.concat(F.array_compact(named), F.transform(capital, lambda w: F.coalesce(F.try_element_at(names, w), w)))), 1, cap)
+
+
+def mentions(text: Column, known: Sequence[str] = (), cap: int = 12) -> Column:
+    """The first `cap` different runs of 2 to 10 capitals, with or without $; only known ones where any are given."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$?([A-Z]{2,10})"), F.lit(1)))
+    return F.slice(F.filter(found, lambda w: w.isin(*known)) if known else found, 1, cap)
+
+
+def entity_map(found: Column) -> Column:
+    """Symbols of which a keyword was found by keywords(), in order; the fallback where there is none."""
+    named = F.array_compact(F.array(*(F.when(number_of(found, words) > 0, symbol) for symbol, words in ENTITY_KEYWORDS.items())))
+    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(FALLBACK_ENTITY)))
+
+
+def event_class(found: Column) -> tuple[Column, Column, Column]:
+    """Event type, market scope and whether its impact is global, of words found by keywords()."""
+    macro = number_of(found, MACRO) > 0
+    return F.when(number_of(found, REGULATORY) > 0, "regulatory").otherwise("market"), F.when(macro, "macro").otherwise("crypto"), macro
 
 
 def split_source(title: Column) -> tuple[Column, Column]:
@@ -120,10 +182,27 @@ def unit_hash(c: Column) -> Column:
     return F.conv(F.substring(F.sha1(c), 1, 12), 16, 10).cast("double") / float(16**12 - 1)
 
 
-def latency_prior(source: Column, tier: Column, key: Column) -> Column:
-    """Seconds: by kind of source, 30 for every tier below the first, and up to 20 % of jitter from a hash."""
-    base = F.when(source.isin("s0", "s1"), 30.0).when(source.isin("s2", "s3"), 120.0).otherwise(300.0)
-    return (base + 30.0 * (tier - 1)) * (1 + 0.2 * unit_hash(key))
+def latency_prior(provider: Column, tier: Column, source: Column, title: Column, link: Column, occurred: Column) -> Column:
+    """Minutes until an event of a provider is known: a place in the provider's range by the hash of what names the event, and 3.5 for every tier below the first; 0.5 at least.
+
+    occurred: the time as text. Provider and source count trimmed and in small letters; nulls as empty.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    p, s = F.lower(F.trim(text(provider))), F.lower(F.trim(text(source)))
+    low, high = F.lit(OTHER_DELAY[0]), F.lit(OTHER_DELAY[1])
+    for names, a, b in reversed(DELAYS):
+        # The first two are whole names, the others beginnings.
+        hit = p.isin(*names) if not names[0].startswith("rss:") else F.greatest(*(F.startswith(p, F.lit(n)) for n in names)) if len(names) > 1 else F.startswith(p, F.lit(names[0]))
+        low, high = F.when(hit, a).otherwise(low), F.when(hit, b).otherwise(high)
+    place = unit_hash(F.concat_ws("|", p, s, text(title), text(link), text(occurred)))
+    return F.greatest(F.lit(0.5), low + (high - low) * place + 3.5 * F.greatest(F.lit(0), tier - 1))
+
+
+def execution_trace(side: Column, est: Column, price: Column, baseline_bps: float = 3.0) -> tuple[Column, Column]:
+    """Slippage against the estimate, positive if it is a loss, and impact, its size beyond the baseline; 0 without both prices."""
+    known = (est > 0) & (price > 0)
+    slip = F.when(known, F.when(F.lower(F.trim(side)) == "buy", price - est).otherwise(est - price) / est * 1e4).otherwise(0.0)
+    return slip, F.greatest(F.lit(0.0), F.abs(slip) - baseline_bps)
 
 
 def engagement(likes: Column, comments: Column, shares: Column, quotes: Column, views: Column) -> Column:

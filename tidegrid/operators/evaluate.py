@@ -91,6 +91,33 @@ def reviewer_agreement(reviews: DataFrame) -> DataFrame:
     return a.join(b, "event").where("a < b").groupBy("a", "b").agg(F.count("*").alias("pairs"), F.count_if(F.col("va").eqNullSafe(F.col("vb"))).alias("agreed"))
 
 
+def correlation_penalty(returns: DataFrame, threshold: float = 0.85, penalty: float = 0.5, least: int = 16) -> DataFrame:
+    """symbol, strongest, pairs and factor of every symbol of returns (symbol, ts, ret): each other symbol whose correlation at common times is the threshold at least multiplies the factor by 1 - penalty (0.1 at least).
+
+    Pairs of fewer than `least` common times, or of a series that doesn't move in them, don't count; strongest is null
+    and the factor 1 where no pair does. Symbols are the universe: there is a row for each pair of symbols and time.
+    """
+    r = returns.dropna(subset=["symbol", "ts", "ret"]).select("symbol", "ts", "ret")
+    a, b = (r.select("ts", F.col("symbol").alias(x), F.col("ret").alias(f"r{x}")) for x in ("a", "b"))
+    pairs = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.stddev_pop("ra").alias("da"), F.stddev_pop("rb").alias("db"), F.corr("ra", "rb").alias("rho"))
+    sound = pairs.where((F.col("n") >= least) & (F.col("da") > 1e-12) & (F.col("db") > 1e-12) & F.col("rho").isNotNull() & ~F.isnan("rho"))
+    each = sound.select(F.explode(F.array("a", "b")).alias("symbol"), F.abs("rho").alias("rho"))
+    found = each.groupBy("symbol").agg(F.max("rho").alias("strongest"), F.count_if(F.col("rho") >= threshold).alias("hits"), F.count("*").alias("pairs"))
+    out = r.select("symbol").distinct().join(found, "symbol", "left")
+    return out.select("symbol", "strongest", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.pow(F.lit(max(0.1, 1 - penalty)), F.coalesce("hits", F.lit(0))).alias("factor"))
+
+
+def portfolio_score(positions: DataFrame, keys: Sequence[str], budget: float) -> tuple[DataFrame, DataFrame]:
+    """Per key alpha, expected_return and expected_volatility of positions (target, score, risk); and the positions with their action.
+
+    A position with a positive score and less risk than the budget is to increase, one with a negative score to reduce.
+    """
+    alpha = F.avg(F.col("score") / F.greatest("risk", F.lit(0.01)))
+    whole = positions.groupBy(*keys).agg(alpha.alias("alpha"), (alpha * 0.8).alias("expected_return"), F.least(F.lit(2.5), F.avg("risk") / budget).alias("expected_volatility"))
+    action = F.when((F.col("score") > 0) & (F.col("risk") < budget), "increase").when(F.col("score") < 0, "reduce").otherwise("hold")
+    return whole, positions.withColumn("action", action)
+
+
 def audit_chain(frames: dict[str, DataFrame]) -> DataFrame:
     """decision, steps, chain: what happened for each decision in order. frames: kind -> (decision, ts, ref), in the order in which kinds of one time follow."""
     tagged = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import rolling as R
+from ..operators.evaluate import portfolio_score
 from ..operators.order import quantiles, ranked
 from ..sources.fixtures import BARS, DAY, DAYS, FILLS, HOUR, NEWS, PREDICTIONS, TICKS, bars, days, fills, news, predictions, table, ticks
 from .registry import query
@@ -292,10 +293,12 @@ def ag31_recency_context(spark, sf):
     return w.groupBy("user_id").agg(r6(A.weighted("price", "w"), "price"), r6(A.weighted("size", "w"), "size"))
 
 
-@query(f"WITH {PREDICTIONS} SELECT symbol, round(avg(mu / greatest(sigma, 0.01)), 6) AS score, round(least(1, avg(sigma)), 6) AS volatility, CASE WHEN avg(mu / greatest(sigma, 0.01)) > 0.01 THEN 'increase' WHEN avg(mu / greatest(sigma, 0.01)) < -0.01 THEN 'reduce' ELSE 'hold' END AS action FROM predictions GROUP BY 1")
+@query(f"WITH {PREDICTIONS}, w AS (SELECT symbol, avg(mu / greatest(sigma, 0.01)) AS alpha, least(2.5, avg(sigma) / 1.2) AS vol FROM predictions GROUP BY 1) SELECT p.symbol, ts, CASE WHEN mu > 0 AND sigma < 1.2 THEN 'increase' WHEN mu < 0 THEN 'reduce' ELSE 'hold' END AS action, round(alpha, 6) AS alpha, round(alpha * 0.8, 6) AS expected_return, round(vol, 6) AS expected_volatility FROM predictions p JOIN w ON p.symbol = w.symbol")
 def ag32_portfolio_score(spark, sf):
-    s = predictions(spark, sf).groupBy("symbol").agg(F.avg(F.col("mu") / F.greatest("sigma", F.lit(0.01))).alias("s"), F.least(F.lit(1.0), F.avg("sigma")).alias("v"))
-    return s.select("symbol", r6(F.col("s"), "score"), r6(F.col("v"), "volatility"), F.when(F.col("s") > 0.01, "increase").when(F.col("s") < -0.01, "reduce").otherwise("hold").alias("action"))
+    """Predictions as positions, with the deviation as their risk and a budget of 1.2."""
+    positions = predictions(spark, sf).select("symbol", "ts", F.col("mu").alias("score"), F.col("sigma").alias("risk"))
+    whole, each = portfolio_score(positions, ["symbol"], 1.2)
+    return each.join(whole, "symbol").select("symbol", "ts", "action", *(r6(F.col(c), c) for c in ("alpha", "expected_return", "expected_volatility")))
 
 
 @query("WITH " + TICKS + ", t(tf, width) AS (VALUES ('1h', " + str(HOUR) + "), ('4h', " + str(4 * HOUR) + ")) SELECT tf, count(DISTINCT symbol) AS symbols, min(b) AS first_ts, max(b) AS last_ts, count(*) AS bars FROM (SELECT DISTINCT tf, symbol, ts - ts % width AS b FROM ticks, t) GROUP BY 1")

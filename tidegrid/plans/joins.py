@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.align import asof_join, asof_wide, exact_join, range_join, resolve_snapshot, with_previous
-from ..operators.evaluate import audit_chain, reviewer_agreement
+from ..operators.evaluate import audit_chain, correlation_penalty, reviewer_agreement
 from ..operators.bars import fan_out, roll_up
 from ..operators.trailing import direction_counts
 from ..sources.fixtures import BARS, DAY, DAYS, FILLS, HOUR, NEWS, TICKS, bars, days, fills, micros, news, table, ticks
@@ -171,14 +171,13 @@ def jn17_reviewer_agreement(spark, sf):
     return reviewer_agreement(table(spark, sf, "conversations").select(F.col("conv_id").alias("event"), reviewer.alias("reviewer"), (F.length("text") % 3).alias("verdict"), F.col("turn").alias("ts")))
 
 
-@query(f"WITH {BARS}, r AS (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS ret FROM bars), p AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS rho FROM r a JOIN r b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2), s AS (SELECT a AS symbol, rho FROM p UNION ALL SELECT b, rho FROM p) SELECT symbol, round(max(abs(rho)), 6) AS strongest, round(product(CASE WHEN abs(rho) >= 0.05 THEN 1 - abs(rho) ELSE 1 END), 6) AS penalty FROM s GROUP BY 1")
+@query(f"WITH {BARS}, r AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars), p AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS rho FROM r a JOIN r b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 16), s AS (SELECT a AS symbol, rho FROM p UNION ALL SELECT b, rho FROM p) SELECT symbol, round(max(abs(rho)), 6) AS strongest, count(*) AS pairs, 0.5 ** count(*) FILTER (WHERE abs(rho) >= 0.85) AS factor, 0.5 ** count(*) FILTER (WHERE abs(rho) >= 0.02) AS strict_factor FROM s GROUP BY 1")
 def jn18_correlation_penalty(spark, sf):
+    """The factor at the usual threshold, and at a low one that these series reach."""
     by = Window.partitionBy("symbol").orderBy("ts")
-    r = bars(spark, sf).select("symbol", "ts", F.log(F.col("close") / F.lag("close").over(by)).alias("ret")).where("ret IS NOT NULL")
-    a, b = r.select("ts", F.col("symbol").alias("a"), F.col("ret").alias("ra")), r.select("ts", F.col("symbol").alias("b"), F.col("ret").alias("rb"))
-    pairs = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
-    each = pairs.select(F.explode(F.array("a", "b")).alias("symbol"), F.abs("rho").alias("rho"))
-    return each.groupBy("symbol").agg(F.round(F.max("rho"), 6).alias("strongest"), F.round(F.product(F.when(F.col("rho") >= 0.05, 1 - F.col("rho")).otherwise(1.0)), 6).alias("penalty"))
+    r = bars(spark, sf).select("symbol", "ts", (F.col("close") / F.lag("close").over(by) - 1).alias("ret"))
+    strict = correlation_penalty(r, threshold=0.02).select("symbol", F.col("factor").alias("strict_factor"))
+    return correlation_penalty(r).withColumn("strongest", F.round("strongest", 6)).join(strict, "symbol")
 
 
 @query(f"WITH {FILLS}, lo AS (SELECT target, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS q FROM fills GROUP BY 1), re AS (SELECT target, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS q FROM fills WHERE line <= 3 GROUP BY 1), px AS (SELECT target, last(price ORDER BY ts, order_id, line) AS px FROM fills GROUP BY 1) SELECT target, coalesce(lo.q, 0) - coalesce(re.q, 0) AS diff, round(abs(coalesce(lo.q, 0) - coalesce(re.q, 0)) * px, 4) AS value, abs(coalesce(lo.q, 0) - coalesce(re.q, 0)) * px > 10000 AS drift FROM lo FULL JOIN re USING (target) JOIN px USING (target)")

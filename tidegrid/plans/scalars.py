@@ -44,39 +44,67 @@ def sc01_lexicon_sentiment(spark, sf):
     return spoken.select("doc_id", (F.round(E.lexicon_sentiment(F.col("said")), 6) + 0.0).alias("sentiment"))
 
 
-@query("SELECT doc_id, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS sentiment FROM (SELECT doc_id, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in E.POSITIVE) + " AS p, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in E.NEGATIVE) + " AS n FROM documents)")
+def _said_sql(words):
+    return "(" + " + ".join(f"contains(t, '{w}')::INT" for w in words) + ")"
+
+
+def _any_sql(words):
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+#: Prose of the table with words of the lists in it, so that all of them are met.
+_TOLD = "told AS (SELECT doc_id, lower(coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' Bitcoin rally, SEC approval' WHEN 1 THEN ' 比特币 暴跌 ban' WHEN 2 THEN ' bearish FOMC, Chainlink 利好' WHEN 3 THEN ' bullish upgrade of Cardano' ELSE '' END) AS t, coalesce(text, '') AS text FROM documents)"
+
+
+def _told(spark, sf):
+    i, text = F.col("doc_id") % 6, F.coalesce("text", F.lit(""))
+    more = F.when(i == 0, " Bitcoin rally, SEC approval").when(i == 1, " 比特币 暴跌 ban").when(i == 2, " bearish FOMC, Chainlink 利好").when(i == 3, " bullish upgrade of Cardano").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", F.concat(text, more).alias("said"))
+
+
+_RATIO = "CASE WHEN {p} + {n} > 0 THEN ({p} - {n}) / ({p} + {n}) ELSE 0.0 END"
+
+
+@query(f"WITH {_TOLD} SELECT doc_id, round({_RATIO.format(p=_said_sql(E.IMPORT_POSITIVE), n=_said_sql(E.IMPORT_NEGATIVE))}, 9) AS imported, round({_RATIO.format(p=_said_sql(E.ENRICH_POSITIVE), n=_said_sql(E.ENRICH_NEGATIVE))}, 9) AS enriched FROM told")
 def sc02_keyword_sentiment(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", E.keyword_sentiment(F.col("text")).alias("sentiment"))
+    """Two lexicons, one scan of each text."""
+    lists = (E.IMPORT_POSITIVE, E.IMPORT_NEGATIVE, E.ENRICH_POSITIVE, E.ENRICH_NEGATIVE)
+    found = _told(spark, sf).select("doc_id", E.keywords(F.col("said"), [w for words in lists for w in words]).alias("found"))
+    return found.select("doc_id", F.round(E.keyword_sentiment(F.col("found")), 9).alias("imported"), F.round(E.keyword_sentiment(F.col("found"), *lists[2:]), 9).alias("enriched"))
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(text, '[^\x{00}-\x{7f}]') THEN 'en' ELSE 'other' END AS hint FROM documents")
+@query(r"WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '通胀 ' || text WHEN 1 THEN '123 éà' ELSE text END AS text FROM documents) SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'other' END AS hint FROM d")
 def sc03_language_hint(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", E.language_hint(F.col("text")).alias("hint"))
+    i = F.col("doc_id") % 5
+    text = F.when(i == 0, F.concat(F.lit("通胀 "), "text")).when(i == 1, "123 éà").otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", E.language_hint(text).alias("hint"))
 
 
-_ALIAS = {"BRAND": "BR", "MFGR": "MF"}
+_NAMED = "named AS (SELECT p_partkey, p_name || ' ' || p_type || CASE p_partkey % 5 WHEN 0 THEN ' Bitcoin and XBT with ETH' WHEN 1 THEN ' FROM solana THE $DOGE, ETH' WHEN 2 THEN ' AA BB CC DD EE FF AA GG HH II JJ KK LL MM' WHEN 3 THEN ' EthereumClassic SOLANA' ELSE '' END AS t FROM part)"
+_MAPPED = "CASE {w} WHEN 'BTC' THEN 'BTC' WHEN 'BITCOIN' THEN 'BTC' WHEN 'XBT' THEN 'BTC' WHEN 'ETH' THEN 'ETH' WHEN 'ETHEREUM' THEN 'ETH' WHEN 'SOL' THEN 'SOL' WHEN 'SOLANA' THEN 'SOL' END"
 
 
-@query(r"WITH f AS (SELECT p_partkey, list_filter(regexp_extract_all(upper(p_name || ' ' || p_type), '\b([A-Z]{2,5})\b', 1), lambda w: w NOT IN ('THE', 'AND', 'FOR')) AS w FROM part), m AS (SELECT p_partkey, list_transform(w, lambda x: CASE x WHEN 'BRAND' THEN 'BR' WHEN 'MFGR' THEN 'MF' ELSE x END) AS w FROM f), u AS (SELECT p_partkey, x, min(i) AS i FROM (SELECT p_partkey, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM m) GROUP BY 1, 2) SELECT p.p_partkey, coalesce((SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT x, i FROM u WHERE u.p_partkey = p.p_partkey ORDER BY i LIMIT 5)), '') AS tickers FROM part p")
-def sc04_tickers(spark, sf):
-    text = F.upper(F.concat_ws(" ", "p_name", "p_type"))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(E.tickers(text, _ALIAS), ",").alias("tickers"))
+def _distinct_sql(c, n):
+    """The first n different values of a list, in order, as text."""
+    return f"array_to_string(list_filter({c}, lambda x, i: list_position({c}, x) = i)[1:{n}], ',')"
 
 
-_KEYS = {"rates": ("the ", "und "), "energy": ("que ", "der "), "tech": ("tion", "ing")}
+@query(rf"WITH {_NAMED}, f AS (SELECT p_partkey, list_filter(list_transform(regexp_extract_all(t, '\b([A-Za-z]{{3,16}})\b', 1), lambda w: {_MAPPED.format(w='upper(w)')}), lambda w: w IS NOT NULL) AS a, list_transform(list_filter(regexp_extract_all(t, '\b([A-Z]{{2,5}})\b', 1), lambda w: w NOT IN ('THE', 'WITH', 'FROM', 'THIS', 'THAT')), lambda w: coalesce({_MAPPED.format(w='w')}, w)) AS b, regexp_extract_all(t, '\$?([A-Z]{{2,10}})', 1) AS m FROM named), g AS (SELECT p_partkey, list_concat(a, b) AS e, m, list_filter(m, lambda w: w IN ('ETH', 'DOGE', 'SOLANA', 'LL')) AS k FROM f) SELECT p_partkey, {_distinct_sql('e', 5)} AS tickers, {_distinct_sql('m', 12)} AS mentions, {_distinct_sql('k', 12)} AS known FROM g")
+def sc04_tickers(spark, sf):
+    i = F.col("p_partkey") % 5
+    more = F.when(i == 0, " Bitcoin and XBT with ETH").when(i == 1, " FROM solana THE $DOGE, ETH").when(i == 2, " AA BB CC DD EE FF AA GG HH II JJ KK LL MM").when(i == 3, " EthereumClassic SOLANA").otherwise("")
+    text = F.concat("p_name", F.lit(" "), "p_type", more)
+    found = {"tickers": E.tickers(text), "mentions": E.mentions(text), "known": E.mentions(text, ("ETH", "DOGE", "SOLANA", "LL"))}
+    return table(spark, sf, "part").select("p_partkey", *(F.array_join(c, ",").alias(n) for n, c in found.items()))
 
 
-@query("SELECT doc_id, concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in _KEYS.items()) + ", CASE WHEN NOT (" + " OR ".join(f"contains(lower(text), '{w}')" for ws in _KEYS.values() for w in ws) + ") THEN 'macro' END) AS entities, CASE WHEN contains(lower(text), '|') THEN 'table' WHEN contains(lower(text), '.') THEN 'prose' ELSE 'other' END AS event_type FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+@query(f"WITH {_TOLD} SELECT doc_id, coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {_any_sql(ws)} THEN '{k}' END" for k, ws in E.ENTITY_KEYWORDS.items()) + f"), ''), 'US_MACRO') AS entities, CASE WHEN {_any_sql(E.REGULATORY)} THEN 'regulatory' ELSE 'market' END AS event_type, CASE WHEN {_any_sql(E.MACRO)} THEN 'macro' ELSE 'crypto' END AS scope, {_any_sql(E.MACRO)} AS global_impact FROM told")
 def sc05_entity_map(spark, sf):
-    low = F.lower(F.coalesce("text", F.lit("")))
-    hit = {k: F.lit(False) for k in _KEYS}
-    for k, ws in _KEYS.items():
-        for w in ws:
-            hit[k] = hit[k] | F.contains(low, F.lit(w))
-    named = F.array_compact(F.array(*[F.when(h, k) for k, h in hit.items()]))
-    entities = F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("macro")))
-    kind = F.when(F.contains(low, F.lit("|")), "table").when(F.contains(low, F.lit(".")), "prose").otherwise("other")
-    return table(spark, sf, "documents").select("doc_id", F.array_join(entities, ",").alias("entities"), kind.alias("event_type"))
+    """Entities, event type and scope from one scan of each text for the words of all lists."""
+    words = [w for ws in (*E.ENTITY_KEYWORDS.values(), E.REGULATORY, E.MACRO) for w in ws]
+    found = _told(spark, sf).select("doc_id", E.keywords(F.col("said"), words).alias("found"))
+    kind, scope, impact = E.event_class(F.col("found"))
+    return found.select("doc_id", F.array_join(E.entity_map(F.col("found")), ",").alias("entities"), kind.alias("event_type"), scope.alias("scope"), impact.alias("global_impact"))
 
 
 @query("SELECT p_partkey, p_name AS title, p_brand AS source FROM part UNION ALL SELECT -p_partkey, p_name, NULL FROM part")
@@ -101,9 +129,14 @@ def sc08_unit_hash(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(E.unit_hash(F.col("event_id").cast("string")), "u", 9))
 
 
-@query(f"WITH {NEWS} SELECT id, round((CASE WHEN source IN ('s0', 's1') THEN 30 WHEN source IN ('s2', 's3') THEN 120 ELSE 300 END + 30 * (tier - 1)) * (1 + 0.2 * " + _UNIT.format("id::VARCHAR") + "), 6) AS latency FROM news")
+_PROVIDERS = ("google_news_rss", "gdelt", "rss:sec_filings", "rss:whitehouse", "rss:crypto_media_x", "rss:blog", "Wire ")
+_PROVIDER_SQL = "[" + ", ".join(f"'{p}'" for p in _PROVIDERS) + "][1 + id % 7]"
+
+
+@query(f"WITH {NEWS}, p AS (SELECT id, tier, source, symbol, occurred, lower(trim({_PROVIDER_SQL})) AS p FROM news), r AS (SELECT *, CASE WHEN p = 'google_news_rss' THEN 25 WHEN p = 'gdelt' THEN 18 WHEN p LIKE 'rss:sec%' OR p LIKE 'rss:whitehouse%' THEN 2 WHEN p LIKE 'rss:crypto_media%' THEN 8 WHEN p LIKE 'rss:%' THEN 6 ELSE 10 END AS low, CASE WHEN p = 'google_news_rss' THEN 110 WHEN p = 'gdelt' THEN 70 WHEN p LIKE 'rss:sec%' OR p LIKE 'rss:whitehouse%' THEN 18 WHEN p LIKE 'rss:crypto_media%' THEN 35 WHEN p LIKE 'rss:%' THEN 30 ELSE 45 END AS high FROM p) SELECT id, round(greatest(0.5, low + (high - low) * " + _UNIT.format("p || '|' || source || '|' || symbol || '|' || id || '|' || occurred") + " + 3.5 * greatest(0, tier - 1)), 6) AS minutes FROM r")
 def sc09_latency_prior(spark, sf):
-    return news(spark, sf).select("id", r6(E.latency_prior(F.col("source"), F.col("tier"), F.col("id").cast("string")), "latency"))
+    provider = F.element_at(F.array(*map(F.lit, _PROVIDERS)), (F.col("id") % 7 + 1).cast("int"))
+    return news(spark, sf).select("id", r6(E.latency_prior(provider, F.col("tier"), F.col("source"), F.col("symbol"), F.col("id"), F.col("occurred")), "minutes"))
 
 
 _ENG = "(n_chars + 2 * (doc_id % 50) + 1.8 * (doc_id % 7) + 1.6 * (doc_id % 5) + 0.01 * n_chars)"
@@ -196,10 +229,10 @@ def sc19_position_size(spark, sf):
     return predictions(spark, sf).select("symbol", "ts", r6(E.position_size(F.col("mu"), F.col("p_up"), F.lit(10.0), F.col("sigma") > 1), "size"))
 
 
-@query(f"WITH {FILLS} SELECT order_id, line, round(CASE WHEN side = 'buy' THEN price - est_price ELSE est_price - price END / est_price * 1e4, 4) AS slippage_bps, round(sqrt(qty) * 0.5, 6) AS impact_bps FROM fills")
+@query(f"WITH {FILLS}, s AS (SELECT order_id, line, CASE WHEN est_price > 0 AND price > 0 THEN CASE WHEN side = 'buy' THEN price - est_price ELSE est_price - price END / est_price * 1e4 ELSE 0 END AS slip FROM fills) SELECT order_id, line, round(slip, 4) AS slippage_bps, round(greatest(0, abs(slip) - 3), 4) AS impact_bps FROM s")
 def sc20_slippage_trace(spark, sf):
-    p, e = _C("price", "est_price")
-    return fills(spark, sf).select("order_id", "line", F.round(F.when(F.col("side") == "buy", p - e).otherwise(e - p) / e * 1e4, 4).alias("slippage_bps"), r6(F.sqrt("qty") * 0.5, "impact_bps"))
+    slip, impact = E.execution_trace(*_C("side", "est_price", "price"))
+    return fills(spark, sf).select("order_id", "line", F.round(slip, 4).alias("slippage_bps"), F.round(impact, 4).alias("impact_bps"))
 
 
 @query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other, json_exists(props, '$.k') AS has_k FROM events")
