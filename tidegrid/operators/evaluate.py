@@ -32,6 +32,14 @@ def psi(df: DataFrame, keys: Sequence[str], value: str, is_new: str, bins: int =
     return both.groupBy(*keys).agg(F.sum((pb - pa) * F.log(pb / pa)).alias("psi"))
 
 
+def feature_drift(rows: DataFrame, payload: str = "payload", is_new: str = "is_new") -> DataFrame:
+    """mean_psi and mean_shift (of absolute means) over all keys of the payloads (map<string, double>), and how many keys both sides have; zeros without any. Null values aren't there."""
+    v = rows.select(F.col(is_new).alias("is_new"), F.explode(payload).alias("name", "value")).where("value IS NOT NULL")
+    means = v.groupBy("name").agg(F.abs(F.avg(F.when(F.col("is_new"), F.col("value"))) - F.avg(F.when(~F.col("is_new"), F.col("value")))).alias("shift")).where("shift IS NOT NULL")
+    found = psi(v, ["name"], "value", "is_new").join(means, "name")
+    return found.agg(F.coalesce(F.avg("psi"), F.lit(0.0)).alias("mean_psi"), F.coalesce(F.avg("shift"), F.lit(0.0)).alias("mean_shift"), F.count("*").alias("features"))
+
+
 def ks(df: DataFrame, keys: Sequence[str], value: str, is_new: str) -> DataFrame:
     """Two-sample distance per key: both distribution functions in one pass over distinct values."""
     points = df.groupBy(*keys, value).agg(F.count_if(~F.col(is_new)).alias("a"), F.count_if(F.col(is_new)).alias("b"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import evaluate as E
 from ..operators import rolling as R
+from ..operators import sizing as Z
 from ..operators.order import quantiles
 from ..sources.fixtures import BARS, DAY, FILLS, PREDICTIONS, TICKS, bars, fills, predictions, table, ticks
 from .registry import query
+from .scalars import _COSTS, _PARTS, _TOTAL, costed
 
 _T0 = 1_704_067_200_000_000
 _CUT = _T0 + 15 * DAY
@@ -62,10 +64,13 @@ def ev04_regime_slices(spark, sf):
     return s.groupBy("slice").agg(F.count("*").alias("n"), r6(F.avg("pnl"), "pnl"))
 
 
-@query(f"WITH {PREDICTIONS} SELECT ts // {DAY} AS day, h, round(sum(sign(mu) * y), 6) + 0.0 AS gross, round(sum(5.0 * h / 4 + 0.1 * h / 8), 6) AS cost_bps FROM predictions, (VALUES (1), (4)) t(h) GROUP BY 1, 2")
+@query(f"WITH {_COSTS} SELECT c.symbol, c.ts, h, round(greatest(-1, least(1, mu / greatest(1e-8, sg))) * yy, 6) + 0.0 AS pnl_raw, " + ", ".join(f"round(({x}) / 1e4, 9) AS {n}" for n, x in _PARTS.items()) + f", round(({_TOTAL}) / 1e4, 9) AS total_cost FROM c JOIN (SELECT symbol AS s2, ts AS t2, sigma AS sg, y AS yy FROM predictions) p ON c.symbol = s2 AND c.ts = t2")
 def ev05_pnl_series(spark, sf):
-    p = predictions(spark, sf).withColumn("h", F.explode(F.array(F.lit(1), F.lit(4))))
-    return p.groupBy(F.floor(F.col("ts") / DAY).alias("day"), "h").agg(_z(F.sum(F.signum("mu") * F.col("y")), "gross"), r6(F.sum(5.0 * F.col("h") / 4 + 0.1 * F.col("h") / 8), "cost_bps"))
+    """A row for each prediction and horizon, its costs by the components of the shared model."""
+    d = costed(spark, sf)
+    parts = X.cost_breakdown(F.col("vol"), F.col("liq"), F.col("turnover"), F.col("h"), F.lit(10.0), F.col("mu") / 1000, F.lit(50_000.0))
+    position = X.clamp(F.col("mu") / F.greatest(F.lit(1e-8), F.col("sigma")), -1.0, 1.0)
+    return d.select("symbol", "ts", "h", _z(position * F.col("y"), "pnl_raw"), *(r6(c / 1e4, "total_cost" if n == "total" else n, 9) for n, c in parts.items()))
 
 
 _GATE = "g AS (SELECT vec_id, unnest([exp(embedding[1]::DOUBLE), exp(embedding[2]::DOUBLE), exp(embedding[3]::DOUBLE)]) AS e, unnest([0, 1, 2]) AS gate FROM embeddings), w AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS w FROM g)"
@@ -117,12 +122,12 @@ def ev10_ks(spark, sf):
     return E.ks(_halves(spark, sf), ["symbol"], "x", "new").select("symbol", r6(F.col("ks"), "ks"))
 
 
-@query(f"WITH {_PSI}, m AS (SELECT symbol, abs(avg(x) FILTER (WHERE new) - avg(x) FILTER (WHERE NOT new)) / nullif(stddev_pop(x) FILTER (WHERE NOT new), 0) AS shift FROM v GROUP BY 1) SELECT round(avg(psi), 6) AS mean_psi, round(avg(shift), 6) AS mean_shift, count(*) AS features FROM psi JOIN m USING (symbol)")
+@query(f"WITH {TICKS}, v AS (SELECT unnest(['price', 'size', 'user', 'k']) AS name, unnest([price, size::DOUBLE, (user_id % 10)::DOUBLE, CASE WHEN id % 5 = 0 THEN NULL ELSE (id % 97)::DOUBLE END]) AS x, ts >= {_CUT} AS new FROM ticks), q AS (SELECT name, unnest([" + ", ".join(f"quantile_cont(x, {k / 10})" for k in range(1, 10)) + "]) AS e FROM v WHERE NOT new AND x IS NOT NULL GROUP BY 1), e AS (SELECT name, list(e) AS edges FROM q GROUP BY 1), c AS (SELECT v.name, len(list_filter(edges, lambda e: x > e)) AS bin, count(*) FILTER (WHERE NOT new) AS a, count(*) FILTER (WHERE new) AS b FROM v JOIN e ON v.name = e.name WHERE x IS NOT NULL GROUP BY 1, 2), s AS (SELECT name, greatest(a / sum(a) OVER (PARTITION BY name), 1e-6) AS pa, greatest(b / sum(b) OVER (PARTITION BY name), 1e-6) AS pb FROM c), psi AS (SELECT name, sum((pb - pa) * ln(pb / pa)) AS psi FROM s GROUP BY 1), m AS (SELECT name, abs(avg(x) FILTER (WHERE new) - avg(x) FILTER (WHERE NOT new)) AS shift FROM v GROUP BY 1) SELECT round(avg(psi), 6) AS mean_psi, round(avg(shift), 6) AS mean_shift, count(*) AS features FROM psi JOIN m USING (name)")
 def ev11_feature_drift(spark, sf):
-    v = _halves(spark, sf)
-    a, b = F.when(~F.col("new"), F.col("x")), F.when(F.col("new"), F.col("x"))
-    shift = v.groupBy("symbol").agg((F.abs(F.avg(b) - F.avg(a)) / F.nullif(F.stddev_pop(a), F.lit(0.0))).alias("shift"))
-    return E.psi(v, ["symbol"], "x", "new").join(shift, "symbol").agg(r6(F.avg("psi"), "mean_psi"), r6(F.avg("shift"), "mean_shift"), F.count("*").alias("features"))
+    """All numeric keys of the payloads, each against its own past."""
+    i = F.col("id")
+    payload = F.create_map(F.lit("price"), F.col("price"), F.lit("size"), F.col("size").cast("double"), F.lit("user"), (F.col("user_id") % 10).cast("double"), F.lit("k"), F.when(i % 5 != 0, (i % 97).cast("double")))
+    return E.feature_drift(ticks(spark, sf).select(payload.alias("payload"), (F.col("ts") >= _CUT).alias("is_new"))).select(r6(F.col("mean_psi"), "mean_psi"), r6(F.col("mean_shift"), "mean_shift"), "features")
 
 
 _FPSI = ", fv AS (SELECT symbol, size::DOUBLE AS x, ts >= " + str(_CUT) + " AS new FROM ticks), fq AS (SELECT symbol, unnest([" + ", ".join(f"quantile_cont(x, {k / 10})" for k in range(1, 10)) + "]) AS e FROM fv WHERE NOT new GROUP BY 1), fe AS (SELECT symbol, list(e) AS edges FROM fq GROUP BY 1), fc AS (SELECT fv.symbol, len(list_filter(edges, lambda e: x > e)) AS bin, count(*) FILTER (WHERE NOT new) AS a, count(*) FILTER (WHERE new) AS b FROM fv JOIN fe ON fv.symbol = fe.symbol GROUP BY 1, 2), fs AS (SELECT symbol, greatest(a / sum(a) OVER (PARTITION BY symbol), 1e-6) AS pa, greatest(b / sum(b) OVER (PARTITION BY symbol), 1e-6) AS pb FROM fc), fpsi AS (SELECT symbol, sum((pb - pa) * ln(pb / pa)) AS fpsi FROM fs GROUP BY 1)"
@@ -251,16 +256,21 @@ def ev20_ablation(spark, sf):
 _MOM = BARS + f", r AS (SELECT symbol, ts, ln(close / lag(close) OVER ({_W})) AS ret, row_number() OVER ({_W}) - 1 AS i FROM bars), f AS (SELECT *, (i - 96) // 24 AS fold FROM r), tr AS (SELECT k.symbol, k.fold, avg(f.ret) AS m, stddev_pop(f.ret) AS s FROM (SELECT DISTINCT symbol, fold FROM f WHERE i >= 96) k JOIN f ON f.symbol = k.symbol AND f.i >= k.fold * 24 AND f.i < k.fold * 24 + 96 GROUP BY 1, 2), sg AS (SELECT f.symbol, f.ts, f.ret, CASE WHEN ret > m + 0.2 * s THEN 1 WHEN ret < m - 0.2 * s THEN -1 ELSE 0 END AS sig FROM f JOIN tr ON f.symbol = tr.symbol AND f.fold = tr.fold WHERE i >= 96), p AS (SELECT *, coalesce(lag(sig) OVER ({_W}), 0) AS prev FROM sg)"
 
 
-@query(f"WITH {_MOM} SELECT symbol, count(*) AS steps, sum(abs(sig - prev))::BIGINT AS turnover, round(sum(prev * ret - 0.0005 * abs(sig - prev)), 6) AS pnl FROM p GROUP BY 1")
+_BASE = BARS + f""", b0 AS (SELECT symbol, ts, close, volume, lag(close) OVER ({_W}) AS p, lag(volume) OVER ({_W}) AS v, row_number() OVER ({_W}) - 2 AS j, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+r AS (SELECT symbol, ts, close / p - 1 AS r, v, j, n, lag(close / p - 1) OVER ({_W}) AS before FROM b0 WHERE j >= 0 AND n >= 122),
+f AS (SELECT *, (j - 96) // 24 AS fold FROM r WHERE j >= 96 AND j < n - 2),
+t AS (SELECT a.symbol, a.fold, avg(r.r) AS mu, stddev_pop(r.r) AS sigma FROM (SELECT DISTINCT symbol, fold FROM f) a JOIN r ON a.symbol = r.symbol AND r.j >= a.fold * 24 AND r.j < a.fold * 24 + 96 GROUP BY 1, 2),
+s AS (SELECT f.*, CASE WHEN before - mu > greatest(1e-6, 0.2 * sigma) THEN 1 WHEN before - mu < -greatest(1e-6, 0.2 * sigma) THEN -1 ELSE 0 END * greatest(0.2, least(1, 0.8 - 20 * sigma)) AS signal FROM f JOIN t ON f.symbol = t.symbol AND f.fold = t.fold),
+u AS (SELECT *, abs(signal - coalesce(lag(signal) OVER ({_W}), 0)) AS turn FROM s),
+c AS (SELECT *, signal * r - (5 + 3 + least(25, 1200 / sqrt(greatest(1, v)))) / 1e4 * turn AS pnl FROM u),
+q AS (SELECT *, CASE WHEN max((pnl <= -1)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN pnl > -1 THEN ln(1 + pnl) ELSE 0 END) OVER w) END AS curve FROM c WINDOW w AS ({_W} ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, 1 - curve / greatest(1, max(curve) OVER ({_W} ROWS UNBOUNDED PRECEDING)) AS dd FROM q)"""
+
+
+@query(f"WITH {_BASE} SELECT symbol, count(*) AS samples, round(corr(signal, r), 5) + 0.0 AS ic, round(avg((signal * r > 0)::INT), 6) AS hit_rate, round(sum(turn), 5) AS turnover, round(last(curve ORDER BY j) - 1, 5) AS pnl_after_cost, round(max(dd), 5) AS max_drawdown FROM d GROUP BY 1")
 def ev21_momentum(spark, sf):
-    f = bars(spark, sf).select("symbol", "ts", R.log_return().alias("ret"), (F.row_number().over(R.by()) - 1).alias("i")).withColumn("fold", F.floor((F.col("i") - 96) / 24))
-    # A row trains the up to four folds whose 96 rows before them hold it.
-    train = f.withColumn("k", F.explode(F.sequence(F.floor((F.col("i") - 96) / 24) + 1, F.floor(F.col("i") / 24)))).where("k >= 0")
-    stats = train.groupBy("symbol", F.col("k").alias("fold")).agg(F.avg("ret").alias("m"), F.stddev_pop("ret").alias("s"))
-    sig = F.when(F.col("ret") > F.col("m") + 0.2 * F.col("s"), 1).when(F.col("ret") < F.col("m") - 0.2 * F.col("s"), -1).otherwise(0)
-    p = f.where("i >= 96").join(stats, ["symbol", "fold"]).select("symbol", "ts", "ret", sig.alias("sig")).withColumn("prev", F.coalesce(F.lag("sig").over(R.by()), F.lit(0)))
-    turn = F.abs(F.col("sig") - F.col("prev"))
-    return p.groupBy("symbol").agg(F.count("*").alias("steps"), F.sum(turn).alias("turnover"), r6(F.sum(F.col("prev") * F.col("ret") - 0.0005 * turn), "pnl"))
+    m = Z.momentum(bars(spark, sf).select("symbol", "ts", "close", "volume"), 96, 24, 5.0, 3.0)
+    return m.select("symbol", "samples", _z(F.col("ic"), "ic", 5), r6(F.col("hit_rate"), "hit_rate"), r6(F.col("turnover"), "turnover", 5), r6(F.col("pnl_after_cost"), "pnl_after_cost", 5), r6(F.col("max_drawdown"), "max_drawdown", 5))
 
 
 @query(f"WITH {PREDICTIONS} SELECT symbol, round(avg(greatest(0.9 * (y - mu - 1.2816 * sigma), -0.1 * (y - mu - 1.2816 * sigma))), 6) AS pinball, round(avg(-ln(CASE WHEN y > 0 THEN p_up ELSE 1 - p_up END)), 6) AS bce, round(avg(lgamma(2.5) - lgamma(2.0) - 0.5 * ln(4 * pi()) - ln(sigma) - 2.5 * ln(1 + ((y - mu) / sigma) ** 2 / 4)), 5) AS student_ll FROM predictions GROUP BY 1")

@@ -6,13 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..functions import expr as X
 from ..operators import assemble as S
 from ..operators import rolling as R
+from ..operators import sizing as Z
 from ..operators.align import asof_join, asof_wide
 from ..sources.fixtures import BARS, DAY, FILLS, HOUR, PREDICTIONS, bars, fills, micros, news, predictions, table, ticks
 from ..sources.io import scratch
 from ..sources.panel import PanelStore
 from .registry import query
+from .scalars import _COSTS, _TOTAL, costed
 
 _T0 = 1_704_067_200_000_000
 _W = "PARTITION BY symbol ORDER BY ts"
@@ -189,34 +192,61 @@ def fx15_turnover_base(spark, sf):
     return r.select("symbol", "ts", r6(base, "turnover_base"))
 
 
-_EDGE = PREDICTIONS + ", e AS (SELECT symbol, ts, h, mu * h / 4 - 0.001 * sign(mu) AS edge, greatest(sigma, 1e-6) AS risk FROM predictions, (VALUES (1), (4), (24)) t(h)), x AS (SELECT *, edge / risk AS score, 0.2 + 0.05 * ln(h) AS band FROM e)"
+_EXPECTED = _COSTS + f", k AS (SELECT *, CASE h WHEN 1 THEN '1h' WHEN 4 THEN '4h' WHEN 24 THEN '1d' ELSE '7d' END AS horizon, ({_TOTAL}) / 1e4 AS cost FROM c), e AS (SELECT k.symbol, k.ts, horizon, cost, k.mu / 50 * sqrt(h) AS expected, k.vol / 10 * sqrt(h) AS vol, 0.5 + 0.4 * p_up AS confidence, trades % 3 * 0.08 * k.vol * sqrt(h) AS width FROM k JOIN predictions p ON k.symbol = p.symbol AND k.ts = p.ts JOIN bars b ON k.symbol = b.symbol AND k.ts = b.ts)"
 
 
-def _edges(spark, sf):
-    p = predictions(spark, sf).withColumn("h", F.explode(F.array(*map(F.lit, (1, 4, 24)))))
-    edge = F.col("mu") * F.col("h") / 4 - 0.001 * F.signum("mu")
-    return p.select("symbol", "ts", "h", edge.alias("edge"), F.greatest("sigma", F.lit(1e-6)).alias("risk")).withColumn("score", F.col("edge") / F.col("risk")).withColumn("band", 0.2 + 0.05 * F.log("h"))
+def _expected(spark, sf):
+    """Predictions for four horizons with cost, volatility, quantiles and confidence."""
+    p = costed(spark, sf).join(bars(spark, sf).select("symbol", "ts", "trades"), ["symbol", "ts"])
+    root, h = F.sqrt("h"), F.col("h")
+    cost = X.cost_breakdown(F.col("vol"), F.col("liq"), F.col("turnover"), h, F.lit(10.0), F.col("mu") / 1000, F.lit(50_000.0))["total"] / 1e4
+    width = F.col("trades") % 3 * 0.08 * F.col("vol") * root
+    expected = F.col("mu") / 50 * root
+    name = F.when(h == 1, "1h").when(h == 4, "4h").when(h == 24, "1d").otherwise("7d")
+    return p.select("symbol", "ts", name.alias("horizon"), expected.alias("expected"), cost.alias("cost"), (F.col("vol") / 10 * root).alias("vol"), (expected - width / 2).alias("p10"), (expected + width / 2).alias("p90"), (0.5 + 0.4 * F.col("p_up")).alias("confidence"))
 
 
-@query(f"WITH {_EDGE} SELECT symbol, ts, h, round(score, 6) AS score, CASE WHEN score > band THEN 'long' WHEN score < -band THEN 'short' ELSE 'flat' END AS action FROM x")
+_BAND = "CASE horizon WHEN '1h' THEN 0.20 WHEN '4h' THEN 0.16 WHEN '1d' THEN 0.10 ELSE 0.08 END::DOUBLE * (1 + least(3, risk / greatest(1e-4, abs(edge) + 1e-4)))"
+
+
+@query(f"WITH {_EXPECTED}, r AS (SELECT *, expected - cost AS edge, greatest(vol, abs((expected + width / 2) - (expected - width / 2)), 1e-4) AS risk FROM e), s AS (SELECT *, edge / risk AS score, {_BAND} AS band FROM r) SELECT symbol, ts, horizon, round(edge, 6) + 0.0 AS edge, round(risk, 6) AS risk, round(score, 5) + 0.0 AS score, round(band, 5) AS band, CASE WHEN confidence < CASE horizon WHEN '1h' THEN 0.55 WHEN '4h' THEN 0.52 WHEN '1d' THEN 0.50 ELSE 0.48 END THEN 'hold' WHEN score >= band THEN 'buy' WHEN score <= -band THEN 'sell' ELSE 'hold' END AS action FROM s")
 def fx16_horizon_signal(spark, sf):
-    return _edges(spark, sf).select("symbol", "ts", "h", r6(F.col("score"), "score"), F.when(F.col("score") > F.col("band"), "long").when(F.col("score") < -F.col("band"), "short").otherwise("flat").alias("action"))
+    s = Z.horizon_signal(_expected(spark, sf))
+    return s.select("symbol", "ts", "horizon", (F.round("edge", 6) + 0.0).alias("edge"), r6(F.col("risk"), "risk"), (F.round("score", 5) + 0.0).alias("score"), r6(F.col("band"), "band", 5), "action")
+
+
+#: Snapshots of an account every six hours, with the positions of some symbols.
+_ACCOUNT = f"snap AS (SELECT *, ts // {6 * HOUR} AS k FROM (SELECT DISTINCT ts - ts % {6 * HOUR} AS ts FROM ticks)), acc AS (SELECT ts, k % 13 <> 0 AS fresh, 1 + k % 10 / 10.0 AS margin, k % 7 * 40.0 AS free, k % 11 / 12.0 AS rejects, k % 5 * 5.0 AS slip, k % 4 * 0.03 AS vol FROM snap), held AS (SELECT snap.ts, symbol, (k % 5 - 2) / 4.0 AS qty FROM snap, (SELECT DISTINCT symbol FROM ticks) WHERE (k + length(symbol)) % 3 <> 0)"
+_RISK = "st AS (SELECT ts, CASE WHEN NOT fresh OR margin < 1.05 OR free < 50 OR rejects > 0.6 THEN 'red' WHEN slip > 15 OR margin < 1.3 OR vol > 0.08 THEN 'yellow' ELSE 'green' END AS regime, CASE WHEN slip > 15 THEN 0.7 ELSE 1 END * CASE WHEN margin < 1.3 THEN 0.5 ELSE 1 END AS ps, CASE WHEN vol > 0.08 THEN 1.5 ELSE 1 END AS bs, concat_ws(',', CASE WHEN NOT fresh THEN 'account_state_stale' END, CASE WHEN margin < 1.05 THEN 'margin_ratio_red' END, CASE WHEN free < 50 THEN 'free_margin_low' END, CASE WHEN rejects > 0.6 THEN 'reject_rate_red' END) AS hard, concat_ws(',', CASE WHEN slip > 15 THEN 'slippage_p90_high' END, CASE WHEN margin < 1.3 THEN 'margin_ratio_yellow' END, CASE WHEN vol > 0.08 THEN 'vol_spike' END) AS soft FROM acc)"
 
 
-@query(f"WITH {_EDGE}, a AS (SELECT symbol, ts, sum(score / h) / sum(1.0 / h) AS s, max(risk) AS risk FROM x GROUP BY 1, 2) SELECT symbol, ts, round(CASE WHEN abs(s) < 0.1 THEN 0 ELSE tanh(s) END * CASE WHEN risk > 2 THEN 0.5 ELSE 1 END, 6) + 0.0 AS target, concat_ws(',', CASE WHEN abs(s) < 0.1 THEN 'in_band' END, CASE WHEN risk > 2 THEN 'high_risk' END) AS reasons FROM a")
+@query(f"WITH {PREDICTIONS}, {_ACCOUNT}, {_RISK}, sc AS (SELECT symbol, ts, greatest(-1, least(1, (0.4 * (mu / 10 - 0.001) / greatest(1e-4, sigma) + 0.3 * (mu / 5 - 0.002) / greatest(1e-4, 2 * sigma) + CASE WHEN sigma > 1 THEN 0.2 * (mu / 2 - 0.005) / greatest(1e-4, 5 * sigma) ELSE 0 END) / CASE WHEN sigma > 1 THEN 0.4 + 0.3 + 0.2 ELSE 0.4 + 0.3 END)) AS base FROM predictions), j AS (SELECT sc.*, st.* EXCLUDE (ts), st.ts AS snapped FROM sc ASOF LEFT JOIN st ON sc.ts >= st.ts), k AS (SELECT j.symbol, j.ts, base * CASE WHEN regime = 'red' THEN 1 ELSE ps END AS target, 0.02 * CASE WHEN regime = 'red' THEN 1 ELSE bs END AS band, coalesce(qty, 0) AS current, regime, CASE WHEN regime = 'red' THEN hard ELSE soft END AS reasons FROM j LEFT JOIN held ON held.ts = snapped AND held.symbol = j.symbol) SELECT symbol, ts, round(target, 6) + 0.0 AS target, round(current, 6) AS current, CASE WHEN abs(target - current) <= band THEN 'hold' WHEN target > current THEN 'buy' ELSE 'sell' END AS action, round(CASE WHEN abs(target - current) <= band THEN 0 ELSE abs(target - current) END, 6) + 0.0 AS qty, round(band, 6) AS band, regime, regime = 'red' AS reduce_only, reasons FROM k")
 def fx17_position_intent(spark, sf):
-    inv = 1 / F.col("h")
-    a = _edges(spark, sf).groupBy("symbol", "ts").agg((F.sum(F.col("score") * inv) / F.sum(inv)).alias("s"), F.max("risk").alias("risk"))
-    band, high = F.abs("s") < 0.1, F.col("risk") > 2
-    target = F.when(band, 0.0).otherwise(F.tanh("s")) * F.when(high, 0.5).otherwise(1.0)
-    reasons = F.array_compact(F.array(F.when(band, "in_band"), F.when(high, "high_risk")))
-    return a.select("symbol", "ts", (F.round(target, 6) + 0.0).alias("target"), F.array_join(reasons, ",").alias("reasons"))
+    """Predictions with the account as it was known then: its state of risk, and of its positions those of that snapshot alone."""
+    mu, sigma = F.col("mu"), F.col("sigma")
+
+    def of(h1, h4, d1):
+        return F.map_from_entries(F.array_compact(F.array(*(F.struct(F.lit(h).alias("h"), c.alias("v")) for h, c in (("1h", h1), ("4h", h4))), F.when(sigma > 1, F.struct(F.lit("1d").alias("h"), d1.alias("v"))))))
+
+    p = predictions(spark, sf).select(F.lit("main").alias("account"), "symbol", "ts", of(mu / 10, mu / 5, mu / 2).alias("mu"), of(sigma, 2 * sigma, 5 * sigma).alias("sigma"), of(F.lit(0.001), F.lit(0.002), F.lit(0.005)).alias("cost"))
+    k = F.col("k")
+    snap = ticks(spark, sf).select((F.col("ts") - F.pmod("ts", F.lit(6 * HOUR))).alias("ts")).distinct().withColumn("k", F.floor(F.col("ts") / (6 * HOUR)))
+    accounts = snap.select(F.lit("main").alias("account"), "ts", (k % 13 != 0).alias("fresh"), F.lit(True).alias("recon_ok"), (1 + k % 10 / 10.0).alias("margin_ratio"), (k % 7 * 40.0).alias("free_margin"), (k % 11 / 12.0).alias("reject_rate"), (k % 5 * 5.0).alias("slippage_p90"), (k % 4 * 0.03).alias("realised_vol"))
+    held = snap.withColumn("symbol", F.explode(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))))).where((k + F.length("symbol")) % 3 != 0)
+    i = Z.position_intent(p, accounts, held.select(F.lit("main").alias("account"), "ts", "symbol", ((k % 5 - 2) / 4.0).alias("qty")), chunk=7 * DAY)
+    return i.select("symbol", "ts", (F.round("target", 6) + 0.0).alias("target"), r6(F.col("current"), "current"), "action", (F.round("qty", 6) + 0.0).alias("qty"), r6(F.col("band"), "band"), "regime", "reduce_only", F.array_join("reasons", ",").alias("reasons"))
+
+
+_MOVES = f"mv AS (SELECT symbol, ts, close / coalesce(lag(close) OVER ({_W}), close) - 1 AS r1, close / coalesce(lag(close, 12) OVER ({_W}), first_value(close) OVER ({_W})) - 1 AS r12, CASE WHEN stddev_pop(volume) OVER z > 1e-12 THEN (volume - avg(volume) OVER z) / stddev_pop(volume) OVER z ELSE 0 END AS vz FROM bars WINDOW z AS ({_W} ROWS BETWEEN 48 PRECEDING AND CURRENT ROW))"
 
 
-@query(f"WITH {PREDICTIONS} SELECT symbol, CASE WHEN sigma > 2 THEN 'event' WHEN mu > 0 THEN 'trend' ELSE 'mean_reversion' END AS bucket, count(*) AS n FROM predictions GROUP BY 1, 2")
+@query(f"WITH {PREDICTIONS}, {_MOVES} SELECT p.symbol, CASE WHEN p.ts // {DAY} % 9 = 0 THEN 'event' WHEN abs(tanh(r12 / 100 * 8 + r1 / 1000 * 3 + mu / 10 * 2)) > 0.35 AND p_up > 0.55 AND abs(vz) < 1.2 THEN 'trend' WHEN abs(r1 / 1000) + abs(r12 / 100) < 0.004 AND p_up > 0.6 AND abs(vz) < 1.2 THEN 'mean_reversion' ELSE 'event' END AS bucket, count(*) AS n FROM predictions p JOIN mv ON p.symbol = mv.symbol AND p.ts = mv.ts GROUP BY 1, 2")
 def fx18_strategy_bucket(spark, sf):
-    label = F.when(F.col("sigma") > 2, "event").when(F.col("mu") > 0, "trend").otherwise("mean_reversion")
-    return predictions(spark, sf).groupBy("symbol", label.alias("bucket")).agg(F.count("*").alias("n"))
+    moves = bars(spark, sf).select("symbol", "ts", R.k_return(1).alias("r1"), R.k_return(12).alias("r12"), R.zscore("volume", 49).alias("vz"))
+    p = predictions(spark, sf).join(moves, ["symbol", "ts"])
+    track = F.when(F.floor(F.col("ts") / DAY) % 9 == 0, "vc").otherwise("liquid")
+    label = Z.strategy_bucket(track, F.col("mu") / 10, F.col("p_up"), F.col("r1") / 1000, F.col("r12") / 100, F.col("vz"))
+    return p.groupBy("symbol", label.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 _FILL_FOLD = "list_reduce(list({'q': q, 'p': p, 'held': q, 'cost': CASE WHEN q = 0 THEN 0 ELSE p END, 'real': 0.0::DOUBLE} ORDER BY ts, order_id, line), lambda s, x: {'q': x.q, 'p': x.p, 'held': s.held + x.q, 'cost': CASE WHEN s.held + x.q = 0 THEN 0 WHEN s.held = 0 OR (s.held > 0) = (x.q > 0) THEN (s.cost * abs(s.held) + x.p * abs(x.q)) / abs(s.held + x.q) WHEN (s.held + x.q > 0) <> (s.held > 0) THEN x.p ELSE s.cost END, 'real': CASE WHEN s.held = 0 OR (s.held > 0) = (x.q > 0) THEN s.real ELSE s.real + least(abs(s.held), abs(x.q)) * CASE WHEN s.held > 0 THEN 1 ELSE -1 END * (x.p - s.cost) END})"

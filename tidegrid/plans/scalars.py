@@ -163,20 +163,25 @@ _TURN = "greatest(0.01, least(3.0, 0.35 / greatest(1, sqrt(h)) * (1 + 0.8 * leas
 _COSTS = PREDICTIONS + f", c0 AS (SELECT symbol, ts, mu, sigma / 100 AS vol, {_LIQ} AS liq, 10.0::DOUBLE AS spread, h FROM predictions, (VALUES (1), (4), (24), (168)) t(h)), c AS (SELECT *, {_TURN} AS turnover FROM c0)"
 
 
-def _costed(spark, sf):
+#: The costs in basis points, in all, and by component.
+_PARTS = {"fee": f"5 * {_MULT}", "slippage": f"(3 + 0.1 * spread) * {_MULT} * (1 + 0.6 * (1 - greatest(0, least(1, liq))))", "impact": f"2 * {_MULT} * (1 + 0.3 * turnover) * (1 + 0.5 * vol)", "funding": "abs(mu / 1000) * h * 1e4", "infra": "(1.88 / 7.2 * h / 50000 * 1e4)::DOUBLE"}
+_TOTAL = " + ".join(_PARTS.values())
+
+
+def costed(spark, sf):
     p = predictions(spark, sf).withColumn("h", F.explode(F.array(*map(F.lit, _HOURS)))).withColumn("liq", F.least(F.lit(1.0), F.col("volume") / 500)).withColumn("vol", F.col("sigma") / 100)
     return p.withColumn("turnover", E.turnover_estimate(F.col("h"), F.col("vol"), F.col("liq"), F.lit(10.0), F.col("mu") / 1000))
 
 
 @query(f"WITH {_COSTS} SELECT symbol, ts, h, round(turnover, 6) AS turnover FROM c")
 def sc12_turnover(spark, sf):
-    return _costed(spark, sf).select("symbol", "ts", "h", r6(F.col("turnover"), "turnover"))
+    return costed(spark, sf).select("symbol", "ts", "h", r6(F.col("turnover"), "turnover"))
 
 
 @query(f"WITH {_COSTS}, p AS (SELECT symbol, ts, h, 5 * {_MULT} AS fee, (3 + 0.1 * spread) * {_MULT} * (1 + 0.6 * (1 - greatest(0, least(1, liq)))) AS slippage, 2 * {_MULT} * (1 + 0.3 * turnover) * (1 + 0.5 * vol) AS impact, abs(mu / 1000) * h * 1e4 AS funding, 1.88 / 7.2 * h / 50000 * 1e4 AS infra FROM c) SELECT symbol, ts, h, round(fee, 6) AS fee, round(slippage, 6) AS slippage, round(impact, 6) AS impact, round(funding, 6) AS funding, round(infra::DOUBLE, 6) AS infra, round(fee + slippage + impact + funding + infra, 6) AS total FROM p")
 def sc13_cost_breakdown(spark, sf):
     parts = E.cost_breakdown(F.col("vol"), F.col("liq"), F.col("turnover"), F.col("h"), F.lit(10.0), F.col("mu") / 1000, F.lit(50_000.0))
-    return _costed(spark, sf).select("symbol", "ts", "h", *(r6(c, n) for n, c in parts.items()))
+    return costed(spark, sf).select("symbol", "ts", "h", *(r6(c, n) for n, c in parts.items()))
 
 
 _KBACK = "close / coalesce(lag(close, {k}) OVER (PARTITION BY symbol ORDER BY ts), first_value(close) OVER (PARTITION BY symbol ORDER BY ts)) - 1"
