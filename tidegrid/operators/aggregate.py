@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import ranked
+from .readiness import span
 from .trailing import Trailing, trailing_sums
 
 
@@ -29,12 +30,11 @@ def hysteresis(ranked_: DataFrame, previous: Sequence, top: int, keep: int) -> D
     return near.withColumn("place", place).where(F.col("place") <= top).select("symbol", "rank", "kept", "place")
 
 
-def coverage(times: DataFrame, start: int, end: int, width: int) -> DataFrame:
-    """Distinct buckets in [start, end] against those expected, per symbol in one pass."""
-    expected = (end - start) // width + 1
-    found = F.countDistinct(F.floor(F.col("ts") / width))
-    rows = times.where(F.col("ts").between(start, end)).groupBy("symbol").agg(found.alias("buckets"))
-    return rows.select("symbol", "buckets", F.lit(expected).alias("expected"), F.round(F.col("buckets") / expected, 6).alias("coverage"))
+def coverage(times: DataFrame, width: int) -> DataFrame:
+    """symbol, buckets, expected and coverage: the different buckets of each symbol against those from the table's first to its last, in one pass."""
+    whole = span(times, width).select("expected")
+    per = times.groupBy("symbol", F.floor(F.col("ts") / width).alias("b")).agg(F.lit(1)).groupBy("symbol").agg(F.count("b").alias("buckets"))
+    return per.crossJoin(F.broadcast(whole)).select("symbol", "buckets", "expected", F.round(F.col("buckets") / F.col("expected"), 6).alias("coverage"))
 
 
 def weighted(value: Column | str, weight: Column | str) -> Column:

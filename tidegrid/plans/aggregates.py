@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import rolling as R
+from ..operators import sizing as Z
 from ..operators.evaluate import portfolio_score
 from ..operators.order import quantiles, ranked
 from ..sources.fixtures import BARS, DAY, DAYS, FILLS, HOUR, NEWS, PREDICTIONS, TICKS, bars, days, fills, news, predictions, table, ticks
 from .registry import query
 
 _T0 = 1_704_067_200_000_000
-_T1 = _T0 + 29 * DAY
 
 
 def r6(c, name, n=6):
@@ -47,9 +47,9 @@ def ag04_quality_window(spark, sf):
     return g.withColumn("gap_rate", F.round(rate, 6)).withColumn("passed", rate < 0.05)
 
 
-@query(f"WITH {TICKS} SELECT symbol, count(DISTINCT ts // {HOUR}) AS buckets, {29 * 24 + 1} AS expected, round(count(DISTINCT ts // {HOUR}) / {29 * 24 + 1}, 6) AS coverage FROM ticks WHERE ts BETWEEN {_T0} AND {_T1} GROUP BY 1")
+@query(f"WITH {TICKS}, rng AS (SELECT max(ts) // {HOUR} - min(ts) // {HOUR} + 1 AS n FROM ticks) SELECT symbol, count(DISTINCT ts // {HOUR}) AS buckets, any_value(n) AS expected, round(count(DISTINCT ts // {HOUR}) / any_value(n), 6) AS coverage FROM ticks, rng GROUP BY 1")
 def ag05_coverage(spark, sf):
-    return A.coverage(ticks(spark, sf), _T0, _T1, HOUR)
+    return A.coverage(ticks(spark, sf), HOUR)
 
 
 _QS = ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))
@@ -231,29 +231,38 @@ def ag24_source_counts(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
 
 
-_WEIGHTS = "w AS (SELECT c_custkey AS symbol, c_mktsegment AS sector, c_acctbal / sum(abs(c_acctbal)) OVER () AS weight FROM customer)"
+_PROPOSED = """w AS (SELECT c_custkey // 12 AS rebalance, c_custkey AS target, c_acctbal / 20000 AS w0, c_mktsegment AS sector, CASE WHEN c_nationkey % 2 = 0 THEN 'growth' ELSE 'value' END AS style, c_custkey // 12 % 10 / 40.0::DOUBLE AS dd FROM customer),
+a AS (SELECT *, CASE WHEN dd >= 0.08 THEN greatest(0.01, 0.2 * greatest(0.25, 1 - 0.75 * least(1, greatest(0, (dd - 0.08) / 0.12)))) ELSE 0.2 END AS cap FROM w), b AS (SELECT *, abs(w0) > cap AS over, CASE WHEN abs(w0) > cap THEN sign(w0) * cap ELSE w0 END AS w1 FROM a),
+g AS (SELECT *, sum(abs(w1)) OVER (PARTITION BY rebalance) AS ge FROM b), h AS (SELECT *, CASE WHEN ge > 1 THEN w1 / ge ELSE w1 END AS w2 FROM g), s AS (SELECT *, sum(abs(w2)) OVER (PARTITION BY rebalance, sector) AS se FROM h), t AS (SELECT *, CASE WHEN se > 0.45 THEN w2 * 0.45 / se ELSE w2 END AS w3 FROM s),
+u AS (SELECT *, sum(abs(w3)) OVER (PARTITION BY rebalance, style) AS ye FROM t), v AS (SELECT *, CASE WHEN ye > 0.55 THEN w3 * 0.55 / ye ELSE w3 END AS w4, CASE WHEN target % 3 <> 0 THEN w0 / 2 ELSE 0 END AS cur FROM u), x AS (SELECT *, dd >= 0.1 AND abs(w4) > abs(cur) + 1e-9 AS blocked FROM v), y AS (SELECT *, CASE WHEN blocked THEN cur ELSE w4 END AS weight FROM x),
+r AS (SELECT rebalance, sum(abs(weight)) AS gross, sum(abs(weight - cur)) AS turnover, any_value(dd) AS dd, string_agg(DISTINCT 'single_weight_exceeded:' || target, ',') FILTER (WHERE over) AS v1, count(*) FILTER (WHERE ge > 1) > 0 AS v2, list_sort(list_distinct(list_concat(list_concat(list_concat(list('single_weight_exceeded:' || target) FILTER (WHERE over), list('gross_exposure_exceeded') FILTER (WHERE ge > 1)), list_concat(list('sector_exposure_exceeded:' || sector) FILTER (WHERE se > 0.45), list('style_exposure_exceeded:' || style) FILTER (WHERE ye > 0.55))), list('drawdown_near_limit_reduce_only') FILTER (WHERE blocked)))) AS told FROM y GROUP BY 1)"""
 
 
-@query(f"WITH {_WEIGHTS}, e AS (SELECT *, sum(abs(weight)) OVER (PARTITION BY sector) AS exposure FROM w) SELECT sector, round(any_value(exposure), 6) AS exposure, round(sum(abs(weight * least(1, 0.15 / exposure))), 6) AS gross, CASE WHEN any_value(exposure) > 0.15 THEN 'sector_cap' END AS violation FROM e GROUP BY 1")
+@query(f"WITH {_PROPOSED} SELECT y.rebalance, target, round(weight, 6) + 0.0 AS weight, round(gross, 4) AS gross, round(turnover, 4) AS turnover, concat_ws(',', nullif(array_to_string(told, ','), ''), CASE WHEN turnover > 0.35 THEN 'turnover_exceeded' END, CASE WHEN r.dd > 0.2 THEN 'drawdown_exceeded' END) AS violations FROM y JOIN r ON y.rebalance = r.rebalance")
 def ag25_exposure(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("symbol"), F.col("c_mktsegment").alias("sector"), F.col("c_acctbal").alias("balance"))
-    gross = c.agg(F.sum(F.abs("balance")).alias("all"))
-    w = c.crossJoin(F.broadcast(gross)).select("symbol", "sector", (F.col("balance") / F.col("all")).alias("weight"))
-    exposure = w.groupBy("sector").agg(F.sum(F.abs("weight")).alias("exposure"))
-    scale = F.least(F.lit(1.0), 0.15 / F.col("exposure"))
-    return exposure.select("sector", r6(F.col("exposure"), "exposure"), r6(F.col("exposure") * scale, "gross"), F.when(F.col("exposure") > 0.15, "sector_cap").alias("violation"))
-
-
-@query(f"""WITH {PREDICTIONS}, s AS (SELECT ts, symbol, CASE WHEN symbol IN ('click', 'view') THEN 'a' ELSE 'b' END AS bucket, sign(mu) * abs(mu) * p_up AS strength FROM predictions),
-n AS (SELECT *, strength / nullif(sum(abs(strength)) OVER (PARTITION BY ts), 0) AS w FROM s), c AS (SELECT *, sign(w) * least(abs(w), 0.4) AS wc FROM n),
-b AS (SELECT *, sum(abs(wc)) OVER (PARTITION BY ts, bucket) AS be FROM c), k AS (SELECT *, wc * least(1, 0.6 / nullif(be, 0)) AS wk FROM b), g AS (SELECT *, sum(abs(wk)) OVER (PARTITION BY ts) AS gross FROM k)
-SELECT ts, symbol, round(wk * least(1, 1 / nullif(gross, 0)), 6) + 0.0 AS weight FROM g WHERE wk IS NOT NULL""")
+    """Twelve customers are a portfolio, whose balances are the weights that it wants."""
+    c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 12).alias("rebalance"), F.col("c_custkey").alias("target"), (F.col("c_acctbal") / 20000).alias("weight"), F.col("c_mktsegment").alias("sector"), F.when(F.col("c_nationkey") % 2 == 0, "growth").otherwise("value").alias("style"))
+    current = c.where("target % 3 <> 0").select("rebalance", "target", (F.col("weight") / 2).alias("weight"))
+    states = c.select("rebalance").distinct().withColumn("drawdown", F.col("rebalance") % 10 / 40)
+    weights, whole = Z.exposure_checks(c, current, states)
+    told = whole.select("rebalance", r6(F.col("gross"), "gross", 4), r6(F.col("turnover"), "turnover", 4), F.array_join("violations", ",").alias("violations"))
+    return weights.join(told, "rebalance").select("rebalance", "target", (F.round("weight", 6) + 0.0).alias("weight"), "gross", "turnover", "violations")
+
+
+@query(f"""WITH {PREDICTIONS}, sg AS (SELECT ts AS as_of, symbol AS target, h AS horizon, CASE WHEN symbol IN ('click', 'view') THEN 'trend' WHEN symbol = 'error' THEN 'event' ELSE 'mean_reversion' END AS bucket, CASE WHEN mu > 0.05 THEN 1 WHEN mu < -0.05 THEN -1 END AS side, mu * k AS score, p_up AS conf, CASE WHEN length(symbol) % 2 = 0 THEN 0.5 ELSE 1 END AS factor FROM predictions, (VALUES ('1h', 1.0), ('4h', 0.5)) t(h, k)),
+c AS (SELECT as_of, target, horizon, bucket, side * abs(score) * greatest(0, least(1, conf)) * factor AS v FROM sg WHERE side IS NOT NULL), p AS (SELECT *, sum(v) OVER (PARTITION BY as_of, target) AS raw, abs(v) / sum(abs(v)) OVER (PARTITION BY as_of, target) AS share FROM c),
+t AS (SELECT as_of, target, any_value(raw) AS raw FROM p GROUP BY 1, 2), g AS (SELECT *, sum(abs(raw)) OVER (PARTITION BY as_of) AS gross FROM t), w AS (SELECT as_of, target, raw, sign(raw) * least(abs(raw) / gross * 0.5, 0.3) AS w FROM g WHERE gross > 1e-12),
+e AS (SELECT p.as_of, p.target, abs(w) * share AS e, unnest([bucket || ':' || horizon, bucket]) AS key FROM p JOIN w ON p.as_of = w.as_of AND p.target = w.target), k AS (SELECT as_of, key, sum(e) AS held, 0.5 * CASE split_part(key, ':', 1) WHEN 'trend' THEN 0.55 WHEN 'event' THEN 0.70 ELSE 0.45 END AS lim FROM e GROUP BY 1, 2),
+f AS (SELECT as_of, target, product(sc) AS sc FROM (SELECT DISTINCT e.as_of, e.target, e.key, CASE WHEN held > lim THEN lim / held ELSE 1 END AS sc FROM e JOIN k ON e.as_of = k.as_of AND e.key = k.key) GROUP BY 1, 2), o AS (SELECT w.as_of, w.target, raw, w * sc AS w, sum(abs(w * sc)) OVER (PARTITION BY w.as_of) AS after FROM w JOIN f ON w.as_of = f.as_of AND w.target = f.target)
+SELECT as_of, target, round(raw, 6) + 0.0 AS raw, round(CASE WHEN after > 0.5 THEN w * 0.5 / after ELSE w END, 6) + 0.0 AS weight FROM o""")
 def ag26_allocation(spark, sf):
-    at = Window.partitionBy("ts")
-    s = predictions(spark, sf).select("ts", "symbol", F.when(F.col("symbol").isin("click", "view"), "a").otherwise("b").alias("bucket"), (F.signum("mu") * F.abs("mu") * F.col("p_up")).alias("s"))
-    w = s.withColumn("w", F.col("s") / F.nullif(F.sum(F.abs("s")).over(at), F.lit(0.0))).withColumn("w", F.signum("w") * F.least(F.abs("w"), F.lit(0.4)))
-    k = A.capped(w, "w", "bucket", 0.6, ["ts"]).where("w IS NOT NULL").withColumn("gross", F.sum(F.abs("w")).over(at))
-    return k.select("ts", "symbol", (F.round(F.col("w") * F.least(F.lit(1.0), 1 / F.nullif("gross", F.lit(0.0))), 6) + 0.0).alias("weight"))
+    p = predictions(spark, sf)
+    bucket = F.when(F.col("symbol").isin("click", "view"), "trend").when(F.col("symbol") == "error", "event").otherwise("mean_reversion")
+    action = F.when(F.col("mu") > 0.05, "buy").when(F.col("mu") < -0.05, "sell").otherwise("hold")
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in (("1h", 1.0), ("4h", 0.5)))))
+    signals = p.withColumn("x", each).select(F.col("ts").alias("at"), F.col("symbol").alias("target"), F.col("x.h").alias("horizon"), bucket.alias("bucket"), action.alias("action"), (F.col("mu") * F.col("x.k")).alias("score"), F.col("p_up").alias("confidence"))
+    factors = p.select(F.col("symbol").alias("target")).distinct().withColumn("factor", F.when(F.length("target") % 2 == 0, 0.5).otherwise(1.0))
+    return Z.allocate(signals, factors, 0.5, single=0.3).select(F.col("at").alias("as_of"), "target", (F.round("raw", 6) + 0.0).alias("raw"), (F.round("weight", 6) + 0.0).alias("weight"))
 
 
 _LE = (5, 10, 25, 50, 100, 250, 1e9)

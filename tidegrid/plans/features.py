@@ -17,7 +17,6 @@ from ..sources.panel import PanelStore
 from .registry import query
 from .scalars import _COSTS, _TOTAL, costed
 
-_T0 = 1_704_067_200_000_000
 _W = "PARTITION BY symbol ORDER BY ts"
 _RET = BARS + f", r AS (SELECT *, ln(close / lag(close) OVER ({_W})) AS ret, row_number() OVER ({_W}) AS rn FROM bars)"
 
@@ -103,11 +102,12 @@ def fx06_path_labels(spark, sf):
     return S.path_labels(bars(spark, sf).select("symbol", "ts", "close"), 12).select("symbol", "ts", r6(F.col("future_vol"), "future_vol"), (F.round("future_drawdown", 6) + 0.0).alias("future_drawdown"))
 
 
-@query(f"WITH {BARS}, g AS (SELECT DISTINCT symbol, {_T0 + 20 * DAY} - {HOUR} * unnest(range(48)) AS ts FROM bars) SELECT g.symbol, count(b.ts) AS present, round(count(b.ts) / 48, 6) AS coverage, 48 AS length FROM g LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts = b.ts GROUP BY 1")
+@query(f"WITH {BARS}, z AS (SELECT max(ts) AS z FROM bars), g AS (SELECT DISTINCT symbol, z - {HOUR} * unnest(range(48)) AS ts FROM bars, z) SELECT g.symbol, count(b.ts) AS present, round(count(b.ts) / 48, 6) AS coverage, 48 AS length FROM g LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts = b.ts GROUP BY 1")
 def fx07_sequence(spark, sf):
+    """The last 48 hours of the table for each symbol."""
     b = bars(spark, sf)
-    end = _T0 + 20 * DAY
-    grid = b.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.lit(end - 47 * HOUR), F.lit(end), F.lit(HOUR))).alias("ts"))
+    end = b.agg(F.max("ts").alias("z"))
+    grid = b.select("symbol").distinct().crossJoin(F.broadcast(end)).select("symbol", F.explode(F.sequence(F.col("z") - 47 * HOUR, F.col("z"), F.lit(HOUR))).alias("ts"))
     row = F.struct("ts", F.coalesce("close", F.lit(0.0)).alias("close"), F.col("close").isNull().cast("int").alias("missing"))
     seq = grid.join(b.select("symbol", "ts", "close"), ["symbol", "ts"], "left").groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("s"))
     present = F.size(F.filter("s", lambda x: x["missing"] == 0)).cast("long")
@@ -140,13 +140,20 @@ def fx09_panel_store(spark, sf):
     return store.read().select("symbol", "ts", "close", (F.round(v[0].cast("double"), 5) + 0.0).alias("ret_1"), F.col("mask")[1].cast("int").alias("hidden"), r6(g[0], "realized_vol", 5), r6(g[1], "vol_of_vol", 5), F.col("regime_mask")[0].cast("int").alias("vol_masked"))
 
 
-_FOLDS = S.walk_forward(_T0, _T0 + 30 * DAY, 10 * DAY, 3 * DAY, 3 * DAY, DAY, 3 * DAY)
-_FOLD_SQL = "fold(fold, split, a, b) AS (VALUES " + ", ".join(map(str, _FOLDS)) + ")"
+_LENGTHS = {"train": 10 * DAY, "val": 3 * DAY, "test": 3 * DAY}
+#: Folds from the table's first day to its last, every three days, with a day between their parts.
+_FOLD_SQL = f"rng AS (SELECT min(ts) - min(ts) % {DAY} AS a0, max(ts) - max(ts) % {DAY} + {DAY} AS z0 FROM ticks), fold AS (SELECT k::INT AS fold, split, a0 + k * {3 * DAY} + off AS a, a0 + k * {3 * DAY} + off + len AS b FROM rng, (SELECT unnest(range(0, 10000)) AS k), (VALUES ('train', 0, {10 * DAY}), ('val', {11 * DAY}, {3 * DAY}), ('test', {15 * DAY}, {3 * DAY})) s(split, off, len) WHERE a0 + k * {3 * DAY} + {18 * DAY} <= z0)"
+
+
+def _folds(spark, sf):
+    """The fold table is made on the driver, of the first and the last time alone."""
+    low, high = table(spark, sf, "events").agg(F.min(micros("ts")), F.max(micros("ts"))).first()
+    return [] if low is None else S.walk_forward(low - low % DAY, high - high % DAY + DAY, *_LENGTHS.values(), DAY, 3 * DAY)
 
 
 @query(f"WITH {BARS}, {_FOLD_SQL} SELECT fold, split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM bars JOIN fold ON ts >= a AND ts < b GROUP BY 1, 2")
 def fx10_walk_forward(spark, sf):
-    return S.assign_folds(bars(spark, sf), _FOLDS).groupBy("fold", "split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return S.assign_folds(bars(spark, sf), _folds(spark, sf)).groupBy("fold", "split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @query(f"WITH {BARS}, n AS (SELECT symbol, row_number() OVER ({_W}) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM bars), k AS (SELECT symbol, rn, unnest(range(5)) AS fold, n FROM n) SELECT symbol, fold, count(*) FILTER (WHERE rn > fold * n // 5 AND rn <= (fold + 1) * n // 5) AS test, count(*) FILTER (WHERE rn <= fold * n // 5 - 24 OR rn > (fold + 1) * n // 5 + 24) AS train FROM k GROUP BY 1, 2")
@@ -165,7 +172,7 @@ def fx11_row_folds(spark, sf):
 
 @query(f"WITH {PREDICTIONS}, {_FOLD_SQL}, j AS (SELECT fold, split, mu FROM predictions JOIN fold ON ts >= a AND ts < b), s AS (SELECT fold, avg(mu) AS m, stddev_pop(mu) AS d FROM j WHERE split = 'train' GROUP BY 1) SELECT j.fold, count(*) AS n, round(avg((mu - m) / d), 6) AS mean, round(stddev_pop((mu - m) / d), 6) AS std FROM j JOIN s ON j.fold = s.fold WHERE split = 'test' GROUP BY 1")
 def fx12_standardise(spark, sf):
-    j = S.assign_folds(predictions(spark, sf).select("ts", "mu"), _FOLDS)
+    j = S.assign_folds(predictions(spark, sf).select("ts", "mu"), _folds(spark, sf))
     stats = j.where("split = 'train'").groupBy("fold").agg(F.avg("mu").alias("m"), F.stddev_pop("mu").alias("d"))
     z = (F.col("mu") - F.col("m")) / F.col("d")
     return j.where("split = 'test'").join(stats, "fold").groupBy("fold").agg(F.count("*").alias("n"), r6(F.avg(z), "mean"), r6(F.stddev_pop(z), "std"))
@@ -174,7 +181,7 @@ def fx12_standardise(spark, sf):
 @query(f"WITH {PREDICTIONS}, {_FOLD_SQL}, j AS (SELECT fold, split, mu AS a, sigma AS b, y FROM predictions JOIN fold ON ts >= a AND ts < b), g AS (SELECT fold, sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * y) AS ay, sum(b * y) AS byy FROM j WHERE split = 'train' GROUP BY 1) SELECT j.fold, round(any_value((bb * ay - ab * byy) / (aa * bb - ab * ab)), 6) AS w_mu, round(any_value((aa * byy - ab * ay) / (aa * bb - ab * ab)), 6) AS w_sigma, round(avg((y - a * (bb * ay - ab * byy) / (aa * bb - ab * ab) - b * (aa * byy - ab * ay) / (aa * bb - ab * ab)) ** 2), 6) AS mse FROM j JOIN g ON j.fold = g.fold WHERE split = 'test' GROUP BY 1")
 def fx13_ridge(spark, sf):
     """Ridge without intercept, one plan for all folds: the normal equations are sums."""
-    j = S.assign_folds(predictions(spark, sf).select("ts", F.col("mu").alias("a"), F.col("sigma").alias("b"), "y"), _FOLDS)
+    j = S.assign_folds(predictions(spark, sf).select("ts", F.col("mu").alias("a"), F.col("sigma").alias("b"), "y"), _folds(spark, sf))
     w = S.ridge(j.where("split = 'train'"), ["fold"], ["a", "b"], "y")
     error = F.col("y") - F.col("a") * F.col("weights")[0] - F.col("b") * F.col("weights")[1]
     return j.where("split = 'test'").join(w, "fold").groupBy("fold").agg(r6(F.first(F.col("weights")[0]), "w_mu"), r6(F.first(F.col("weights")[1]), "w_sigma"), r6(F.avg(error * error), "mse"))

@@ -5,70 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import readiness as Q
 from ..operators import rolling as R
+from ..operators.assemble import Feature, contract_hash
 from ..operators.order import quantiles
 from ..sources.fixtures import BARS, DAY, DAYS, HOUR, NEWS, TICKS, bars, days, news, table, ticks
 from .registry import query
 
-_T0 = 1_704_067_200_000_000
-_T1 = _T0 + 29 * DAY
-_N = 29 * 24 + 1
-
-
 def r6(c, name, n=6):
     return F.round(c, n).alias(name)
 
 
-_MODES = NEWS + f", m AS (SELECT symbol, 'price' AS modality, ts FROM ticks UNION ALL SELECT symbol, 'event', ts FROM news WHERE confidence > 0.5 UNION ALL SELECT symbol, 'flow', ts FROM ticks WHERE size > 50), cov AS (SELECT symbol, modality, count(DISTINCT ts // {HOUR}) / {_N} AS c, min(ts) AS first_ts, max(ts) AS last_ts FROM m WHERE ts BETWEEN {_T0} AND {_T1} GROUP BY 1, 2)"
+#: The span of the ticks by hours, and every modality within it.
+_MODES = NEWS + f", rng AS (SELECT min(ts) - min(ts) % {HOUR} AS a, max(ts) - max(ts) % {HOUR} AS z, (max(ts) // {HOUR} - min(ts) // {HOUR} + 1) AS n FROM ticks), m0 AS (SELECT symbol, 'price' AS modality, ts FROM ticks UNION ALL SELECT symbol, 'event', ts FROM news WHERE confidence > 0.5 UNION ALL SELECT symbol, 'flow', ts FROM ticks WHERE size > 50), m AS (SELECT m0.* FROM m0, rng WHERE ts >= a AND ts < z + {HOUR}), cov AS (SELECT symbol, modality, count(DISTINCT ts // {HOUR}) / (SELECT n FROM rng) AS c, min(ts) AS first_ts, max(ts) AS last_ts FROM m GROUP BY 1, 2)"
+
+
+def _span(spark, sf):
+    return Q.span(ticks(spark, sf), HOUR)
 
 
 def _modes(spark, sf):
-    """Every modality as symbol, modality, ts: one tagged union, scanned once for all counts."""
     t = ticks(spark, sf)
-    u = t.select("symbol", F.lit("price").alias("modality"), "ts").union(news(spark, sf).where("confidence > 0.5").select("symbol", F.lit("event"), "ts")).union(t.where("size > 50").select("symbol", F.lit("flow"), "ts"))
-    return u.where(F.col("ts").between(_T0, _T1))
+    return Q.tagged({"price": t, "event": news(spark, sf).where("confidence > 0.5"), "flow": t.where("size > 50")})
+
+
+def _inside(spark, sf):
+    """Rows of all modalities within the span, with its start, end and expected."""
+    return _modes(spark, sf).crossJoin(F.broadcast(_span(spark, sf))).where(F.col("ts").between(F.col("start"), F.col("end") + HOUR - 1))
 
 
 def _cov(spark, sf):
-    return _modes(spark, sf).groupBy("symbol", "modality").agg((F.countDistinct(F.floor(F.col("ts") / HOUR)) / _N).alias("c"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return Q.coverage(_modes(spark, sf), _span(spark, sf), HOUR).withColumnRenamed("coverage", "c")
 
 
-_READY = _MODES + ", p AS (SELECT symbol, max(c) FILTER (WHERE modality = 'price') AS price, max(c) FILTER (WHERE modality = 'event') AS event, max(c) FILTER (WHERE modality = 'flow') AS flow FROM cov GROUP BY 1), ready AS (SELECT symbol, price, event, flow, CASE WHEN coalesce(price, 0) < 0.9 THEN 'BLOCKED' WHEN coalesce(event, 0) < 0.7 OR coalesce(flow, 0) < 0.7 THEN 'DEGRADED' ELSE 'READY' END AS status, concat_ws(',', CASE WHEN coalesce(price, 0) < 0.9 THEN 'price_coverage' END, CASE WHEN coalesce(event, 0) < 0.7 THEN 'event_coverage' END, CASE WHEN coalesce(flow, 0) < 0.7 THEN 'flow_coverage' END) AS reasons FROM p)"
+_LOOKBACK, _AHEAD = 12, 4
+_WINDOWS = f"hb AS (SELECT DISTINCT symbol, ts - ts % {HOUR} AS b FROM ticks), hw AS (SELECT t.symbol, t.b, (SELECT count(*) FROM hb x WHERE x.symbol = t.symbol AND x.b BETWEEN t.b - {(_LOOKBACK - 1) * HOUR} AND t.b + {_AHEAD * HOUR}) AS held FROM hb t), lw AS (SELECT symbol, count(*) AS label_rows, count(*) FILTER (WHERE held = {_LOOKBACK + _AHEAD}) AS viable FROM hw GROUP BY 1)"
+_READY = _MODES + f", {_WINDOWS}, p AS (SELECT symbol, coalesce(max(c) FILTER (WHERE modality = 'price'), 0) AS price, coalesce(max(c) FILTER (WHERE modality = 'event'), 0) AS event, coalesce(max(c) FILTER (WHERE modality = 'flow'), 0) AS flow FROM cov GROUP BY 1), ready AS (SELECT p.*, label_rows, viable, CASE WHEN price < 0.9 OR label_rows < {_LOOKBACK + _AHEAD + 8} OR viable = 0 THEN 'BLOCKED' WHEN event < 0.7 OR flow < 0.7 THEN 'DEGRADED' ELSE 'READY' END AS status, concat_ws(',', CASE WHEN price < 0.9 THEN 'price_coverage' END, CASE WHEN label_rows < {_LOOKBACK + _AHEAD + 8} THEN 'label_window_insufficient' END, CASE WHEN viable = 0 THEN 'no_whole_label_window' END, CASE WHEN event < 0.7 THEN 'event_coverage' END, CASE WHEN flow < 0.7 THEN 'flow_coverage' END) AS reasons FROM p JOIN lw USING (symbol))"
 
 
 def _readiness(spark, sf):
-    p = _cov(spark, sf).groupBy("symbol").pivot("modality", ["price", "event", "flow"]).agg(F.max("c"))
-    low = {c: F.coalesce(c, F.lit(0.0)) < limit for c, limit in (("price", 0.9), ("event", 0.7), ("flow", 0.7))}
-    status = F.when(low["price"], "BLOCKED").when(low["event"] | low["flow"], "DEGRADED").otherwise("READY")
-    reasons = F.array_compact(F.array(*[F.when(x, f"{c}_coverage") for c, x in low.items()]))
-    return p.withColumn("status", status).withColumn("reasons", F.array_join(reasons, ","))
+    windows = Q.label_windows(ticks(spark, sf), HOUR, _LOOKBACK, _AHEAD)
+    covered = Q.coverage(_modes(spark, sf), _span(spark, sf), HOUR)
+    return Q.readiness(covered, windows, {"price": 0.9}, {"event": 0.7, "flow": 0.7}, _LOOKBACK, _AHEAD).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(f"WITH {_READY} SELECT symbol, round(price, 6) AS price, round(event, 6) AS event, round(flow, 6) AS flow, status, reasons FROM ready")
+@query(f"WITH {_READY} SELECT symbol, round(price, 6) AS price, round(event, 6) AS event, round(flow, 6) AS flow, label_rows, viable, status, reasons FROM ready")
 def dq01_symbol_readiness(spark, sf):
-    return _readiness(spark, sf).select("symbol", *(r6(F.col(c), c) for c in ("price", "event", "flow")), "status", "reasons")
+    return _readiness(spark, sf).select("symbol", *(r6(F.col(c), c) for c in ("price", "event", "flow")), "label_rows", "viable", "status", "reasons")
 
 
-@query(f"WITH {BARS}, v AS (SELECT symbol, [close, volume - volume, NULL] AS v, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars), e AS (SELECT symbol, unnest(v) AS x FROM v WHERE rn <= 64) SELECT symbol, count(x) AS entries, count(*) FILTER (WHERE x = 0) AS zeros, count(*) FILTER (WHERE x = 0) >= 0.98 * count(x) AND count(x) >= 100 AS anomaly FROM e GROUP BY 1")
+@query(f"WITH {BARS}, v AS (SELECT symbol, [CASE WHEN symbol < 'd' THEN 0 ELSE close END, volume - volume, 0, 0, 0, 0, 0, 0, 0, NULL] AS v, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars), e AS (SELECT symbol, unnest(v) AS x FROM v WHERE rn <= 64) SELECT symbol, count(x) AS entries, count(*) FILTER (WHERE x = 0) AS zeros, count(*) FILTER (WHERE x = 0) >= 0.98 * count(x) AND count(x) >= 500 AS anomaly FROM e GROUP BY 1")
 def dq02_zero_fill(spark, sf):
-    values, mask = F.array("close", F.col("volume") - F.col("volume"), F.lit(0.0)), F.array(F.lit(0), F.lit(0), F.lit(1))
-    rn = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
-    e = bars(spark, sf).withColumn("rn", rn).where("rn <= 64").select("symbol", F.explode(F.arrays_zip(values.alias("v"), mask.alias("m"))).alias("x")).where("x.m = 0")
-    zeros = F.count_if(F.col("x.v") == 0)
-    return e.groupBy("symbol").agg(F.count("*").alias("entries"), zeros.alias("zeros"), ((zeros >= 0.98 * F.count("*")) & (F.count("*") >= 100)).alias("anomaly"))
+    zero = F.lit(0.0)
+    values = F.array(F.when(F.col("symbol") < "d", 0.0).otherwise(F.col("close")), F.col("volume") - F.col("volume"), *[zero] * 8)
+    return Q.zero_filled(bars(spark, sf).select("symbol", "ts", values.alias("values"), F.array(*[F.lit(0)] * 9, F.lit(1)).alias("mask")))
 
 
-@query(f"WITH {_MODES}, w AS (SELECT modality, count(DISTINCT CASE WHEN ts >= {_T1 - 7 * DAY} THEN ts // {HOUR} END) / {7 * 24 + 1} AS production, count(DISTINCT ts // {HOUR}) / {_N} AS research FROM m WHERE ts BETWEEN {_T0} AND {_T1} GROUP BY 1) SELECT modality, round(production, 6) AS production, round(research, 6) AS research, production >= 0.95 AND research >= 0.95 AS gate FROM w")
+@query(f"WITH {_MODES}, w AS (SELECT modality, count(DISTINCT CASE WHEN ts >= z - {7 * DAY} THEN ts // {HOUR} END) / {7 * 24 + 1} AS production, count(DISTINCT ts // {HOUR}) / any_value(n) AS research FROM m, rng GROUP BY 1), g AS (SELECT 1 AS k, string_agg(modality, ',' ORDER BY modality) FILTER (WHERE production < 0.95 OR research < 0.95) AS missing FROM w) SELECT modality, round(production, 6) AS production, round(research, 6) AS research, production >= 0.95 AND research >= 0.95 AS gate, coalesce(missing, '') AS missing_kinds FROM w, g")
 def dq03_required_data(spark, sf):
-    hour = F.floor(F.col("ts") / HOUR)
-    prod, res = F.countDistinct(F.when(F.col("ts") >= _T1 - 7 * DAY, hour)) / (7 * 24 + 1), F.countDistinct(hour) / _N
-    return _modes(spark, sf).groupBy("modality").agg(r6(prod, "production"), r6(res, "research"), ((prod >= 0.95) & (res >= 0.95)).alias("gate"))
+    hour, recent = F.floor(F.col("ts") / HOUR), F.col("ts") >= F.col("end") - 7 * DAY
+    w = _inside(spark, sf).groupBy("modality").agg((F.countDistinct(F.when(recent, hour)) / (7 * 24 + 1)).alias("production"), (F.countDistinct(hour) / F.first("expected")).alias("research"))
+    w = w.withColumn("gate", (F.col("production") >= 0.95) & (F.col("research") >= 0.95))
+    # One row for each kind of data, so the list is as short as the kinds are few.
+    lacking = w.agg(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("gate"), F.col("modality")))), ",").alias("missing_kinds"))
+    return w.crossJoin(F.broadcast(lacking)).select("modality", r6(F.col("production"), "production"), r6(F.col("research"), "research"), "gate", "missing_kinds")
 
 
-@query(f"WITH {_MODES}, b AS (SELECT DISTINCT symbol, ts // {HOUR} AS b FROM m WHERE modality = 'price' AND ts BETWEEN {_T0} AND {_T1}), g AS (SELECT symbol, b, lead(b) OVER (PARTITION BY symbol ORDER BY b) AS nx FROM b), l AS (SELECT symbol, quantile_cont((available - occurred) / 1e6, 0.9) AS p90 FROM news GROUP BY 1) SELECT cov.symbol, round(c, 6) AS coverage, (SELECT count(*) FROM g WHERE g.symbol = cov.symbol AND nx - b > 1) AS gaps, round(p90, 6) AS latency_p90, c >= 0.93 AS complete FROM cov JOIN l ON cov.symbol = l.symbol WHERE modality = 'price'")
+@query(f"WITH {_MODES}, b AS (SELECT DISTINCT symbol, ts // {HOUR} AS b FROM m WHERE modality = 'price'), g AS (SELECT symbol, b, lead(b) OVER (PARTITION BY symbol ORDER BY b) AS nx FROM b), l AS (SELECT symbol, quantile_cont((available - occurred) / 1e6, 0.9) AS p90 FROM news GROUP BY 1) SELECT cov.symbol, round(c, 6) AS coverage, (SELECT count(*) FROM g WHERE g.symbol = cov.symbol AND nx - b > 1) AS gaps, round(p90, 6) AS latency_p90, c >= 0.93 AS complete FROM cov JOIN l ON cov.symbol = l.symbol WHERE modality = 'price'")
 def dq04_full_history(spark, sf):
     cov = _cov(spark, sf).where("modality = 'price'").select("symbol", "c")
-    hours = _modes(spark, sf).where("modality = 'price'").select("symbol", F.floor(F.col("ts") / HOUR).alias("b")).distinct()
+    hours = _inside(spark, sf).where("modality = 'price'").select("symbol", F.floor(F.col("ts") / HOUR).alias("b")).distinct()
     gaps = hours.withColumn("wide", F.lead("b").over(R.by(order="b")) - F.col("b") > 1).groupBy("symbol").agg(F.count_if("wide").alias("gaps"))
     lag = quantiles(news(spark, sf), ["symbol"], (F.col("available") - F.col("occurred")) / 1e6, {"latency_p90": 0.9}).withColumn("latency_p90", F.round("latency_p90", 6))
     return cov.join(gaps, "symbol").join(lag, "symbol").select("symbol", r6(F.col("c"), "coverage"), "gaps", "latency_p90", (F.col("c") >= 0.93).alias("complete"))
@@ -84,16 +90,26 @@ def dq06_asof_leakage(spark, sf):
     return news(spark, sf).groupBy("symbol").agg(F.count_if(F.col("available") > F.col("occurred") + 50_000_000).alias("late"), F.count_if(F.col("published") > F.col("available")).alias("leaks"), r6(F.count_if(F.abs(F.col("published") - F.col("occurred")) <= 1_000_000) / F.count("*"), "match_rate"))
 
 
-@query("SELECT label, count(*) AS n, count(*) FILTER (WHERE len(embedding) <> 64) AS dim_mismatch, count(*) FILTER (WHERE vec_id IS NULL) AS null_key, count(*) FILTER (WHERE sha256(vec_id::VARCHAR) LIKE '00%') AS hash_mismatch FROM embeddings GROUP BY 1")
+_HASH = contract_hash([Feature("ret_1"), Feature("vol_12")])
+_ROWS = BARS + f", fr AS (SELECT symbol, CASE WHEN trades % 17 = 0 THEN NULL ELSE ts END AS ts, CASE WHEN trades % 13 = 0 THEN [close] WHEN trades % 11 = 0 THEN [0, 0] ELSE [close, volume] END AS v, [trades % 5 = 0, trades % 3 = 0] AS m, CASE WHEN trades % 7 = 0 THEN 'other' WHEN trades % 19 = 0 THEN NULL ELSE '{_HASH}' END AS h, trades % 4 / 4 AS syn FROM bars)"
+
+
+def _feature_rows(spark, sf):
+    """Bars as feature rows, some of which break the contract."""
+    t, zero = F.col("trades"), F.lit(0.0)
+    values = F.when(t % 13 == 0, F.array("close")).when(t % 11 == 0, F.array(zero, zero)).otherwise(F.array("close", "volume"))
+    kept = F.when(t % 7 == 0, "other").when(t % 19 != 0, _HASH)
+    return bars(spark, sf).select("symbol", F.when(t % 17 != 0, F.col("ts")).alias("ts"), values.alias("values"), F.array((t % 5 == 0).cast("int"), (t % 3 == 0).cast("int")).alias("mask"), kept.alias("schema_hash"), (t % 4 / 4).alias("synthetic_ratio"))
+
+
+@query(f"WITH {_ROWS} SELECT symbol, count(*) AS n, count(*) FILTER (WHERE len(v) <> 2) AS dim_mismatch, count(*) FILTER (WHERE ts IS NULL) AS null_time, count(*) FILTER (WHERE h IS DISTINCT FROM '{_HASH}') AS hash_mismatch, count(*) FILTER (WHERE len(list_filter(v, lambda x: x <> 0)) = 0) AS zero_vector FROM fr GROUP BY 1")
 def dq07_contract_audit(spark, sf):
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != 64).alias("dim_mismatch"), F.count_if(F.col("vec_id").isNull()).alias("null_key"), F.count_if(F.sha2(F.col("vec_id").cast("string"), 256).startswith("00")).alias("hash_mismatch"))
+    return Q.contract_audit(_feature_rows(spark, sf), 2, _HASH, ["symbol"])
 
 
-@query("SELECT label, round(avg(len(list_filter(embedding, lambda x: x < 0)) / len(embedding)), 6) AS missing_ratio, avg(len(list_filter(embedding, lambda x: x < 0)) / len(embedding)) < 0.6 AS passed FROM embeddings GROUP BY 1")
+@query(f"WITH {_ROWS}, r AS (SELECT symbol, avg((m[1]::INT + m[2]::INT) / 2) AS missing, avg(syn) AS synthetic FROM fr GROUP BY 1) SELECT symbol, round(missing, 6) AS missing_ratio, round(synthetic, 6) AS synthetic_ratio, missing <= 0.6 AND synthetic <= 0.5 AS passed FROM r")
 def dq08_missing_ratio(spark, sf):
-    mask = F.transform("embedding", lambda x: (x < 0).cast("int"))
-    ratio = F.avg(F.aggregate(mask, F.lit(0), lambda a, m: a + m) / F.size("embedding"))
-    return table(spark, sf, "embeddings").groupBy("label").agg(r6(ratio, "missing_ratio"), (ratio < 0.6).alias("passed"))
+    return Q.cache_gate(_feature_rows(spark, sf), ["symbol"]).withColumns({c: F.round(c, 6) for c in ("missing_ratio", "synthetic_ratio")})
 
 
 @query("SELECT event_type AS run_type, count(*) AS runs, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 95) AS violating, count(*) FILTER (WHERE value < 1) AS fallback, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 95) = 0 AS passed FROM events GROUP BY 1")
@@ -102,12 +118,12 @@ def dq09_run_leakage(spark, sf):
     return table(spark, sf, "events").withColumn("p", F.from_json("props", "k bigint")).groupBy(F.col("event_type").alias("run_type")).agg(F.count("*").alias("runs"), bad.alias("violating"), F.count_if(F.col("value") < 1).alias("fallback"), (bad == 0).alias("passed"))
 
 
-@query(f"WITH {_READY}, b AS (SELECT DISTINCT symbol, ts // {HOUR} AS b FROM m WHERE modality = 'price' AND ts BETWEEN {_T0} AND {_T1}), g AS (SELECT symbol, b, lead(b) OVER (PARTITION BY symbol ORDER BY b) AS nx FROM b) SELECT symbol, 'backfill_gap' AS task, (b + 1) * {HOUR} AS from_ts, (nx - 1) * {HOUR} AS to_ts FROM g WHERE nx - b > 1 UNION ALL SELECT symbol, 'raise_coverage:' || reasons, {_T0}, {_T1} FROM ready WHERE status <> 'READY'")
+@query(f"WITH {_READY}, b AS (SELECT DISTINCT symbol, ts // {HOUR} AS b FROM m WHERE modality = 'price'), g AS (SELECT symbol, b, lead(b) OVER (PARTITION BY symbol ORDER BY b) AS nx FROM b) SELECT symbol, 'backfill_gap' AS task, (b + 1) * {HOUR} AS from_ts, (nx - 1) * {HOUR} AS to_ts FROM g WHERE nx - b > 1 UNION ALL SELECT symbol, 'raise_coverage:' || reasons, a, z FROM ready, rng WHERE status <> 'READY'")
 def dq10_remediation(spark, sf):
-    hours = _modes(spark, sf).where("modality = 'price'").select("symbol", F.floor(F.col("ts") / HOUR).alias("b")).distinct().withColumn("nx", F.lead("b").over(R.by(order="b")))
+    hours = _inside(spark, sf).where("modality = 'price'").select("symbol", F.floor(F.col("ts") / HOUR).alias("b")).distinct().withColumn("nx", F.lead("b").over(R.by(order="b")))
     gaps = hours.where("nx - b > 1").select("symbol", F.lit("backfill_gap").alias("task"), ((F.col("b") + 1) * HOUR).alias("from_ts"), ((F.col("nx") - 1) * HOUR).alias("to_ts"))
     low = _readiness(spark, sf).where("status <> 'READY'")
-    return gaps.union(low.select("symbol", F.concat(F.lit("raise_coverage:"), "reasons"), F.lit(_T0), F.lit(_T1)))
+    return gaps.union(low.crossJoin(F.broadcast(_span(spark, sf))).select("symbol", F.concat(F.lit("raise_coverage:"), "reasons"), "start", "end"))
 
 
 @query(f"WITH {BARS}, r AS (SELECT symbol, ts, close, volume, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars) SELECT a.symbol, round(abs(a.close - b.close), 6) AS close_diff, round(abs(a.volume - b.volume), 6) AS volume_diff, a.ts - b.ts AS age FROM r a JOIN r b ON a.symbol = b.symbol AND a.rn = 1 AND b.rn = 2")
