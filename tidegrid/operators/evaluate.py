@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import cost_breakdown
 from .order import quantiles
-from .rolling import equity
+from .rolling import correlation, equity
 
 
 def calibration_error(df: DataFrame, keys: Sequence[str], p: str, hit: str, bins: int = 10) -> DataFrame:
@@ -67,7 +67,7 @@ def metric_pack(df: DataFrame, keys: Sequence[str], horizon_hours: int = 1, noti
     curved = equity(priced, "pnl", tuple(keys))
     held, label = F.abs("__pos") > 1e-9, (F.col("y_net") >= 0).cast("double")
     out = curved.withColumn("__label", label).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg((F.col("mu") - F.col("y_net")) ** 2).alias("mse"), F.avg(F.abs(F.col("mu") - F.col("y_net"))).alias("mae"), F.corr("__rank_mu", "__rank_y_net").alias("spearman_ic"),
+        F.count("*").alias("n"), F.avg((F.col("mu") - F.col("y_net")) ** 2).alias("mse"), F.avg(F.abs(F.col("mu") - F.col("y_net"))).alias("mae"), correlation("__rank_mu", "__rank_y_net").alias("spearman_ic"),
         F.avg((F.signum("mu") == F.signum("y_net")).cast("double")).alias("hit_rate"), (F.avg("pnl") / F.greatest(F.lit(1e-9), F.stddev_pop("pnl"))).alias("sharpe"), F.abs(F.min("drawdown")).alias("max_drawdown"), F.avg("__turn").alias("turnover"),
         (F.count_if(held) / F.greatest(F.lit(1), F.count_if(held & (F.abs("__prev") <= 1e-9)))).alias("avg_holding"), F.avg((F.col("p_up") - F.col("__label")) ** 2).alias("brier"), F.avg(F.col("y_net").between(F.col("q_low"), F.col("q_high")).cast("double")).alias("coverage"),
     )
@@ -107,7 +107,7 @@ def correlation_penalty(returns: DataFrame, threshold: float = 0.85, penalty: fl
     """
     r = returns.dropna(subset=["symbol", "ts", "ret"]).select("symbol", "ts", "ret")
     a, b = (r.select("ts", F.col("symbol").alias(x), F.col("ret").alias(f"r{x}")) for x in ("a", "b"))
-    pairs = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.stddev_pop("ra").alias("da"), F.stddev_pop("rb").alias("db"), F.corr("ra", "rb").alias("rho"))
+    pairs = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.stddev_pop("ra").alias("da"), F.stddev_pop("rb").alias("db"), correlation("ra", "rb").alias("rho"))
     sound = pairs.where((F.col("n") >= least) & (F.col("da") > 1e-12) & (F.col("db") > 1e-12) & F.col("rho").isNotNull() & ~F.isnan("rho"))
     each = sound.select(F.explode(F.array("a", "b")).alias("symbol"), F.abs("rho").alias("rho"))
     found = each.groupBy("symbol").agg(F.max("rho").alias("strongest"), F.count_if(F.col("rho") >= threshold).alias("hits"), F.count("*").alias("pairs"))

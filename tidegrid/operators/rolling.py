@@ -19,6 +19,15 @@ def rows(n: int, *keys: str, until: int = 0, order: str = "ts"):
     return by(*keys, order=order).rowsBetween(until - n + 1, until)
 
 
+def correlation(a: str | Column, b: str | Column, over=None) -> Column:
+    """Correlation of the rows that have both; null where one of them doesn't move. The built-in one divides by zero there."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    of = (lambda c: c) if over is None else (lambda c: c.over(over))
+    return of(F.covar_pop(x, y)) / F.nullif(of(F.stddev_pop(x)) * of(F.stddev_pop(y)), F.lit(0.0))
+
+
 def k_return(k: int, price: str = "close") -> Column:
     """Return over k bars, or over all there are."""
     base = F.coalesce(F.lag(price, k).over(by()), F.first(price).over(by()))
@@ -79,7 +88,7 @@ def stats_pack(c: str, n: int) -> dict[str, Column]:
     varied = (F.row_number().over(by()) > 2) & (F.stddev_pop(before).over(pairs) > 1e-12) & (F.stddev_pop(F.when(F.col(before).isNotNull(), F.col(c))).over(pairs) > 1e-12)
     return {
         "mean": mean, "std": dev, "min": F.min(c).over(w), "max": F.max(c).over(w), "last": F.col(c), "zscore": (F.col(c) - mean) / F.greatest(dev, F.lit(1e-9)),
-        "ewm_mean": course["e"], "ewm_std": spread(course), "autocorr1": F.when(varied, F.corr(c, before).over(pairs)).otherwise(0.0), "quantile_10": F.percentile(c, 0.1).over(w), "quantile_90": F.percentile(c, 0.9).over(w),
+        "ewm_mean": course["e"], "ewm_std": spread(course), "autocorr1": F.when(varied, correlation(c, before, pairs)).otherwise(0.0), "quantile_10": F.percentile(c, 0.1).over(w), "quantile_90": F.percentile(c, 0.9).over(w),
     }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clamp
 from .align import asof_join
-from .rolling import by, equity
+from .rolling import by, correlation, equity
 
 # Score from which a horizon's signal acts, the least confidence it needs, and its weight in a position.
 SCORE_ENTRY = {"1h": 0.20, "4h": 0.16, "1d": 0.10, "7d": 0.08}
@@ -193,5 +193,5 @@ def momentum(bars: DataFrame, train: int, test: int, fee_bps: float, slippage_bp
     d = d.withColumn("turn", F.abs(F.col("signal") - F.coalesce(F.lag("signal").over(by(order="j")), F.lit(0.0))))
     cost = (fee_bps + slippage_bps + F.least(F.lit(25.0), 1200 / F.sqrt(F.greatest(F.lit(1.0), F.coalesce("volume", F.lit(0.0)))))) / 1e4 * F.col("turn")
     d = equity(d.withColumn("ret", F.col("signal") * F.col("r") - cost), "ret", include_initial=True)
-    ic = F.when((F.stddev_pop("signal") > 0) & (F.stddev_pop("r") > 0), F.corr("signal", "r")).otherwise(0.0)
+    ic = F.coalesce(correlation("signal", "r"), F.lit(0.0))
     return d.groupBy("symbol").agg(F.count("*").alias("samples"), ic.alias("ic"), F.avg((F.col("signal") * F.col("r") > 0).cast("double")).alias("hit_rate"), F.sum("turn").alias("turnover"), (F.max_by("equity", "j") - 1).alias("pnl_after_cost"), F.max(-F.col("drawdown")).alias("max_drawdown"))
