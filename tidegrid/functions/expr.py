@@ -182,6 +182,11 @@ def unit_hash(c: Column) -> Column:
     return F.conv(F.substring(F.sha1(c), 1, 12), 16, 10).cast("double") / float(16**12 - 1)
 
 
+def dropout(values: Column, row: Column, share: float, seed: int) -> Column:
+    """values (an array) as doubles, of which about `share` are 0: those whose hash of seed, row and place lies below it."""
+    return F.transform(values, lambda v, i: F.when(unit_hash(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), i.cast("string"))) < share, 0.0).otherwise(v.cast("double")))
+
+
 def latency_prior(provider: Column, tier: Column, source: Column, title: Column, link: Column, occurred: Column) -> Column:
     """Minutes until an event of a provider is known: a place in the provider's range by the hash of what names the event, and 3.5 for every tier below the first; 0.5 at least.
 

@@ -74,6 +74,45 @@ def metric_pack(df: DataFrame, keys: Sequence[str], horizon_hours: int = 1, noti
     return out.join(calibration_error(df.withColumn("__label", label), keys, "p_up", "__label", bins), list(keys))
 
 
+def fold_metrics(df: DataFrame, keys: Sequence[str], horizon_hours: int = 1, order: str = "ts") -> DataFrame:
+    """Per fold (keys): n, ic, hit_rate, turnover, pnl_after_cost, max_drawdown and cost_bps of predictions mu for y out of sample.
+
+    The position is the sign of mu; its changes pay what the shared model asks for at the fold's own volatility and
+    turnover. ic is 0 where one side doesn't move.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.withColumn("__s", F.signum("mu")).withColumn("__t", F.abs(F.col("__s") - F.coalesce(F.lag("__s").over(w), F.lit(0.0))))
+    means = d.groupBy(*keys).agg(F.avg(F.abs("y")).alias("__vol"), F.avg("__t").alias("__turn"))
+    cost = cost_breakdown(F.col("__vol"), F.lit(0.0), F.col("__turn"), F.lit(horizon_hours))["total"]
+    d = d.join(means.select(*keys, cost.alias("__cost")), list(keys))
+    d = equity(d.withColumn("__ret", F.col("__s") * F.col("y") - F.col("__t") * F.col("__cost") / 1e4), "__ret", tuple(keys))
+    return d.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.coalesce(correlation("y", "mu"), F.lit(0.0)).alias("ic"), F.avg((F.signum("y") == F.col("__s")).cast("double")).alias("hit_rate"), F.avg("__t").alias("turnover"),
+        F.avg("__ret").alias("pnl_after_cost"), F.abs(F.min("drawdown")).alias("max_drawdown"), F.first("__cost").alias("cost_bps"),
+    )
+
+
+def fold_summary(folds: DataFrame) -> DataFrame:
+    """One row: folds, means of their metrics, and the worst drawdown; zeros without a fold."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return folds.agg(F.count("*").alias("folds"), *(zero(F.avg(c)).alias(c) for c in ("ic", "hit_rate", "turnover", "pnl_after_cost")), zero(F.max("max_drawdown")).alias("max_drawdown"))
+
+
+def hard_gate(runs: DataFrame, orders: DataFrame, keys: Sequence[str], least_runs: int, least_days: float, sharpe: float, drawdown: float, rejects: float) -> DataFrame:
+    """Per key n, days, sharpe, max_drawdown, reject_rate, leaking runs, what fails (array), and passed.
+
+    runs: keys, status, superseded, sharpe, drawdown, days, leak_free, violations; superseded and uncompleted ones don't count.
+    orders: keys, rejected. A key without orders rejects none.
+    """
+    done = runs.where("status = 'completed' AND NOT coalesce(superseded, false)")
+    leaks = F.count_if(~F.coalesce("leak_free", F.lit(False)) | (F.coalesce("violations", F.lit(0)) > 0))
+    g = done.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("days").alias("days"), F.avg("sharpe").alias("sharpe"), F.max(F.abs("drawdown")).alias("max_drawdown"), leaks.alias("leaking"))
+    share = orders.groupBy(*keys).agg(F.avg(F.col("rejected").cast("double")).alias("reject_rate"))
+    g = g.join(share, list(keys), "left").fillna(0.0, ["reject_rate"])
+    fails = {"runs": F.col("n") < least_runs, "days": F.col("days") < least_days, "sharpe": F.col("sharpe") < sharpe, "drawdown": F.col("max_drawdown") > drawdown, "rejects": F.col("reject_rate") > rejects, "leakage": F.col("leaking") > 0}
+    return g.withColumn("fails", F.array_compact(F.array(*(F.when(c, n) for n, c in fails.items())))).withColumn("passed", F.size("fails") == 0)
+
+
 def drift_verdict(scores: DataFrame, features: DataFrame, hits: DataFrame, rejects: DataFrame, slippage: DataFrame, keys: Sequence[str], psi_limit: float = 0.2, ks_limit: float = 0.2, hit_limit: float = 0.15, reject_limit: float = 0.05) -> DataFrame:
     """Per key psi, ks, feature_psi, label_stability_delta, reject_rate_delta, slippage_abs_mean, drift and action.
 

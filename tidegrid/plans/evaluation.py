@@ -49,10 +49,19 @@ def ev02_calibration_error(spark, sf):
     return E.calibration_error(p, ["symbol"], "p_up", "up").select("symbol", r6(F.col("ece"), "ece"))
 
 
-@query(f"WITH {PREDICTIONS}, f AS (SELECT ts // {7 * DAY} AS fold, avg((mu - y) ** 2) AS mse, avg(sign(mu) * y - 0.001) AS net FROM predictions GROUP BY 1) SELECT count(*) AS folds, round(avg(mse), 6) AS mse, round(avg(net), 6) AS net, round(min(net), 6) AS worst FROM f")
+_F = "PARTITION BY symbol, fold ORDER BY ts"
+
+
+@query(f"""WITH {PREDICTIONS}, d AS (SELECT symbol, ts // {7 * DAY} AS fold, ts, mu, y, sign(mu) AS s FROM predictions), e AS (SELECT *, abs(s - coalesce(lag(s) OVER ({_F}), 0)) AS t FROM d),
+c AS (SELECT symbol, fold, 5 + 3 * 1.6 + 2 * (1 + 0.3 * avg(t)) * (1 + 0.5 * avg(abs(y))) AS cost FROM e GROUP BY 1, 2), p AS (SELECT e.*, s * y - t * cost / 1e4 AS ret FROM e JOIN c ON e.symbol = c.symbol AND e.fold = c.fold),
+q AS (SELECT *, CASE WHEN max((ret <= -1)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) ELSE 0 END) OVER w) END AS curve FROM p WINDOW w AS ({_F} ROWS UNBOUNDED PRECEDING)), x AS (SELECT *, CASE WHEN max(curve) OVER w > 0 THEN curve / max(curve) OVER w - 1 ELSE -1 END AS dd FROM q WINDOW w AS ({_F} ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT symbol, fold, CASE WHEN stddev_pop(y) * stddev_pop(mu) > 0 THEN corr(y, mu) ELSE 0 END AS ic, avg((sign(y) = s)::INT) AS hit, avg(t) AS turn, avg(ret) AS pnl, abs(min(dd)) AS dd FROM x GROUP BY 1, 2)
+SELECT count(*) AS folds, round(avg(ic), 6) AS ic, round(avg(hit), 6) AS hit_rate, round(avg(turn), 6) AS turnover, round(avg(pnl), 6) AS pnl_after_cost, round(max(dd), 6) AS max_drawdown FROM f""")
 def ev03_fold_summary(spark, sf):
-    f = predictions(spark, sf).groupBy(F.floor(F.col("ts") / (7 * DAY)).alias("fold")).agg(F.avg((F.col("mu") - F.col("y")) ** 2).alias("mse"), F.avg(F.signum("mu") * F.col("y") - 0.001).alias("net"))
-    return f.agg(F.count("*").alias("folds"), r6(F.avg("mse"), "mse"), r6(F.avg("net"), "net"), r6(F.min("net"), "worst"))
+    """Folds are the weeks of a symbol."""
+    p = predictions(spark, sf).withColumn("fold", F.floor(F.col("ts") / (7 * DAY)))
+    f = E.fold_summary(E.fold_metrics(p, ["symbol", "fold"]))
+    return f.select("folds", *(r6(F.col(c), c) for c in ("ic", "hit_rate", "turnover", "pnl_after_cost", "max_drawdown")))
 
 
 @query(f"WITH {PREDICTIONS}, m AS (SELECT quantile_cont(sigma, 0.5) AS med FROM predictions), s AS (SELECT sign(mu) * y AS pnl, unnest([CASE WHEN sigma > med THEN 'high_vol' ELSE 'low_vol' END, CASE WHEN abs(mu / sigma) > 2 THEN 'extreme' END, CASE WHEN mu > 0 THEN 'up' ELSE 'down' END]) AS slice FROM predictions, m) SELECT slice, count(*) AS n, round(avg(pnl), 6) AS pnl FROM s WHERE slice IS NOT NULL GROUP BY 1")
@@ -218,10 +227,14 @@ def ev15_model_gate(spark, sf):
     return k.groupBy("symbol").agg(F.count("*").alias("runs"), r6(F.avg("sharpe"), "sharpe"), ((F.avg("sharpe") > 99) & (F.avg("dd") < 480)).alias("passed"))
 
 
-@query(f"WITH {_RUNS} SELECT symbol, count(*) >= 20 AS enough_runs, max(run) - min(run) >= 20 AS enough_days, avg(sharpe) >= 100 AS sharpe_ok, max(dd) <= 500 AS drawdown_ok, count(*) >= 20 AND max(run) - min(run) >= 20 AND avg(sharpe) >= 100 AND max(dd) <= 500 AS hard_passed FROM runs GROUP BY 1")
+@query(f"WITH {_RUNS}, d AS (SELECT symbol, count(*) AS n, sum(bars) / 24 AS days, avg(sharpe) AS sharpe, max(abs(dd)) AS dd, count(*) FILTER (WHERE run % 31 = 0 OR bars = 9) AS leaking FROM runs WHERE losses > 3 AND run % 7 <> 0 GROUP BY 1), o AS (SELECT event_type AS symbol, avg((value < 5)::INT) AS rejects FROM events GROUP BY 1) SELECT symbol, n, round(days, 6) AS days, round(sharpe, 6) AS sharpe, round(dd, 6) AS max_drawdown, round(rejects, 6) AS reject_rate, leaking, concat_ws(',', CASE WHEN n < 20 THEN 'runs' END, CASE WHEN days < 20 THEN 'days' END, CASE WHEN sharpe < 100 THEN 'sharpe' END, CASE WHEN dd > 480 THEN 'drawdown' END, CASE WHEN rejects > 0.05 THEN 'rejects' END, CASE WHEN leaking > 0 THEN 'leakage' END) AS fails FROM d JOIN o USING (symbol)")
 def ev16_hard_gate(spark, sf):
-    g = _runs(spark, sf).groupBy("symbol").agg((F.count("*") >= 20).alias("enough_runs"), (F.max("run") - F.min("run") >= 20).alias("enough_days"), (F.avg("sharpe") >= 100).alias("sharpe_ok"), (F.max("dd") <= 500).alias("drawdown_ok"))
-    return g.withColumn("hard_passed", F.col("enough_runs") & F.col("enough_days") & F.col("sharpe_ok") & F.col("drawdown_ok"))
+    """Days of a symbol as runs; some are superseded, some not completed, some leak."""
+    r = _runs(spark, sf)
+    runs = r.select("symbol", F.when(F.col("losses") > 3, "completed").otherwise("failed").alias("status"), (F.col("run") % 7 == 0).alias("superseded"), "sharpe", F.col("dd").alias("drawdown"), (F.col("bars") / 24).alias("days"), (F.col("run") % 31 != 0).alias("leak_free"), (F.col("bars") == 9).cast("int").alias("violations"))
+    orders = ticks(spark, sf).select("symbol", (F.col("price") < 5).alias("rejected"))
+    g = E.hard_gate(runs, orders, ["symbol"], 20, 20, 100, 480, 0.05)
+    return g.select("symbol", "n", *(r6(F.col(c), c) for c in ("days", "sharpe", "max_drawdown", "reject_rate")), "leaking", F.array_join("fails", ",").alias("fails"))
 
 
 @query("SELECT event_id, concat_ws(',', CASE WHEN NOT json_exists(props, '$.k') THEN 'k' END, 'sharpe') AS lacking, CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 0 AND 90 AS in_range FROM events")

@@ -212,11 +212,14 @@ def pf13_group_mask(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", masked[0].alias("kept"), masked[1].alias("masked"), strength.alias("s")).where("s >= 0.05").select("vec_id", "kept", "masked", r6(F.col("s"), "strength"))
 
 
-@query()
+@query("WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), d AS (SELECT vec_id, i, CASE WHEN ('0x' || left(sha1('42:' || vec_id || ':' || i), 12))::BIGINT / 281474976710655.0 < 0.1 THEN 0 ELSE x END AS x FROM e) SELECT vec_id, count(*) FILTER (WHERE x = 0) AS dropped, round(sum(x), 5) + 0.0 AS total, round(sum(x * i), 4) + 0.0 AS placed FROM d GROUP BY 1")
 def pf14_feature_dropout(spark, sf):
-    draw = lambda i: F.pmod(F.xxhash64("vec_id", i, F.lit(42)), F.lit(1_000_000)) / 1e6
-    dropped = F.transform("embedding", lambda v, i: F.when(draw(i) < 0.1, F.lit(0.0)).otherwise(v.cast("double")))
-    return table(spark, sf, "embeddings").select("vec_id", dropped.alias("embedding"))
+    """A tenth of the values becomes 0, by a hash of seed, row and place: the same ones each time."""
+    values = E.dropout(F.col("embedding"), F.col("vec_id"), 0.1, 42)
+    rows = table(spark, sf, "embeddings").select("vec_id", values.alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    placed = F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", F.size(F.filter("v", lambda x: x == 0)).cast("long").alias("dropped"), (F.round(total, 5) + 0.0).alias("total"), (F.round(placed, 4) + 0.0).alias("placed"))
 
 
 #: Start-up event types that the table's event types stand for.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.align import asof_join, asof_wide, exact_join, range_join, resolve_snapshot, with_previous
+from ..operators.align import asof_join, asof_wide, check_context, exact_join, range_join, resolve_snapshot, with_previous
 from ..operators.evaluate import audit_chain, correlation_penalty, reviewer_agreement
 from ..operators.bars import fan_out, roll_up
 from ..operators.trailing import direction_counts
@@ -131,10 +131,15 @@ def jn12_near_in_time(spark, sf):
     return met.groupBy("id").agg(F.count("right_id").alias("near"), F.max("right_price").alias("best"))
 
 
-@query(f"WITH {BARS} SELECT f.symbol, f.ts, f.volume, b.close, c.high FROM bars f JOIN bars b ON f.symbol = b.symbol AND f.ts = b.ts AND b.close > 0 JOIN bars c ON f.symbol = c.symbol AND f.ts = c.ts")
+@query(f"WITH {BARS}, h AS (SELECT symbol, ts - ts % {4 * HOUR} + {4 * HOUR} AS ts, last(close ORDER BY ts) AS close FROM bars GROUP BY 1, bars.ts - bars.ts % {4 * HOUR}), f AS (SELECT symbol, ts + {HOUR} AS ts, volume FROM bars WHERE trades % 3 > 0), p AS (SELECT symbol, ts + {HOUR} AS ts, close FROM bars WHERE close > 50) SELECT f.symbol, f.ts, f.volume, p.close, h.close AS close_4h FROM f JOIN p ON f.symbol = p.symbol AND f.ts = p.ts ASOF LEFT JOIN h ON f.symbol = h.symbol AND f.ts >= h.ts")
 def jn13_exact_join(spark, sf):
-    b = bars(spark, sf)
-    return exact_join(b.select("symbol", "ts", "volume"), {"close": b.where("close > 0").select("symbol", "ts", "close"), "context": b.select("symbol", "ts", "high")})
+    """Features, positive closes and context of the same times; a feature row without context is an error."""
+    b = bars(spark, sf).withColumn("ts", F.col("ts") + HOUR)
+    widths = {"1h": HOUR, "4h": 4 * HOUR}
+    context = fan_out(b.select("symbol", "ts"), roll_up(bars(spark, sf), widths, HOUR), widths).select("symbol", F.col("as_of").alias("ts"), F.col("context.4h.close").alias("close_4h"))
+    features = b.where("trades % 3 > 0").select("symbol", "ts", "volume")
+    check_context(features, context)
+    return exact_join(features, {"close": b.where("close > 50").select("symbol", "ts", "close"), "context": context})
 
 
 @query(f"WITH {FILLS}, a AS (SELECT target, sum(qty) AS filled FROM fills WHERE status = 'filled' GROUP BY 1), b AS (SELECT target, sum(qty) AS rejected FROM fills WHERE status = 'rejected' GROUP BY 1) SELECT target, filled, rejected FROM a JOIN b USING (target)")
