@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import asof_join
+from .align import asof_join, asof_wide
 from .order import quantiles
-from .rolling import by
+from .rolling import by, trailing_row
 
 
 @dataclass(frozen=True)
@@ -187,6 +187,31 @@ def with_block(rows: DataFrame, right: DataFrame, name: str, values: dict[str, s
     return found.withColumn(f"{name}_lag_sec", (F.col("ts") - F.col("right_ts")) / 1e6).withColumnRenamed("missing", f"{name}_missing").drop("right_ts")
 
 
+# Metrics of the feature row, in its order, and the features of the event profile, in its order.
+MARKET = ("orderbook_imbalance", "funding_rate", "onchain_flow")
+DERIVATIVES = ("long_short_ratio_global_accounts", "long_short_ratio_top_accounts", "long_short_ratio_top_positions", "taker_buy_sell_ratio", "basis_rate", "annualized_basis_rate")
+PROFILE = (
+    "source_tier_weight", "source_confidence", "social_post_sentiment", "social_comment_sentiment", "social_engagement_norm", "social_influence_norm", "social_event_ratio", "social_buzz", "event_velocity_1h", "event_velocity_6h", "event_disagreement",
+    "source_diversity", "cross_source_consensus", "comment_skew", "event_lag_bucket_0_1h", "event_lag_bucket_1_6h", "event_lag_bucket_6_24h", "event_density", "sentiment_abs", "social_comment_rate", "event_importance_mean", "novelty_confidence_blend",
+)
+
+
+def feature_row(bars: DataFrame, metrics: DataFrame, profile: DataFrame, history: int = 96) -> DataFrame:
+    """symbol, ts and values, the 61 features of the start-up row, of bars (close, volume) with `history` bars before them and a profile at their time.
+
+    metrics: symbol, ts, id, metric, value of MARKET and DERIVATIVES; the latest one counts, 0 and a flag where there is
+    none. profile: what event_profile gives, event_decay first. Prices fill 20 places, metrics 9 and their flags 9.
+    """
+    price = trailing_row(bars, history)
+    names = [c for c in price.columns if c not in ("symbol", "ts")]
+    d = asof_wide(price, metrics, [*MARKET, *DERIVATIVES], ["symbol"]).join(profile, ["symbol", "ts"])
+    v = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    ratio = lambda c: F.tanh(F.log(F.greatest(F.lit(1e-9), v(c))))
+    shaped = [v("orderbook_imbalance"), v("funding_rate"), F.tanh(v("onchain_flow") / 1e6), *(ratio(c) for c in DERIVATIVES[:4]), F.tanh(25 * v("basis_rate")), F.tanh(5 * v("annualized_basis_rate"))]
+    flags = [F.col(f"{c}_missing").cast("double") for c in (*MARKET, *DERIVATIVES)]
+    return d.select("symbol", "ts", F.array(*(v(c) for c in names), *shaped, v("event_decay"), *flags, *(v(c) for c in PROFILE)).alias("values"))
+
+
 def synthetic_ratio(flags: Sequence[Column]) -> Column:
     """Share of a row's blocks that are synthetic; a block that is missing is none."""
     return sum((F.coalesce(f.cast("double"), F.lit(0.0)) for f in flags), F.lit(0.0)) / len(flags)

@@ -127,6 +127,23 @@ def prefix_mean(df: DataFrame, c: str, n: int, out: str) -> DataFrame:
     return run.withColumn(out, (F.col("__sum") - before) / F.least("__n", F.lit(n))).drop("__sum", "__n")
 
 
+def trailing_row(df: DataFrame, history: int = 96) -> DataFrame:
+    """symbol, ts and 20 price features of rows (close, volume) with `history` rows before them.
+
+    Returns over k bars; deviations of the log returns between the k prices before the row, which isn't one of them; their
+    differences; the volume's logarithm, its score against the 12 before, and its impact.
+    """
+    d = df.withColumn("__ret", log_return()).withColumn("__i", F.row_number().over(by()))
+    ret = {k: k_return(k) for k in (1, 3, 12, 48, 96, 288)}
+    vol = {k: F.coalesce(F.stddev_pop("__ret").over(rows(k - 1, until=-1)), F.lit(0.0)) for k in (3, 12, 48, 96, 288)}
+    before = rows(12, until=-1)
+    z = (F.col("volume") - F.avg("volume").over(before)) / F.greatest(F.stddev_pop("volume").over(before), F.lit(1e-6))
+    d = d.withColumns({f"ret_{k}": c for k, c in ret.items()} | {f"vol_{k}": c for k, c in vol.items()} | {"vol_z": z, "volume_impact": volume_impact(), "volume_log": F.log1p(F.greatest(F.col("volume"), F.lit(0.0)))})
+    differences = {f"ret_accel_{a}_{b}": F.col(f"ret_{a}") - F.col(f"ret_{b}") for a, b in ((1, 3), (3, 12), (12, 48))} | {f"vol_term_{a}_{b}": F.col(f"vol_{a}") - F.col(f"vol_{b}") for a, b in ((3, 12), (12, 48), (48, 288))}
+    names = [*(f"ret_{k}" for k in ret), *(f"vol_{k}" for k in vol), *differences, "volume_log", "vol_z", "volume_impact"]
+    return d.withColumns(differences).where(F.col("__i") > history).select("symbol", "ts", *names)
+
+
 def gaps(times: DataFrame, start: int, end: int, width: int, keys: tuple = _BY) -> DataFrame:
     """Runs of missing buckets of [start, end] per key: gap_start, gap_end (last missing bucket), missing."""
     bucket = times.select(*keys, (F.col("ts") - F.pmod("ts", F.lit(width))).alias("b")).where(F.col("b").between(start, end)).distinct()

@@ -94,7 +94,7 @@ prof AS (SELECT g.symbol, g.ts, coalesce(decayed / mass, 0) AS event_decay, coal
 _PROFILE_NAMES = ("event_decay", "source_tier_weight", "source_confidence", "social_post_sentiment", "social_comment_sentiment", "social_engagement_norm", "social_influence_norm", "social_event_ratio", "social_buzz", "event_velocity_1h", "event_velocity_6h", "event_disagreement", "source_diversity", "cross_source_consensus", "comment_skew", "event_lag_bucket_0_1h", "event_lag_bucket_1_6h", "event_lag_bucket_6_24h", "event_density", "sentiment_abs", "social_comment_rate", "event_importance_mean", "novelty_confidence_blend")
 
 
-def _profile(spark, sf):
+def event_profile_at(spark, sf):
     grid = ticks(spark, sf).select("symbol", (F.col("ts") - F.pmod("ts", F.lit(6 * HOUR)) + 6 * HOUR).alias("ts")).distinct()
     i = F.col("id")
     events = news(spark, sf).select("symbol", "ts", "source", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (6 - F.col("tier")) / 5)).alias("tier_weight"), "confidence", F.col("confidence").alias("raw_confidence"), (i % 10 / 10).alias("importance"), (i % 7 / 7).alias("novelty"), F.col("sentiment").alias("post_sentiment"), ((i % 13 - 6) / 6).alias("comment_sentiment"), (i % 2 == 0).alias("is_social"), (i % 500).alias("engagement"), (i % 1000 * 10).alias("followers"), (i % 9).alias("comments"))
@@ -103,7 +103,7 @@ def _profile(spark, sf):
 
 @query(f"WITH {_PROFILE} SELECT symbol, ts, " + ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in _PROFILE_NAMES) + " FROM prof")
 def ag10_event_profile(spark, sf):
-    return _profile(spark, sf)[1].select("symbol", "ts", *((F.round(c, 9) + 0.0).alias(c) for c in _PROFILE_NAMES))
+    return event_profile_at(spark, sf)[1].select("symbol", "ts", *((F.round(c, 9) + 0.0).alias(c) for c in _PROFILE_NAMES))
 
 
 _SOCIAL_NAMES = tuple(c for c in _PROFILE_NAMES if c in ("social_post_sentiment", "social_comment_sentiment", "social_engagement_norm", "social_influence_norm", "social_event_ratio", "social_buzz", "event_velocity_1h", "event_velocity_6h", "comment_skew", "event_density", "sentiment_abs", "social_comment_rate"))
@@ -112,7 +112,7 @@ _BUCKETS = f", bk AS (SELECT symbol, ts - ts % 300000000 + 300000000 AS ts, coun
 
 @query(f"WITH {_PROFILE}{_BUCKETS} SELECT p.symbol, p.ts, " + ", ".join(f"round(CASE WHEN so.{c} IS NULL THEN p.{c} WHEN abs(p.{c}) <= 1e-12 THEN so.{c} ELSE 0.65 * p.{c} + 0.35 * so.{c} END, 9) + 0.0 AS {c}" for c in _SOCIAL_NAMES) + " FROM prof p LEFT JOIN so ON p.symbol = so.symbol AND p.ts = so.ts")
 def ag11_social_blend(spark, sf):
-    grid, profile = _profile(spark, sf)
+    grid, profile = event_profile_at(spark, sf)
     t, i = ticks(spark, sf), F.col("id")
     bucket = (F.col("ts") - F.pmod("ts", F.lit(300_000_000)) + 300_000_000).alias("bucket")
     facts = (F.count("*").alias("items"), F.count_if(i % 3 == 0).alias("posts"), F.count_if(i % 3 != 0).alias("comments"), F.sum(i % 500).alias("engagement"), F.countDistinct("user_id").alias("authors"), F.avg((i % 21 - 10) / 10).alias("post_sentiment"), F.avg((i % 13 - 6) / 6).alias("comment_sentiment"))

@@ -11,9 +11,10 @@ from ..operators import assemble as S
 from ..operators import rolling as R
 from ..operators import sizing as Z
 from ..operators.align import asof_join, asof_wide
-from ..sources.fixtures import BARS, DAY, FILLS, HOUR, PREDICTIONS, bars, fills, micros, news, predictions, table, ticks
+from ..sources.fixtures import BARS, DAY, FILLS, HOUR, PREDICTIONS, TICKS, bars, fills, micros, news, predictions, table, ticks
 from ..sources.io import scratch
 from ..sources.panel import PanelStore
+from .aggregates import _PROFILE, event_profile_at
 from .registry import query
 from .scalars import _COSTS, _TOTAL, costed
 
@@ -264,3 +265,23 @@ def fx19_positions(spark, sf):
     f = fills(spark, sf).where("status = 'filled'").withColumn("qty", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")))
     p = S.positions(f, ["account", "target"], ["ts", "order_id", "line"])
     return p.select("account", "target", "qty", r6(F.col("avg_cost"), "avg_cost"), (F.round("realised", 4) + 0.0).alias("realised"), (F.round("unrealised", 4) + 0.0).alias("unrealised"))
+
+
+_ROW_METRICS = (*S.MARKET, *S.DERIVATIVES)
+_KRET = f"close / coalesce(lag(close, {{k}}) OVER ({_W}), first_value(close) OVER ({_W})) - 1"
+_PRICE_ROW = f", pb AS (SELECT symbol, ts, close, volume, ret, rn, " + ", ".join(f"{_KRET.format(k=k)} AS r{k}" for k in (1, 3, 12, 48, 96, 288)) + ", " + ", ".join(f"coalesce(stddev_pop(ret) OVER ({_W} ROWS BETWEEN {k - 1} PRECEDING AND 1 PRECEDING), 0) AS s{k}" for k in (3, 12, 48, 96, 288)) + f", (volume - avg(volume) OVER z) / greatest(stddev_pop(volume) OVER z, 1e-6) AS vz FROM r WINDOW z AS ({_W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), f0 AS (SELECT * FROM pb WHERE rn > 96)"
+_METRIC_TABLES = "".join(f", q{k} AS (SELECT symbol, ts, last(price ORDER BY id) / {1000 if name == 'basis_rate' else 100}.0 AS v FROM ticks WHERE id % 10 = {k} GROUP BY 1, 2)" for k, name in enumerate(_ROW_METRICS))
+_METRIC_JOINS = "".join(f", f{k + 1} AS (SELECT f{k}.*, q{k}.v AS q{k} FROM f{k} ASOF LEFT JOIN q{k} ON f{k}.symbol = q{k}.symbol AND f{k}.ts >= q{k}.ts)" for k in range(9))
+_SHAPED = ["coalesce(q0, 0)", "coalesce(q1, 0)", "tanh(coalesce(q2, 0) / 1e6)", *(f"tanh(ln(greatest(1e-9, coalesce(q{k}, 0))))" for k in range(3, 7)), "tanh(25 * coalesce(q7, 0))", "tanh(5 * coalesce(q8, 0))"]
+_PLACES = [*(f"r{k}" for k in (1, 3, 12, 48, 96, 288)), *(f"s{k}" for k in (3, 12, 48, 96, 288)), "r1 - r3", "r3 - r12", "r12 - r48", "s3 - s12", "s12 - s48", "s48 - s288", "ln(1 + greatest(volume, 0))", "vz", "abs(r1) / sqrt(greatest(1, volume))", *_SHAPED, "event_decay", *(f"(q{k} IS NULL)::INT" for k in range(9)), *S.PROFILE]
+
+
+@query(f"WITH {_PROFILE}, {_RET.removeprefix('WITH ').removeprefix(TICKS + ', ')}{_PRICE_ROW}{_METRIC_TABLES}{_METRIC_JOINS} SELECT f9.symbol, f9.ts, " + ", ".join(f"round(({c})::DOUBLE + 3e-7, 5) + 0.0 AS v{k:02d}" for k, c in enumerate(_PLACES)) + " FROM f9 JOIN prof ON f9.symbol = prof.symbol AND f9.ts = prof.ts")
+def wn06_feature_row(spark, sf):
+    """The 61 values at every sixth hour, where the event profile is; moved off the borders of rounding, on which many of its shares lie."""
+    t = ticks(spark, sf)
+    names = F.array(*map(F.lit, _ROW_METRICS))
+    k = F.col("id") % 10
+    metrics = t.where(k < 9).select("symbol", "ts", "id", F.element_at(names, (k + 1).cast("int")).alias("metric"), (F.col("price") / F.when(k == 7, 1000.0).otherwise(100.0)).alias("value"))
+    rows = S.feature_row(bars(spark, sf).select("symbol", "ts", "close", "volume"), metrics, event_profile_at(spark, sf)[1])
+    return rows.select("symbol", "ts", *((F.round(F.col("values")[j] + 3e-7, 5) + 0.0).alias(f"v{j:02d}") for j in range(len(_PLACES))))
