@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, checkpointed, texts_of
+from .common import batches, bounded_batches, checkpointed, give_back, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -298,7 +298,12 @@ def runs_of(a: int, b: int) -> list[tuple[int, int, int, int]]:
 
 
 def _tagged(tagger: Tagger, parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tags and their probabilities of each run of codes; emissions are averaged where windows overlap."""
+    """Tags and their probabilities of each run of codes; emissions are averaged where windows overlap. Equal runs are decoded once."""
+    index: dict[bytes, int] = {}
+    which = [index.setdefault(code.astype(np.uint8).tobytes(), len(index)) for code in parts]
+    if len(index) < len(parts):
+        found = _tagged(tagger, [np.frombuffer(raw, np.uint8).astype(np.int64) for raw in index])
+        return [found[k] for k in which]
     places = [(j, start, part) for j, code in enumerate(parts) for start, part in windows(code)]
     total = [np.zeros((len(code), len(TAGS) + 1)) for code in parts]
     n = [np.zeros(len(code)) for code in parts]
@@ -312,10 +317,13 @@ def _tagged(tagger: Tagger, parts: list[np.ndarray]) -> list[tuple[np.ndarray, n
     averaged = [t / k[:, None] for t, k in zip(total, n)]
     order = sorted(range(len(parts)), key=lambda j: -len(parts[j]))
     out: list = [None] * len(parts)
-    for at in range(0, len(order), 256):
-        some = order[at : at + 256]
+    at = 0
+    while at < len(order):
+        # As many as fill a table of TOGETHER steps.
+        some = order[at : at + max(1, min(256, TOGETHER // len(parts[order[at]])))]
         for j, found in zip(some, tagger.decode([averaged[j] for j in some])):
             out[j] = found
+        at += len(some)
     return out
 
 
@@ -557,6 +565,7 @@ def pii_column(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> Co
     @F.pandas_udf(f"base {span}, spans {span}, masked string")
     def find(texts: pd.Series) -> pd.DataFrame:
         found = [x for some in in_slices([t or "" for t in texts]) for x in find_spans(shared.value, some)]
+        give_back()
         as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for a, b, k in spans]
         return pd.DataFrame({"base": [as_rows(b) for b, _ in found], "spans": [as_rows(s) for _, s in found], "masked": [masked(t, s) for t, (_, s) in zip(texts, found)]})
 
