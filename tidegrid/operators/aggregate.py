@@ -158,10 +158,3 @@ def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float) -> Dat
     w = Window.partitionBy(*keys)
     cum = buckets.withColumn("cum", F.sum("n").over(w.orderBy("le"))).withColumn("total", F.sum("n").over(w))
     return cum.where(F.col("cum") >= q * F.col("total")).groupBy(*keys).agg(F.min("le").alias("quantile"))
-
-
-def capped(df: DataFrame, weight: str, group: str, cap: float, within: Sequence[str] = ()) -> DataFrame:
-    """Weights scaled down where a group's exposure exceeds its cap; adds exposure and scale."""
-    exposure = F.sum(F.abs(weight)).over(Window.partitionBy(*within, group))
-    out = df.withColumn("exposure", exposure).withColumn("scale", F.least(F.lit(1.0), cap / F.nullif("exposure", F.lit(0.0))))
-    return out.withColumn(weight, F.col(weight) * F.coalesce("scale", F.lit(1.0)))
