@@ -12,6 +12,8 @@ from tidegrid.sources import io
 from tidegrid.streaming import streams as S
 
 SECOND = 1_000_000
+#: A watermark begins at the epoch, so rows of that time would be late.
+BASE = 1_700_000_000 * SECOND
 EVENTS = "source string, ts timestamp, id long"
 
 
@@ -36,12 +38,12 @@ def test_a_silent_source_raises_its_alert(spark):
 
 def test_unordered_fills_give_the_result_of_the_batch(spark):
     r = random.Random(1)
-    rows = [(r.randrange(4), k * 60 * SECOND, k, float(r.choice([-2, -1, 1, 3])), r.uniform(1, 9), k * 60 + r.randrange(7200)) for k in range(400)]
+    rows = [(r.randrange(4), BASE + k * 60 * SECOND, k, float(r.choice([-2, -1, 1, 3])), r.uniform(1, 9), k * 60 + r.randrange(7200)) for k in range(400)]
     df = spark.createDataFrame(rows, "user_id long, ts long, id long, qty double, price double, __arrival long")
     batch = {x.user_id: x for x in positions(df, ["user_id"], ["ts", "id"]).collect()}
     timed = df.withColumn("ts", F.timestamp_micros("ts"))
     with S.rocksdb(spark):
-        found = S.last_update(S.run(S.positions_stream(stream(spark, timed, 6, "__arrival", closing=400 * 60 * SECOND + 86_400 * SECOND), "3 hours"), "update"), "user_id")
+        found = S.last_update(S.run(S.positions_stream(stream(spark, timed, 6, "__arrival", closing=BASE + 400 * 60 * SECOND + 86_400 * SECOND), "3 hours"), "update"), "user_id")
         got = {x.user_id: x for x in found.where("user_id IS NOT NULL").collect()}
     assert set(got) == set(batch)
     for u, b in batch.items():
