@@ -48,6 +48,14 @@ OTHER_DELAY = (10.0, 45.0)
 STARTUP_SCORES = {"funding": 1.0, "mna": 0.7, "product": 0.4, "regulatory": -0.3}
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b) by IEEE rules, as SQL engines other than Spark have it: a zero divisor and a zero ratio give infinities, and what has no logarithm NaN."""
+    a, b = a.cast("double"), b.cast("double")
+    nan, far = F.lit(float("nan")), F.lit(float("inf"))
+    ratio = F.when(b != 0, a / b).when(b == 0, F.when((a == 0) | F.isnan(a), nan).when(a > 0, far).when(a < 0, -far))
+    return F.when(ratio == 0, -far).when(ratio < 0, nan).otherwise(F.log(ratio))
+
+
 @dataclass(frozen=True)
 class CostProfile:
     """Basis points, multipliers by horizon in hours, and sensitivities; the standard profile."""

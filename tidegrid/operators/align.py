@@ -54,8 +54,11 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], values: dict
     return out.select("__row.*", "__found.*", F.col("__found").isNull().cast("int").alias("missing")).drop("__at")
 
 
-def with_previous(right: DataFrame, value: str, on: Sequence[str], ts: str = "ts") -> DataFrame:
-    """right with the value of the row before: prev_<value>."""
+def with_previous(right: DataFrame, value: str, on: Sequence[str], ts: str = "ts", tie: str | None = None) -> DataFrame:
+    """right with the value of the row before: prev_<value>. With tie only the last row of each time stays, so the row before is one of an earlier time."""
+    if tie is not None:
+        rest = [c for c in right.columns if c not in (*on, ts)]
+        right = right.groupBy(*on, ts).agg(F.max_by(F.struct(*rest), tie).alias("__last")).select(*on, ts, "__last.*")
     return right.withColumn(f"prev_{value}", F.lag(value).over(Window.partitionBy(*on).orderBy(ts)))
 
 
