@@ -102,12 +102,18 @@ def strategy_bucket(track: Column, score: Column, confidence: Column, ret_1: Col
     return F.when(track == "vc", "event").when((F.abs(strength) > 0.35) & (confidence > 0.55) & calm, "trend").when((F.abs(r1) + F.abs(r12) < 0.004) & (confidence > 0.6) & calm, "mean_reversion").otherwise("event")
 
 
+def _all_in_order(*keys: str) -> Window:
+    """All rows of the keys, in the order of their targets."""
+    return Window.partitionBy(*keys).orderBy("target").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def exposure_checks(proposed: DataFrame, current: DataFrame, states: DataFrame, limits: Mapping[str, float] = LIMITS) -> tuple[DataFrame, DataFrame]:
     """The weights that a rebalance may have, and per rebalance gross, turnover and violations.
 
     proposed and current: rebalance, target, weight, and for proposed sector and style; states: rebalance, drawdown. Caps
     follow each other: single weights (tighter from the warning drawdown on), gross, sectors, styles; near the drawdown
-    limit no weight may grow. Turnover counts targets of either side.
+    limit no weight may grow. Turnover counts targets of either side. Sums go in the order of targets, so that runs agree
+    to the last digit.
     """
     dd = F.greatest(F.lit(0.0), F.col("drawdown"))
     worse = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (dd - limits["warn"]) / max(1e-9, limits["drawdown"] - limits["warn"])))
@@ -117,7 +123,7 @@ def exposure_checks(proposed: DataFrame, current: DataFrame, states: DataFrame,
     d = proposed.join(s, "rebalance").withColumn("__over", F.abs(one) > F.col("__single")).withColumn("weight", F.when(F.col("__over"), F.signum(one) * F.col("__single")).otherwise(one))
 
     def cap(df: DataFrame, keys: Sequence[str], limit: float, name: str) -> DataFrame:
-        total = F.sum(F.abs("weight")).over(Window.partitionBy("rebalance", *keys))
+        total = F.sum(F.abs("weight")).over(_all_in_order("rebalance", *keys))
         df = df.withColumn("__e", total).withColumn(name, F.col("__e") > limit)
         return df.withColumn("weight", F.when(F.col(name), F.col("weight") * limit / F.col("__e")).otherwise(F.col("weight"))).drop("__e")
 
@@ -131,7 +137,9 @@ def exposure_checks(proposed: DataFrame, current: DataFrame, states: DataFrame,
         F.when(F.col("__over"), F.concat(F.lit("single_weight_exceeded:"), F.col("target").cast("string"))), F.when(F.col("__gross"), "gross_exposure_exceeded"), F.when(F.col("__sector"), F.concat(F.lit("sector_exposure_exceeded:"), F.col("sector"))),
         F.when(F.col("__style"), F.concat(F.lit("style_exposure_exceeded:"), F.col("style"))), F.when(F.col("__blocked"), "drawdown_near_limit_reduce_only"),
     ))))))
-    whole = both.groupBy("rebalance").agg(F.coalesce(F.sum(F.abs("weight")), F.lit(0.0)).alias("gross"), F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.col("__now"))).alias("turnover"), told.alias("violations")).join(states.select("rebalance", "drawdown"), "rebalance")
+    gross, turnover = F.sum(F.abs("weight")).over(_all_in_order("rebalance")), F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.col("__now"))).over(_all_in_order("rebalance"))
+    summed = both.withColumn("__g", gross).withColumn("__t", turnover)
+    whole = summed.groupBy("rebalance").agg(F.coalesce(F.first("__g"), F.lit(0.0)).alias("gross"), F.first("__t").alias("turnover"), told.alias("violations")).join(states.select("rebalance", "drawdown"), "rebalance")
     late = F.array_compact(F.array(F.when(F.col("turnover") > limits["turnover"], "turnover_exceeded"), F.when(F.col("drawdown") > limits["drawdown"], "drawdown_exceeded")))
     return both.where("weight IS NOT NULL").select(*proposed.columns), whole.withColumn("violations", F.concat("violations", late)).drop("drawdown")
 

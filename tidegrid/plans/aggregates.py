@@ -245,8 +245,10 @@ def ag25_exposure(spark, sf):
     current = c.where("target % 3 <> 0").select("rebalance", "target", (F.col("weight") / 2).alias("weight"))
     states = c.select("rebalance").distinct().withColumn("drawdown", F.col("rebalance") % 10 / 40)
     weights, whole = Z.exposure_checks(c, current, states)
-    told = whole.select("rebalance", r6(F.col("gross"), "gross", 4), r6(F.col("turnover"), "turnover", 4), F.array_join("violations", ",").alias("violations"))
-    return weights.join(told, "rebalance").select("rebalance", "target", (F.round("weight", 6) + 0.0).alias("weight"), "gross", "turnover", "violations")
+    # Balances in cents make sums that lie halfway between two results, so halves are decided on the product, as in SQL.
+    near = lambda c, n: (F.round(F.col(c) * 10.0**n) / 10.0**n + 0.0).alias(c)
+    told = whole.select("rebalance", near("gross", 4), near("turnover", 4), F.array_join("violations", ",").alias("violations"))
+    return weights.join(told, "rebalance").select("rebalance", "target", near("weight", 6), "gross", "turnover", "violations")
 
 
 @query(f"""WITH {PREDICTIONS}, sg AS (SELECT ts AS as_of, symbol AS target, h AS horizon, CASE WHEN symbol IN ('click', 'view') THEN 'trend' WHEN symbol = 'error' THEN 'event' ELSE 'mean_reversion' END AS bucket, CASE WHEN mu > 0.05 THEN 1 WHEN mu < -0.05 THEN -1 END AS side, mu * k AS score, p_up AS conf, CASE WHEN length(symbol) % 2 = 0 THEN 0.5 ELSE 1 END AS factor FROM predictions, (VALUES ('1h', 1.0), ('4h', 0.5)) t(h, k)),
