@@ -73,10 +73,11 @@ def sc02_keyword_sentiment(spark, sf):
     return found.select("doc_id", F.round(E.keyword_sentiment(F.col("found")), 9).alias("imported"), F.round(E.keyword_sentiment(F.col("found"), *lists[2:]), 9).alias("enriched"))
 
 
-@query(r"WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '通胀 ' || text WHEN 1 THEN '123 éà' ELSE text END AS text FROM documents) SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'other' END AS hint FROM d")
+@query(r"WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '通胀 ' || text WHEN 1 THEN '123 éà ' || text ELSE text END AS text FROM documents) SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'other' END AS hint FROM d")
 def sc03_language_hint(spark, sf):
+    """Whole texts, some behind Han characters or accents."""
     i = F.col("doc_id") % 5
-    text = F.when(i == 0, F.concat(F.lit("通胀 "), "text")).when(i == 1, "123 éà").otherwise(F.col("text"))
+    text = F.when(i == 0, F.concat(F.lit("通胀 "), "text")).when(i == 1, F.concat(F.lit("123 éà "), "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", E.language_hint(text).alias("hint"))
 
 
