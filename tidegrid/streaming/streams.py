@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -109,8 +111,9 @@ LAG_LIMIT, SILENCE = 120.0, 600
 
 def lag_alerts(events: DataFrame, limit: float = LAG_LIMIT) -> DataFrame:
     """Quantiles of ingest lag (seconds) by window, and whether the 95th passes the limit."""
-    q = F.percentile_approx("lag", [0.5, 0.95], 10_000)
-    return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(q.alias("q")).select("window", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), (F.col("q")[1] > limit).alias("alert"))
+    # Exact: the state has a count for each different lag of a window.
+    q = [F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY lag)").alias(name) for name, share in (("p50", 0.5), ("p95", 0.95))]
+    return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(*q).select("window", "p50", "p95", (F.col("p95") > limit).alias("alert"))
 
 
 @contextmanager
@@ -125,50 +128,72 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Keys are dealt out to this many groups, each of which has its state in one place.
+PARTS = 256
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 class Ordered(StatefulProcessor):
-    """Takes a key's rows in the order of their time, however they come.
+    """Takes the rows of its keys in the order of key, time and id, however they come.
 
-    Rows wait in a list until the watermark has passed them, as then no earlier one can follow; an event-time timer at
-    the oldest waiting row wakes the key. So what a key holds is bounded by the watermark's delay. fields: columns of the
-    rows as a schema that begins with "at long" (epoch microseconds) and "id long".
+    Rows wait, batches of them as one value of a list, until the watermark has passed them, as then no earlier one can
+    follow; an event-time timer at the oldest waiting row wakes the group. So what a group holds is bounded by the
+    watermark's delay, and calls of the state store go with groups and batches, not with keys and rows. schema: columns
+    of the rows, key, at (epoch microseconds) and id first. Rows with a null key move the watermark and are left out.
     """
 
-    fields = "at long, id long"
+    schema = pa.schema([("key", pa.string()), ("at", pa.int64()), ("id", pa.int64())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.names = handle, [f.split()[0] for f in self.fields.split(", ")]
-        self.waiting = handle.getListState("waiting", self.fields)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.due = handle.getValueState("due", "ms long")
+        self.state = handle.getValueState("state", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One part after the other goes into the list, so a batch of a key is never in memory whole.
+        # One part after the other goes into the list, so a batch of a group is never in memory whole.
         for part in rows:
-            self.waiting.appendList(list(part[self.names].itertuples(index=False, name=None)))
-            self._wake(int(part["at"].min()))
+            part = part[part["there"]]
+            if len(part):
+                self.waiting.appendValue((_packed(pa.Table.from_pandas(part[self.schema.names], self.schema, preserve_index=False)),))
+                self._wake(int(part["at"].min()))
         yield from ()
 
     def _wake(self, at: int) -> None:
+        ms = at // 1000 + 1
         due = self.due.get()[0] if self.due.exists() else None
-        if due is None or at // 1000 < due:
+        if due is None or ms < due:
             if due is not None:
                 self.handle.deleteTimer(due)
-            self.handle.registerTimer(at // 1000)
-            self.due.update((at // 1000,))
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get())
-        ready, later = sorted(r for r in held if r[0] <= until), [r for r in held if r[0] > until]
+        held = [_unpacked(r[0]) for r in self.waiting.get()]
+        held = pa.concat_tables(held) if held else self.schema.empty_table()
         self.waiting.clear()
         self.due.clear()
-        if later:
-            self.waiting.appendList(later)
-            self._wake(min(r[0] for r in later))
-        found = self.take(key, ready, until)
-        if found is not None:
+        final = held["at"].to_numpy() <= until
+        later = held.filter(pa.array(~final))
+        if later.num_rows:
+            self.waiting.appendValue((_packed(later),))
+            self._wake(int(later["at"].to_numpy().min()))
+        found = self.take(held.filter(pa.array(final)).sort_by([("key", "ascending"), ("at", "ascending"), ("id", "ascending")]), until)
+        if found is not None and len(found):
             yield found
 
-    def take(self, key, rows: list[tuple], until: int) -> pd.DataFrame | None:
+    def take(self, rows: pa.Table, until: int) -> pd.DataFrame | None:
         """The output of rows that are final, in order; until is the watermark."""
         raise NotImplementedError
 
@@ -176,40 +201,51 @@ class Ordered(StatefulProcessor):
         pass
 
 
+def _grouped(events: DataFrame, key: str, late: str, *more: Column):
+    """Rows for an Ordered, by group of keys."""
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("part")
+    # What is null only in rows that move the watermark gets a value, so that whole numbers stay whole.
+    zero = F.lit("" if dict(events.dtypes)[key] == "string" else 0)
+    rows = events.withWatermark("ts", late).select(part, "ts", F.col(key).isNotNull().alias("there"), F.coalesce(F.col(key), zero).alias("key"), F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("at"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), *more)
+    return rows.groupBy("part")
+
+
 class Silence(Ordered):
     """For each key the times at which nothing had come for `limit` seconds. A timer of the silence itself fires without an event."""
 
+    known = pa.schema([("key", pa.string()), ("last", pa.int64()), ("told", pa.bool_())])
+
     def __init__(self, limit: int):
         self.limit = limit * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", "at long, told boolean")
-
-    def take(self, key, rows: list[tuple], until: int) -> pd.DataFrame | None:
-        last, told = self.last.get() if self.last.exists() else (None, False)
-        found = []
-        for at, *_ in rows:
-            if last is not None and at - last > self.limit and not told:
-                found.append((last, last + self.limit))
-            last, told = (at, False) if last is None or at > last else (last, told)
-        if last is not None and not told and until - last > self.limit:
-            found.append((last, last + self.limit))
-            told = True
-        if last is None:
+    def take(self, rows: pa.Table, until: int) -> pd.DataFrame | None:
+        before = _unpacked(self.state.get()[0]) if self.state.exists() else self.known.empty_table()
+        state = {k: (at, told) for k, at, told in zip(*(before[c].to_pylist() for c in self.known.names))}
+        keys, times, found = rows["key"].to_pandas().to_numpy(object), rows["at"].to_numpy(), []
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            last, told = state.get(keys[a], (None, False))
+            at = times[a:b] if last is None else np.append(last, times[a:b])
+            quiet = np.flatnonzero(np.diff(at) > self.limit)
+            found += [(keys[a], int(at[q])) for q in quiet if q or not (told and last is not None)]
+            newest = int(at.max())
+            state[keys[a]] = newest, told and newest == last
+        for k, (last, told) in state.items():
+            if not told and until - last > self.limit:
+                found.append((k, last))
+                state[k] = last, True
+        if not state:
             return None
-        self.last.update((last, told))
-        if not told and not self.due.exists():
-            self._wake(last + self.limit + 1000)
-        if not found:
-            return None
-        return pd.DataFrame({"source": [key[0]] * len(found), "last_at": [a for a, _ in found], "alert_at": [b for _, b in found]})
+        self.state.update((_packed(pa.table([pa.array(list(state)), pa.array([x for x, _ in state.values()], pa.int64()), pa.array([x for _, x in state.values()], pa.bool_())], schema=self.known)),))
+        due = [last + self.limit + 1000 for last, told in state.values() if not told]
+        if due:
+            self._wake(min(due))
+        return pd.DataFrame({"source": [k for k, _ in found], "last_at": [at for _, at in found], "alert_at": [at + self.limit for _, at in found]})
 
 
 def freshness_alerts(events: DataFrame, limit: int = SILENCE, late: str = "1 hour") -> DataFrame:
     """source, last_at, alert_at (epoch microseconds) of every time at which a source (source, ts, id) had been silent for more than limit seconds."""
-    rows = events.withWatermark("ts", late).select("source", "ts", F.unix_micros("ts").alias("at"), F.col("id").cast("long").alias("id"))
-    return rows.groupBy("source").transformWithStateInPandas(Silence(limit), "source string, last_at long, alert_at long", "Append", "EventTime")
+    return _grouped(events, "source", late).transformWithStateInPandas(Silence(limit), "source string, last_at long, alert_at long", "Append", "EventTime")
 
 
 def reject_rates(orders: DataFrame, size: str = "6 hours", step: str = "3 hours", late: str = "1 hour") -> DataFrame:
@@ -225,27 +261,36 @@ def alerts(rates: DataFrame, share: float) -> DataFrame:
 class Position(Ordered):
     """Running quantity, average cost, realised and unrealised result and losing streak of each key."""
 
-    fields = "at long, id long, qty double, price double"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("s", "qty double, avg_cost double, realised double, last double, streak long")
+    schema = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("id", pa.int64()), ("qty", pa.float64()), ("price", pa.float64())])
+    known = pa.schema([("key", pa.int64()), *((c, pa.float64()) for c in ("qty", "avg_cost", "realised", "last")), ("streak", pa.int64())])
 
-    def take(self, key, rows: list[tuple], until: int) -> pd.DataFrame | None:
-        if not rows:
+    def take(self, rows: pa.Table, until: int) -> pd.DataFrame | None:
+        if not rows.num_rows:
             return None
-        qty, cost, realised, last, streak = self.state.get() if self.state.exists() else (0.0, 0.0, 0.0, None, 0)
-        for _, _, size, price in rows:
+        before = _unpacked(self.state.get()[0]) if self.state.exists() else self.known.empty_table()
+        state = {k: tuple(s) for k, *s in zip(*(before[c].to_pylist() for c in self.known.names))}
+        new, now = {}, None
+        for key, size, price in zip(*(rows[c].to_pylist() for c in ("key", "qty", "price"))):
+            if key != now:
+                if now is not None:
+                    new[now] = qty, cost, realised, last, streak
+                now = key
+                qty, cost, realised, last, streak = state.get(key, (0.0, 0.0, 0.0, None, 0))
             streak = streak + 1 if last is not None and price < last else 0
             (qty, cost, realised), last = filled(qty, cost, realised, size, price), price
-        self.state.update((float(qty), float(cost), float(realised), float(last), int(streak)))
-        return pd.DataFrame({"user_id": [key[0]], "qty": [float(qty)], "avg_cost": [float(cost)], "realised": [float(realised)], "unrealised": [float((last - cost) * qty)], "streak": [int(streak)]})
+        new[now] = qty, cost, realised, last, streak
+        state.update(new)
+        packed = lambda d: [pa.array(c, f.type) for c, f in zip(zip(*((k, *s) for k, s in d.items())), self.known)]
+        self.state.update((_packed(pa.table(packed(state), schema=self.known)),))
+        out = pa.table(packed(new), schema=self.known).to_pandas()
+        out["unrealised"] = (out["last"] - out["avg_cost"]) * out["qty"]
+        return out.rename(columns={"key": "user_id"})[["user_id", "qty", "avg_cost", "realised", "unrealised", "streak"]]
 
 
 def positions_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """The position of each user after every step of the watermark, from fills (user_id, ts, id, qty signed, price) that may come out of order by `late`."""
-    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("id").cast("long").alias("id"), F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Position(), "user_id long, qty double, avg_cost double, realised double, unrealised double, streak long", "Update", "EventTime")
+    rows = _grouped(events, "user_id", late, F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    return rows.transformWithStateInPandas(Position(), "user_id long, qty double, avg_cost double, realised double, unrealised double, streak long", "Update", "EventTime")
 
 
 def enrich_stream(events: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
