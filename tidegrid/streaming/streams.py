@@ -309,3 +309,58 @@ def interval_join(predictions: DataFrame, prices: DataFrame) -> DataFrame:
     p = predictions.withWatermark("ts", "1 hour").alias("p")
     q = prices.withWatermark("later", "1 hour").alias("q")
     return p.join(q, F.expr("p.symbol = q.symbol2 AND q.later >= p.ts + INTERVAL 1 HOUR AND q.later < p.ts + INTERVAL 2 HOURS"))
+
+
+def _count_above(ranks: np.ndarray, low: np.ndarray, high: np.ndarray, than: np.ndarray) -> np.ndarray:
+    """For each asked range how many of ranks[low:high] are greater than `than`, both at least 0: bit by bit, by prefix counts of a stable partition."""
+    found, low, high = np.zeros(len(than), np.int64), low.astype(np.int64), high.astype(np.int64)
+    for bit in range(int(max(ranks.max(initial=0), than.max(initial=0))).bit_length() - 1, -1, -1):
+        ones = (ranks >> bit) & 1
+        zeros = np.concatenate(([0], np.cumsum(1 - ones)))
+        low0, high0 = zeros[low], zeros[high]
+        low1, high1 = zeros[-1] + low - low0, zeros[-1] + high - high0
+        up = ((than >> bit) & 1) == 1
+        found += np.where(up, 0, high1 - low1)
+        low, high = np.where(up, low1, low0), np.where(up, high1, high0)
+        ranks = np.concatenate((ranks[ones == 0], ranks[ones == 1]))
+    return found
+
+
+_HOUR = 3_600_000_000
+_COUNTS = pa.schema([("symbol", pa.string()), ("start", pa.int64()), ("pairs", pa.int64()), ("hits", pa.int64())])
+
+
+def _meet(start: int, at: np.ndarray, price: np.ndarray, known: np.ndarray) -> tuple[int, int]:
+    """Pairs of a row of the hour that begins at start with rows one to two hours later, and those whose later price is greater."""
+    order = np.argsort(at, kind="stable")
+    at, price, known = at[order], price[order], known[order]
+    rank = np.unique(price, return_inverse=True)[1].astype(np.int64)
+    first = at < start + _HOUR
+    asks = at[first]
+    pairs = int((np.searchsorted(at, asks + 2 * _HOUR, side="left") - np.searchsorted(at, asks + _HOUR, side="left")).sum())
+    # A null price takes part in pairs and is never greater or less.
+    asks, than, times = at[first & known], rank[first & known], at[known]
+    low, high = np.searchsorted(times, asks + _HOUR, side="left"), np.searchsorted(times, asks + 2 * _HOUR, side="left")
+    return pairs, int(_count_above(rank[known], low, high, than).sum())
+
+
+def interval_counts(prices: DataFrame, late: str = "1 hour") -> DataFrame:
+    """symbol, start, pairs and hits: interval_join of prices (symbol, ts, price) with themselves, counted by the hour of the earlier row.
+
+    An hour's rows and those up to two hours behind it are a window's state, which the watermark bounds; they are counted in
+    their order, so pairs are never made and the work is n log n in a window's rows. Null symbols and times match nothing.
+    """
+    rows = prices.where("symbol IS NOT NULL").withWatermark("ts", late).groupBy("symbol", F.window("ts", "3 hours", "1 hour"))
+    held = rows.agg(F.collect_list(F.struct(F.unix_micros("ts").alias("at"), F.col("price").cast("double").alias("price"))).alias("held"))
+    held = held.select("symbol", F.unix_micros("window.start").alias("start"), F.col("held.at").alias("at"), F.col("held.price").alias("price"))
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = []
+            for k in range(part.num_rows):
+                start, at, price = part.column(1)[k].as_py(), part.column(2)[k].values, part.column(3)[k].values
+                found.append(_meet(start, at.to_numpy(zero_copy_only=False), price.fill_null(0.0).to_numpy(zero_copy_only=False), price.is_valid().to_numpy(zero_copy_only=False)))
+            pairs, hits = ([x[j] for x in found] for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pairs, pa.int64()), pa.array(hits, pa.int64())], schema=_COUNTS)
+
+    return held.mapInArrow(count, "symbol string, start long, pairs long, hits long")
