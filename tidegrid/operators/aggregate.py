@@ -54,14 +54,15 @@ def _ratio(top, bottom, least: float = 1e-9) -> Column:
     return F.col(top) / F.greatest(F.col(bottom), F.lit(least))
 
 
-def event_profile(grid: DataFrame, events: DataFrame, window: int, half: float = 12.0) -> DataFrame:
+def event_profile(grid: DataFrame, events: DataFrame, window: int, half: float = 12.0, step: int | None = None) -> DataFrame:
     """symbol, ts and 23 features of the events of the last `window` (its start excluded) at each grid time; zeros where there are none.
 
     events: symbol, ts (when available), source, tier_weight, confidence, raw_confidence, importance, novelty,
     post_sentiment, comment_sentiment, is_social, engagement, followers, comments. An event weighs tier_weight *
     confidence; those without weight don't count. A null source is one source. Two levels of sums, first per source, then over
     sources, so neither the entropy nor the deviations need a list of events; the sums are running ones in blocks of
-    time, so no event meets the grid times of its window one by one.
+    time, so no event meets the grid times of its window one by one. With step, of which all grid times, the window and an
+    hour are multiples, events between two such times are summed up first.
     """
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     e = events.withColumn("ew", F.col("tier_weight") * F.col("confidence")).where("ew > 0").withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("")))
@@ -79,7 +80,7 @@ def event_profile(grid: DataFrame, events: DataFrame, window: int, half: float =
     active = e.select("symbol", "source", F.explode(F.array(block, block + 1)).alias("block")).distinct()
     asked = grid.select("symbol", "ts", block.alias("block")).distinct().join(active, ["symbol", "block"]).drop("block")
     spans = [Trailing(window, sums, {"decayed": (ew, half * hour)}), Trailing(hour, {"young": ew}, closed=True), Trailing(6 * hour, {"recent": ew}, closed=True)]
-    per = trailing_sums(asked, e, spans, ["symbol", "source"]).where("n > 0")
+    per = trailing_sums(asked, e, spans, ["symbol", "source"], step=step).where("n > 0")
     per = per.withColumn("mid", F.col("recent") - F.col("young")).withColumn("old", F.col("mass") - F.col("recent"))
     sums = [c for c in per.columns if c not in ("symbol", "source", "ts", "recent")]
     all_ = per.groupBy("symbol", "ts").agg(*(F.sum(k).alias(k) for k in sums), F.count("*").alias("sources"), F.sum(F.col("mass") * F.log("mass")).alias("mlm"), F.sum(F.col("s1") * F.col("s1") / F.col("mass")).alias("between"))

@@ -35,13 +35,20 @@ class Trailing:
     closed: bool = False
 
 
-def trailing_sums(grid: DataFrame, events: DataFrame, windows: Sequence[Trailing], keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
+def trailing_sums(grid: DataFrame, events: DataFrame, windows: Sequence[Trailing], keys: Sequence[str] = ("symbol",), ts: str = "ts", step: int | None = None) -> DataFrame:
     """keys, ts and the sums of every window, 0.0 where it has no event, for each different (keys, ts) of grid.
 
-    Names of sums differ between windows. Null values add nothing; null keys and times match nothing.
+    Names of sums differ between windows. Null values add nothing; null keys and times match nothing. With step all grid
+    times and widths are multiples of it, others are an error: then events between two of these times are summed up before they
+    are dealt out and sorted, and what follows grows with the grid and no longer with the events.
     """
     on = list(keys)
-    at = grid.dropna(subset=[*on, ts]).select(*on, F.col(ts).alias("__t")).distinct()
+    time = F.col(ts)
+    if step is not None:
+        if any(w.width % step for w in windows):
+            raise ValueError(f"widths that aren't multiples of {step}: {[w.width for w in windows]}")
+        time = F.when(F.pmod(time, F.lit(step)) == 0, time).otherwise(F.raise_error(F.format_string(f"a grid time that isn't a multiple of {step}: %s", time)).cast("long"))
+    at = grid.dropna(subset=[*on, ts]).select(*on, time.alias("__t")).distinct()
     known = events.dropna(subset=[*on, ts])
     names = [n for w in windows for n in (*w.sums, *w.decayed)]
     if len(set(names)) < len(names):
@@ -56,8 +63,14 @@ def trailing_sums(grid: DataFrame, events: DataFrame, windows: Sequence[Trailing
         first = 0 if w.closed else 2
         values = [c.cast("double").alias(n) for n, c in w.sums.items()]
         values += [(c.cast("double") * F.exp((F.col(ts) - F.floor(F.col(ts) / w.width) * w.width) / half)).alias(n) for n, (c, half) in w.decayed.items()]
+        there = known.select(*on, F.col(ts).alias("__at"), *values)
+        if step is not None:
+            # A border is a cell of its own, as windows differ in whether it belongs to them; all times between two borders are one cell.
+            over = F.pmod("__at", F.lit(step))
+            cell = F.when(over == 0, F.col("__at")).otherwise(F.col("__at") - over + max(1, step // 2))
+            there = there.groupBy(*on, cell.alias("__at")).agg(*(F.sum(n).alias(n) for n in (*w.sums, *w.decayed)))
         rows = [
-            known.select(*on, F.col(ts).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__t"), F.lit(None).cast("boolean").alias("__up"), *values),
+            there.withColumns({"__side": F.lit(1), "__t": F.lit(None).cast("long"), "__up": F.lit(None).cast("boolean")}),
             at.select(*on, F.col("__t").alias("__at"), F.lit(2).alias("__side"), "__t", F.lit(True).alias("__up")),
             at.select(*on, (F.col("__t") - w.width).alias("__at"), F.lit(first).alias("__side"), "__t", F.lit(False).alias("__up")),
         ]

@@ -98,7 +98,7 @@ def event_profile_at(spark, sf):
     grid = ticks(spark, sf).select("symbol", (F.col("ts") - F.pmod("ts", F.lit(6 * HOUR)) + 6 * HOUR).alias("ts")).distinct()
     i = F.col("id")
     events = news(spark, sf).select("symbol", "ts", "source", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (6 - F.col("tier")) / 5)).alias("tier_weight"), "confidence", F.col("confidence").alias("raw_confidence"), (i % 10 / 10).alias("importance"), (i % 7 / 7).alias("novelty"), F.col("sentiment").alias("post_sentiment"), ((i % 13 - 6) / 6).alias("comment_sentiment"), (i % 2 == 0).alias("is_social"), (i % 500).alias("engagement"), (i % 1000 * 10).alias("followers"), (i % 9).alias("comments"))
-    return grid, A.event_profile(grid, events, DAY)
+    return grid, A.event_profile(grid, events, DAY, step=HOUR)
 
 
 @query(f"WITH {_PROFILE} SELECT symbol, ts, " + ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in _PROFILE_NAMES) + " FROM prof")
