@@ -13,7 +13,8 @@ from ..sources.io import scratch
 RANGES, FEW = 1024, 100_000
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once into a table in a scratch folder."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -29,7 +30,7 @@ def ranked(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame
     columns = [c for c in df.columns if c != rank]
     placed = df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
     # Ranges are drawn anew by each run, so their rows are written before they are counted.
-    placed = _written(placed.withColumn("__id", F.monotonically_increasing_id()))
+    placed = written(placed.withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -51,14 +52,14 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Mappi
     v = F.col(value) if isinstance(value, str) else value
     keyed = df.select(*on, v.cast("double").alias("__v")) if on else df.select(F.lit(0).alias("__all"), v.cast("double").alias("__v"))
     names = on or ["__all"]
-    rows = _written(keyed)
+    rows = written(keyed)
     known = rows.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     size = known.groupBy(*names).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
     # The places on both sides of every quantile, from 0.
     exact = lambda q: q * (F.col("n") - 1)
     places = F.array(*(F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), side_of(exact(q)).cast("long").alias("place")) for name, q in qs.items() for side, side_of in ((0, F.floor), (1, F.ceil))))
     wanted = size.select(*names, "low", "high", F.explode(places).alias("p")).select(*names, F.col("p.place").alias("place"), "low", "high", F.lit(0).cast("long").alias("below"), F.lit(1 << 62).alias("inside")).distinct()
-    wanted = _written(wanted)
+    wanted = written(wanted)
     while True:
         open_ = wanted.where((F.col("inside") > few) & (F.col("low") < F.col("high")))
         if open_.isEmpty():
@@ -75,7 +76,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Mappi
         hit = (F.col("place") - F.col("below") < F.col("upto")) & (F.col("place") - F.col("below") >= F.col("upto") - F.col("inside"))
         cut = cut.where(hit).select(*names, "place", F.col("from").alias("low"), F.col("to").alias("high"), (F.col("below") + F.col("upto") - F.col("inside")).alias("below"), "inside")
         closed = wanted.where(~((F.col("inside") > few) & (F.col("low") < F.col("high"))))
-        wanted = _written(closed.unionByName(cut))
+        wanted = written(closed.unionByName(cut))
     alone = wanted.where("low = high").select(*names, "place", F.col("low").alias("x"))
     last = wanted.where("low < high")
     spans = last.select(*names, "low", "high", "below").distinct()

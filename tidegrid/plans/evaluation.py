@@ -9,7 +9,7 @@ from ..functions import expr as X
 from ..operators import evaluate as E
 from ..operators import rolling as R
 from ..operators import sizing as Z
-from ..operators.order import quantiles
+from ..operators.order import quantiles, written
 from ..sources.fixtures import BARS, DAY, FILLS, PREDICTIONS, TICKS, bars, fills, predictions, table, ticks
 from .registry import query
 from .scalars import _COSTS, _PARTS, _TOTAL, costed
@@ -162,24 +162,26 @@ _PAR = FILLS + ", b AS (SELECT target, sum(est_price * qty) AS n, avg(est_price)
 _BACKTEST_COSTS = {"fee": 5.0e-4, "slippage": 2.1e-4, "impact": 1.4e-4}
 
 
-def _paper_costs():
-    """Fee, adverse slippage, and what is left of the assumed cost as impact; shares of notional at the estimated price."""
+def _paper_costs(live):
+    """Fee, adverse slippage, and what is left of the assumed cost as impact; shares of the live fills' notional at the estimated price."""
     est, notional = F.col("est_price"), F.col("est_price") * F.col("qty")
-    fee = F.greatest(F.lit(0.0), F.col("fee") / notional)
-    slip = F.greatest(F.lit(0.0), F.when(F.col("side") == "buy", F.col("price") - est).otherwise(est - F.col("price")) / est)
+    ok = live & (est > 0) & (F.col("qty") > 0)
+    fee = F.greatest(F.lit(0.0), F.when(ok, F.col("fee") / notional))
+    slip = F.greatest(F.lit(0.0), F.when(ok, F.when(F.col("side") == "buy", F.col("price") - est).otherwise(est - F.col("price")) / est))
     impact = F.greatest(F.lit(0.0), F.lit(sum(_BACKTEST_COSTS.values())) - fee - slip)
-    ok = (est > 0) & (F.col("qty") > 0)
     total = F.sum(F.when(ok, notional))
     return [F.coalesce(F.sum(F.when(ok, c * notional)) / total, F.lit(0.0)).alias(n) for c, n in ((fee, "fee"), (slip, "slippage"), (impact, "impact"))]
 
 
-def _parity(f, *keys):
-    b = f.groupBy(*keys, "target").agg(F.sum(F.col("est_price") * F.col("qty")).alias("bn"), F.avg("est_price").alias("br"))
-    p = f.where("status <> 'rejected'").groupBy(*keys, "target").agg(F.sum(F.col("price") * F.col("qty")).alias("pn"), F.avg("price").alias("pr"), F.count("*").alias("orders"), *_paper_costs())
-    on = F.lit(True)
-    for k in (*keys, "target"):
-        on = on & b[k].eqNullSafe(p[k])
-    return b.join(p, on).select(*(b[k] for k in (*keys, "target")), "bn", "br", "pn", "pr", "orders", "fee", "slippage", "impact")
+def _parity(f, *keys, costs=True):
+    """Keys and targets that have live fills, with all fills as the backtest and live ones as paper: one pass, one grouping."""
+    live = F.col("status") != "rejected"
+    only = lambda c: F.when(live, c)
+    both = f.groupBy(*keys, "target").agg(
+        F.sum(F.col("est_price") * F.col("qty")).alias("bn"), F.avg("est_price").alias("br"), F.sum(only(F.col("price") * F.col("qty"))).alias("pn"), F.avg(only(F.col("price"))).alias("pr"),
+        F.count_if(live).alias("orders"), *(_paper_costs(live) if costs else ()),
+    )
+    return both.where("orders > 0")
 
 
 _SPANS = FILLS + f", w(days) AS (VALUES (7), (30), (NULL)), f AS (SELECT days, fills.* FROM fills, (SELECT max(ts) AS last FROM fills), w WHERE days IS NULL OR last - ts < days * {DAY}), b AS (SELECT days, target, sum(est_price * qty) AS n, avg(est_price) AS ret FROM f GROUP BY 1, 2), p AS (SELECT days, target, sum(price * qty) AS n, avg(price) AS ret, count(*) AS orders FROM f WHERE status <> 'rejected' GROUP BY 1, 2), j AS (SELECT b.days, b.n AS bn, b.ret AS br, p.n AS pn, p.ret AS pr, orders FROM b JOIN p ON b.days IS NOT DISTINCT FROM p.days AND b.target = p.target), per AS (SELECT days, count(*) AS matched, sum(br * bn) / sum(bn) AS back, sum(pr * pn) / sum(pn) AS paper, CASE WHEN count(*) < 2 THEN 'insufficient_matched_targets' WHEN sum(orders) < 50 THEN 'insufficient_paper_orders' ELSE 'evaluated' END AS status FROM j GROUP BY 1)"
@@ -190,11 +192,12 @@ def ev13_parity(spark, sf):
     back, paper = F.sum(F.col("br") * F.col("bn")) / F.sum("bn"), F.sum(F.col("pr") * F.col("pn")) / F.sum("pn")
     status = F.when(F.count("*") < 2, "insufficient_matched_targets").when(F.sum("orders") < 50, "insufficient_paper_orders").otherwise("evaluated")
     # The last 7 and 30 days up to the latest fill, and (null) all of them.
-    f = fills(spark, sf)
+    # The latest fill must be known first, so the joined rows are written once, in their few columns.
+    f = written(fills(spark, sf).select("target", "ts", "est_price", "qty", "price", "status"))
     age = F.col("last") - F.col("ts")
     spans = F.filter(F.array(F.when(age < 7 * DAY, 7), F.when(age < 30 * DAY, 30), F.lit(0)), lambda d: d.isNotNull())
     f = f.crossJoin(F.broadcast(f.agg(F.max("ts").alias("last")))).withColumn("days", F.explode(spans))
-    per = _parity(f, "days").groupBy("days").agg(F.count("*").alias("matched"), r6(back, "backtest", 4), r6(paper, "paper", 4), r6(F.abs(paper - back) / F.greatest(F.lit(1e-4), F.abs(back)), "deviation", 5), status.alias("status"))
+    per = _parity(f, "days", costs=False).groupBy("days").agg(F.count("*").alias("matched"), r6(back, "backtest", 4), r6(paper, "paper", 4), r6(F.abs(paper - back) / F.greatest(F.lit(1e-4), F.abs(back)), "deviation", 5), status.alias("status"))
     windows = spark.createDataFrame([(7,), (30,), (0,)], "days int")
     filled = F.coalesce("status", F.lit("insufficient_matched_targets")).alias("status")
     return windows.join(per, "days", "left").select(F.nullif("days", F.lit(0)).alias("window_days"), F.coalesce("matched", F.lit(0)).alias("matched"), "backtest", "paper", "deviation", filled)
