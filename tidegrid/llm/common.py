@@ -116,8 +116,8 @@ class PieceCoder:
         self.length, self.used = self.length[kept], self.used[kept] // 2
         self.start = np.cumsum(self.length) - self.length
 
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each piece, and the ids of all."""
+    def lookup(self, words: list[str], times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and the ids of all. times: for distinct pieces how often each is used."""
         if len(self.index) > self.limit or self.held > self.weight:
             self.shrink()
         at = np.array(list(map(self.index.get, words, repeat(-1))), np.int64)
@@ -133,7 +133,10 @@ class PieceCoder:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.held += sum(map(len, new))
             at[missing] = list(map(self.index.__getitem__, wanted))
-        self.used += np.bincount(at, minlength=len(self.used))
+        if times is None:
+            self.used += np.bincount(at, minlength=len(self.used))
+        else:
+            self.used[at] += times
         lengths = self.length[at]
         return lengths, self.ids[spread(self.start[at], lengths)]
 

@@ -10,7 +10,6 @@ its limit of segments, form sequences whose lengths are powers of two.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,7 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import PieceCoder, batches, bounded_batches, give_back, joined, slices, spread, texts_of
+from .bpe import byte_letters
+from .common import SPACES, PieceCoder, batches, bounded_batches, give_back, joined, raw_of, slices, spread
 
 #: Limits of a sequence: tokens, segments, and tokens that bear loss; examples to choose from.
 CAPACITY, SEGMENTS, LOSS, POOL = 4096, 32, 4096, 256
@@ -31,60 +31,113 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _PIECES_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long, ids binary"
 
 
+#: Bytes of a word that a key holds.
+_KEY = 24
+_CAPITALS, _SMALL = bytes(range(65, 91)), bytes(range(97, 123))
+_LOWER = bytes.maketrans(_CAPITALS, _SMALL)
+#: 0 for bytes that end a word, 1 for letters, 2 for others.
+_KIND = bytes(0 if c in SPACES else 1 if c in _CAPITALS + _SMALL else 2 for c in range(256))
+#: Second bytes of letters of Latin-1 behind 0xC3; upper case is 0x20 below lower case.
+_SECOND = np.zeros(256, bool)
+_SECOND[[*range(0x80, 0x97), *range(0x98, 0x9F), *range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = True
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _equal_words(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in an order that puts equal words together, and where in it each distinct word begins. A word is one number of each key."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = (mixed + k) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed)
+    new = np.diff(mixed[order], prepend=~mixed[order[:1]]) != 0
+    differ = np.logical_or.reduce([np.diff(k[order], prepend=~k[order[:1]]) != 0 for k in keys])
+    if (differ & ~new).any():  # two words of one mix
+        order = np.lexsort(keys)
+        differ = np.logical_or.reduce([np.diff(k[order], prepend=~k[order[:1]]) != 0 for k in keys])
+    return order, np.flatnonzero(differ)
+
+
+class WordCoder:
+    """Ids of the lower-casing word tokenizer. White space separates its words and is dropped, so words encode alone.
+
+    Most words are letters of Latin-1 with at most one full stop or comma behind them. Their letters, in lower case, are
+    told apart in numpy, and each distinct one of a slice is looked up once. kept: how many words a worker keeps the ids
+    of, of letters and of others each.
+    """
+
+    def __init__(self, path: str, kept: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.no_padding()
+        t.no_truncation()
+
+        def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            return joined([x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)])
+
+        model, spelled = t.model, {b: c for c, b in byte_letters().items()}
+
+        def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Runs of letters in lower case, one character for each byte: all that is left of the tokenizer's steps is its model."""
+            return joined([[x.id for x in model.tokenize(w if w.isascii() else w.translate(spelled))] for w in words])
+
+        self.runs, self.others = PieceCoder(None, letters, limit=kept), PieceCoder(None, alone, limit=kept)
+        self.mark = np.full(256, -1, np.int32)
+        self.mark[[46, 44]] = alone([".", ","])[1]
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and the ids of all texts; null as empty."""
+        raws = raw_of(column)
+        whole = b" ".join([b"", *raws, bytes(_KEY)])
+        a = np.frombuffer(whole, np.uint8)
+        low, kind = np.frombuffer(bytearray(whole.translate(_LOWER)), np.uint8), np.frombuffer(whole.translate(_KIND), np.uint8)
+        letter, inside = kind == 1, kind > 0
+        inside[-_KEY:] = False
+        two = np.flatnonzero(a[:-1] == 0xC3)
+        two = two[_SECOND[a[two + 1]]]
+        letter[two] = letter[two + 1] = True
+        low[two + 1] |= 0x20
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        mark = np.where(end - start > 1, self.mark[a[end - 1]], -1)
+        size = end - start - (mark >= 0)
+        odd = np.flatnonzero(inside & ~letter)
+        word = np.searchsorted(start, odd, side="right") - 1
+        plain = size <= _KEY
+        plain[word[odd < (start + size)[word]]] = False
+        mark[~plain] = -1
+        at, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        length, place, pool = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), []
+        if len(at):
+            first, n = start[at], size[at]
+            eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+            order, new = _equal_words([eight[first + k] & _MASKS[np.clip(n - k, 0, 8)] for k in range(0, _KEY, 8)])
+            number = np.diff(new, append=len(order))
+            text, one = low.tobytes().decode("latin-1"), order[new]
+            got, ids = self.runs.lookup([text[x:y] for x, y in zip(first[one].tolist(), (first + n)[one].tolist())], number)
+            length[at[order]], place[at[order]] = np.repeat(got, number), np.repeat(np.cumsum(got) - got, number)
+            pool.append(ids)
+        if len(other):
+            got, ids = self.others.lookup([whole[x:y].decode() for x, y in zip(start[other].tolist(), end[other].tolist())])
+            length[other], place[other] = got, np.cumsum(got) - got + sum(map(len, pool))
+            pool.append(ids)
+        ends = np.cumsum(length + (mark >= 0))
+        out = np.zeros(ends[-1] if len(ends) else 0, np.int32)
+        if pool:
+            to = ends - length - (mark >= 0)
+            out[spread(to, length)] = np.concatenate(pool)[spread(place, length)]
+            out[ends[mark >= 0] - 1] = mark[mark >= 0]
+        # Words before the end of each text, and ids before it.
+        words = np.searchsorted(start, 1 + np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1))
+        return np.diff(np.concatenate([[0], ends])[words], prepend=0), out
+
+
 @cache
-def word_coder(path: str, kept: int = KEPT) -> PieceCoder:
-    """Ids of the lower-casing word tokenizer. White space separates its words and is dropped, so words encode alone. kept: how many words a worker keeps the ids of."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
-    # The control characters U+001C to U+001F are spaces to str.split, but not to the tokenizer.
-    def split(text: str) -> list[str]:
-        return [text] if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else text.split()
-
-    def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return joined([x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)])
-
-    ends = np.zeros(t.get_vocab_size(), bool)
-    ends[[i for name, i in t.get_vocab().items() if name.endswith("</w>")]] = True
-
-    def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Runs of letters, joined by spaces to one text: each ends with the first token that ends a word."""
-        n, ids = [], []
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            got = np.array(t.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
-            size = np.diff(np.flatnonzero(ends[got]), prepend=-1)
-            if len(size) != len(some):
-                size, got = alone(some)
-            n.append(size)
-            ids.append(got)
-        return np.concatenate(n), np.concatenate(ids)
-
-    runs = PieceCoder(None, letters, limit=kept)
-    # Letters of Latin-1 with their lower case there, and at most one full stop or comma behind them.
-    plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]+)([.,]?)")
-    marks = dict(zip([".", ",", ""], [*alone([".", ","])[1].tolist(), -1]))
-
-    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(plain.fullmatch, new))
-        fit = np.array([m is not None for m in found])
-        words, tails = zip(*(m.groups() for m in found if m)) if fit.any() else ((), ())
-        n, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        n[fit], ids = runs.lookup([w.lower() for w in words])
-        mark = np.full(len(new), -1, np.int32)
-        mark[fit] = [marks[x] for x in tails]
-        size[~fit], others = alone([w for w, m in zip(new, found) if m is None])
-        size += n + (mark >= 0)
-        start, out = np.cumsum(size) - size, np.zeros(size.sum(), np.int32)
-        out[spread(start, n)] = ids
-        out[(start + n)[mark >= 0]] = mark[mark >= 0]
-        out[spread(start[~fit], size[~fit])] = others
-        return size, out
-
-    return PieceCoder(split, encode, limit=kept)
+def word_coder(path: str, kept: int = KEPT) -> WordCoder:
+    """Built once in a worker."""
+    return WordCoder(path, kept)
 
 
 class Packer:
@@ -193,7 +246,7 @@ def piece_rows(parts: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer,
     coder = word_coder(tokenizer, kept)
     for part in parts:
         for at, column in slices(part.column(1)):
-            n, ids = coder.batch(texts_of(column))
+            n, ids = coder.batch(column)
             items, to = [], 0
             for doc_id, k in zip(part.column(0).slice(at, len(column)).to_pylist(), n.tolist()):
                 items.append(((doc_id, k + 1), np.append(ids[to : to + k], np.int32(end_id)), 0, None))
