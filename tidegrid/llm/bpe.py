@@ -28,6 +28,8 @@ LONG, FEW, SHORT, KEPT = 2000, 16, 500, 500_000
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A run of spaces stays with the word after it: no match of PATTERN crosses such a border.
 _CHUNKS = re.compile(r"\s*\S+|\s+")
+#: Marks that end a word as one piece; an apostrophe isn't one.
+_MARKS = frozenset(".,;:!?)")
 #: Spaces to Python, but not to PATTERN.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -337,13 +339,31 @@ def coder(path: str) -> PieceCoder:
             return [x for part in special.split(text) for x in ([part] if part in vocab.special else plain(part))]
         return plain(text)
 
+    def alone(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = vocab.encode([b"" if x in vocab.special else x.encode() for x in pieces])
+        found = [np.array([vocab.special[x]], np.int32) if x in vocab.special else ids for x, ids in zip(pieces, found)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found)
+
+    # Pieces are kept beside chunks: a word is the same piece whatever stands behind it.
+    known = PieceCoder(None, alone, limit=100_000)
+
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # A word, alone or after one space, is one piece.
-        parts = [[] if c in vocab.special else [c.encode()] if c.isalpha() or (c[0] == " " and c[1:].isalpha()) else [x.encode() for x in PATTERN.findall(c)] for c in chunks]
-        new = list({x: None for p in parts for x in p})
-        found = dict(zip(new, vocab.encode(new)))
-        ids = [np.array([vocab.special[c]], np.int32) if c in vocab.special else found[p[0]] if len(p) == 1 else np.concatenate([found[x] for x in p]) for c, p in zip(chunks, parts)]
-        return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids)
+        per, pieces = [], []
+        for c in chunks:
+            word = c[1:] if c[0] == " " else c
+            # A word, alone or after one space, is one piece; one mark behind it is another.
+            if word.isalpha() or c in vocab.special:
+                per.append(1)
+                pieces.append(c)
+            elif word[-1:] in _MARKS and word[:-1].isalpha():
+                per.append(2)
+                pieces += c[:-1], c[-1]
+            else:
+                found = PATTERN.findall(c)
+                per.append(len(found))
+                pieces += found
+        n, ids = known.lookup(pieces)
+        return np.add.reduceat(n, np.cumsum(per) - per), ids
 
     return PieceCoder(split, encode, limit=200_000)
 
