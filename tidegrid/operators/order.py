@@ -40,19 +40,19 @@ def ranked(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame
     return found.select(*columns, (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias(rank))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Mapping[str, float], few: int = FEW, ranges: int = RANGES) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Mapping[str, float], few: int = FEW, ranges: int = RANGES, stored: bool = False) -> DataFrame:
     """keys and one column for each of qs (name -> share): exact quantiles with linear interpolation, as percentile gives them.
 
     Selection by narrowing ranges: values are counted in equal ranges between their bounds, the range that holds a wanted
     place is cut again, until it holds `few` values at most or one value alone; those are sorted. So no buffer ever holds
     a key's values, and each round is one scan with small sums. Null and NaN values don't count; a key without any gets
-    null. Without keys there is one row, also for an empty table.
+    null. Without keys there is one row, also for an empty table. stored: df is a table with this value, so it isn't written again.
     """
     on = list(keys)
     v = F.col(value) if isinstance(value, str) else value
     keyed = df.select(*on, v.cast("double").alias("__v")) if on else df.select(F.lit(0).alias("__all"), v.cast("double").alias("__v"))
     names = on or ["__all"]
-    rows = written(keyed)
+    rows = keyed if stored else written(keyed)
     known = rows.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     size = known.groupBy(*names).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
     # The places on both sides of every quantile, from 0.
