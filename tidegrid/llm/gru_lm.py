@@ -21,10 +21,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, raw_of, slices
+from .common import bounded_batches, checkpointed, slices
 
 #: Frequent words with weights of their own; words of a class; classes of other words; size of the state.
 HEAD, MEMBERS, TAILS, STATE = 1024, 32, 32, 16
@@ -34,6 +35,10 @@ ROUNDS, LANES, STEPS, RATE, BLOCK = 2, 256, 20, 0.01, 16 << 20
 END = b"\n"
 #: Rows of averaged weights.
 _SLICE = 8192
+#: Words whose class probabilities are worked out at once: a table of these fits a core's cache.
+_SOME = 1024
+#: The class of each symbol.
+_GROUPS = np.concatenate([np.arange(HEAD) // MEMBERS, HEAD // MEMBERS + np.arange(TAILS)]).astype(np.uint8)
 
 
 def tail_class(word: bytes) -> int:
@@ -76,26 +81,37 @@ class Gru:
         g.p["wb"][:] = np.where(groups > 0, np.log(np.maximum(groups, 1)), -30)
         return g
 
-    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, memory: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """x: steps x lanes of symbols read; keep: 0 where a document starts; h: state x lanes. Returns the states (state x steps x lanes) and the last."""
-        n, u = STATE, self.p["u"]
-        pre = self.p["table"].take(x, axis=1)
+    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, memory: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """x: steps x lanes of symbols read; keep: 0 where a document starts; h: state x lanes. Returns the states (state x steps x lanes) and the last.
+
+        memory takes, of all steps, the states before ("h"), the gates as tanh of half their sums ("g": first that of the
+        reset, then that of the update), the new states ("new") and the old ones' half part in them ("a").
+        """
+        n, half = STATE, np.full((3 * STATE, 1), 0.5, self.flat.dtype)
+        # A gate is (1 + tanh(half its sum)) / 2; the halves are taken once, from the weights.
+        u = self.p["u"] * half
+        half[2 * n :] = 1
+        pre = (self.p["table"] * half).take(x, axis=1)
         out = np.empty((n, *x.shape), self.flat.dtype)
+        if memory is not None:
+            memory |= {name: np.empty((k, *x.shape), self.flat.dtype) for name, k in (("h", n), ("g", 2 * n), ("new", n), ("a", n))}
         for t in range(len(x)):
             h = h * keep[t]
             a = u @ h
             g = pre[: 2 * n, t] + a[: 2 * n]
-            g *= 0.5
             np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
-            r, z, an = g[:n], g[n:], a[2 * n :]
-            new = r * an
+            an = a[2 * n :]
+            new = g[:n] * an
+            new += an
             new += pre[2 * n :, t]
             np.tanh(new, out=new)
             if memory is not None:
-                memory.append((h, an, r, z, new))
-            h = z * (h - new)
+                memory["h"][:, t], memory["g"][:, t], memory["new"][:, t], memory["a"][:, t] = h, g, new, an
+            z = g[n:]
+            z *= 0.5
+            z += 0.5
+            h -= new
+            h *= z
             h += new
             out[:, t] = h
         return out, h
@@ -106,74 +122,115 @@ class Gru:
 
     def _log_p(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """With grads, adds the gradient of the summed negative log-likelihood there, that of h as "h"."""
-        p, groups, number = self.p, HEAD // MEMBERS, np.arange(len(y))
-        # Words of a class lie together.
-        group = np.where(y < HEAD, y // MEMBERS, y - (HEAD - groups)).astype(np.uint8)
+        p, groups, dtype = self.p, HEAD // MEMBERS, self.flat.dtype
+        # Words of a class lie together; below the states runs a row of ones, for the constant terms.
+        group = _GROUPS[y]
         order = np.argsort(group, kind="stable")
-        h, group, y = h.take(order, axis=1), group[order], y[order]
-        e = p["v"] @ h
-        e += p["vb"][:, None]
-        e -= e.max(0)
-        got = e[group, number]
-        np.exp(e, out=e)
-        total = e.sum(0)
-        got -= np.log(total)
+        group, y = group[order].astype(np.intp), y[order]
+        states = np.empty((STATE + 1, len(y)), dtype)
+        h.take(order, axis=1, out=states[:STATE], mode="clip")
+        states[STATE] = 1
+        # Shifted by the greatest constant term, sums of exponentials stay in range without their own greatest term, as long as weights are moderate.
+        reach = max(1.0, float(h.max(initial=0)), -float(h.min(initial=0)))
+        tame = reach * max(float(np.abs(p[k]).sum(-1).max()) for k in ("v", "w")) < 40
+        v = np.concatenate([p["v"], (p["vb"] - p["vb"].max())[:, None]], axis=1)
+        w = np.concatenate([p["w"], (p["wb"] - p["wb"].max(1)[:, None])[:, :, None]], axis=2)
+        got = np.empty(len(y), dtype)
         if grads is not None:
-            e /= total
-            e[group, number] -= 1
-            grads["v"] += e @ h.T
-            grads["vb"] += e.sum(1)
-            dh = p["v"].T @ e
+            dh, dv = np.empty((STATE, len(y)), dtype), np.zeros_like(v)
+
+        def of(e: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """e: log-weights, a column for each word; at: the words' own rows. Returns the log-probabilities; with grads, e times the factor of each column, which comes second, is what gradients are made of."""
+            at = at * e.shape[1] + np.arange(e.shape[1])
+            if not tame:
+                e -= e.max(0)
+            own = e.ravel().take(at)
+            np.exp(e, out=e)
+            total = e.sum(0)
+            own -= np.log(total)
+            if grads is not None:
+                e.ravel()[at] -= total
+                np.divide(1, total, out=total)
+            return own, total
+
+        for a in range(0, len(y), _SOME):
+            b = min(a + _SOME, len(y))
+            e = v @ states[:, a:b]
+            got[a:b], part = of(e, group[a:b])
+            if grads is not None:
+                dv += e @ (states[:, a:b] * part).T
+                np.matmul(p["v"].T, e, out=dh[:, a:b])
+                dh[:, a:b] *= part
         edges = np.searchsorted(group, np.arange(groups + 1)).tolist()
-        for k in range(groups):
-            a, b = edges[k], edges[k + 1]
+        k = 0
+        while k < groups:
+            # Classes are taken together up to some number of words.
+            first, k = k, k + 1
+            a = edges[first]
+            while k < groups and edges[k + 1] - a <= 2 * _SOME:
+                k += 1
+            b = edges[k]
             if a == b:
                 continue
-            hi, member, some = h[:, a:b], y[a:b] - k * MEMBERS, number[: b - a]
-            e = p["w"][k] @ hi
-            e += p["wb"][k][:, None]
-            e -= e.max(0)
-            inside = e[member, some]
-            np.exp(e, out=e)
-            total = e.sum(0)
-            got[a:b] += inside - np.log(total)
+            e, runs = np.empty((MEMBERS, b - a), dtype), [(j, edges[j], edges[j + 1]) for j in range(first, k) if edges[j] < edges[j + 1]]
+            for j, c, d in runs:
+                np.matmul(w[j], states[:, c:d], out=e[:, c - a : d - a])
+            own, part = of(e, y[a:b] % MEMBERS)
+            got[a:b] += own
             if grads is not None:
-                e /= total
-                e[member, some] -= 1
-                grads["w"][k] += e @ hi.T
-                grads["wb"][k] += e.sum(1)
-                dh[:, a:b] += p["w"][k].T @ e
-        out = np.empty_like(got)
-        out[order] = got
+                some, back = states[:, a:b] * part, np.empty((STATE, b - a), dtype)
+                for j, c, d in runs:
+                    dw = e[:, c - a : d - a] @ some[:, c - a : d - a].T
+                    grads["w"][j] += dw[:, :STATE]
+                    grads["wb"][j] += dw[:, STATE]
+                    np.matmul(p["w"][j].T, e[:, c - a : d - a], out=back[:, c - a : d - a])
+                back *= part
+                dh[:, a:b] += back
+        place = np.empty(len(y), np.intp)
+        place[order] = np.arange(len(y))
         if grads is not None:
-            grads["h"] = np.empty_like(dh)
-            grads["h"][:, order] = dh
-        return out
+            grads["v"] += dv[:, :STATE]
+            grads["vb"] += dv[:, STATE]
+            grads["h"] = dh.take(place, axis=1)
+        return got[place]
 
     def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h0: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Summed negative log-likelihood of a window, its gradient as one vector, and the last state (h0 and it: lanes x state)."""
-        n, memory, g = STATE, [], Gru(np.zeros_like(self.flat))
+        n, memory, g = STATE, {}, Gru(np.zeros_like(self.flat))
         states, last = self.states(x, keep, np.ascontiguousarray(h0.T), memory)
         loss = -self._log_p(states.reshape(n, -1), y.ravel(), g.p).sum()
         dh_out = g.p["h"].reshape(states.shape)
-        dx, du = np.empty((3 * n, *x.shape), self.flat.dtype), g.p["u"]
-        dh = np.zeros_like(last)
-        da = np.empty((3 * n, x.shape[1]), self.flat.dtype)
+        h, new, r, z = memory["h"], memory["new"], memory["g"][:n], memory["g"][n:]
+        for gate in (r, z):
+            gate *= 0.5
+            gate += 0.5
+        # What a step multiplies its gradient with, for all steps at once.
+        rest = 1 - z
+        by_new = rest * (1 - new * new)
+        by_z = h - new
+        by_z *= z
+        by_z *= rest
+        by_r = 1 - r
+        by_r *= r
+        by_r *= memory["a"]
+        by_r *= 2
+        dx, da = np.empty((3 * n, *x.shape), self.flat.dtype), np.empty((3 * n, *x.shape), self.flat.dtype)
+        back = np.ascontiguousarray(self.p["u"].T)
+        dh, now = np.zeros_like(last), np.empty((3 * n, x.shape[1]), self.flat.dtype)
         for t in range(len(x) - 1, -1, -1):
-            h, an, r, z, new = memory[t]
-            dh = dh + dh_out[:, t]
-            dpn = dh * (1 - z)
-            dpn *= 1 - new * new
-            np.multiply(dpn * an, r * (1 - r), out=da[:n])
-            np.multiply(dh * (h - new), z * (1 - z), out=da[n : 2 * n])
-            np.multiply(dpn, r, out=da[2 * n :])
-            dx[: 2 * n, t] = da[: 2 * n]
+            dh += dh_out[:, t]
+            dpn = dh * by_new[:, t]
+            np.multiply(dpn, by_r[:, t], out=now[:n])
+            np.multiply(dh, by_z[:, t], out=now[n : 2 * n])
+            np.multiply(dpn, r[:, t], out=now[2 * n :])
             dx[2 * n :, t] = dpn
-            du += da @ h.T
-            dh = dh * z
-            dh += self.p["u"].T @ da
+            da[:, t] = now
+            dh *= z[:, t]
+            dh += back @ now
             dh *= keep[t]
-        ids = x.ravel()
+        dx[: 2 * n] = da[: 2 * n]
+        g.p["u"][:] = da.reshape(3 * n, -1) @ h.reshape(n, -1).T
+        ids = x.ravel().astype(np.intp, copy=False)
         g.p["table"][:] = [np.bincount(ids, row, HEAD + TAILS) for row in dx.reshape(3 * n, -1)]
         return float(loss), g.flat, last.T
 
@@ -210,26 +267,66 @@ class Trainer:
             h = self.update(x[t : t + STEPS], y[t : t + STEPS], keep[t : t + STEPS], h)
 
 
-class Symbols(dict):
-    """Symbols of words; those beyond the frequent ones are worked out when they come up."""
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, in lower case, one after the other, and the number of each text's. Null texts have none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    words, ends = split.flatten().cast(pa.binary()), np.cumsum(pc.list_value_length(split).to_numpy())
+    # Space at either end of a text leaves an empty word there.
+    there = pc.not_equal(pc.binary_length(words), 0)
+    ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[np.concatenate([[0], ends])]
+    return words.filter(there), np.diff(ends)
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """ids of the words of texts, each text's followed by end."""
+    out = np.full(len(ids) + len(sizes), end, ids.dtype)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(sizes + 1) - 1] = False
+    out[inner] = ids
+    return out
+
+
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word among others, -1 where it isn't there."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy()
+
 
-    def __missing__(self, word: bytes) -> int:
-        k = HEAD + tail_class(word)
-        if len(self) < 300_000:
-            self[word] = k
-        return k
+#: Tail classes by the last two bytes of a word, as a number; then those of words of one byte.
+_KINDS = np.array([*(tail_class(bytes((a, b))) for a in range(256) for b in range(256)), *(tail_class(bytes((a,))) for a in range(256))], np.int32)
 
-    def of(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """tail_class of all words."""
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.zeros(0, np.int32)
+    offsets, data = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(data, np.uint8)
+    last = offsets[1:] - 1
+    short = offsets[:-1] == last
+    return _KINDS[np.where(short, 1 << 16, data[last - ~short].astype(np.int32) << 8) + data[last]]
+
+
+class Symbols:
+    """Symbols of words: the places of frequent ones, the classes of all others."""
+
+    def __init__(self, head: list[bytes]):
+        self.head = pa.array(head, pa.binary())
+
+    def of(self, columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts with their ends, and a 1 at each first one."""
         ids, sizes = [], []
-        for raw in raws:
-            words = raw.lower().split()
-            ids += map(self.__getitem__, words)
-            ids.append(0)
-            sizes.append(len(words) + 1)
+        for column in columns:
+            words, n = words_of(column)
+            at = places(words, self.head)
+            rare = np.flatnonzero(at < 0)
+            at = at.astype(np.int32)
+            at[rare] = HEAD + tail_classes(words)[rare]
+            ids.append(with_ends(at, n, 0))
+            sizes.append(n + 1)
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
         starts = np.zeros(len(ids), np.int8)
         starts[np.cumsum(sizes) - sizes] = 1
-        return np.array(ids, np.int32), starts
+        return ids, starts
 
 
 def score_documents(model: Gru, y: np.ndarray, sizes: np.ndarray, lanes: int = 2 * LANES) -> np.ndarray:
@@ -288,31 +385,43 @@ def _block(text: str, blocks: int) -> Column:
 _PARTS = 20
 
 
+#: Bytes of text whose words a task holds until it counts them.
+_HELD = 24 << 20
+
+
 def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each block with their numbers in training texts, 0 for words of other texts alone. at: the block, and which part of its words this is."""
-    found: dict[int, tuple[Counter, Counter]] = {}
+    # Of each block the words of training texts and of others, and how many texts there are.
+    found: dict[int, tuple[list, list, list]] = {}
     given: Counter = Counter()
 
     def out():
-        for block, (learnt, other) in found.items():
-            words = [*learnt, *(w for w in other if w not in learnt)]
-            numbers = [learnt[w] for w in words]
-            at = block << _PARTS | given[block]
+        for block, (learnt, other, texts) in found.items():
+            told = pa.concat_arrays([*learnt, *other]).dictionary_encode()
+            numbers = np.bincount(told.indices.to_numpy()[: sum(map(len, learnt))], minlength=len(told.dictionary))
+            words = pa.concat_arrays([told.dictionary, pa.array([END], pa.binary())])
+            numbers = pa.array(np.append(numbers, texts[0]), pa.int64())
+            at = pa.array(np.full(len(words), block << _PARTS | given[block]))
             given[block] += 1
             for k in range(0, len(words), 20_000):
-                some = words[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(numbers[k : k + 20_000], pa.int64())], ["at", "word", "n"])
+                yield pa.RecordBatch.from_arrays([x.slice(k, 20_000) for x in (at, words, numbers)], ["at", "word", "n"])
 
+    held = 0
     for part in parts:
+        blocks, train = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
         for at, column in slices(part.column(2)):
-            flags = (part.column(c).slice(at, len(column)).to_pylist() for c in (0, 1))
-            for block, train, raw in zip(*flags, raw_of(column)):
-                kept = found.setdefault(block, (Counter(), Counter()))[0 if train else 1]
-                kept.update(raw.lower().split())
-                kept[END] += 1
-            if sum(len(a) + len(b) for a, b in found.values()) > 500_000:
+            words, sizes = words_of(column)
+            kinds = blocks[at : at + len(column)].astype(np.int64) << 1 | ~train[at : at + len(column)]
+            each = np.repeat(kinds, sizes)
+            for kind, n in zip(*np.unique(kinds, return_counts=True)):
+                kept = found.setdefault(int(kind >> 1), ([], [], [0, 0]))
+                kept[kind & 1].append(words if len(kinds) == n else words.filter(pa.array(each == kind)))
+                kept[2][kind & 1] += int(n)
+            held += words.nbytes
+            if held > _HELD:
                 yield from out()
                 found.clear()
+                held = 0
     yield from out()
 
 
@@ -320,11 +429,12 @@ def word_counts(docs: DataFrame, train: Column, blocks: int, text: str = "text")
     """block, word, n, kind, first: for every word of the block its number in all training texts and its tail class; first is set in one block of each word."""
     rows = docs.select(_block(text, blocks).alias("block"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     # Documents of a block meet first, so that a word leaves its block once.
-    local = checkpointed(rows.repartition("block").mapInArrow(_count, "at long, word binary, n long")).repartition("word")
-    total = local.groupBy("word").agg(F.sum("n").alias("n"), F.min("at").alias("in"))
+    local = checkpointed(rows.repartition("block").mapInArrow(_count, "at long, word binary, n long"))
     kind = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS)).cast("int")
+    # A word has as many rows as there are blocks, at most: one sort gives each of them the word's total.
+    own = Window.partitionBy("word")
     # A block that gave out its words in parts has some twice, with the same total.
-    return checkpointed(local.select("at", "word").join(total, "word").select(F.shiftright("at", _PARTS).cast("int").alias("block"), "word", "n", kind.alias("kind"), (F.col("at") == F.col("in")).alias("first")))
+    return checkpointed(local.select(F.shiftright("at", _PARTS).cast("int").alias("block"), "word", F.sum("n").over(own).alias("n"), kind.alias("kind"), (F.col("at") == F.min("at").over(own)).alias("first")))
 
 
 def fit_language_model(docs: DataFrame, train: Column, counts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> LanguageModel:
@@ -362,21 +472,32 @@ def _rows(found) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([float(words)]), pa.array([weights.astype(np.float64).tobytes()], pa.binary())], ["slice", "words", "weights"])
 
 
+def _streams(columns: Iterator[pa.Array], size: int) -> Iterator[list[pa.Array]]:
+    """Texts in pieces; a stream ends with the text that brings it above size bytes."""
+    kept: list[pa.Array] = []
+    held = 0
+    for column in columns:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(column):
+            before = int(ends[at - 1]) if at else 0
+            to = min(len(column), int(np.searchsorted(ends, before + size - held, side="right")) + 1)
+            kept += [piece for _, piece in slices(column.slice(at, to - at))]
+            held += int(ends[to - 1]) - before
+            at = to
+            if held > size:
+                yield kept
+                kept, held = [], 0
+    if kept:
+        yield kept
+
+
 def _trained(shared, rate: float):
     def train(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, head = shared.value
-        symbols, trainer = Symbols((w, k) for k, w in enumerate(head)), Trainer(Gru(flat.copy()), rate)
-        kept: list[bytes] = []
-        size = 0
-        for part in parts:
-            for raw in (raw for _, column in slices(part.column(0)) for raw in raw_of(column)):
-                kept.append(raw)
-                size += len(raw)
-                if size > 6 << 20:
-                    trainer.stream(*symbols.of(kept))
-                    kept, size = [], 0
-        if kept:
-            trainer.stream(*symbols.of(kept))
+        symbols, trainer = Symbols(head), Trainer(Gru(flat.copy()), rate)
+        for texts in _streams((part.column(0) for part in parts), 6 << 20):
+            trainer.stream(*symbols.of(texts))
         n = trainer.words
         if n:
             flat = trainer.model.flat.astype(np.float64) * n
@@ -403,26 +524,22 @@ def _scorer(shared):
         model = shared.value
         if not docs.num_rows:
             return _SCORES.empty_table()
-        # For each word of the block its symbol, its count, and its place in the table of both. A word that came twice has one place.
-        words = [w for chunk in counts.column("word").chunks for w in chunk.to_pylist()]
-        index = dict(zip(words, range(len(words))))
+        # For each word of the block its symbol, its count, and its place in the table of both. Of a word that came twice one place is used.
+        known = counts.column("word").combine_chunks()
         n = counts.column("n").to_numpy().astype(np.float64)
         kind = counts.column("kind").to_numpy()
-        symbol = (HEAD + kind).astype(np.int32)
-        for k, w in enumerate(model.head):
-            if w in index:
-                symbol[index[w]] = k
+        symbol = places(known, pa.array(model.head, pa.binary()))
+        symbol = np.where(symbol < 0, HEAD + kind, symbol).astype(np.int32)
         base = np.log10((n + 1) / (model.words + model.distinct + 1))
         inside = np.where(symbol < HEAD, 0.0, np.log10((n + 1) / (np.maximum(model.tail_words, 0) + np.maximum(model.tail_distinct, 0) + 1)[kind]))
-        end = index[END]
-        at, sizes = [], []
-        for chunk in docs.column("text").chunks:
-            for raw in raw_of(chunk):
-                words = list(map(index.__getitem__, raw.lower().split()))
-                words.append(end)
-                at.append(np.array(words, np.int32))
-                sizes.append(len(words))
-        at, sizes = np.concatenate(at), np.array(sizes, np.int64)
+        found = [words_of(column) for chunk in docs.column("text").chunks for _, column in slices(chunk)]
+        sizes = np.concatenate([x for _, x in found])
+        at = places(pa.concat_arrays([x for x, _ in found]), known)
+        found.clear()
+        if at.min(initial=0) < 0:
+            raise ValueError("a block's counts lack some of its words")
+        at = with_ends(at, sizes, int(places(pa.array([END], pa.binary()), known)[0]))
+        sizes = sizes.astype(np.int64) + 1
         first = np.cumsum(sizes) - sizes
         whole = score_documents(model.gru, symbol[at], sizes) / np.log(10)
         out = [docs.column("doc_id").combine_chunks(), sizes, np.add.reduceat((n[at] > 0).astype(np.int64), first), np.full(len(sizes), model.words, np.int64), np.add.reduceat(base[at], first), whole + np.add.reduceat(inside[at], first)]
